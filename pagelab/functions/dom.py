@@ -4,7 +4,8 @@ The tree is not materialised. A page becomes an ordered list of tag events
 (after comments are dropped and script/style bodies blanked), and the tree
 walk is a left fold over that list with a stack (``aggregate`` higher-order
 function): an opening tag is an element at the current stack height and is
-pushed unless void or self-closing; a closing tag pops up to and including its
+pushed unless void or self-closing (a block-level start tag first closes an
+open ``<p>``, as HTML parsing does); a closing tag pops up to and including its
 most recent match (unmatched closing tags are ignored). Everything stays in
 the JVM and needs no shuffle: the work per page is bounded by the page.
 """
@@ -19,6 +20,11 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input",
              "link", "meta", "param", "source", "track", "wbr"]
+# start tags that close an open <p> (HTML parsing rule for implied end tags)
+P_CLOSERS = ["address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset",
+             "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+             "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
+             "table", "ul"]
 # tags whose src/href counts as an external resource, and the variant set
 RESOURCE_TAGS = ["img", "script", "link"]
 RESOURCE_TAGS_WITH_IFRAME = ["img", "script", "link", "iframe"]
@@ -78,36 +84,51 @@ def _pop_sql(stack: str, name: str) -> str:
             f"ELSE slice({stack}, 1, size({stack}) - {pos}) END")
 
 
+def _pre_sql(stack: str, name: str) -> str:
+    # stack seen by an opening tag: a block-level start tag closes an open <p>
+    return (f"CASE WHEN {name} IN ({_sql_list(P_CLOSERS)}) AND array_contains({stack}, 'p') "
+            f"THEN {_pop_sql(stack, repr('p'))} ELSE {stack} END")
+
+
 def depth_sql(ev: str) -> str:
     """Maximum element level (root = 0); 0 when the page has no element."""
+    pre = _pre_sql("acc.stack", "e.name")
     return f"""aggregate({ev},
         named_struct('stack', cast(array() AS array<string>), 'mx', 0),
         (acc, e) -> CASE
             WHEN e.closing THEN named_struct('stack', {_pop_sql('acc.stack', 'e.name')}, 'mx', acc.mx)
-            WHEN e.void THEN named_struct('stack', acc.stack, 'mx', greatest(acc.mx, size(acc.stack)))
-            ELSE named_struct('stack', array_append(acc.stack, e.name), 'mx', greatest(acc.mx, size(acc.stack)))
+            WHEN e.void THEN named_struct('stack', {pre}, 'mx', greatest(acc.mx, size({pre})))
+            ELSE named_struct('stack', array_append({pre}, e.name), 'mx', greatest(acc.mx, size({pre})))
         END,
         acc -> acc.mx)"""
 
 
 def xpath_sql(ev: str) -> str:
-    """Paths of every element below the root in document order."""
-    path = "array_join(array_append(slice(acc.stack, 2, greatest(size(acc.stack) - 1, 0)), e.name), '/')"
-    emit = f"CASE WHEN size(acc.stack) >= 1 THEN array_append(acc.paths, {path}) ELSE acc.paths END"
+    """Full path (root included, '/'-joined) of every element in document order."""
+    pre = _pre_sql("acc.stack", "e.name")
+    path = f"array_join(array_append({pre}, e.name), '/')"
     return f"""aggregate({ev},
         named_struct('stack', cast(array() AS array<string>), 'paths', cast(array() AS array<string>)),
         (acc, e) -> CASE
             WHEN e.closing THEN named_struct('stack', {_pop_sql('acc.stack', 'e.name')}, 'paths', acc.paths)
-            WHEN e.void THEN named_struct('stack', acc.stack, 'paths', {emit})
-            ELSE named_struct('stack', array_append(acc.stack, e.name), 'paths', {emit})
+            WHEN e.void THEN named_struct('stack', {pre}, 'paths', array_append(acc.paths, {path}))
+            ELSE named_struct('stack', array_append({pre}, e.name), 'paths', array_append(acc.paths, {path}))
         END,
         acc -> acc.paths)"""
 
 
+def xpath_below_root_sql(paths: str) -> str:
+    """Paths of the root's descendants, root step dropped, wrapped in <...>."""
+    return (f"transform(filter({paths}, p -> instr(p, '/') > 0), "
+            f"p -> concat('<', substring(p, instr(p, '/') + 1), '>'))")
+
+
 def attr_sql(attrs: str, name: str) -> str:
-    """Value of an attribute inside a tag's attribute text ('' if absent)."""
-    pat = r"""(?i)(?:^|[\s/])""" + name + r"""\s*=\s*["']?([^"'\s>]*)"""
-    return f"regexp_extract({attrs}, {sql_str(pat)}, 1)"
+    """Value of an attribute inside a tag's attribute text ('' if absent);
+    quoted values may hold spaces."""
+    pat = r"""(?i)(?:^|[\s/])""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return (f"concat(regexp_extract({attrs}, {sql_str(pat)}, 1), regexp_extract({attrs}, {sql_str(pat)}, 2), "
+            f"regexp_extract({attrs}, {sql_str(pat)}, 3))")
 
 
 def tree_features_sql(html: str = "html", url_domain: str = "domain") -> dict[str, str]:

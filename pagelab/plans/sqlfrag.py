@@ -7,7 +7,7 @@ often a different formulation: entropy by grouping characters, tag events by
 
 from __future__ import annotations
 
-from pagelab.functions.dom import RESOURCE_TAGS, VOID_TAGS
+from pagelab.functions.dom import P_CLOSERS, RESOURCE_TAGS, VOID_TAGS
 from pagelab.functions.html import ERROR_SIGNATURES, TITLE_STOP_WORDS
 from pagelab.functions.url import (EDA_BRANDS, LEXICAL_SPECIAL_CHARS, PHISH_KEYWORDS,
                                    SUSPICIOUS_TLDS, TOP_BRANDS)
@@ -207,26 +207,34 @@ def _pop(stack, name):
     return f"(CASE WHEN {pos} = 0 THEN {stack} ELSE list_slice({stack}, 1, len({stack}) - {pos}) END)"
 
 
+def _pre(stack, name):
+    return (f"(CASE WHEN {name} IN ({qlist(P_CLOSERS)}) AND list_contains({stack}, 'p') "
+            f"THEN {_pop(stack, repr('p'))} ELSE {stack} END)")
+
+
 def depth(ev="ev"):
+    pre = _pre("acc.stack", "e.name")
     return (f"list_reduce({ev}, lambda acc, e: CASE "
             f"WHEN e.closing THEN {{'stack': {_pop('acc.stack', 'e.name')}, 'mx': acc.mx}} "
-            f"WHEN e.void THEN {{'stack': acc.stack, 'mx': greatest(acc.mx, len(acc.stack))}} "
-            f"ELSE {{'stack': list_append(acc.stack, e.name), 'mx': greatest(acc.mx, len(acc.stack))}} END, "
+            f"WHEN e.void THEN {{'stack': {pre}, 'mx': greatest(acc.mx, len({pre}))}} "
+            f"ELSE {{'stack': list_append({pre}, e.name), 'mx': greatest(acc.mx, len({pre}))}} END, "
             f"{{'stack': []::VARCHAR[], 'mx': 0}}).mx")
 
 
 def xpaths(ev="ev"):
-    path = "array_to_string(list_append(list_slice(acc.stack, 2, len(acc.stack)), e.name), '/')"
-    emit = f"(CASE WHEN len(acc.stack) >= 1 THEN list_append(acc.paths, {path}) ELSE acc.paths END)"
+    """Full '/'-joined path (root included) of every element."""
+    pre = _pre("acc.stack", "e.name")
+    path = f"array_to_string(list_append({pre}, e.name), '/')"
     return (f"list_reduce({ev}, lambda acc, e: CASE "
             f"WHEN e.closing THEN {{'stack': {_pop('acc.stack', 'e.name')}, 'paths': acc.paths}} "
-            f"WHEN e.void THEN {{'stack': acc.stack, 'paths': {emit}}} "
-            f"ELSE {{'stack': list_append(acc.stack, e.name), 'paths': {emit}}} END, "
+            f"WHEN e.void THEN {{'stack': {pre}, 'paths': list_append(acc.paths, {path})}} "
+            f"ELSE {{'stack': list_append({pre}, e.name), 'paths': list_append(acc.paths, {path})}} END, "
             f"{{'stack': []::VARCHAR[], 'paths': []::VARCHAR[]}}).paths")
 
 
 def attr(a, name):
-    return f"""regexp_extract({a}, '(?i)(?:^|[\\s/]){name}\\s*=\\s*["'']?([^"''\\s>]*)', 1)"""
+    pat = f"""'(?i)(?:^|[\\s/]){name}\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))'"""
+    return f"(regexp_extract({a}, {pat}, 1) || regexp_extract({a}, {pat}, 2) || regexp_extract({a}, {pat}, 3))"
 
 
 def tree(ev="ev", h="html", dom="domain") -> dict[str, str]:
