@@ -2,11 +2,178 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelab.operators.stats import grouped_cumsum, mid_ranks
+
 
 def class_averages(df: DataFrame, cols: list[str], label: str = "label") -> DataFrame:
     """I8: mean of each feature by class, long form (class, feature, mean)."""
     long = df.select(label, *[F.col(c).cast("double") for c in cols]).unpivot([label], cols, "feature", "value")
     return long.groupBy(label, "feature").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def drop_top_quantile(long: DataFrame, q: float = 0.99, feature: str = "feature", value: str = "value") -> DataFrame:
+    """per feature keep values at or below the q-quantile."""
+    qs = long.groupBy(feature).agg(F.percentile(value, F.lit(q)).alias("_q"))  # one row per feature
+    return long.join(F.broadcast(qs), feature).where(F.col(value) <= F.col("_q")).drop("_q")
+
+
+def top_variance(long: DataFrame, k: int = 15, feature: str = "feature", value: str = "value") -> DataFrame:
+    """the k features with the largest sample variance (ties by name)."""
+    v = long.groupBy(feature).agg(F.var_samp(value).alias("variance"))
+    w = Window.orderBy(F.desc(F.round("variance", 9)), feature)  # one row per feature: tiny
+    return v.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def ks_drift(long: DataFrame, era: str, a: str, b: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """Max |ECDF_a - ECDF_b| per feature from running sums over the
+    distinct values of each feature (scalable running sums)."""
+    c = long.groupBy(feature, value).agg(F.sum((F.col(era) == a).cast("long")).alias("na"),
+                                         F.sum((F.col(era) == b).cast("long")).alias("nb"))
+    tot = c.groupBy(feature).agg(F.sum("na").alias("_ta"), F.sum("nb").alias("_tb"))
+    s = grouped_cumsum(c, [feature], value, ["na", "nb"]).join(F.broadcast(tot), feature)
+    gap = F.abs(F.col("cum_na") / F.col("_ta") - F.col("cum_nb") / F.col("_tb"))
+    return s.groupBy(feature).agg(F.max(gap).alias("ks"))
+
+
+def mean_shift(long: DataFrame, era: str, a: str, b: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """(new - old) / |old| * 100, 0 when old is 0."""
+    m = long.groupBy(feature).agg(F.avg(F.when(F.col(era) == a, F.col(value))).alias("old_mean"),
+                                  F.avg(F.when(F.col(era) == b, F.col(value))).alias("new_mean"))
+    sh = F.when(F.col("old_mean") == 0, F.lit(0.0)).otherwise(
+        (F.col("new_mean") - F.col("old_mean")) / F.abs(F.col("old_mean")) * 100)
+    return m.withColumn("shift_pct", sh)
+
+
+def mean_shift_filter(long: DataFrame, era: str, a: str, b: str, min_abs_pct: float = 50.0,
+                      feature: str = "feature", value: str = "value") -> DataFrame:
+    """I4: features whose mean moved by more than ``min_abs_pct`` percent;
+    divides by the old mean (not its absolute value); old = 0 gives +inf
+    when the new mean is positive, else 0."""
+    m = long.groupBy(feature).agg(F.avg(F.when(F.col(era) == a, F.col(value))).alias("old_mean"),
+                                  F.avg(F.when(F.col(era) == b, F.col(value))).alias("new_mean"))
+    sh = (F.when(F.col("old_mean") == 0, F.when(F.col("new_mean") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)))
+          .otherwise((F.col("new_mean") - F.col("old_mean")) / F.col("old_mean") * 100))
+    return m.withColumn("shift_pct", sh).where(F.abs("shift_pct") > min_abs_pct)
+
+
+def top_bottom(scores: DataFrame, col: str, k: int, feature: str = "feature") -> DataFrame:
+    """K smallest ('stable') and k largest ('drifted') by ``col``."""
+    w1 = Window.orderBy(col, feature)  # one row per feature: tiny
+    w2 = Window.orderBy(F.desc(col), feature)
+    r = scores.select(feature, col, F.row_number().over(w1).alias("_a"), F.row_number().over(w2).alias("_b"))
+    return (r.where(F.col("_a") <= k).select(F.lit("stable").alias("side"), feature, col, F.col("_a").alias("rank"))
+            .unionByName(r.where(F.col("_b") <= k).select(F.lit("drifted").alias("side"), feature, col, F.col("_b").alias("rank"))))
+
+
+def class_value_proportion(long: DataFrame, label: str = "label", feature: str = "feature", value: str = "value") -> DataFrame:
+    """Count and share of each value inside (class, feature)."""
+    c = long.groupBy(label, feature, value).agg(F.count(F.lit(1)).alias("count"))
+    t = c.groupBy(label, feature).agg(F.sum("count").alias("_t"))
+    return c.join(t, [label, feature]).withColumn("share", F.col("count") / F.col("_t")).drop("_t")
+
+
+def quantiles(long: DataFrame, groups, qs, feature: str = "feature", value: str = "value") -> DataFrame:
+    """Exact quantiles (linear interpolation) per (groups, feature)."""
+    a = long.groupBy(*groups, feature).agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("_q"))
+    return a.select(*groups, feature, *[F.col("_q")[i].alias(f"q_{str(q).replace('.', '_')}") for i, q in enumerate(qs)])
+
+
+def describe(long: DataFrame, groups, feature: str = "feature", value: str = "value") -> DataFrame:
+    """Count, mean, sample sd, min, quartiles, max."""
+    v = F.col(value)
+    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    a = long.groupBy(*groups, feature).agg(F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"),
+                                           F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("_q"),
+                                           F.max(v).alias("max"))
+    return a.select(*groups, feature, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
+                    F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+
+
+def boxplot_stats(long: DataFrame, groups, feature: str = "feature", value: str = "value") -> DataFrame:
+    """Quartiles, whiskers at the most extreme values within 1.5 IQR,
+    outlier counts."""
+    q = long.groupBy(*groups, feature).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = q.select(*groups, feature, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
+    x = long.join(q, [*groups, feature])  # one row per group on the small side
+    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    v = F.col(value)
+    return x.groupBy(*groups, feature, "q1", "q3").agg(
+        F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"),
+        F.sum(((v < lo) | (v > hi)).cast("long")).alias("outliers")).withColumn("iqr", F.col("q3") - F.col("q1"))
+
+
+def histogram(long: DataFrame, groups, bins: int = 20, feature: str = "feature", value: str = "value") -> DataFrame:
+    """Equal-width bins over each feature's range (last bin closed;
+    a constant feature gets the range value +- 0.5)."""
+    r = long.groupBy(feature).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    same = F.col("_mx") == F.col("_mn")
+    r = r.select(feature, F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
+                 F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
+    x = long.join(F.broadcast(r), feature)  # one row per feature
+    b = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+    return x.groupBy(*groups, feature, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pearson correlation of every column pair (name_a > name_b), one
+    aggregate; NULL when a column is constant."""
+    pairs = [(max(a, b), min(a, b)) for i, a in enumerate(cols) for b in cols[:i]]
+    def corr(a, b):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        d = F.stddev_pop(x) * F.stddev_pop(y)
+        return F.when(d == 0, F.lit(None).cast("double")).otherwise(F.covar_pop(x, y) / d)
+    agg = df.agg(*[corr(a, b).alias(f"{a}||{b}") for a, b in pairs])
+    rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}||{b}`").alias("corr"))
+                     for a, b in pairs])
+    return agg.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def spearman(df: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """I16: Pearson correlation of mid-ranks; ranks come from the scalable
+    running sums per feature, joined back by (feature, value)."""
+    # values are compared at 9 decimals so float noise does not split ties
+    long = df.select(key, *[F.round(F.col(c).cast("double"), 9).alias(c) for c in cols]).unpivot([key], cols, "feature", "value")
+    ranks = mid_ranks(long, ["feature"], "value", "rank")
+    r = long.join(ranks, ["feature", "value"])
+    wide = r.groupBy(key).pivot("feature", cols).agg(F.first("rank"))
+    return pairwise_corr(wide, cols)
+
+
+def radar_profile(df: DataFrame, cols: list[str], groups_map: dict, label: str = "label") -> DataFrame:
+    """Min-max scale, mean per class, mean of the means per feature group."""
+    from pagelab.operators.scale import minmax_apply, minmax_fit
+    s = minmax_apply(df, minmax_fit(df, cols), cols)
+    m = s.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols])
+    out = None
+    for cat, fs in groups_map.items():
+        g = m.select(label, F.lit(cat).alias("category"), (sum(F.col(f) for f in fs) / len(fs)).alias("score"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def standardised_gap(long: DataFrame, label: str = "label", feature: str = "feature", value: str = "value") -> DataFrame:
+    """Difference of class means after z-scoring with the sample sigma."""
+    s = long.groupBy(feature).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
+    x = long.join(F.broadcast(s), feature)  # one row per feature
+    z = F.when((F.col("_sd") == 0) | F.col("_sd").isNull(), F.lit(0.0)).otherwise((F.col(value) - F.col("_mu")) / F.col("_sd"))
+    g = x.groupBy(feature).agg((F.avg(F.when(F.col(label) == 1, z)) - F.avg(F.when(F.col(label) == 0, z))).alias("gap"))
+    w = Window.orderBy(F.desc(F.abs("gap")), feature)  # one row per feature: tiny
+    return g.withColumn("rank", F.row_number().over(w))
+
+
+def era_shift_quantile_view(df: DataFrame, era: str, cols: list[str], q: float = 0.95) -> DataFrame:
+    """Per feature, rows up to the pooled q-quantile, quartiles by era."""
+    out = None
+    for c in cols:
+        cut = df.agg(F.percentile(c, F.lit(q)).alias("_cut"))
+        x = df.join(F.broadcast(cut), how="inner").where(F.col(c) <= F.col("_cut"))  # one-row side
+        g = x.groupBy(era).agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
+                               F.count(F.lit(1)).alias("n"))
+        g = g.select(era, F.lit(c).alias("feature"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                     F.col("_q")[2].alias("q3"), "n")
+        out = g if out is None else out.unionByName(g)
+    return out
