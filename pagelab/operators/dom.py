@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelab.functions import dom
+from pagelab.functions.html import strip_ws
 
 DOC_NODE = "[document]"
 GRID = [(5, 0.02), (10, 0.01), (20, 0.005)]
@@ -135,3 +136,29 @@ def avg_tags_per_page(df: DataFrame, label: str = "label", html: str = "html", t
     per = x.select(label, *[c.alias(t) for t, c in counts.items()])
     agg = per.groupBy(label).agg(*[F.avg(t).alias(t) for t in tags])
     return agg.unpivot([label], list(tags), "tag", "avg_count")
+
+
+def advanced_html_features(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """C12-C15, C17 from the tag events: dead-link ratio, text-to-code ratio,
+    input density, absolute-link ratio, inline-hidden element count."""
+    x = df.select(key, F.coalesce(F.col(html), F.lit("")).alias("html"))
+    x = x.withColumn("_bh", F.expr(dom.blanked_html_sql("html"))).withColumn("ev", F.expr(dom.events_sql("_bh")))
+    opens = F.filter("ev", lambda e: ~e["closing"])
+    anchors = F.filter(opens, lambda e: e["name"] == "a")
+    x = x.withColumn("_anchors", anchors).withColumn("_opens", opens)
+    dead = F.expr(f"size(filter(_anchors, e -> {dom.attr_sql('e.attrs', 'href')} IN ('#', 'javascript:void(0)', '')))")
+    has_href = F.expr(r"filter(_anchors, e -> e.attrs rlike '(?i)(^|\\s)href\\s*=')")
+    ext = F.expr(f"size(filter(_anchors, e -> e.attrs rlike '(?i)(^|\\\\s)href\\\\s*=' AND "
+                 f"startswith(lower({dom.attr_sql('e.attrs', 'href')}), 'http')))")
+    text_nodes = F.filter(F.transform(F.split("_bh", "<[^>]*>"), lambda s: strip_ws(s)), lambda s: s != "")
+    hidden = F.expr(f"size(filter(_opens, e -> replace({dom.attr_sql('e.attrs', 'style')}, ' ', '') rlike "
+                    f"'display:none|visibility:hidden'))")
+    n_a = F.size("_anchors")
+    n_el = F.size("_opens")
+    return x.select(
+        key,
+        F.when(n_a > 0, dead / n_a).otherwise(F.lit(0.0)).alias("dead_link_ratio"),
+        F.when(F.length("html") > 0, F.length(F.array_join(text_nodes, " ")) / F.length("html")).otherwise(F.lit(0.0)).alias("text_to_code_ratio"),
+        F.when(n_el > 0, F.size(F.filter("_opens", lambda e: e["name"] == "input")) * 100.0 / n_el).otherwise(F.lit(0.0)).alias("input_density"),
+        F.when(F.size(has_href) > 0, ext / F.size(has_href)).otherwise(F.lit(0.0)).alias("eda_link_ratio"),
+        hidden.alias("inline_hidden_elements"))

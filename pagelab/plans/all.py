@@ -1,4 +1,4 @@
 """Import every query module so the registry is complete."""
 
-from pagelab.plans import q_dom, q_eval, q_pages, q_profile, q_text  # noqa: F401
+from pagelab.plans import q_dom, q_eval, q_models, q_pages, q_profile, q_stream, q_text  # noqa: F401
 from pagelab.plans.registry import ORACLE, QUERIES  # noqa: F401

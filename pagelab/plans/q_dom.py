@@ -145,3 +145,25 @@ UNPIVOT (avg_count FOR tag IN ({', '.join(f'"{t}"' for t in DF.TARGET_TAGS)}))""
 def q_avg_tags(spark, sf):
     """Average count of seven target tags per page, by class."""
     return dom.avg_tags_per_page(_pages(spark, sf))
+
+
+_ADV_SRC = "(SELECT page_id, url, coalesce(html, '') AS html FROM pages)"
+_ADV_EV = f"evs AS ({S.events_cte(_ADV_SRC)})"
+_A = "list_filter(ev, lambda e: NOT e.closing AND e.name = 'a')"
+_O = "list_filter(ev, lambda e: NOT e.closing)"
+_HREF_PRESENT = "regexp_matches(e.attrs, '(?i)(^|\\s)href\\s*=')"
+
+
+@register("advanced_html_features", sql=f"""WITH {_ADV_EV}
+SELECT page_id,
+  round(CASE WHEN len({_A}) > 0 THEN len(list_filter({_A}, lambda e: {S.attr('e.attrs', 'href')} IN ('#', 'javascript:void(0)', ''))) / len({_A}) ELSE 0.0 END, 6) AS dead_link_ratio,
+  round(CASE WHEN length(html) > 0 THEN length(array_to_string(list_filter(list_transform(string_split_regex(bh, '<[^>]*>'), lambda s: {S.strip_ws('s')}), lambda s: s <> ''), ' ')) / length(html) ELSE 0.0 END, 6) AS text_to_code_ratio,
+  round(CASE WHEN len({_O}) > 0 THEN len(list_filter({_O}, lambda e: e.name = 'input')) * 100.0 / len({_O}) ELSE 0.0 END, 6) AS input_density,
+  round(CASE WHEN len(list_filter({_A}, lambda e: {_HREF_PRESENT})) > 0 THEN
+     len(list_filter({_A}, lambda e: {_HREF_PRESENT} AND starts_with(lower({S.attr('e.attrs', 'href')}), 'http'))) / len(list_filter({_A}, lambda e: {_HREF_PRESENT})) ELSE 0.0 END, 6) AS eda_link_ratio,
+  len(list_filter({_O}, lambda e: regexp_matches(replace({S.attr('e.attrs', 'style')}, ' ', ''), 'display:none|visibility:hidden')))::BIGINT AS inline_hidden_elements
+FROM evs""")
+def q_adv_html(spark, sf):
+    """Dead links, text-to-code, input density, absolute-link
+    ratio, inline hidden elements (from the tag events)."""
+    return dom.advanced_html_features(P.table(spark, sf, "pages"))
