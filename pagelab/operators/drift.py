@@ -177,3 +177,22 @@ def era_shift_quantile_view(df: DataFrame, era: str, cols: list[str], q: float =
                      F.col("_q")[2].alias("q3"), "n")
         out = g if out is None else out.unionByName(g)
     return out
+
+
+def kde_curve(long: DataFrame, groups, points: int = 100, feature: str = "feature", value: str = "value") -> DataFrame:
+    """Gaussian KDE per (groups, feature) on an even grid over the
+    feature's range, normalised per group (Scott factor n^(-1/5) times the
+    sample sigma). Rows are first reduced to distinct values with counts, so
+    the grid work is points x distinct values, not points x rows."""
+    groups = list(groups)
+    d = long.groupBy(*groups, feature, value).agg(F.count(F.lit(1)).alias("_c"))
+    st = long.groupBy(*groups, feature).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"))
+    st = st.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)).where(F.col("_h") > 0)
+    rg = long.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    x = d.join(F.broadcast(st), [*groups, feature]).join(F.broadcast(rg), feature)  # small sides
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    g = F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / (points - 1)
+    k = F.col("_c") * F.exp(-0.5 * F.pow((g - F.col(value)) / F.col("_h"), 2))
+    out = x.groupBy(*groups, feature, "i", "_n", "_h", "_lo", "_hi").agg(F.sum(k).alias("_s"))
+    return out.select(*groups, feature, "i", (F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / (points - 1)).alias("x"),
+                      (F.col("_s") / (F.col("_n") * F.col("_h") * (2 * 3.141592653589793) ** 0.5)).alias("density"))

@@ -324,3 +324,37 @@ SELECT era, label::BIGINT AS label, count(*)::BIGINT AS count FROM pages_l GROUP
 def q_dcc(spark, sf):
     """Rows by era and class."""
     return catalog.pages(spark, sf).groupBy("era", "label").agg(F.count(F.lit(1)).alias("count"))
+
+
+_KDE = ["url_length", "url_entropy", "html_length", "html_text_ratio", "dom_depth"]
+
+
+@register("kde_curve", sql=f"""WITH {LONG},
+l AS (SELECT * FROM lg WHERE feature IN ({S.qlist(_KDE)})),
+d AS (SELECT label, feature, value, count(*) AS c FROM l GROUP BY label, feature, value),
+st AS (SELECT label, feature, count(*) AS n, stddev_samp(value) * pow(count(*)::DOUBLE, -0.2) AS h FROM l GROUP BY label, feature),
+rg AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM l GROUP BY feature),
+x AS (SELECT d.label, d.feature, i, lo + i * (hi - lo) / 99 AS gx, c * exp(-0.5 * pow((lo + i * (hi - lo) / 99 - value) / h, 2)) AS k, n, h
+      FROM d JOIN st USING (label, feature) JOIN rg USING (feature), range(100) r(i) WHERE h > 0)
+SELECT label::BIGINT AS label, feature, i::BIGINT AS i, {r6('gx')} AS x, {r6('sum(k) / (n * h * sqrt(2 * pi()))')} AS density
+FROM x GROUP BY label, feature, i, gx, n, h""")
+def q_kde(spark, sf):
+    """Per-class Gaussian KDE of five continuous features on 100 points."""
+    long = SC.melt(base(spark, sf).select("label", *_KDE), ["label"], _KDE)
+    return DR.kde_curve(long, ["label"], 100)
+
+
+@register("export_features", sql=f"""WITH {BASE}
+SELECT page_id, label::BIGINT AS label, {', '.join(f"{r6(c)} AS {c}" for c in BASE_28)} FROM f""")
+def q_export(spark, sf):
+    """Feature rows + label written as CSV to the shared folder and read back."""
+    import time as _t
+    from pyspark.sql import types as T
+    from pagelab.session import scratch_path
+    from pagelab.sources.pages import write_table
+    b = base(spark, sf).select("page_id", "label", *BASE_28)
+    path = scratch_path(spark, f"export_{int(_t.time() * 1000)}")
+    write_table(b, path, fmt="csv")
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("label", T.IntegerType())] +
+                          [T.StructField(c, T.DoubleType()) for c in BASE_28])
+    return spark.read.schema(schema).option("header", "true").csv(path)
