@@ -23,7 +23,7 @@ def _ranges(df: DataFrame, groups: list[str], order: str, n_ranges: int) -> Data
 
 
 def grouped_cumsum(df: DataFrame, groups: list[str], order: str, cols: list[str],
-                   n_ranges: int = 64, prefix: str = "cum_") -> DataFrame:
+                   n_ranges: int = 256, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``cols`` by ascending ``order`` inside
     ``groups`` (rows with equal keys share the value of the last of them)."""
     groups = list(groups)
@@ -42,3 +42,16 @@ def mid_ranks(df: DataFrame, groups: list[str], value: str, out: str = "rank") -
     cnt = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
     c = grouped_cumsum(cnt, groups, value, ["_n"])
     return c.select(*groups, value, (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
+
+
+def top_k_per_group(df: DataFrame, groups, order, k: int, key: str, salts: int = 64, out: str = "rank") -> DataFrame:
+    """Exact top-k rows per group by ``order`` (a list of sort columns that is
+    unique per row, e.g. count desc then term) without sorting a whole group
+    in one task: phase 1 keeps the top k inside (group, hash(key) mod salts),
+    phase 2 ranks the at most salts x k survivors of each group."""
+    groups = list(groups)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)))
+    w1 = Window.partitionBy(*groups, "_salt").orderBy(*order)
+    cand = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
+    return cand.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelab.operators.stats import top_k_per_group
+
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
@@ -69,9 +71,8 @@ def tfidf_fit(docs: DataFrame, key: str, terms: str, max_features: int, groups=(
     tf = term_counts(docs, key, terms, groups)
     stats = tf.groupBy(*groups, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     n_docs = docs.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*groups).orderBy(F.desc("total"), "term")
-    top = stats.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_features).drop("_r")
-    wa = Window.partitionBy(*groups).orderBy("term")
+    top = top_k_per_group(stats, groups, [F.desc("total"), F.col("term")], max_features, "term", out="_r").drop("_r")
+    wa = Window.partitionBy(*groups).orderBy("term")  # at most max_features rows per group
     top = top.withColumn("idx", F.row_number().over(wa) - 1)
     top = top.join(F.broadcast(n_docs), groups, "inner") if groups else top.join(F.broadcast(n_docs), how="inner")
     return top.select(*groups, "term", "idx", "df", "total",
@@ -116,9 +117,8 @@ def frequency_vocab(docs: DataFrame, terms: str, size: int, first_id: int = 2, g
     """The (size - first_id) most frequent terms, ids from first_id
     (count desc, ties by term)."""
     x = docs.select(*groups, F.explode(terms).alias("term")).groupBy(*groups, "term").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy(*groups).orderBy(F.desc("cnt"), "term")
-    x = x.withColumn("id", F.row_number().over(w) + first_id - 1)
-    return x.where(F.col("id") < size).select(*groups, "term", "id", "cnt")
+    x = top_k_per_group(x, groups, [F.desc("cnt"), F.col("term")], size - first_id, "term", out="_r")
+    return x.select(*groups, "term", (F.col("_r") + first_id - 1).alias("id"), "cnt")
 
 
 def ids_from_vocab(docs: DataFrame, key: str, terms: str, vocab: DataFrame, length: int,
@@ -188,8 +188,7 @@ def url_keyword_tokens(url) -> Column:
 def top_terms(docs: DataFrame, terms: str, k: int, groups=()) -> DataFrame:
     """Top-k terms by count per group (ties by term)."""
     x = docs.select(*groups, F.explode(terms).alias("term")).groupBy(*groups, "term").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy(*groups).orderBy(F.desc("count"), "term")
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top_k_per_group(x, groups, [F.desc("count"), F.col("term")], k, "term", out="rank")
 
 
 def page_words(html) -> Column:

@@ -358,3 +358,23 @@ def q_export(spark, sf):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("label", T.IntegerType())] +
                           [T.StructField(c, T.DoubleType()) for c in BASE_28])
     return spark.read.schema(schema).option("header", "true").csv(path)
+
+
+@register("bhattacharyya_overlap", sql=f"""WITH {BASE},
+r AS (SELECT era, url_length AS x0, html_text_ratio AS y0 FROM f),
+zs AS (SELECT avg(x0) AS mx, CASE WHEN stddev_pop(x0) = 0 THEN 1 ELSE stddev_pop(x0) END AS sx,
+              avg(y0) AS my, CASE WHEN stddev_pop(y0) = 0 THEN 1 ELSE stddev_pop(y0) END AS sy FROM r),
+z AS (SELECT era, (x0 - mx) / sx AS x, (y0 - my) / sy AS y FROM r, zs),
+st AS (SELECT era, var_samp(x) * pow(count(*)::DOUBLE, -1.0 / 3.0) AS a, var_samp(y) * pow(count(*)::DOUBLE, -1.0 / 3.0) AS d,
+              covar_samp(x, y) * pow(count(*)::DOUBLE, -1.0 / 3.0) AS b FROM z GROUP BY era),
+inv AS (SELECT era, d / (a * d - b * b) AS ixx, a / (a * d - b * b) AS iyy, -b / (a * d - b * b) AS ixy FROM st),
+rg AS (SELECT min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1 FROM z),
+pts AS (SELECT era, x, y, count(*) AS c FROM z GROUP BY era, x, y),
+g AS (SELECT k, x0 + (k // 100) * (x1 - x0) / 99 AS gx, y0 + (k % 100) * (y1 - y0) / 99 AS gy FROM rg, range(10000) t(k)),
+zz AS (SELECT pts.era, g.k, sum(c * exp(-0.5 * ((gx - x) * (gx - x) * ixx + 2 * (gx - x) * (gy - y) * ixy + (gy - y) * (gy - y) * iyy))) AS z
+       FROM pts JOIN inv USING (era), g GROUP BY pts.era, g.k),
+p AS (SELECT era, k, z / sum(z) OVER (PARTITION BY era) AS p FROM zz)
+SELECT {r6('sum(sqrt(o.p * w.p))')} AS bhattacharyya FROM p o JOIN p w ON o.k = w.k AND o.era = 'old' AND w.era = 'new'""")
+def q_bhatt(spark, sf):
+    """2-D KDE overlap of the eras on (URL length, HTML text ratio), z-scored."""
+    return DR.bhattacharyya_overlap(base(spark, sf), "era", "old", "new", "url_length", "html_text_ratio", 100)

@@ -21,6 +21,7 @@ LOCAL_DEFAULTS = {
     # pages are large strings: keep Arrow batches small for pandas UDFs
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

@@ -23,8 +23,22 @@ CLASS_ALIASES = ["category", "Category", "Label", "label", "Class"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given parquet tables."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One of the given parquet tables (see :func:`spread`)."""
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one task per core.
+
+    A scan yields one task per file split; a small file written as a single
+    row group yields ONE task, and the regex / DOM work of every page would
+    run on one core. When the scan has fewer partitions than the default
+    parallelism, rows are redistributed round-robin; on large inputs (many
+    splits) this is a no-op and adds no shuffle.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(par) if n < par else df
 
 
 def _first(df: DataFrame, names) -> str | None:
