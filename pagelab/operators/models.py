@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -132,7 +133,8 @@ class FusionStack:
 
     def out_of_fold(self, df: DataFrame) -> DataFrame:
         """Expert probabilities for every row from models that did not see it."""
-        f = stratified_kfold(df, self.folds, self.label, key=self.key)
+        # fold assignment is reused by every fold's filters: materialise it once
+        f = stratified_kfold(df, self.folds, self.label, key=self.key).persist()
         parts = None
         for k in range(self.folds):
             mu, mh = self._experts_fit(f.where(F.col("fold") != k))
@@ -141,7 +143,7 @@ class FusionStack:
         return parts
 
     def fit(self, df: DataFrame) -> "FusionStack":
-        oof = self.out_of_fold(df)
+        oof = self.out_of_fold(df).persist()
         self.meta_model = self.meta().setFeaturesCol("meta_features").setLabelCol(self.label).fit(self._meta_input(oof))
         self.experts = self._experts_fit(df)
         return self
@@ -155,16 +157,23 @@ class FusionStack:
 def random_fourier(df: DataFrame, n_in: int, n_out: int = 100, gamma: float | None = None, seed: int = 42,
                    col: str = "features", out: str = "rff") -> DataFrame:
     """RBF kernel features (Rahimi & Recht 2007): sqrt(2/D) cos(W x + b),
-    W ~ N(0, 2 gamma), b ~ U(0, 2 pi). Weights are literals (n_in x n_out)."""
+    W ~ N(0, 2 gamma), b ~ U(0, 2 pi). The projection is one numpy matrix
+    product per Arrow batch (pandas UDF); W and b (n_out x n_in) are fixed by
+    the seed and travel with the function."""
+    from pyspark.sql import types as T
     g = gamma if gamma is not None else 1.0 / n_in
     rng = np.random.default_rng(seed)
     W = rng.normal(0.0, math.sqrt(2 * g), size=(n_out, n_in))
     b = rng.uniform(0, 2 * math.pi, size=n_out)
-    x = vector_to_array(F.col(col))
     scale = math.sqrt(2.0 / n_out)
-    feats = [F.lit(scale) * F.cos(sum((x[j] * float(W[i, j]) for j in range(n_in)), F.lit(float(b[i]))))
-             for i in range(n_out)]
-    return df.withColumn(out, array_to_vector(F.array(*feats)))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def project(v: pd.Series) -> pd.Series:
+        X = np.stack([np.asarray(a, dtype=np.float64) for a in v]) if len(v) else np.zeros((0, n_in))
+        Z = scale * np.cos(X @ W.T + b)
+        return pd.Series(list(Z))
+
+    return df.withColumn(out, array_to_vector(project(vector_to_array(F.col(col)))))
 
 
 class KernelSVM:
@@ -175,7 +184,7 @@ class KernelSVM:
         self.n_in, self.n_out, self.C, self.label = n_in, n_out, C, label
 
     def fit(self, df):
-        x = random_fourier(df, self.n_in, self.n_out)
+        x = random_fourier(df, self.n_in, self.n_out).persist()  # reused by the SVM and its calibration
         self.svm = LinearSVC(featuresCol="rff", labelCol=self.label, regParam=1.0 / (self.C * 100), maxIter=100).fit(x)
         s = self.svm.transform(x).withColumn("_m", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
         self.cal = LogisticRegression(featuresCol="_m", labelCol=self.label, probabilityCol="svm_probability",

@@ -25,10 +25,11 @@ from pagelab.session import scratch_path
 from pagelab.sources import pages as P
 
 QUICK_ROUNDS = 30
+STACK_ROUNDS = 10   # per expert, 12 expert fits per stack
 
 
 def _quick_gbt(**kw):
-    return GBTClassifier(seed=42, maxIter=QUICK_ROUNDS, maxDepth=5, stepSize=0.1, **kw)
+    return GBTClassifier(seed=42, maxIter=STACK_ROUNDS, maxDepth=5, stepSize=0.1, **kw)
 
 
 def feats(spark, sf):
@@ -78,7 +79,7 @@ def _stack(spark, sf, mode):
     tr, te = split(feats(spark, sf))
     st = M.FusionStack(28, mode, expert=_quick_gbt,
                        meta=(lambda: LogisticRegression(maxIter=100)) if mode == "late" else
-                       (lambda: GBTClassifier(seed=42, maxIter=QUICK_ROUNDS, maxDepth=6, stepSize=0.05))).fit(tr)
+                       (lambda: GBTClassifier(seed=42, maxIter=STACK_ROUNDS, maxDepth=6, stepSize=0.05))).fit(tr)
     return metrics_row(st.transform(te).withColumn("p1", M.prob1()), f"{mode}_fusion_stack")
 
 

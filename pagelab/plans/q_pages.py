@@ -187,15 +187,13 @@ def q_feed_text(spark, sf):
 
 @register("feed_fallback", sql=f"""WITH {_LINES_SQL},
 f1 AS (SELECT json_extract_string(j, '$.url') AS url FROM (SELECT {_FEED_JSON} AS j FROM events)
-       WHERE json_extract_string(j, '$.online') = 'yes' AND json_extract_string(j, '$.verified') = 'yes'
-         AND json_extract_string(j, '$.url') LIKE '%.feed.example/1%'),
+       WHERE json_extract_string(j, '$.online') = 'yes' AND json_extract_string(j, '$.verified') = 'yes'),
 f2 AS (SELECT line AS url FROM lines WHERE line <> ''),
 t AS (SELECT 0 AS prio, url FROM f1 UNION ALL SELECT 1, url FROM f2)
 SELECT url FROM t WHERE prio = (SELECT min(prio) FROM t)""")
 def q_feed_fallback(spark, sf):
-    """The JSON feed (entries of user ids starting with 1) if it yields
-    anything, else the text feed."""
-    f1 = feeds.feed_json_verified(_json_feed(spark, sf)).where(F.col("url").like("%.feed.example/1%")).select("url")
+    """The verified JSON feed if it yields anything, else the text feed."""
+    f1 = feeds.feed_json_verified(_json_feed(spark, sf)).select("url")
     f2 = feeds.text_lines_of(P.table(spark, sf, "documents")).where(F.trim("line") != "") \
         .select(F.trim("line").alias("url"))
     return feeds.feed_fallback(f1, f2)

@@ -176,3 +176,15 @@ def test_char_wb_ngrams(spark):
 def test_word_ngrams(spark):
     g = spark.createDataFrame([(["a", "b", "c"],)], "t array<string>").select(T.word_ngrams("t", 2, 3).alias("g")).first().g
     assert g == ["a b", "b c", "a b c"]
+
+
+def test_processor_registry(spark):
+    from pagelab.operators.processors import get_processor
+    with pytest.raises(ValueError):
+        get_processor("no_such_processor")
+    df = spark.createDataFrame([(1, "http://example.com", "<html>1</html>"), (2, "https://phish-site.net/login", "<html>2</html>")],
+                               "page_id long, url string, html string")
+    m = get_processor("manual").fit(df).transform(df).collect()
+    assert [len(r.features) for r in m] == [48, 48]
+    mm = get_processor("multimodal", {"html_vocab_size": 100}).fit(df).transform(df).collect()
+    assert all(len(r.url_ids) == 180 and len(r.html_ids) == 2000 for r in mm)
