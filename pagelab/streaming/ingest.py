@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pagelab.functions.html import CONTROL_CHARS_RE, strip_ws
 
 
-def page_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def page_stream(spark: SparkSession, folder: str, schema, name_glob: str = "*.parquet", max_files: int = 1) -> DataFrame:
+    """Files arriving in ``folder`` (matching ``name_glob``) as a stream."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("pathGlobFilter", name_glob).parquet(folder))
 
 
 def ingest_dedup(stream: DataFrame, known: DataFrame, url: str = "url", html: str = "html",
