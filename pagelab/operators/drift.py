@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelab.operators.stats import grouped_cumsum, mid_ranks
+from pagelab.operators.stats import exact_quantiles, grouped_cumsum, mid_ranks
 
 
 def class_averages(df: DataFrame, cols: list[str], label: str = "label") -> DataFrame:
@@ -16,7 +16,7 @@ def class_averages(df: DataFrame, cols: list[str], label: str = "label") -> Data
 
 def drop_top_quantile(long: DataFrame, q: float = 0.99, feature: str = "feature", value: str = "value") -> DataFrame:
     """per feature keep values at or below the q-quantile."""
-    qs = long.groupBy(feature).agg(F.percentile(value, F.lit(q)).alias("_q"))  # one row per feature
+    qs = exact_quantiles(long, [feature], value, [q]).withColumnRenamed("q_0", "_q")  # one row per feature
     return long.join(F.broadcast(qs), feature).where(F.col(value) <= F.col("_q")).drop("_q")
 
 
@@ -77,26 +77,26 @@ def class_value_proportion(long: DataFrame, label: str = "label", feature: str =
 
 def quantiles(long: DataFrame, groups, qs, feature: str = "feature", value: str = "value") -> DataFrame:
     """Exact quantiles (linear interpolation) per (groups, feature)."""
-    a = long.groupBy(*groups, feature).agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("_q"))
-    return a.select(*groups, feature, *[F.col("_q")[i].alias(f"q_{str(q).replace('.', '_')}") for i, q in enumerate(qs)])
+    a = exact_quantiles(long, [*groups, feature], value, qs)
+    return a.select(*groups, feature, *[F.col(f"q_{i}").alias(f"q_{str(q).replace('.', '_')}") for i, q in enumerate(qs)])
 
 
 def describe(long: DataFrame, groups, feature: str = "feature", value: str = "value") -> DataFrame:
     """Count, mean, sample sd, min, quartiles, max."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     a = long.groupBy(*groups, feature).agg(F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"),
-                                           F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("_q"),
-                                           F.max(v).alias("max"))
-    return a.select(*groups, feature, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
-                    F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+                                           F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = exact_quantiles(long, [*groups, feature], value, [0.25, 0.5, 0.75])
+    return a.join(q, [*groups, feature]).select(*groups, feature, "count", "mean", "std", "min",
+                                                F.col("q_0").alias("p25"), F.col("q_1").alias("p50"),
+                                                F.col("q_2").alias("p75"), "max")
 
 
 def boxplot_stats(long: DataFrame, groups, feature: str = "feature", value: str = "value") -> DataFrame:
     """Quartiles, whiskers at the most extreme values within 1.5 IQR,
     outlier counts."""
-    q = long.groupBy(*groups, feature).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q = q.select(*groups, feature, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
+    q = exact_quantiles(long, [*groups, feature], value, [0.25, 0.75])
+    q = q.select(*groups, feature, F.col("q_0").alias("q1"), F.col("q_1").alias("q3"))
     x = long.join(q, [*groups, feature])  # one row per group on the small side
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
@@ -167,16 +167,13 @@ def standardised_gap(long: DataFrame, label: str = "label", feature: str = "feat
 
 def era_shift_quantile_view(df: DataFrame, era: str, cols: list[str], q: float = 0.95) -> DataFrame:
     """Per feature, rows up to the pooled q-quantile, quartiles by era."""
-    out = None
-    for c in cols:
-        cut = df.agg(F.percentile(c, F.lit(q)).alias("_cut"))
-        x = df.join(F.broadcast(cut), how="inner").where(F.col(c) <= F.col("_cut"))  # one-row side
-        g = x.groupBy(era).agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-                               F.count(F.lit(1)).alias("n"))
-        g = g.select(era, F.lit(c).alias("feature"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                     F.col("_q")[2].alias("q3"), "n")
-        out = g if out is None else out.unionByName(g)
-    return out
+    long = df.select(era, *[F.col(c).cast("double") for c in cols]).unpivot([era], cols, "feature", "value")
+    cut = exact_quantiles(long, ["feature"], "value", [q]).withColumnRenamed("q_0", "_cut")  # one row per feature
+    x = long.join(F.broadcast(cut), "feature").where(F.col("value") <= F.col("_cut"))
+    qs = exact_quantiles(x, [era, "feature"], "value", [0.25, 0.5, 0.75])
+    n = x.groupBy(era, "feature").agg(F.count(F.lit(1)).alias("n"))
+    return qs.join(n, [era, "feature"]).select(era, "feature", F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
+                                               F.col("q_2").alias("q3"), "n")
 
 
 def kde_curve(long: DataFrame, groups, points: int = 100, feature: str = "feature", value: str = "value") -> DataFrame:

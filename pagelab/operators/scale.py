@@ -28,8 +28,13 @@ def zscore_apply(df: DataFrame, state: DataFrame, cols: list[str], prefix: str =
 
 
 def clip_fit(df: DataFrame, cols: list[str], q: float = 0.99) -> DataFrame:
-    """Exact per-column q-quantile (linear interpolation), one aggregate."""
-    return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(f"{c}__ub") for c in cols])
+    """Exact per-column q-quantile (linear interpolation) as a one-row state,
+    computed for all columns in one distributed quantile job."""
+    from pagelab.operators.stats import exact_quantiles
+    long = df.select(*[F.col(c).cast("double") for c in cols]).unpivot([], cols, "feature", "value")
+    qs = exact_quantiles(long, ["feature"], "value", [q])
+    wide = qs.groupBy().pivot("feature", cols).agg(F.first("q_0"))  # one row, one column per feature
+    return wide.select(*[F.col(f"`{c}`").alias(f"{c}__ub") for c in cols])
 
 
 def clip_apply(df: DataFrame, state: DataFrame, cols: list[str]) -> DataFrame:

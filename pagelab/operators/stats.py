@@ -55,3 +55,39 @@ def top_k_per_group(df: DataFrame, groups, order, k: int, key: str, salts: int =
     cand = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
     return cand.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)
+
+
+def exact_quantiles(df: DataFrame, groups, value: str, probs, out_prefix: str = "q_") -> DataFrame:
+    """Exact quantiles with linear interpolation (numpy's default) per group,
+    without holding a group's values in one task.
+
+    Rows are reduced to (group, value, count); running counts come from
+    :func:`grouped_cumsum`; the order statistics at positions floor/ceil of
+    p * (n - 1) are located with an equi-join on the group plus a range
+    condition against a small target table (groups x probabilities x 2).
+    Returns one row per group with a column per probability."""
+    groups = list(groups)
+    c = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    s = grouped_cumsum(c, groups, value, ["_c"])
+    n = c.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    targets = None
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        t = n.select(*groups, F.lit(i).alias("_pi"), pos.alias("_pos"),
+                     F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
+        targets = t if targets is None else targets.unionByName(t)
+    tg = targets.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_pi", "_pos", F.explode(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_idx")),
+        F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_idx")))).alias("_t")).select(
+        *[f"_g_{g}" for g in groups], "_pi", "_pos", "_t._side", "_t._idx")
+    cond = [F.col(f"_g_{g}") == F.col(g) for g in groups] + \
+        [(F.col("cum__c") - F.col("_c") <= F.col("_idx")), (F.col("_idx") < F.col("cum__c"))]
+    cond = cond[0] if len(cond) == 1 else __import__("functools").reduce(lambda a, b: a & b, cond)
+    # target table: groups x probabilities x 2 rows (small, broadcast)
+    hit = s.join(F.broadcast(tg), cond, "inner").select(*groups, "_pi", "_pos", "_side", F.col(value).alias("_v"))
+    per = hit.groupBy(*groups, "_pi", "_pos").agg(F.min(F.when(F.col("_side") == 0, F.col("_v"))).alias("_a"),
+                                                  F.min(F.when(F.col("_side") == 1, F.col("_v"))).alias("_b"))
+    q = F.col("_a") + (F.col("_pos") - F.floor("_pos")) * (F.col("_b") - F.col("_a"))
+    per = per.select(*groups, "_pi", q.alias("_q"))
+    aggs = [F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{out_prefix}{i}") for i in range(len(probs))]
+    return per.groupBy(*groups).agg(*aggs) if groups else per.agg(*aggs)
