@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pagelab.operators import evaluate as EV, explain as XP, models as M, sample as SA
 from pagelab.operators.features import BASE_28, structural_base
 from pagelab.plans import catalog
-from pagelab.plans.q_eval import SCORED
+from pagelab.plans.q_eval import MODELS
 from pagelab.plans.registry import register
 from pagelab.session import scratch_path
 from pagelab.sources import pages as P
@@ -403,16 +403,17 @@ def q_expert_attr(spark, sf):
     """Shapley ranking of the stack's meta inputs (p_url, p_html)."""
     x = feats(spark, sf)
     st = M.FusionStack(28, "late", expert=lambda: M.create_model("structural_rf", numTrees=30))
-    oof = st.out_of_fold(x)
+    oof = st.out_of_fold(x).drop("features")
     meta_in = M.assemble(oof, ["p_url", "p_html"])
     lr = LogisticRegression(labelCol="label").fit(meta_in)
     s = XP.shapley_sampling(meta_in, lr, ["p_url", "p_html"], key="page_id", n_perm=8, n_background=5)
     return XP.global_ranking(s, [], 2)
 
 
-@register("false_positive_set", sql=f"""WITH {SCORED}
-SELECT page_id, round(prob, 6) AS prob FROM scored WHERE label = 0 AND prediction = 1""")
+@register("false_positive_set", sql=f"""WITH {MODELS}
+SELECT page_id, round(prob, 6) AS prob FROM mp WHERE model = 'html_logit' AND label = 0 AND prediction = 1""")
 def q_fp(spark, sf):
-    """Legitimate rows predicted positive (deterministic scorer)."""
-    from pagelab.plans.q_eval import scored
-    return scored(spark, sf).where("label = 0 AND prediction = 1").select("page_id", "prob")
+    """Legitimate rows predicted positive by the HTML scorer."""
+    from pagelab.plans.q_eval import model_scores
+    ms = model_scores(spark, sf)
+    return ms.where("model = 'html_logit' AND label = 0 AND prediction = 1").select("page_id", "prob")
