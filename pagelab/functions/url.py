@@ -50,6 +50,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable.
+
+    Expressions referenced inside higher-order-function lambdas can be
+    inlined by the optimizer and re-evaluated per element; binding through a
+    one-element ``transform`` guarantees one evaluation per row."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def with_http(url) -> Column:
     """Prefix ``http://`` when the URL does not start with ``http``."""
     u = _c(url)
@@ -98,15 +107,16 @@ def shannon_entropy(s) -> Column:
     higher-order functions inside the row (no explode, no shuffle).
     """
     s = _c(s)
-    chars = F.split(s, "")
-    n = F.length(s).cast("double")
 
-    def per_char(acc, ch):
-        cnt = F.size(F.filter(chars, lambda x: x == ch)).cast("double")
-        return acc + cnt * F.log2(cnt)
+    def from_chars(chars):
+        n = F.size(chars).cast("double")
 
-    summed = F.aggregate(F.array_distinct(chars), F.lit(0.0), per_char)
-    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(F.log2(n) - summed / n)
+        def per_char(acc, ch):
+            cnt = F.size(F.filter(chars, lambda x: x == ch)).cast("double")
+            return acc + cnt * F.log2(cnt)
+        summed = F.aggregate(F.array_distinct(chars), F.lit(0.0), per_char)
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - summed / n)
+    return bind(F.filter(F.split(F.coalesce(s, F.lit("")), ""), lambda c: c != ""), from_chars)
 
 
 # --------------------------------------------------------------- structural set

@@ -119,17 +119,22 @@ def histogram(long: DataFrame, groups, bins: int = 20, feature: str = "feature",
 
 
 def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair (name_a > name_b), one
-    aggregate; NULL when a column is constant."""
-    pairs = [(max(a, b), min(a, b)) for i, a in enumerate(cols) for b in cols[:i]]
-    def corr(a, b):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        d = F.stddev_pop(x) * F.stddev_pop(y)
-        return F.when(d == 0, F.lit(None).cast("double")).otherwise(F.covar_pop(x, y) / d)
-    agg = df.agg(*[corr(a, b).alias(f"{a}||{b}") for a, b in pairs])
-    rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}||{b}`").alias("corr"))
-                     for a, b in pairs])
-    return agg.select(F.explode(rows).alias("r")).select("r.*")
+    """Pearson correlation of every column pair (name_a > name_b); NULL when
+    a column is constant. The matrix comes from Spark ML's distributed
+    covariance (one tree aggregation); only the d x d result reaches the
+    driver."""
+    import math
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    v = VectorAssembler(inputCols=[f"`{c}`" if False else c for c in cols], outputCol="_v", handleInvalid="keep") \
+        .transform(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    m = Correlation.corr(v, "_v", "pearson").first()[0].toArray()  # d x d, bounded by the feature count
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols[:i]):
+            x = float(m[i, j])
+            rows.append((max(a, b), min(a, b), None if math.isnan(x) else x))
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
 def spearman(df: DataFrame, cols: list[str], key: str) -> DataFrame:

@@ -27,6 +27,7 @@ def grouped_cumsum(df: DataFrame, groups: list[str], order: str, cols: list[str]
     """Inclusive running sums of ``cols`` by ascending ``order`` inside
     ``groups`` (rows with equal keys share the value of the last of them)."""
     groups = list(groups)
+    df = df.persist()  # read three times below (boundaries, range totals, running sums)
     x = _ranges(df, groups, order, n_ranges)
     tot = x.groupBy(*groups, "_rng").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w = Window.partitionBy(*groups).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +68,7 @@ def exact_quantiles(df: DataFrame, groups, value: str, probs, out_prefix: str =
     condition against a small target table (groups x probabilities x 2).
     Returns one row per group with a column per probability."""
     groups = list(groups)
-    c = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    c = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")).persist()
     s = grouped_cumsum(c, groups, value, ["_c"])
     n = c.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     targets = None

@@ -36,14 +36,16 @@ HYBRID_TOKEN_RE = r"[\p{L}\p{N}_']+|[^\p{L}\p{N}_\s]"
 
 def word_ngrams(tokens, lo: int, hi: int) -> Column:
     """All n-grams (lo <= n <= hi) of a token array, n-major order."""
-    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    from pagelab.functions.url import bind
 
-    def grams(n):
-        k = F.size(t) - n + 1
-        return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k),
-                                          lambda i: F.array_join(F.slice(t, i, n), " "))
-                      ).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.array(*[grams(n) for n in range(lo, hi + 1)]))
+    def grams_of(t):
+        def grams(n):
+            k = F.size(t) - n + 1
+            return F.when(k >= 1, F.transform(F.sequence(F.lit(1), k),
+                                              lambda i: F.array_join(F.slice(t, i, n), " "))
+                          ).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.array(*[grams(n) for n in range(lo, hi + 1)]))
+    return bind(F.col(tokens) if isinstance(tokens, str) else tokens, grams_of)
 
 
 def char_wb_ngrams(text, lo: int = 1, hi: int = 4) -> Column:
@@ -65,13 +67,21 @@ def term_counts(docs: DataFrame, key: str, terms: str, groups=()) -> DataFrame:
     return x.groupBy(*groups, key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_fit(docs: DataFrame, key: str, terms: str, max_features: int, groups=()) -> DataFrame:
-    """Vocabulary (groups, term, idx, df, total, idf), one per group."""
+def tfidf_fit(docs: DataFrame, key: str, terms: str, max_features: int, groups=(), tf: DataFrame | None = None,
+              limits: dict | None = None) -> DataFrame:
+    """Vocabulary (groups, term, idx, df, total, idf), one per group;
+    ``limits`` maps a value of the single group column to its own size."""
     groups = list(groups)
-    tf = term_counts(docs, key, terms, groups)
+    tf = tf if tf is not None else term_counts(docs, key, terms, groups)
     stats = tf.groupBy(*groups, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     n_docs = docs.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    top = top_k_per_group(stats, groups, [F.desc("total"), F.col("term")], max_features, "term", out="_r").drop("_r")
+    top = top_k_per_group(stats, groups, [F.desc("total"), F.col("term")], max_features, "term", out="_r")
+    if limits:
+        lim = None
+        for gv, k in limits.items():
+            lim = F.when(F.col(groups[0]) == gv, F.lit(k)) if lim is None else lim.when(F.col(groups[0]) == gv, F.lit(k))
+        top = top.where(F.col("_r") <= lim.otherwise(F.lit(max_features)))
+    top = top.drop("_r")
     wa = Window.partitionBy(*groups).orderBy("term")  # at most max_features rows per group
     top = top.withColumn("idx", F.row_number().over(wa) - 1)
     top = top.join(F.broadcast(n_docs), groups, "inner") if groups else top.join(F.broadcast(n_docs), how="inner")
@@ -79,11 +89,11 @@ def tfidf_fit(docs: DataFrame, key: str, terms: str, max_features: int, groups=(
                       (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_transform(docs: DataFrame, key: str, terms: str, vocab: DataFrame, groups=()) -> DataFrame:
+def tfidf_transform(docs: DataFrame, key: str, terms: str, vocab: DataFrame, groups=(), tf: DataFrame | None = None) -> DataFrame:
     """Long TF-IDF (groups, key, term, idx, weight), L2-normalised per
     document; terms outside the vocabulary are ignored."""
     groups = list(groups)
-    tf = term_counts(docs, key, terms, groups)
+    tf = tf if tf is not None else term_counts(docs, key, terms, groups)
     v = F.broadcast(vocab.select(*groups, "term", "idx", "idf"))  # bounded by max_features
     x = tf.join(v, [*groups, "term"], "inner").withColumn("w", F.col("tf") * F.col("idf"))
     norm = x.groupBy(*groups, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
@@ -91,6 +101,14 @@ def tfidf_transform(docs: DataFrame, key: str, terms: str, vocab: DataFrame, gro
                                                (F.col("w") / F.col("_norm")).alias("weight"))
 
 
+def tfidf_fit_transform(docs: DataFrame, key: str, terms: str, max_features: int, groups=()):
+    """E2 + E3 on the same documents: the term counts are computed once and
+    kept (spilling to disk) for both passes. Returns (vocabulary, weights)."""
+    tf = term_counts(docs, key, terms, groups).persist()
+    vocab = tfidf_fit(docs, key, terms, max_features, groups, tf=tf)
+    return vocab, tfidf_transform(docs, key, terms, vocab, groups, tf=tf)
+
+
 def tfidf_dense(docs: DataFrame, key: str, long: DataFrame, size: int, groups=(), out: str = "vec") -> DataFrame:
     """Dense array<double>(size) per document (zeros for empty documents)."""
     groups = list(groups)

@@ -44,12 +44,25 @@ def tfidf_in_row(grams: Column, terms: list[str], idfs: list[float]) -> Column:
     """L2-normalised TF-IDF of one document over a literal vocabulary."""
     if not terms:
         return F.array().cast("array<double>")
+    from pagelab.functions.url import bind
     tv = F.array(*[F.lit(t) for t in terms])
     iv = F.array(*[F.lit(float(i)) for i in idfs])
-    tf = F.transform(tv, lambda t: F.size(F.filter(grams, lambda g: g == t)).cast("double"))
-    w = F.zip_with(tf, iv, lambda a, b: a * b)
-    norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(w, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+
+    def weights(gr):
+        tf = F.transform(tv, lambda t: F.size(F.filter(gr, lambda g: g == t)).cast("double"))
+        return F.zip_with(tf, iv, lambda a, b: a * b)
+
+    def normalise(w):
+        norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * x))
+        return F.transform(w, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    return bind(bind(grams, weights), normalise)
+
+
+def base_and_grams(df: DataFrame, key: str) -> DataFrame:
+    """One narrow pass: the 28 base columns and the five term lists per page."""
+    x = df.select(key, "url", "html", F.col("html").alias("_h"))
+    b = structural_base(x, keep=(key, "_h")).withColumnRenamed("_h", "html")
+    return _grams(b, key, keep=BASE_28)
 
 
 class StructuralModel:
@@ -62,16 +75,16 @@ class StructuralModel:
             names += [prefix + t for t, _ in self.vocabs[col]]
         return names
 
-    def raw(self, df: DataFrame) -> DataFrame:
-        k = self.key
-        # one narrow pass: base columns, then term lists, then the vector
-        x = df.select(k, "url", "html", F.col("html").alias("_h"))
-        b = structural_base(x, keep=(k, "_h")).withColumnRenamed("_h", "html")
+    def vector(self, g: DataFrame) -> DataFrame:
+        """Raw 163-column array from a frame holding the 28 base columns and
+        the five term lists (see :func:`_grams`)."""
         clipped = [F.least(F.col(c), F.lit(float(u))) for c, u in zip(BASE_28, self.bounds)]
-        g = _grams(b, k, keep=BASE_28)
         blocks = [tfidf_in_row(F.col(col), [t for t, _ in self.vocabs[col]], [i for _, i in self.vocabs[col]])
                   for col, _, _ in BLOCKS]
-        return g.select(k, F.concat(F.array(*clipped), *blocks).alias("raw"))
+        return g.select(self.key, F.concat(F.array(*clipped), *blocks).alias("raw"))
+
+    def raw(self, df: DataFrame) -> DataFrame:
+        return self.vector(base_and_grams(df, self.key))
 
     def transform(self, df: DataFrame) -> DataFrame:
         r = self.raw(df)
@@ -101,19 +114,23 @@ class StructuralFeaturizer:
 
     def fit(self, pages: DataFrame) -> StructuralModel:
         k = self.key
-        b = structural_base(pages, keep=(k,))
-        ub = SC.clip_fit(b, BASE_28, self.clip_q).first()  # one row of 28 bounds
+        g = base_and_grams(pages, k).persist()  # the one heavy pass, read by every step below
+        ub = SC.clip_fit(g, BASE_28, self.clip_q).first()  # one row of 28 bounds
         bounds = [float(ub[f"{c}__ub"]) for c in BASE_28]
-        g = _grams(pages, k)
-        vocabs = {}
-        for col, _, size in BLOCKS:
-            v = T.tfidf_fit(g.select(k, col), k, col, size).orderBy("idx").collect()  # <= size rows
-            vocabs[col] = [(r["term"], float(r["idf"])) for r in v]
+        # the five vocabularies in ONE grouped job (block = group)
+        blocks = F.array(*[F.struct(F.lit(col).alias("block"), F.col(col).alias("g")) for col, _, _ in BLOCKS])
+        d = g.select(k, F.explode(blocks).alias("s")).select("s.block", k, "s.g")
+        limits = {col: size for col, _, size in BLOCKS}
+        v = T.tfidf_fit(d, k, "g", max(limits.values()), groups=["block"], limits=limits).collect()  # <= 135 rows
+        vocabs = {col: [(r["term"], float(r["idf"])) for r in sorted((r for r in v if r["block"] == col),
+                                                                      key=lambda r: r["idx"])]
+                  for col, _, _ in BLOCKS}
         model = StructuralModel(bounds, vocabs, key=k)
-        raw = model.raw(pages)
+        raw = model.vector(g)
         n = len(model.feature_names())
         st = raw.agg(*[F.avg(F.col("raw")[i]).alias(f"m{i}") for i in range(n)],
                      *[F.stddev_pop(F.col("raw")[i]).alias(f"s{i}") for i in range(n)]).first()
         model.mean = [float(st[f"m{i}"] or 0.0) for i in range(n)]
         model.sd = [float(st[f"s{i}"]) if st[f"s{i}"] and not math.isclose(st[f"s{i}"], 0.0) else 1.0 for i in range(n)]
+        g.unpersist()
         return model

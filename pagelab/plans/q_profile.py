@@ -31,7 +31,9 @@ RADAR = {
 
 
 def base(spark, sf):
-    return structural_base(catalog.pages(spark, sf), keep=("page_id", "label", "era"))
+    """The 28 base columns per page, kept in memory (spilling to disk) because
+    the profile operators read them in several branches."""
+    return structural_base(catalog.pages(spark, sf), keep=("page_id", "label", "era")).persist()
 
 
 def r6(x: str) -> str:

@@ -76,17 +76,15 @@ def q_tfidf_fit(spark, sf):
 @register("tfidf_transform", sql=tfidf_sql(f"docs AS (SELECT page_id, {WORDS} AS g FROM pages)", 100))
 def q_tfidf_tr(spark, sf):
     """L2-normalised TF-IDF weights of page words (long form)."""
-    d = _word_docs(spark, sf)
-    return T.tfidf_transform(d, "page_id", "g", T.tfidf_fit(d, "page_id", "g", 100)).select(
-        "page_id", "term", "idx", "weight")
+    _, w = T.tfidf_fit_transform(_word_docs(spark, sf), "page_id", "g", 100)
+    return w.select("page_id", "term", "idx", "weight")
 
 
 @register("tag_tfidf_50", sql=tfidf_sql(f"docs AS (SELECT page_id, {ngrams_sql(TAGS, 2, 3)} AS g FROM pages)", 50))
 def q_tag_tfidf(spark, sf):
     """Tag-sequence 2/3-gram TF-IDF, 50 terms."""
-    d = _tag_grams(spark, sf)
-    return T.tfidf_transform(d, "page_id", "g", T.tfidf_fit(d, "page_id", "g", 50)).select(
-        "page_id", "term", "idx", "weight")
+    _, w = T.tfidf_fit_transform(_tag_grams(spark, sf), "page_id", "g", 50)
+    return w.select("page_id", "term", "idx", "weight")
 
 
 def _xpath_grams(spark, sf):
@@ -100,9 +98,8 @@ def q_xpath_tfidf(spark, sf):
     """E5: XPath-sequence 2/3-gram TF-IDF, 25 terms."""
     p = dom.with_paths(P.table(spark, sf, "pages").select("page_id", "html"))
     toks = F.expr(DF.xpath_below_root_sql("paths"))
-    d = p.select("page_id", T.word_ngrams(toks, 2, 3).alias("g"))
-    return T.tfidf_transform(d, "page_id", "g", T.tfidf_fit(d, "page_id", "g", 25)).select(
-        "page_id", "term", "idx", "weight")
+    _, w = T.tfidf_fit_transform(p.select("page_id", T.word_ngrams(toks, 2, 3).alias("g")), "page_id", "g", 25)
+    return w.select("page_id", "term", "idx", "weight")
 
 
 _ZONES = f"""docs AS (SELECT zone, page_id, {ngrams_sql('z', 1, 2)} AS g FROM (
@@ -121,8 +118,8 @@ def q_zone_tfidf(spark, sf):
         F.struct(F.lit(1).alias("zone"), z1.alias("z")), F.struct(F.lit(2).alias("zone"), z2.alias("z")),
         F.struct(F.lit(3).alias("zone"), z3.alias("z")))).alias("s"))
     d = zs.select("s.zone", "page_id", T.word_ngrams(F.col("s.z"), 1, 2).alias("g"))
-    v = T.tfidf_fit(d, "page_id", "g", 20, groups=["zone"])
-    return T.tfidf_transform(d, "page_id", "g", v, groups=["zone"]).select("zone", "page_id", "term", "idx", "weight")
+    _, w = T.tfidf_fit_transform(d, "page_id", "g", 20, groups=["zone"])
+    return w.select("zone", "page_id", "term", "idx", "weight")
 
 
 def _tll_sql():
