@@ -46,16 +46,21 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 
 # ------------------------------------------------------------------ registry
+# execution settings only (no effect on the model definition): cache node ids
+# for deep trees and let each pass split more nodes
+TREE_EXEC = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
+
+
 def _rf(**kw):
-    return RandomForestClassifier(seed=42, **{**RF_STRUCTURAL, **kw})
+    return RandomForestClassifier(seed=42, **{**TREE_EXEC, **RF_STRUCTURAL, **kw})
 
 
 def _gbt(**kw):
-    return GBTClassifier(seed=42, **{**GBT_STRUCTURAL, **kw})
+    return GBTClassifier(seed=42, **{**TREE_EXEC, **GBT_STRUCTURAL, **kw})
 
 
 def _gbt_reg(**kw):
-    return GBTClassifier(seed=42, **{**GBT_REGULARISED, **kw})
+    return GBTClassifier(seed=42, **{**TREE_EXEC, **GBT_REGULARISED, **kw})
 
 
 def _lr(**kw):
