@@ -61,8 +61,8 @@ def mean_shift_filter(long: DataFrame, era: str, a: str, b: str, min_abs_pct: fl
 
 def top_bottom(scores: DataFrame, col: str, k: int, feature: str = "feature") -> DataFrame:
     """K smallest ('stable') and k largest ('drifted') by ``col``."""
-    w1 = Window.orderBy(col, feature)  # one row per feature: tiny
-    w2 = Window.orderBy(F.desc(col), feature)
+    w1 = Window.orderBy(F.round(col, 9), feature)  # one row per feature: tiny
+    w2 = Window.orderBy(F.desc(F.round(col, 9)), feature)
     r = scores.select(feature, col, F.row_number().over(w1).alias("_a"), F.row_number().over(w2).alias("_b"))
     return (r.where(F.col("_a") <= k).select(F.lit("stable").alias("side"), feature, col, F.col("_a").alias("rank"))
             .unionByName(r.where(F.col("_b") <= k).select(F.lit("drifted").alias("side"), feature, col, F.col("_b").alias("rank"))))
@@ -166,7 +166,7 @@ def standardised_gap(long: DataFrame, label: str = "label", feature: str = "feat
     x = long.join(F.broadcast(s), feature)  # one row per feature
     z = F.when((F.col("_sd") == 0) | F.col("_sd").isNull(), F.lit(0.0)).otherwise((F.col(value) - F.col("_mu")) / F.col("_sd"))
     g = x.groupBy(feature).agg((F.avg(F.when(F.col(label) == 1, z)) - F.avg(F.when(F.col(label) == 0, z))).alias("gap"))
-    w = Window.orderBy(F.desc(F.abs("gap")), feature)  # one row per feature: tiny
+    w = Window.orderBy(F.desc(F.round(F.abs("gap"), 9)), feature)  # one row per feature: tiny
     return g.withColumn("rank", F.row_number().over(w))
 
 

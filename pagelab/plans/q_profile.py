@@ -151,7 +151,7 @@ c AS (SELECT feature, value, count(*) FILTER (WHERE era = 'old') AS o, count(*)
 e AS (SELECT feature, sum(o) OVER (PARTITION BY feature ORDER BY value) / n_old AS fo,
   sum(w) OVER (PARTITION BY feature ORDER BY value) / n_new AS fw FROM c, n),
 k AS (SELECT feature, max(abs(fo - fw)) AS ks FROM e GROUP BY feature),
-r AS (SELECT *, row_number() OVER (ORDER BY ks, feature) AS r_stable, row_number() OVER (ORDER BY ks DESC, feature) AS r_drift FROM k)
+r AS (SELECT *, row_number() OVER (ORDER BY round(ks, 9), feature) AS r_stable, row_number() OVER (ORDER BY round(ks, 9) DESC, feature) AS r_drift FROM k)
 SELECT 'stable' AS side, feature, {r6('ks')} AS ks, r_stable::BIGINT AS rank FROM r WHERE r_stable <= 15
 UNION ALL SELECT 'drifted', feature, {r6('ks')}, r_drift::BIGINT FROM r WHERE r_drift <= 15""")
 def q_topbottom(spark, sf):
@@ -294,7 +294,7 @@ def q_radar(spark, sf):
 s AS (SELECT feature, avg(value) AS mu, stddev_samp(value) AS sd FROM lg GROUP BY feature),
 g AS (SELECT feature, avg(CASE WHEN sd = 0 OR sd IS NULL THEN 0 ELSE (value - mu) / sd END) FILTER (WHERE label = 1)
    - avg(CASE WHEN sd = 0 OR sd IS NULL THEN 0 ELSE (value - mu) / sd END) FILTER (WHERE label = 0) AS gap FROM lg JOIN s USING (feature) GROUP BY feature)
-SELECT feature, {r6('gap')} AS gap, row_number() OVER (ORDER BY abs(gap) DESC, feature)::BIGINT AS rank FROM g""")
+SELECT feature, {r6('gap')} AS gap, row_number() OVER (ORDER BY round(abs(gap), 9) DESC, feature)::BIGINT AS rank FROM g""")
 def q_gap(spark, sf):
     """Class-mean gap after z-scoring with the sample sigma, ranked."""
     return DR.standardised_gap(SC.melt(base(spark, sf), ["label"], BASE_28))
