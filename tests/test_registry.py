@@ -40,3 +40,20 @@ def test_shapley_additivity(spark, sf001):
     f = m.transform(b).select("page_id", M.prob1().alias("f"))
     for r in tot.join(f, "page_id").collect():
         assert abs(r.c - (r.f - r.b)) < 1e-9
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_url_queries_prune_html(spark, sf001):
+    """Column pruning reaches the parquet scan: URL features never read html."""
+    p = _plan(E.queries()["url_structural_features"](spark, sf001))
+    assert "ReadSchema: struct<page_id:bigint,url:string>" in p or "page_id:bigint,url:string>" in p
+    assert "html" not in p.split("ReadSchema")[1].split(">")[0]
+
+
+def test_per_page_features_are_narrow(spark, sf001):
+    """DOM/pattern features add no shuffle beyond the input spread."""
+    p = _plan(E.queries()["dom_tree_features"](spark, sf001))
+    assert p.count("Exchange") <= 1
