@@ -114,13 +114,17 @@ class FusionStack:
         self.meta = meta or (lambda: _lr() if mode == "late" else GBTClassifier(seed=42, **GBT_META))
 
     def _experts_fit(self, df):
+        """URL and HTML experts, fitted as two concurrent Spark jobs."""
+        from concurrent.futures import ThreadPoolExecutor
         u = _slice(df, range(URL_EXPERT_COLS), "f_url")
         h = _slice(df, range(URL_EXPERT_COLS, self.n), "f_html")
-        mu = self.expert().setFeaturesCol("f_url").setLabelCol(self.label).setProbabilityCol("p_u") \
-            .setPredictionCol("y_u").setRawPredictionCol("r_u").fit(u)
-        mh = self.expert().setFeaturesCol("f_html").setLabelCol(self.label).setProbabilityCol("p_h") \
-            .setPredictionCol("y_h").setRawPredictionCol("r_h").fit(h)
-        return mu, mh
+        eu = self.expert().setFeaturesCol("f_url").setLabelCol(self.label).setProbabilityCol("p_u") \
+            .setPredictionCol("y_u").setRawPredictionCol("r_u")
+        eh = self.expert().setFeaturesCol("f_html").setLabelCol(self.label).setProbabilityCol("p_h") \
+            .setPredictionCol("y_h").setRawPredictionCol("r_h")
+        with ThreadPoolExecutor(max_workers=2) as ex:
+            fu, fh = ex.submit(eu.fit, u), ex.submit(eh.fit, h)
+            return fu.result(), fh.result()
 
     def _experts_apply(self, df, mu, mh):
         x = _slice(_slice(df, range(URL_EXPERT_COLS), "f_url"), range(URL_EXPERT_COLS, self.n), "f_html")
@@ -136,16 +140,24 @@ class FusionStack:
             x = x.withColumnRenamed("_pp", "meta_features")
         return x
 
-    def out_of_fold(self, df: DataFrame) -> DataFrame:
-        """Expert probabilities for every row from models that did not see it."""
+    def out_of_fold(self, df: DataFrame, parallelism: int | None = None) -> DataFrame:
+        """Expert probabilities for every row from models that did not see it.
+
+        The folds are independent fits, submitted as concurrent Spark jobs
+        from a small thread pool (``parallelism`` folds at a time)."""
+        from concurrent.futures import ThreadPoolExecutor
         # fold assignment is reused by every fold's filters: materialise it once
         f = stratified_kfold(df, self.folds, self.label, key=self.key).persist()
-        parts = None
-        for k in range(self.folds):
+
+        def one(k):
             mu, mh = self._experts_fit(f.where(F.col("fold") != k))
-            p = self._experts_apply(f.where(F.col("fold") == k), mu, mh)
-            parts = p if parts is None else parts.unionByName(p)
-        return parts
+            return self._experts_apply(f.where(F.col("fold") == k), mu, mh)
+        with ThreadPoolExecutor(max_workers=parallelism or self.folds) as ex:
+            parts = list(ex.map(one, range(self.folds)))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def fit(self, df: DataFrame) -> "FusionStack":
         oof = self.out_of_fold(df).persist()
