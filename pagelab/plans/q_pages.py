@@ -201,22 +201,23 @@ def q_feed_fallback(spark, sf):
 
 def dirty_pages(spark, sf):
     """Pages plus derived dirty copies (duplicate URLs, NULL HTML, error
-    pages, truncated pages) for the cleaning operators."""
+    pages, truncated pages) for the cleaning operators. One scan: every page
+    emits its variants from an in-row array that is exploded."""
     p = P.table(spark, sf, "pages")
     cat = catalog.category_of("page_id")
-    base = p.select("page_id", "url", "html", cat.alias("category"))
-    dup = p.where(F.col("url").endswith("/")).select((F.col("page_id") + 1000000000).alias("page_id"), "url", "html", cat.alias("category"))
-    nul = p.where(F.col("url").contains("#top")).select((F.col("page_id") + 2000000000).alias("page_id"),
-                                                       F.concat("url", F.lit("?v=null")).alias("url"),
-                                                       F.lit(None).cast("string").alias("html"), cat.alias("category"))
-    err = p.where(F.col("url").contains("utm_source=feed")).select(
-        (F.col("page_id") + 3000000000).alias("page_id"), F.concat("url", F.lit("&err=1")).alias("url"),
-        F.concat(F.lit("<html><body><h1>404 Not Found</h1>"), F.repeat(F.lit("."), 300), F.lit("</body></html>")).alias("html"),
-        cat.alias("category"))
-    short = p.where(F.col("url").endswith(".html")).select((F.col("page_id") + 4000000000).alias("page_id"),
-                                                          F.concat("url", F.lit("?short")).alias("url"),
-                                                          F.substring("html", 1, 120).alias("html"), cat.alias("category"))
-    return base.unionByName(dup).unionByName(nul).unionByName(err).unionByName(short)
+    pid, url, html = F.col("page_id"), F.col("url"), F.col("html")
+    err_html = F.concat(F.lit("<html><body><h1>404 Not Found</h1>"), F.repeat(F.lit("."), 300), F.lit("</body></html>"))
+
+    def variant(keep, off, u, h):
+        return F.struct(keep.alias("keep"), (pid + off).alias("page_id"), u.alias("url"), h.cast("string").alias("html"))
+    variants = F.array(
+        variant(F.lit(True), 0, url, html),
+        variant(url.endswith("/"), 1000000000, url, html),
+        variant(url.contains("#top"), 2000000000, F.concat(url, F.lit("?v=null")), F.lit(None)),
+        variant(url.contains("utm_source=feed"), 3000000000, F.concat(url, F.lit("&err=1")), err_html),
+        variant(url.endswith(".html"), 4000000000, F.concat(url, F.lit("?short")), F.substring(html, 1, 120)))
+    v = p.select(cat.alias("category"), F.explode(F.filter(variants, lambda x: x["keep"])).alias("v"))
+    return v.select("v.page_id", "v.url", "v.html", "category")
 
 
 @register("page_validity_filter", sql=f"""WITH {DIRTY}

@@ -22,9 +22,15 @@ HTML_ALIASES = ["html", "HTML", "html_content", "Data"]
 CLASS_ALIASES = ["category", "Category", "Label", "label", "Class"]
 
 
+# tables whose rows carry whole pages / texts: per-row CPU work is heavy
+TEXT_TABLES = {"pages", "documents", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given parquet tables (see :func:`spread`)."""
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    """One of the given parquet tables; text-heavy tables are spread over at
+    least one task per core (see :func:`spread`)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
