@@ -417,3 +417,17 @@ def q_fp(spark, sf):
     from pagelab.plans.q_eval import model_scores
     ms = model_scores(spark, sf)
     return ms.where("model = 'html_logit' AND label = 0 AND prediction = 1").select("page_id", "prob")
+
+
+@register("domain_shift_overlap")
+def q_shift_overlap(spark, sf):
+    """I5 (full form): pooled z-scoring of the 28 base columns, PCA to two
+    components, then the 2-D KDE overlap of the eras on those components."""
+    from pyspark.ml.feature import StandardScaler
+    from pagelab.operators import drift as DR
+    x = feats(spark, sf)
+    z = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(x).transform(x)
+    p = PCA(k=2, inputCol="z", outputCol="pc").fit(z).transform(z)
+    a = vector_to_array("pc")
+    pcs = p.select("era", a[0].alias("pc1"), a[1].alias("pc2"))
+    return DR.bhattacharyya_overlap(pcs, "era", "old", "new", "pc1", "pc2", 100)
