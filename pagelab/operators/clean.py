@@ -49,16 +49,19 @@ def clean_pages(df: DataFrame, url: str = "url", html: str = "html", id_col: str
 def clean_funnel(df: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id",
                  min_len: int = 150) -> DataFrame:
     """Rows left after each cleaning step, and rows removed in total."""
-    nonnull = df.dropna(subset=df.columns)
-    firsts = keep_first(nonnull, url, [id_col])
+    all_set = None
+    for c in df.columns:
+        all_set = F.col(c).isNotNull() if all_set is None else all_set & F.col(c).isNotNull()
+    firsts = keep_first(df.where(all_set), url, [id_col])
     long_ = F.length(F.col(html)) > min_len
     err = error_page_flag(F.col(html))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
+    # two one-row aggregates: one over the input, one over the first row per URL
+    before = df.agg(F.count(F.lit(1)).alias("n"), F.sum(all_set.cast("long")).alias("nonnull"))
     after = firsts.agg(F.count(F.lit(1)).alias("dedup"),
                        F.sum(long_.cast("int")).alias("short"),
                        F.sum((long_ & ~err).cast("int")).alias("errors"))
-    nn = nonnull.agg(F.count(F.lit(1)).alias("nonnull"))
-    one = total.join(nn, how="inner").join(after, how="inner")  # three one-row aggregates
+    one = before.join(after, how="inner")  # one row x one row
+
     def step(no, name, col):
         return F.struct(F.lit(no).alias("step_no"), F.lit(name).alias("step"),
                         F.coalesce(col, F.lit(0)).cast("long").alias("rows"))
