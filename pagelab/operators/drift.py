@@ -181,13 +181,30 @@ def era_shift_quantile_view(df: DataFrame, era: str, cols: list[str], q: float =
                                                F.col("q_2").alias("q3"), "n")
 
 
-def kde_curve(long: DataFrame, groups, points: int = 100, feature: str = "feature", value: str = "value") -> DataFrame:
+MAX_KDE_POINTS = 100_000   # distinct points evaluated exactly; beyond this, binned KDE
+KDE_SNAP_BINS = 4096       # lattice used when binning (1-D); 512 x 512 in 2-D
+
+
+def _snap(col, lo, hi, bins):
+    """Centre of the lattice cell holding ``col`` (bins equal cells on [lo, hi])."""
+    w = (hi - lo) / bins
+    i = F.least(F.floor((col - lo) / F.when(w == 0, F.lit(1.0)).otherwise(w)), F.lit(bins - 1))
+    return F.when(w == 0, col).otherwise(lo + (i + 0.5) * w)
+
+
+def kde_curve(long: DataFrame, groups, points: int = 100, feature: str = "feature", value: str = "value",
+              max_points: int = MAX_KDE_POINTS) -> DataFrame:
     """Gaussian KDE per (groups, feature) on an even grid over the
     feature's range, normalised per group (Scott factor n^(-1/5) times the
     sample sigma). Rows are first reduced to distinct values with counts, so
     the grid work is points x distinct values, not points x rows."""
     groups = list(groups)
     d = long.groupBy(*groups, feature, value).agg(F.count(F.lit(1)).alias("_c"))
+    if d.count() > max_points:  # one scalar: switch to binned KDE beyond the bound
+        r = long.groupBy(feature).agg(F.min(value).alias("_l"), F.max(value).alias("_u"))
+        snapped = long.join(F.broadcast(r), feature).withColumn(
+            value, _snap(F.col(value), F.col("_l"), F.col("_u"), KDE_SNAP_BINS)).drop("_l", "_u")
+        d = snapped.groupBy(*groups, feature, value).agg(F.count(F.lit(1)).alias("_c"))
     st = long.groupBy(*groups, feature).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"))
     st = st.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)).where(F.col("_h") > 0)
     rg = long.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
@@ -200,7 +217,8 @@ def kde_curve(long: DataFrame, groups, points: int = 100, feature: str = "featur
                       (F.col("_s") / (F.col("_n") * F.col("_h") * (2 * 3.141592653589793) ** 0.5)).alias("density"))
 
 
-def bhattacharyya_overlap(df: DataFrame, era: str, a: str, b: str, xcol: str, ycol: str, grid: int = 100) -> DataFrame:
+def bhattacharyya_overlap(df: DataFrame, era: str, a: str, b: str, xcol: str, ycol: str, grid: int = 100,
+                          max_points: int = MAX_KDE_POINTS, snap: int = 512) -> DataFrame:
     """Overlap sum_g sqrt(p(g) q(g)) of the two eras' 2-D Gaussian KDEs
     (Scott factor n^(-1/6), sample covariance) on a grid x grid lattice over
     the pooled range padded by 1, each density normalised over the grid.
@@ -218,6 +236,11 @@ def bhattacharyya_overlap(df: DataFrame, era: str, a: str, b: str, xcol: str, yc
     st = st.select(era, (F.col("sy") / det).alias("ixx"), (F.col("sx") / det).alias("iyy"), (-F.col("sxy") / det).alias("ixy"))
     rg = x.agg((F.min("x") - 1).alias("x0"), (F.max("x") + 1).alias("x1"), (F.min("y") - 1).alias("y0"), (F.max("y") + 1).alias("y1"))
     pts = x.groupBy(era, "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    if pts.count() > max_points:  # one scalar: binned KDE beyond the bound (snap x snap lattice)
+        xs = x.join(F.broadcast(rg), how="inner")  # one-row side
+        xs = xs.select(era, _snap(F.col("x"), F.col("x0") + 1, F.col("x1") - 1, snap).alias("x"),
+                       _snap(F.col("y"), F.col("y0") + 1, F.col("y1") - 1, snap).alias("y"))
+        pts = xs.groupBy(era, "x", "y").agg(F.count(F.lit(1)).alias("c"))
     j = pts.join(F.broadcast(st), era).join(F.broadcast(rg), how="inner")  # two-row and one-row sides
     j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("k"))
     gx = F.col("x0") + F.floor(F.col("k") / grid) * (F.col("x1") - F.col("x0")) / (grid - 1)
