@@ -36,7 +36,8 @@ def anti_join_existing(candidates: DataFrame, existing: DataFrame, key: str = "u
     anti join by the measured size of ``existing``; ``orderBy().limit()``
     plans as a top-k (TakeOrderedAndProject), not a full sort.
     """
-    out = candidates.join(existing.select(key).distinct(), key, "left_anti")
+    # an anti join needs no unique keys on the existing side: no extra distinct
+    out = candidates.join(existing.select(key), key, "left_anti")
     return out.orderBy(order).limit(limit) if limit else out
 
 
@@ -55,7 +56,7 @@ def feed_text_lines(lines: DataFrame, existing: DataFrame | None = None, col: st
     """A10: trim, drop empty lines, drop lines already known."""
     out = lines.withColumn(col, F.trim(F.col(col))).where(F.col(col) != "")
     if existing is not None:
-        known = existing.select(F.trim(F.col(existing_col)).alias(col)).distinct()
+        known = existing.select(F.trim(F.col(existing_col)).alias(col))
         out = out.join(known, col, "left_anti")
     return out
 

@@ -28,7 +28,7 @@ def ingest_dedup(stream: DataFrame, known: DataFrame, url: str = "url", html: st
     s = stream.where(F.length(strip_ws(F.col(html))) > min_len) \
         .withColumn(html, F.regexp_replace(F.col(html), CONTROL_CHARS_RE, "")) \
         .withColumn("ingest_ts", F.current_timestamp())
-    s = s.join(known.select(url).distinct(), url, "left_anti")
+    s = s.join(known.select(url), url, "left_anti")
     return s.withWatermark("ingest_ts", watermark).dropDuplicatesWithinWatermark([url])
 
 
