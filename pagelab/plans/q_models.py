@@ -270,22 +270,29 @@ def q_cross(spark, sf):
 
 
 def _curve(spark, sf, mixed: bool):
+    """Accuracy per (N, seed) training set; the independent fits run as
+    concurrent Spark jobs from a small thread pool."""
+    from concurrent.futures import ThreadPoolExecutor
     x = feats(spark, sf)
     new = x.where("era = 'new'")
     old = x.where("era = 'old'")
-    rows = []
-    for n in (10, 20, 50):
-        for seed in (1, 2):
-            tr = SA.balanced_sample(new, n // 2, seed=seed)
-            if mixed:
-                tr = tr.unionByName(SA.sample_n(old, 60, seed))
-            te = new.join(tr.select("page_id"), "page_id", "left_anti")
-            try:
-                m = M.create_model("structural_rf", numTrees=30).setLabelCol("label").fit(tr)
-                acc = metrics_row(m.transform(te).withColumn("p1", M.prob1()), "rf").first()["accuracy"]
-            except Exception:  # noqa: BLE001  failed runs are skipped by the mean
-                acc = None
-            rows.append((n, seed, "rf_mixed" if mixed else "rf_scratch", acc))
+
+    def run(n_seed):
+        n, seed = n_seed
+        tr = SA.balanced_sample(new, n // 2, seed=seed)
+        if mixed:
+            tr = tr.unionByName(SA.sample_n(old, 60, seed))
+        te = new.join(tr.select("page_id"), "page_id", "left_anti")
+        try:
+            m = M.create_model("structural_rf", numTrees=30).setLabelCol("label").fit(tr)
+            acc = metrics_row(m.transform(te).withColumn("p1", M.prob1()), "rf").first()["accuracy"]
+        except Exception:  # noqa: BLE001  failed runs are skipped by the mean
+            acc = None
+        return (n, seed, "rf_mixed" if mixed else "rf_scratch", acc)
+
+    grid = [(n, seed) for n in (10, 20, 50) for seed in (1, 2)]
+    with ThreadPoolExecutor(max_workers=3) as ex:
+        rows = list(ex.map(run, grid))
     long = spark.createDataFrame(rows, "n_samples int, seed int, method string, accuracy double")
     return long.groupBy("n_samples").pivot("method").agg(F.avg("accuracy"))
 
