@@ -209,13 +209,18 @@ def q_persist(spark, sf):
 @register("cv_metrics")
 def q_cv(spark, sf):
     """5-fold metrics; numeric metrics averaged, confusion from fold 1."""
-    f = SA.stratified_kfold(feats(spark, sf), 5)
-    rows = None
-    for k in range(5):
+    from concurrent.futures import ThreadPoolExecutor
+    f = SA.stratified_kfold(feats(spark, sf), 5).persist()
+
+    def fold(k):  # independent fits, submitted as concurrent Spark jobs
         m = M.create_model("structural_rf", numTrees=50).setLabelCol("label").fit(f.where(F.col("fold") != k))
-        r = metrics_row(m.transform(f.where(F.col("fold") == k)).withColumn("p1", M.prob1()), "structural_rf") \
+        return metrics_row(m.transform(f.where(F.col("fold") == k)).withColumn("p1", M.prob1()), "structural_rf") \
             .withColumn("fold", F.lit(k))
-        rows = r if rows is None else rows.unionByName(r)
+    with ThreadPoolExecutor(max_workers=5) as ex:
+        parts = list(ex.map(fold, range(5)))
+    rows = parts[0]
+    for r in parts[1:]:
+        rows = rows.unionByName(r)
     return rows.groupBy("model").agg(*[F.avg(c).alias(c) for c in ["accuracy", "f1_weighted", "roc_auc"]],
                                      F.count(F.lit(1)).alias("folds"))
 
