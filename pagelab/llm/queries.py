@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelab.llm import quality, simhash
+from pagelab.llm import decontaminate, mix, quality, simhash
 from pagelab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,40 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_decontamination", """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+g AS (
+  SELECT item_id, w[p:p + least(len(w), 10) - 1] AS gram
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0)),
+m AS (
+  SELECT r, w, item_id, gram FROM d JOIN g
+  ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(gram, ' ') || ' ')),
+h AS (
+  SELECT DISTINCT r, unnest(range(p, p + l)) AS x FROM (
+    SELECT r, len(gram) AS l, unnest(list_filter(range(1, len(w) - len(gram) + 2),
+      lambda p: w[p:p + len(gram) - 1] = gram)) AS p FROM m)),
+i AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids
+      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM h GROUP BY r)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 10 normalised words of every benchmark item against all documents."""
+    out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, fingerprints within 4 bits link."""
@@ -31,6 +65,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"), "class_size")
 
 
+@query("op7_mix_sources")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 5, 2, 1 in turn and share 150 % of all words, at most two passes each."""
+    out = mix.plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2)
+    return out.select("doc_id", "source", "size", "source_size", "target",
+                      (F.col("size") * F.size("copies")).alias("taken"), "copies")
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and the verdict of the learned decision list."""
