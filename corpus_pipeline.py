@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelab.llm import quality, simhash
+from pagelab.llm import decontaminate, mix, quality, simhash
 from pagelab.llm.common import shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,9 +24,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs, width=4, max_bits=4)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of 10 words of a benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10, remove="documents")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: sources weigh 5, 2, 1 in turn and share 150 % of the words,
+    at most two passes. One row per document and pass, with its output shard and
+    its place in the shard (``order_key``)."""
+    return mix.mix(docs, weights=(5, 2, 1), share=1.5, max_epochs=2)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mix_sources", mix_sources),
 ]
 
 #: The classes, windows and learned rules are not expressible in SQL; the tests

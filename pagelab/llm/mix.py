@@ -133,6 +133,11 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return node.select(F.col("node").alias("shard"), F.explode("q").alias("e")).select("e.idx", "shard", "e.n")
 
 
+def _count_upto(ends: Column, pos: Column) -> Column:
+    """Number of shards whose range ends at or before ``pos``."""
+    return F.size(F.filter(ends, lambda x: x <= pos))
+
+
 def plan(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
          max_epochs: int = 2, block_words: int = 8192, shards: int = 16, seed: int = 7,
          rows_per_range: int = 20_000, max_broadcast: int = 100_000) -> DataFrame:
@@ -183,7 +188,7 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float
                              (F.pmod(F.xxhash64(F.lit(seed), F.lit(e), F.col("idx")), F.lit(len(PRIMES))) + 1).cast("int"))
         shift = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(e), F.col("idx")), F.greatest(span, F.lit(1)))
         pos = F.lit(e) * F.col("blocks") + F.pmod(block * prime + shift, F.greatest(span, F.lit(1)))
-        shard = F.size(F.filter("ends", lambda x, pos=pos: x <= pos))
+        shard = _count_upto(F.col("ends"), pos)
         taken = whole | ((F.lit(e) == F.col("full")) & in_part)
         # a last block may begin past the words of an all-empty tail: it stays inside the pass
         copies.append(F.when(taken, F.struct(F.lit(e).alias("epoch"), F.least(shard, F.lit(shards - 1)).alias("shard"))))
