@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelab.llm import decontaminate, mix, quality, simhash
+from pagelab.llm import decontaminate, maintext, mix, quality, simhash, urls
 from pagelab.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,50 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("size") * F.size("copies")).alias("taken"), "copies")
 
 
+#: (host, path, action) of the registered URL filter.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op8_url_filter", """
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest,
+    CASE WHEN instr(url, '://') > 0 THEN split_part(url, '#', 1) END AS node FROM pages),
+r(host, path, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+s AS (
+  SELECT row_number() OVER () AS k, page_id, node, html,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+f AS (
+  SELECT s.*, (SELECT max_by(r.host || r.path || ' ' || r.action, length(r.host || r.path)) FROM r
+     WHERE ('.' || s.host) LIKE ('%.' || r.host) AND starts_with(s.path, r.path)) AS best FROM s),
+e AS (
+  SELECT node AS a, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"#]*)', 1) AS b FROM f
+  WHERE html LIKE '%rel="canonical"%'),
+reach(a, b) AS (
+  SELECT node, node FROM f WHERE node IS NOT NULL AND node IN (SELECT a FROM e UNION SELECT b FROM e)
+  UNION SELECT reach.a, x.b FROM reach JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) x ON x.a = reach.b),
+bad AS (SELECT DISTINCT reach.a FROM reach JOIN f ON f.node = reach.b WHERE split_part(best, ' ', 2) = 'block')
+SELECT page_id, host, path, split_part(best, ' ', 1) AS rule,
+  CASE WHEN best IS NOT NULL THEN split_part(best, ' ', 2)
+       WHEN node IN (SELECT a FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM f
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: the longest rule, else what its aliases say."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    out = urls.judge(table(spark, sf_dir, "pages"), rules)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, with tag weights learned from the marked-up ones."""
+    pages = table(spark, sf_dir, "pages")
+    out = maintext.extract(pages, maintext.learn(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and the verdict of the learned decision list."""
