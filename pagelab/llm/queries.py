@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelab.llm import decontaminate, maintext, mix, quality, simhash, urls
-from pagelab.llm.common import table
+from pagelab.llm import decontaminate, maintext, mix, quality, simhash, urls, warc
+from pagelab.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,6 +57,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op3_warc")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record, then read back from the archives."""
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    found = warc.records(warc.read(spark, path, with_payload=False))
+    return found.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+                        "record_type", warc.page_number("refers_to").alias("refers_to"))
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, fingerprints within 4 bits link."""

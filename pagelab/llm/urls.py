@@ -51,18 +51,16 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
 
 
-def resolve(base: Column, link: Column) -> Column:
-    """``link`` as seen from the page ``base``; dot segments stay as they are."""
-    link = F.trim(F.regexp_replace(link, r"(?i)&amp;|&#38;", "&"))
-    scheme = F.regexp_extract(base, r"^([^/?#]*:)//", 1)
-    site = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*", 0)
-    folder = F.regexp_extract(base, r"^([^/?#]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+def _resolved() -> Column:
+    """Column ``link`` as seen from the page at url (scheme, site, folder); dot
+    segments stay as they are; links of other kinds (mailto:, #part) are null."""
+    url, link, folder = F.col("url"), F.col("link"), F.col("folder")
     return (F.when(link == "", F.lit(None))
             .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), link)
-            .when(link.startswith("//"), F.concat(scheme, link))
-            .when(link.startswith("/"), F.concat(site, link))
+            .when(link.startswith("//"), F.concat("scheme", link))
+            .when(link.startswith("/"), F.concat("site", link))
             .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | link.startswith("#"), F.lit(None))
-            .when(link.startswith("?"), F.concat(F.regexp_extract(base, r"^[^?#]*", 0), link))
+            .when(link.startswith("?"), F.concat(F.regexp_extract(url, r"^[^?#]*", 0), link))
             .otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), link)))
 
 
@@ -73,13 +71,20 @@ def link_edges(pages: DataFrame) -> DataFrame:
     clean = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
     tags = F.regexp_extract_all(clean, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     at = held.select("url", F.explode(tags).alias("tag"))
-    canonical = (F.col("tag").rlike(r"(?i)^<link")
-                 & F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"))
-    refresh = (F.col("tag").rlike(r"(?i)^<meta")
-               & (F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh"))
+    # one step per column: an expression that is used twice is computed once
+    seen = at.select("url", "tag", F.lower(_attribute(F.col("tag"), "rel")).alias("rel"),
+                     F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))).alias("equiv"))
+    canonical = F.col("tag").rlike(r"(?i)^<link") & F.col("rel").rlike(r"(^|\s)canonical(\s|$)")
+    refresh = F.col("tag").rlike(r"(?i)^<meta") & (F.col("equiv") == "refresh")
     moved = F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?i)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?([^"']*)""", 1)
-    target = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, moved)
-    return (at.select(resource(F.col("url")).alias("u"), resource(resolve(F.col("url"), target)).alias("v"))
+    found = seen.where(canonical | refresh).select("url", F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, moved).alias("link"))
+    found = found.select(
+        "url", F.trim(F.regexp_replace("link", r"(?i)&amp;|&#38;", "&")).alias("link"),
+        F.regexp_extract("url", r"^([^/?#]*:)//", 1).alias("scheme"),
+        F.regexp_extract("url", r"^[^/?#]*://[^/?#]*", 0).alias("site"),
+        F.regexp_extract("url", r"^([^/?#]*://[^/?#]*(?:/[^?#]*/|/)?)", 1).alias("folder"))
+    found = checkpointed(found.select("url", _resolved().alias("target")))
+    return (found.select(resource(F.col("url")).alias("u"), resource(F.col("target")).alias("v"))
             .where("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct())
 
 
@@ -93,9 +98,9 @@ def match_rules(rows: DataFrame, rules: DataFrame, max_broadcast: int = 1_000_00
     if listed.count() <= max_broadcast:
         listed = F.broadcast(listed)
     names = rows.columns
-    labels = F.split("host", r"\.")
-    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # the split host is bound to a lambda variable, so that it is computed once a row
+    suffix = F.element_at(F.transform(F.array(F.split("host", r"\.")), lambda w: F.transform(
+        F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, F.size(w)), "."))), 1)
     tries = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_s", F.explode(suffix))
     met = tries.join(listed, (F.col("_s") == F.col("_h")) & F.col("path").startswith(F.col("_p")), "left")
     best = F.max(F.when(F.col("_h").isNotNull(), F.struct(
