@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelab.llm import decontaminate, maintext, mix, quality, simhash, urls, warc
+from pagelab.llm import decontaminate, lm, maintext, mix, quality, simhash, urls, warc
 from pagelab.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 
+@query("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney scores of all documents, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    out = lm.score(docs, model)
+    return out.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score", "perplexity")
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, fingerprints within 4 bits link."""
