@@ -12,7 +12,7 @@ shingles. Documents link when fingerprints differ in at most ``max_bits`` bits.
 3. Keys held by one fingerprint are dropped. Members of a key are compared
    inside ordered Arrow streams; a key with more than ``chunk`` members is
    dealt into pairs of chunks first, so no task holds more than two chunks.
-   From each, a spanning forest of the verified links goes on, never all pairs.
+   From each, its connected parts go on as stars, never all pairs.
 4. Components over the forest give each document its class.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any
@@ -90,19 +90,21 @@ def _signed(x: int) -> int:
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among ``fps``: each step compares one reached
-    value with all values not yet reached."""
+    """The links among ``fps`` as stars: (centre, member) of every connected part.
+    Each step compares one reached value with all values not yet reached."""
     out, left = [], np.arange(len(fps))
     while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            a = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[a]) <= max_bits
+        part, left = [int(left[0])], left[1:]
+        at = 0
+        while at < len(part) and len(left):
+            near = np.bitwise_count(fps[left] ^ fps[part[at]]) <= max_bits
+            at += 1
             if near.any():
-                hit = left[near]
-                out += [(a, int(b)) for b in hit]
-                queue += hit.tolist()
+                part += left[near].tolist()
                 left = left[~near]
+        if len(part) > 1:
+            centre = min(part, key=lambda i: int(fps[i].astype(np.int64)))
+            out += [(centre, b) for b in part if b != centre]
     return out
 
 
@@ -156,7 +158,7 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
 
 
 def links(fps: DataFrame, max_bits: int = 4, chunk: int = 4096) -> DataFrame:
-    """(u, v): links among distinct fingerprints (column ``fp``) that connect what
+    """(u, v): pairs of distinct fingerprints (column ``fp``) that connect what
     any chain of pairs within ``max_bits`` bits connects."""
     masks = [_signed(m) for m in block_masks(max_bits)]
     keyed = (fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("mask", "m"))
