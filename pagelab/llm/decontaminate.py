@@ -109,15 +109,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, remove: st
         raise ValueError("remove is 'documents' or 'spans'")
     names = docs.columns
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    hits = checkpointed(scan(docs, bench, {"_key": key}, width).where("n_hit > 0").select("_key", "spans"))
+    k, hit, spans = (fresh_name(names, x) for x in ("_text_key", "_hit_key", "_hit_spans"))
+    hits = checkpointed(scan(docs, bench, {hit: key}, width).where("n_hit > 0")
+                        .select(hit, F.col("spans").alias(spans)))
     if hits.count() <= max_broadcast_rows:
         hits = F.broadcast(hits)
-    k = fresh_name(names, "_text_key")
     rows = docs.withColumn(k, key)
     if remove == "documents":
-        out = rows.join(hits, F.col(k) == F.col("_key"), "left_anti")
+        out = rows.join(hits, F.col(k) == F.col(hit), "left_anti")
         return out.select(*[F.col(f"`{c}`") for c in names])
-    out = rows.join(hits.withColumnRenamed("spans", f"{k}_spans"), F.col(k) == F.col("_key"), "left")
-    s = F.col(f"{k}_spans")
-    text = F.when(s.isNull(), F.col("text")).otherwise(without_spans(F.col("text"), s))
+    out = rows.join(hits, F.col(k) == F.col(hit), "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col(spans)))
     return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names])

@@ -54,6 +54,7 @@ PRIOR = {"p": -0.01, "h1": -0.01, "h2": -0.01, "h3": -0.01, "h4": -0.01, "h5": -
          "blockquote": -0.01, "pre": -0.01, "article": -0.01, "main": -0.01, "ul": -1.0, "ol": -1.0, "li": -1.0,
          "div": -0.5, "section": -0.5, "table": -1.0, "tr": -0.5, "td": -0.5}
 OTHER = -1.0
+IN_ARTICLE = -0.01  # of a tag that no labelled page shows inside an article
 
 
 def _marks(tag: str) -> str:
@@ -152,12 +153,12 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     # linear scan: best sum of a contiguous region, in positions of tokens
     best, begin, end = 0.0, 0, 0
     run, start = 0.0, 0
-    for i, (kind, value, landmark, aside, _) in enumerate(rows):
+    for i, (kind, value, landmark, aside, inside) in enumerate(rows):
         if kind == "w":
             run += 0 if aside else len(value.split())
-        else:
+        elif not (aside and inside):  # what is left out of a marked article does not part it
             w = weights.get(f"{landmark} {kind}")
-            run += PRIOR.get(kind, OTHER) if w is None else w
+            run += (IN_ARTICLE if inside else PRIOR.get(kind, OTHER)) if w is None else w
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:

@@ -200,18 +200,20 @@ def mix(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
     """The mixed rows: ``docs`` columns with shard, order_key, epoch; a document
     appears once for each pass that takes it. Texts move once, in one join."""
     names = docs.columns
+    h, ident, h2, copies, at, one = (fresh_name(names, x) for x in (
+        "_mix_hash", "_take_id", "_take_hash", "_copies", "_copy_no", "_copy"))
     take = (plan(docs, seed=seed, **options).where(F.size("copies") > 0)
-            .groupBy("doc_id", "h").agg(F.flatten(F.collect_list("copies")).alias("_copies"))
-            .select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_copies"))
-    h = fresh_name(names, "_mix_hash")
-    rows = docs.withColumn(h, _hash(seed))
-    met = rows.join(take, F.col("`doc_id`").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_h")))
+            .groupBy("doc_id", "h").agg(F.flatten(F.collect_list("copies")).alias(copies))
+            .select(F.col("doc_id").alias(ident), F.col("h").alias(h2), copies))
+    met = docs.withColumn(h, _hash(seed)).join(
+        take, F.col("`doc_id`").eqNullSafe(F.col(ident)) & (F.col(h) == F.col(h2)))
     # repeated rows share one list of copies: one row, then as many as the list says
-    one = met.dropDuplicates(["doc_id", h])
-    out = one.select(*[F.col(f"`{c}`") for c in names], h, F.posexplode("_copies").alias("_i", "_c"))
-    extra = {fresh_name(names, "shard"): F.col("_c.shard"), fresh_name(names, "epoch"): F.col("_c.epoch"),
-             fresh_name(names, "order_key"): F.xxhash64(F.lit(seed + 2), h, "_i")}
-    return out.select(*[F.col(f"`{c}`") for c in names], *[c.alias(k) for k, c in extra.items()])
+    out = (met.dropDuplicates(["doc_id", h])
+           .select(*[F.col(f"`{c}`") for c in names], h, F.posexplode(copies).alias(at, one)))
+    extra = {"shard": F.col(f"{one}.shard"), "epoch": F.col(f"{one}.epoch"),
+             "order_key": F.xxhash64(F.lit(seed + 2), h, at)}
+    return out.select(*[F.col(f"`{c}`") for c in names],
+                      *[c.alias(fresh_name(names, k)) for k, c in extra.items()])
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:

@@ -253,7 +253,8 @@ def base_failed(s: str = "stats") -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule], out: str = "stats") -> DataFrame:
-    """``docs`` with ``stats``, ``base_failed``, ``rule`` (first that fired, else 0), ``kept``."""
+    """``docs`` with ``stats``, ``base_failed``, ``rule`` (first that fired, else 0), ``kept``;
+    columns of those names are replaced."""
     scored = with_stats(docs, out=out)
     return scored.withColumns({
         "base_failed": base_failed(out),

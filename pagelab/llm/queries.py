@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelab.llm import decontaminate, lm, maintext, mix, quality, simhash, urls, warc
+from pagelab.llm import decontaminate, licenses, lm, maintext, mix, quality, simhash, tokencount, urls, warc
 from pagelab.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def vocabulary_path() -> str:
+    """The registered query's vocabulary: pieces and scores of a public tokenizer."""
+    return os.environ.get("PAGELAB_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under a unigram tokenizer of 32,000 pieces."""
+    docs = table(spark, sf_dir, "documents")
+    out = tokencount.with_counts(docs, tokencount.load(vocabulary_path()))
+    return out.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), "n_tokens")
+
+
 @query("op3_warc")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record, then read back from the archives."""
@@ -67,6 +81,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence templates that a span of lines of each document matches."""
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+    names = F.transform("licenses", lambda m: m["license"])
+    return out.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"),
+                      F.array_join(names, ",").alias("license_ids"),
+                      F.array_max(F.transform("licenses", lambda m: m["dice"])).alias("best_dice"), "licenses")
+
+
 @query("op5_lm_score")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kneser-Ney scores of all documents, learned from those not held out."""

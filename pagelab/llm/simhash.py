@@ -211,9 +211,9 @@ def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
                        fingerprint_column(F.col("text"), width).alias("fp"))
     thin = checkpointed(thin)
     found = classes(thin, "who", max_bits)
-    keep = found.select(F.col("component.id").alias("_id"), F.col("component.t").alias("_t")).distinct()
-    t = fresh_name(names, "_text_key")
+    t, one, two = (fresh_name(names, x) for x in ("_text_key", "_keep_id", "_keep_text"))
+    keep = found.select(F.col("component.id").alias(one), F.col("component.t").alias(two)).distinct()
     left = docs.withColumn(t, tkey)
-    out = left.join(keep, F.col("`doc_id`").eqNullSafe(F.col("_id")) & (F.col(t) == F.col("_t")), "left_semi")
+    out = left.join(keep, F.col("`doc_id`").eqNullSafe(F.col(one)) & (F.col(t) == F.col(two)), "left_semi")
     # repeated rows meet in the join's partitions already: one of each stays
     return out.dropDuplicates(["doc_id", t]).select(*[F.col(f"`{c}`") for c in names])

@@ -123,6 +123,8 @@ def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
         if not colon:
             raise Damaged("broken header line")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("latin-1")
+    if not {"warc-type", "warc-record-id", "warc-date"} <= head.keys():
+        raise Damaged("a named field is missing")
     size = head.get("content-length", "")
     if not size.isdigit():
         raise Damaged("no block length")
