@@ -4,10 +4,13 @@ The tree is not materialised. A page becomes an ordered list of tag events
 (after comments are dropped and script/style bodies blanked), and the tree
 walk is a left fold over that list with a stack (``aggregate`` higher-order
 function): an opening tag is an element at the current stack height and is
-pushed unless void or self-closing (a block-level start tag first closes an
-open ``<p>``, as HTML parsing does); a closing tag pops up to and including its
-most recent match (unmatched closing tags are ignored). Everything stays in
-the JVM and needs no shuffle: the work per page is bounded by the page.
+pushed unless void or self-closing; a closing tag pops up to and including its
+most recent match (unmatched closing tags are ignored). Two modes tell what an
+opening tag does first: ``repair`` applies HTML's implied end tags (``IMPLIED``:
+``li``, ``tr``, ``td``, ``option``, ``dt``, ``p`` and their kin end an open
+element of their kind, up to the containers that bound them), ``plain`` nests
+every unclosed element, as a parser without that knowledge does. Everything
+stays in the JVM and needs no shuffle: the work per page is bounded by the page.
 """
 
 from __future__ import annotations
@@ -25,6 +28,16 @@ P_CLOSERS = ["address", "article", "aside", "blockquote", "details", "div", "dl"
              "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
              "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
              "table", "ul"]
+# implied end tags: (start tags, the open elements they end, the containers that bound the search)
+IMPLIED = [
+    (P_CLOSERS, ["p"], ["button", "caption", "object", "table", "td", "template", "th"]),
+    (["li"], ["li"], ["menu", "ol", "ul"]),
+    (["dd", "dt"], ["dd", "dt"], ["dl"]),
+    (["optgroup", "option"], ["option"], ["datalist", "select"]),
+    (["tbody", "tfoot", "thead"], ["tbody", "td", "tfoot", "th", "thead", "tr"], ["table"]),
+    (["tr"], ["td", "th", "tr"], ["table", "tbody", "tfoot", "thead"]),
+    (["td", "th"], ["td", "th"], ["table", "tr"]),
+]
 # tags whose src/href counts as an external resource, and the variant set
 RESOURCE_TAGS = ["img", "script", "link"]
 RESOURCE_TAGS_WITH_IFRAME = ["img", "script", "link", "iframe"]
@@ -35,7 +48,10 @@ TARGET_TAGS = ["div", "span", "a", "script", "form", "input", "iframe"]
 BLANK_COMMENTS_RE = r"(?s)<!--.*?-->"
 BLANK_SCRIPT_RE = r"(?is)<script(\b[^>]*)>.*?</script\s*>"
 BLANK_STYLE_RE = r"(?is)<style(\b[^>]*)>.*?</style\s*>"
-EVENT_RE = r"<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>"
+# tag name, then attributes: unquoted stretches around whole quoted values
+EVENT_RE = r"""<(/?[a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>"""
+# a slash ends a tag only after white space, a quote or the tag's name
+SELF_CLOSING_RE = r"""(^|[\s"'])/$"""
 OPEN_TAG_SEQ_RE = r"<([a-zA-Z0-9]+)[^>]*>"
 SCRIPT_BODY_RE = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
 
@@ -68,7 +84,7 @@ def events_sql(blanked: str = "bh") -> str:
             'name', lower(regexp_replace(n, '^/', '')),
             'attrs', a,
             'closing', startswith(n, '/'),
-            'void', lower(n) IN ({_sql_list(VOID_TAGS)}) OR endswith(a, '/')))"""
+            'void', lower(n) IN ({_sql_list(VOID_TAGS)}) OR a rlike {sql_str(SELF_CLOSING_RE)}))"""
 
 
 def with_events(df, html: str = "html", out: str = "ev"):
@@ -84,37 +100,56 @@ def _pop_sql(stack: str, name: str) -> str:
             f"ELSE slice({stack}, 1, size({stack}) - {pos}) END")
 
 
-def _pre_sql(stack: str, name: str) -> str:
-    # stack seen by an opening tag: a block-level start tag closes an open <p>
-    return (f"CASE WHEN {name} IN ({_sql_list(P_CLOSERS)}) AND array_contains({stack}, 'p') "
-            f"THEN {_pop_sql(stack, repr('p'))} ELSE {stack} END")
+def _cut_sql(stack: str, ends: list[str], bounds: list[str]) -> str:
+    # keep the stack below the lowest element of ``ends`` above the last of ``bounds``
+    bound = f"coalesce(array_max(transform({stack}, (t, i) -> if(t IN ({_sql_list(bounds)}), i + 1, 0))), 0)"
+    return (f"transform(array({bound}), b -> transform(array(array_min(transform({stack}, (t, i) -> "
+            f"if(i >= b AND t IN ({_sql_list(ends)}), i, NULL)))), k -> "
+            f"if(k IS NULL, {stack}, slice({stack}, 1, k)))[0])[0]")
 
 
-def depth_sql(ev: str) -> str:
+def _pre_sql(stack: str, name: str, mode: str) -> str:
+    # stack that an opening tag finds
+    if mode == "plain":
+        return stack
+    if mode != "repair":
+        raise ValueError("mode is 'repair' or 'plain'")
+    rules = " ".join(f"WHEN {name} IN ({_sql_list(tags)}) THEN {_cut_sql(stack, ends, bounds)}"
+                     for tags, ends, bounds in IMPLIED)
+    return f"CASE {rules} ELSE {stack} END"
+
+
+def _fold_sql(ev: str, init: str, step: str, result: str, mode: str) -> str:
+    """Fold over the events; ``step`` sees acc, e and s, the stack before the event."""
+    return f"""aggregate({ev}, {init},
+        (acc, e) -> transform(array(CASE WHEN e.closing THEN {_pop_sql('acc.stack', 'e.name')}
+                                         ELSE {_pre_sql('acc.stack', 'e.name', mode)} END), s -> {step})[0],
+        acc -> {result})"""
+
+
+_NEXT = "CASE WHEN e.closing OR e.void THEN s ELSE array_append(s, e.name) END"
+
+
+def depth_sql(ev: str, mode: str = "repair") -> str:
     """Maximum element level (root = 0); 0 when the page has no element."""
-    pre = _pre_sql("acc.stack", "e.name")
-    return f"""aggregate({ev},
-        named_struct('stack', cast(array() AS array<string>), 'mx', 0),
-        (acc, e) -> CASE
-            WHEN e.closing THEN named_struct('stack', {_pop_sql('acc.stack', 'e.name')}, 'mx', acc.mx)
-            WHEN e.void THEN named_struct('stack', {pre}, 'mx', greatest(acc.mx, size({pre})))
-            ELSE named_struct('stack', array_append({pre}, e.name), 'mx', greatest(acc.mx, size({pre})))
-        END,
-        acc -> acc.mx)"""
-
-
-def xpath_sql(ev: str) -> str:
-    """Full path (root included, '/'-joined) of every element in document order."""
-    pre = _pre_sql("acc.stack", "e.name")
-    path = f"array_join(array_append({pre}, e.name), '/')"
-    return f"""aggregate({ev},
-        named_struct('stack', cast(array() AS array<string>), 'paths', cast(array() AS array<string>)),
-        (acc, e) -> CASE
-            WHEN e.closing THEN named_struct('stack', {_pop_sql('acc.stack', 'e.name')}, 'paths', acc.paths)
-            WHEN e.void THEN named_struct('stack', {pre}, 'paths', array_append(acc.paths, {path}))
-            ELSE named_struct('stack', array_append({pre}, e.name), 'paths', array_append(acc.paths, {path}))
-        END,
-        acc -> acc.paths)"""
+    return _fold_sql(ev, "named_struct('stack', cast(array() AS array<string>), 'mx', 0)",
+                     f"named_struct('stack', {_NEXT}, 'mx', if(e.closing, acc.mx, greatest(acc.mx, size(s))))",
+                     "acc.mx", mode)
+
+
+def xpath_sql(ev: str, mode: str = "repair", chunk: int = 256) -> str:
+    """Full path (root included, '/'-joined) of every element in document order.
+    Paths gather in chunks that are joined once, so a page costs its tags and
+    not their square."""
+    path = "array_join(array_append(s, e.name), '/')"
+    full = f"size(acc.cur) >= {chunk}"
+    return _fold_sql(
+        ev, "named_struct('stack', cast(array() AS array<string>), 'cur', cast(array() AS array<string>), "
+            "'done', cast(array() AS array<array<string>>))",
+        f"named_struct('stack', {_NEXT}, "
+        f"'cur', CASE WHEN e.closing THEN acc.cur WHEN {full} THEN array({path}) ELSE array_append(acc.cur, {path}) END, "
+        f"'done', CASE WHEN e.closing OR NOT {full} THEN acc.done ELSE array_append(acc.done, acc.cur) END)",
+        "concat(flatten(acc.done), acc.cur)", mode)
 
 
 def xpath_below_root_sql(paths: str) -> str:

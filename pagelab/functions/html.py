@@ -120,12 +120,26 @@ def pattern_features(url, html) -> dict[str, Column]:
     }
 
 
+# character references: those that stand for white space, and any
+SPACE_ENTITY_RE = r"&(?:nbsp|ensp|emsp|thinsp);|&#(?:9|10|12|13|32|160);|&#[xX](?:9|[aAcCdD]|20|[aA]0);"
+ENTITY_RE = r"&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#[xX][0-9a-fA-F]+;"
+
+
+def one_char_entities(text: Column) -> Column:
+    """Text with each character reference as one character (a space or a mark):
+    for lengths of decoded text."""
+    return F.regexp_replace(F.regexp_replace(text, SPACE_ENTITY_RE, " "), ENTITY_RE, "*")
+
+
 def visible_text(html, limit: int | None = 2000) -> Column:
     """Lower-cased visible text: script/style removed, tags replaced by a
-    space, only ASCII letters and whitespace kept, whitespace collapsed."""
+    space, character references decoded, only ASCII letters and whitespace kept,
+    whitespace collapsed."""
     hl = F.lower(_c(html))
     t = F.regexp_replace(hl, r"(?s)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, TAG_RE, " ")
+    # a decoded reference is a space or a character that is no ASCII letter
+    t = F.regexp_replace(F.regexp_replace(t, SPACE_ENTITY_RE, " "), ENTITY_RE, "")
     t = F.regexp_replace(t, r"[^a-zA-Z\t\n\x0B\f\r ]", "")
     t = strip_ws(F.regexp_replace(t, f"{WS}+", " "))
     return F.substring(t, 1, limit) if limit else t
@@ -134,7 +148,7 @@ def visible_text(html, limit: int | None = 2000) -> Column:
 def error_page_flag(html) -> Column:
     """Short page (< 2000 chars) that contains a server-error signature."""
     h = _c(html)
-    pat = "(?i)(" + "|".join(s.replace("!", "!") for s in ERROR_SIGNATURES) + ")"
+    pat = "(?i)(" + "|".join(ERROR_SIGNATURES) + ")"
     return (F.length(h) < 2000) & h.rlike(pat)
 
 

@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelab.functions import dom
-from pagelab.functions.html import strip_ws
+from pagelab.functions.html import one_char_entities, strip_ws
 
 DOC_NODE = "[document]"
 GRID = [(5, 0.02), (10, 0.01), (20, 0.005)]
 
 
-def with_paths(df: DataFrame, html: str = "html", out: str = "paths") -> DataFrame:
+def with_paths(df: DataFrame, html: str = "html", out: str = "paths", mode: str = "repair") -> DataFrame:
     """Add the full element paths (root included) of each page."""
     x = dom.with_events(df, html, "_ev")
-    return x.withColumn(out, F.expr(dom.xpath_sql("_ev"))).drop("_ev")
+    return x.withColumn(out, F.expr(dom.xpath_sql("_ev", mode))).drop("_ev")
 
 
 def tag_events(df: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
@@ -47,29 +47,32 @@ def spatial_zones(df: DataFrame, html: str = "html", key: str = "page_id") -> Da
                     *[F.size(z).alias(f"zone{i}_size") for i, z in enumerate((z1, z2, z3), 1)])
 
 
-def xpath_sequence(df: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+def xpath_sequence(df: DataFrame, html: str = "html", key: str = "page_id", mode: str = "repair") -> DataFrame:
     """D11: '<a/b/c>' path of every descendant of the root, document order."""
-    x = with_paths(df.select(key, html), html)
+    x = with_paths(df.select(key, html), html, mode=mode)
     seq = F.expr(dom.xpath_below_root_sql("paths"))
     return x.select(key, F.array_join(seq, " ").alias("xpath_seq"), F.size(seq).alias("n_paths"))
 
 
-def _doc_paths(df: DataFrame, label: str, html: str, max_depth: int) -> DataFrame:
+def _doc_paths(df: DataFrame, keys: list[str], html: str, max_depth: int) -> DataFrame:
     """Distinct document paths per page (document node first), at most
-    ``max_depth`` ancestors; pages with NULL HTML are not documents."""
-    x = with_paths(df.where(F.col(html).isNotNull()).select(label, html), html)
+    ``max_depth`` ancestors; pages with NULL HTML are not documents. The tree is
+    the plain parser's: no implied end tags."""
+    x = with_paths(df.where(F.col(html).isNotNull()).select(*keys, html), html, mode="plain")
     paths = F.array_distinct(F.transform("paths", lambda p: F.concat(F.lit(DOC_NODE + "/"), p)))
     paths = F.filter(paths, lambda p: F.size(F.split(p, "/")) - 1 <= max_depth)
-    return x.select(label, paths.alias("paths"))
+    return x.select(*keys, paths.alias("paths"))
 
 
-def path_counts(df: DataFrame, label: str = "label", html: str = "html", max_depth: int = 20) -> DataFrame:
-    """(label, path, pages, docs, n_ancestors): pages holding each path."""
-    d = _doc_paths(df, label, html, max_depth)
-    docs = d.groupBy(label).agg(F.count(F.lit(1)).alias("docs"))
-    cnt = d.select(label, F.explode("paths").alias("path")).groupBy(label, "path").agg(F.count(F.lit(1)).alias("pages"))
+def path_counts(df: DataFrame, label: str = "label", html: str = "html", max_depth: int = 20,
+                dataset: str | None = None) -> DataFrame:
+    """([dataset,] label, path, pages, docs, n_ancestors): pages holding each path."""
+    keys = [dataset, label] if dataset else [label]
+    d = _doc_paths(df, keys, html, max_depth)
+    docs = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
+    cnt = d.select(*keys, F.explode("paths").alias("path")).groupBy(*keys, "path").agg(F.count(F.lit(1)).alias("pages"))
     # one row per class on the small side
-    return (cnt.join(F.broadcast(docs), label)
+    return (cnt.join(F.broadcast(docs), keys)
                .withColumn("n_ancestors", F.size(F.split("path", "/")) - 1))
 
 
@@ -104,14 +107,16 @@ def xpath_largest_component(freq: DataFrame, label: str = "label") -> DataFrame:
     return x.join(F.broadcast(best), [label, "component"], "inner").select(label, "component", "path", "freq")
 
 
-def xpath_grid_run(df: DataFrame, label: str = "label", html: str = "html", grid=GRID) -> DataFrame:
-    """D12 for each (depth, min_freq) of a grid, from one aggregation at
-    the largest depth."""
-    c = path_counts(df, label, html, max(d for d, _ in grid)).withColumn("freq", F.col("pages") / F.col("docs"))
+def xpath_grid_run(df: DataFrame, label: str = "label", html: str = "html", grid=GRID,
+                   dataset: str | None = None) -> DataFrame:
+    """D12 for each (depth, min_freq) of a grid, per dataset where that
+    column is given, from one aggregation at the largest depth."""
+    keys = [dataset, label] if dataset else [label]
+    c = path_counts(df, label, html, max(d for d, _ in grid), dataset).withColumn("freq", F.col("pages") / F.col("docs"))
     out = None
     for depth, mf in grid:
         g = (c.where((F.col("n_ancestors") <= depth) & (F.col("freq") >= mf))
-              .select(F.lit(depth).alias("max_depth"), F.lit(mf).alias("min_freq"), label, "path", "freq"))
+              .select(F.lit(depth).alias("max_depth"), F.lit(mf).alias("min_freq"), *keys, "path", "freq"))
         out = g if out is None else out.unionByName(g)
     return out
 
@@ -150,7 +155,7 @@ def advanced_html_features(df: DataFrame, key: str = "page_id", html: str = "htm
     has_href = F.expr(r"filter(_anchors, e -> e.attrs rlike '(?i)(^|\\s)href\\s*=')")
     ext = F.expr(f"size(filter(_anchors, e -> e.attrs rlike '(?i)(^|\\\\s)href\\\\s*=' AND "
                  f"startswith(lower({dom.attr_sql('e.attrs', 'href')}), 'http')))")
-    text_nodes = F.filter(F.transform(F.split("_bh", "<[^>]*>"), lambda s: strip_ws(s)), lambda s: s != "")
+    text_nodes = F.filter(F.transform(F.split("_bh", "<[^>]*>"), lambda s: strip_ws(one_char_entities(s))), lambda s: s != "")
     hidden = F.expr(f"size(filter(_opens, e -> replace({dom.attr_sql('e.attrs', 'style')}, ' ', '') rlike "
                     f"'display:none|visibility:hidden'))")
     n_a = F.size("_anchors")

@@ -14,6 +14,8 @@ from pagelab.sources import pages as P
 
 EV = f"evs AS ({S.events_cte('pages_l')})"
 PATHS = f"pp AS (SELECT page_id, label, html, {S.xpaths('ev')} AS paths FROM evs)"
+# the frequency tree is built by the plain parser: no implied end tags
+PLAIN = f"pp AS (SELECT page_id, label, era, html, {S.xpaths('ev', 'plain')} AS paths FROM evs)"
 
 
 def _pages(spark, sf):
@@ -71,7 +73,7 @@ def q_xpath_seq(spark, sf):
 
 
 def _freq_sql(depth, mf):
-    return f"""WITH {PAGES_L}, {EV}, {PATHS},
+    return f"""WITH {PAGES_L}, {EV}, {PLAIN},
 d AS (SELECT label, list_filter(list_distinct(list_transform(paths, lambda x: '[document]/' || x)),
         lambda x: len(string_split(x, '/')) - 1 <= {depth}) AS paths FROM pp WHERE html IS NOT NULL),
 tot AS (SELECT label, count(*) AS docs FROM d GROUP BY label),
@@ -107,18 +109,18 @@ def q_xlcc(spark, sf):
     return dom.xpath_largest_component(dom.xpath_document_frequency(_pages(spark, sf), max_depth=20, min_freq=0.01))
 
 
-@register("xpath_grid_run", sql=f"""WITH {PAGES_L}, {EV}, {PATHS},
-d AS (SELECT label, list_distinct(list_transform(paths, lambda x: '[document]/' || x)) AS paths FROM pp WHERE html IS NOT NULL),
-tot AS (SELECT label, count(*) AS docs FROM d GROUP BY label),
-c AS (SELECT label, path, count(*) AS pages, len(string_split(path, '/')) - 1 AS anc
-      FROM (SELECT label, unnest(paths) AS path FROM d) GROUP BY label, path),
+@register("xpath_grid_run", sql=f"""WITH {PAGES_L}, {EV}, {PLAIN},
+d AS (SELECT era, label, list_distinct(list_transform(paths, lambda x: '[document]/' || x)) AS paths FROM pp WHERE html IS NOT NULL),
+tot AS (SELECT era, label, count(*) AS docs FROM d GROUP BY era, label),
+c AS (SELECT era, label, path, count(*) AS pages, len(string_split(path, '/')) - 1 AS anc
+      FROM (SELECT era, label, unnest(paths) AS path FROM d) GROUP BY era, label, path),
 g AS (SELECT * FROM (VALUES (5, 0.02::DOUBLE), (10, 0.01::DOUBLE), (20, 0.005::DOUBLE)) AS t(max_depth, min_freq))
-SELECT g.max_depth::BIGINT AS max_depth, round(g.min_freq::DOUBLE, 6) AS min_freq, c.label::BIGINT AS label, c.path,
+SELECT g.max_depth::BIGINT AS max_depth, round(g.min_freq::DOUBLE, 6) AS min_freq, c.era, c.label::BIGINT AS label, c.path,
   round(c.pages / tot.docs, 6) AS freq
-FROM c JOIN tot USING (label) JOIN g ON c.anc <= g.max_depth AND c.pages / tot.docs >= g.min_freq""")
+FROM c JOIN tot USING (era, label) JOIN g ON c.anc <= g.max_depth AND c.pages / tot.docs >= g.min_freq""")
 def q_xgrid(spark, sf):
-    """The frequency tree over the depth / share grid."""
-    return dom.xpath_grid_run(_pages(spark, sf))
+    """The frequency tree over the depth / share grid, per dataset (era) and class."""
+    return dom.xpath_grid_run(_pages(spark, sf), dataset="era")
 
 
 @register("xpath_leaf_counts", sql=_freq_sql(20, 0.01) + _LCC + """,
@@ -157,7 +159,7 @@ _HREF_PRESENT = "regexp_matches(e.attrs, '(?i)(^|\\s)href\\s*=')"
 @register("advanced_html_features", sql=f"""WITH {_ADV_EV}
 SELECT page_id,
   round(CASE WHEN len({_A}) > 0 THEN len(list_filter({_A}, lambda e: {S.attr('e.attrs', 'href')} IN ('#', 'javascript:void(0)', ''))) / len({_A}) ELSE 0.0 END, 6) AS dead_link_ratio,
-  round(CASE WHEN length(html) > 0 THEN length(array_to_string(list_filter(list_transform(string_split_regex(bh, '<[^>]*>'), lambda s: {S.strip_ws('s')}), lambda s: s <> ''), ' ')) / length(html) ELSE 0.0 END, 6) AS text_to_code_ratio,
+  round(CASE WHEN length(html) > 0 THEN length(array_to_string(list_filter(list_transform(string_split_regex(bh, '<[^>]*>'), lambda s: {S.strip_ws(S.one_char('s'))}), lambda s: s <> ''), ' ')) / length(html) ELSE 0.0 END, 6) AS text_to_code_ratio,
   round(CASE WHEN len({_O}) > 0 THEN len(list_filter({_O}, lambda e: e.name = 'input')) * 100.0 / len({_O}) ELSE 0.0 END, 6) AS input_density,
   round(CASE WHEN len(list_filter({_A}, lambda e: {_HREF_PRESENT})) > 0 THEN
      len(list_filter({_A}, lambda e: {_HREF_PRESENT} AND starts_with(lower({S.attr('e.attrs', 'href')}), 'http'))) / len(list_filter({_A}, lambda e: {_HREF_PRESENT})) ELSE 0.0 END, 6) AS eda_link_ratio,

@@ -236,10 +236,11 @@ SELECT url, page_id, source, length(html)::BIGINT AS html_length FROM (
 def q_append_dedup(spark, sf):
     """Old crawl + full re-crawl, one row per URL, old rows win."""
     p = _pages(spark, sf)
-    old = p.where("era = 'old'").select("page_id", "url", "html", F.lit("old").alias("source"))
-    new = p.select((F.col("page_id") + 1000000000).alias("page_id"), "url", F.concat("html", F.lit(" ")).alias("html"),
-                   F.lit("new").alias("source"))
-    return clean.append_dedup(old, new).select("url", "page_id", "source", F.length("html").alias("html_length"))
+    n = F.length("html").alias("html_length")  # measured in the scan: texts are not shuffled for a length
+    old = p.where("era = 'old'").select("page_id", "url", n, F.lit("old").alias("source"))
+    new = p.select((F.col("page_id") + 1000000000).alias("page_id"), "url",
+                   (F.length("html") + 1).alias("html_length"), F.lit("new").alias("source"))
+    return clean.append_dedup(old, new).select("url", "page_id", "source", "html_length")
 
 
 _CLEAN_SQL = f"""{DIRTY},
@@ -252,8 +253,9 @@ SELECT page_id, url, category, length(html)::BIGINT AS html_length FROM firsts
 WHERE length(html) > 150 AND NOT {S.error_page('html')}""")
 def q_clean(spark, sf):
     """NULLs, duplicate URLs, short pages and error pages removed."""
-    c = clean.clean_pages(dirty_pages(spark, sf))
-    return c.select("page_id", "url", "category", F.length("html").alias("html_length"))
+    d = dirty_pages(spark, sf)
+    return (d.select("page_id", "category").join(clean.clean_keys(d), "page_id")
+            .select("page_id", "url", "category", "html_length"))
 
 
 @register("clean_funnel", sql=f"""WITH {_CLEAN_SQL},
@@ -466,7 +468,7 @@ def q_empty_modes(spark, sf):
 
 
 @register("visible_text", sql=f"""SELECT page_id, substr({S.strip_ws(
-    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(html), '(?s)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[^a-zA-Z\\t\\n\\x0B\\f\\r ]', '', 'g'), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')")}, 1, 2000) AS visible_text
+    "regexp_replace(regexp_replace(" + S.no_refs("regexp_replace(regexp_replace(lower(html), '(?s)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')") + ", '[^a-zA-Z\\t\\n\\x0B\\f\\r ]', '', 'g'), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')")}, 1, 2000) AS visible_text
 FROM pages""")
 def q_visible(spark, sf):
     """Cleaned visible text, first 2000 characters."""
@@ -474,7 +476,7 @@ def q_visible(spark, sf):
     return p.select("page_id", H.visible_text("html").alias("visible_text"))
 
 
-@register("title_link_list_text")
+@register("title_link_list_text", sql=f"SELECT page_id, {S.title_link_list()} AS text FROM pages")
 def q_tll(spark, sf):
     """URL parts + stripped title, anchor and list text."""
     p = P.table(spark, sf, "pages")

@@ -122,18 +122,7 @@ def q_zone_tfidf(spark, sf):
     return w.select("zone", "page_id", "term", "idx", "weight")
 
 
-def _tll_sql():
-    u2 = S.with_http("url")
-    url_part = (f"replace(replace(concat_ws(' ', {S.scheme(u2)}, {S.netloc(u2)}, {S.path(u2)}, "
-                f"regexp_extract({u2}, '\\?([^#]*)', 1)), '.', ' '), '/', ' ')")
-
-    def block(pat):
-        return S.strip_ws(f"regexp_replace(array_to_string(regexp_extract_all(coalesce(html, ''), '{pat}', 1), ' '), '<[^>]+>', ' ', 'g')")
-    titles = block("(?is)<title[^>]*>(.*?)</title>")
-    links = block("(?is)<a[^>]*>(.*?)</a>")
-    lists = block("(?is)<(?:ul|ol|li)[^>]*>(.*?)</(?:ul|ol|li)>")
-    html_part = f"(CASE WHEN length(coalesce(html, '')) > 5 THEN concat_ws(' ', {titles}, {links}, {lists}) ELSE '' END)"
-    return f"concat_ws(' ', {url_part}, {html_part})"
+_tll_sql = S.title_link_list
 
 
 @register("title_link_list_text_sql", sql=f"SELECT page_id, {_tll_sql()} AS text FROM pages")

@@ -7,7 +7,7 @@ often a different formulation: entropy by grouping characters, tag events by
 
 from __future__ import annotations
 
-from pagelab.functions.dom import P_CLOSERS, RESOURCE_TAGS, VOID_TAGS
+from pagelab.functions.dom import IMPLIED, RESOURCE_TAGS, VOID_TAGS
 from pagelab.functions.html import ERROR_SIGNATURES, TITLE_STOP_WORDS
 from pagelab.functions.url import (EDA_BRANDS, LEXICAL_SPECIAL_CHARS, PHISH_KEYWORDS,
                                    SUSPICIOUS_TLDS, TOP_BRANDS)
@@ -182,6 +182,34 @@ def brand_lev(u="url", h="html"):
             f"ELSE levenshtein({t}, {d}) / greatest(length({t}), length({d})) END)")
 
 
+def title_link_list() -> str:
+    """URL parts + stripped title, anchor and list text."""
+    u2 = with_http("url")
+    url_part = (f"replace(replace(concat_ws(' ', {scheme(u2)}, {netloc(u2)}, {path(u2)}, "
+                f"regexp_extract({u2}, '\\?([^#]*)', 1)), '.', ' '), '/', ' ')")
+
+    def block(pat):
+        return strip_ws(f"regexp_replace(array_to_string(regexp_extract_all(coalesce(html, ''), '{pat}', 1), ' '), '<[^>]+>', ' ', 'g')")
+    titles = block("(?is)<title[^>]*>(.*?)</title>")
+    links = block("(?is)<a[^>]*>(.*?)</a>")
+    lists = block("(?is)<(?:ul|ol|li)[^>]*>(.*?)</(?:ul|ol|li)>")
+    html_part = f"(CASE WHEN length(coalesce(html, '')) > 5 THEN concat_ws(' ', {titles}, {links}, {lists}) ELSE '' END)"
+    return f"concat_ws(' ', {url_part}, {html_part})"
+
+
+# character references by what they stand for: white space, anything
+SPACE_REF = "'&(nbsp|ensp|emsp|thinsp);|&#(9|10|12|13|32|160);|&#[xX](9|[aAcCdD]|20|[aA]0);'"
+ANY_REF = "'&([a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);'"
+
+
+def one_char(x):
+    return f"regexp_replace(regexp_replace({x}, {SPACE_REF}, ' ', 'g'), {ANY_REF}, '*', 'g')"
+
+
+def no_refs(x):
+    return f"regexp_replace(regexp_replace({x}, {SPACE_REF}, ' ', 'g'), {ANY_REF}, '', 'g')"
+
+
 # ------------------------------------------------------------------ DOM
 def blanked(h="html"):
     x = f"coalesce({h}, '')"
@@ -191,7 +219,8 @@ def blanked(h="html"):
     return x
 
 
-EV_RE = "'<(/?[a-zA-Z][a-zA-Z0-9]*)([^>]*)>'"
+# name up to white space, slash or >; attributes end at the first > outside quotes
+EV_RE = q("""<(/?[a-zA-Z][^\\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 
 
 def events(bh="bh"):
@@ -199,7 +228,8 @@ def events(bh="bh"):
     return (f"list_transform(list_zip(regexp_extract_all({bh}, {EV_RE}, 1), regexp_extract_all({bh}, {EV_RE}, 2)), "
             f"lambda z: {{'name': lower(regexp_replace(z[1], '^/', '')), 'attrs': z[2], "
             f"'closing': starts_with(z[1], '/'), "
-            f"'void': lower(z[1]) IN ({qlist(VOID_TAGS)}) OR ends_with(z[2], '/')}})")
+            f"'void': lower(z[1]) IN ({qlist(VOID_TAGS)}) OR z[2] = '/' OR "
+            f"(ends_with(z[2], '/') AND right(z[2], 2)[1] IN (' ', chr(9), chr(10), chr(12), chr(13), '\"', ))}})")
 
 
 def _pop(stack, name):
@@ -207,29 +237,40 @@ def _pop(stack, name):
     return f"(CASE WHEN {pos} = 0 THEN {stack} ELSE list_slice({stack}, 1, len({stack}) - {pos}) END)"
 
 
-def _pre(stack, name):
-    return (f"(CASE WHEN {name} IN ({qlist(P_CLOSERS)}) AND list_contains({stack}, 'p') "
-            f"THEN {_pop(stack, repr('p'))} ELSE {stack} END)")
+def _pre(stack, name, mode):
+    """Stack after the implied end tags: the lowest element that the start tag
+    ends and everything above it go, unless a container lies in between."""
+    if mode == "plain":
+        return stack
+    whens = []
+    for tags, ends, bounds in IMPLIED:
+        # places (from 1) of what may end, less those below the last container
+        last = f"coalesce(list_max(list_transform({stack}, lambda t, i: CASE WHEN t IN ({qlist(bounds)}) THEN i ELSE 0 END)), 0)"
+        place = (f"list_min(list_filter(list_transform({stack}, lambda t, i: CASE WHEN t IN ({qlist(ends)}) THEN i ELSE 0 END), "
+                 f"lambda i: i > {last}))")
+        whens.append(f"WHEN {name} IN ({qlist(tags)}) AND {place} IS NOT NULL THEN list_slice({stack}, 1, {place} - 1)")
+    return f"(CASE {' '.join(whens)} ELSE {stack} END)"
+
+
+def _walk(ev, mode, init, step):
+    """Fold over the events; step sees acc, e and acc's stack before the event as s."""
+    before = f"(CASE WHEN e.closing THEN {_pop('acc.stack', 'e.name')} ELSE {_pre('acc.stack', 'e.name', mode)} END)"
+    return f"list_reduce({ev}, lambda acc, e: list_transform([{before}], lambda s: {step})[1], {init})"
+
+
+_NEXT = "CASE WHEN e.closing OR e.void THEN s ELSE list_append(s, e.name) END"
 
 
-def depth(ev="ev"):
-    pre = _pre("acc.stack", "e.name")
-    return (f"list_reduce({ev}, lambda acc, e: CASE "
-            f"WHEN e.closing THEN {{'stack': {_pop('acc.stack', 'e.name')}, 'mx': acc.mx}} "
-            f"WHEN e.void THEN {{'stack': {pre}, 'mx': greatest(acc.mx, len({pre}))}} "
-            f"ELSE {{'stack': list_append({pre}, e.name), 'mx': greatest(acc.mx, len({pre}))}} END, "
-            f"{{'stack': []::VARCHAR[], 'mx': 0}}).mx")
+def depth(ev="ev", mode="repair"):
+    return _walk(ev, mode, "{'stack': []::VARCHAR[], 'mx': 0}",
+                 f"{{'stack': {_NEXT}, 'mx': CASE WHEN e.closing THEN acc.mx ELSE greatest(acc.mx, len(s)) END}}") + ".mx"
 
 
-def xpaths(ev="ev"):
+def xpaths(ev="ev", mode="repair"):
     """Full '/'-joined path (root included) of every element."""
-    pre = _pre("acc.stack", "e.name")
-    path = f"array_to_string(list_append({pre}, e.name), '/')"
-    return (f"list_reduce({ev}, lambda acc, e: CASE "
-            f"WHEN e.closing THEN {{'stack': {_pop('acc.stack', 'e.name')}, 'paths': acc.paths}} "
-            f"WHEN e.void THEN {{'stack': {pre}, 'paths': list_append(acc.paths, {path})}} "
-            f"ELSE {{'stack': list_append({pre}, e.name), 'paths': list_append(acc.paths, {path})}} END, "
-            f"{{'stack': []::VARCHAR[], 'paths': []::VARCHAR[]}}).paths")
+    return _walk(ev, mode, "{'stack': []::VARCHAR[], 'paths': []::VARCHAR[]}",
+                 f"{{'stack': {_NEXT}, 'paths': CASE WHEN e.closing THEN acc.paths "
+                 f"ELSE list_append(acc.paths, array_to_string(list_append(s, e.name), '/')) END}}") + ".paths"
 
 
 def attr(a, name):
