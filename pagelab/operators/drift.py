@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +99,7 @@ def boxplot_stats(long: DataFrame, groups, feature: str = "feature", value: str
     outlier counts."""
     q = exact_quantiles(long, [*groups, feature], value, [0.25, 0.75])
     q = q.select(*groups, feature, F.col("q_0").alias("q1"), F.col("q_1").alias("q3"))
-    x = long.join(q, [*groups, feature])  # one row per group on the small side
+    x = long.join(F.broadcast(q), [*groups, feature])  # one row per group and feature
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value)
@@ -126,7 +128,7 @@ def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
     import math
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
-    v = VectorAssembler(inputCols=[f"`{c}`" if False else c for c in cols], outputCol="_v", handleInvalid="keep") \
+    v = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="keep") \
         .transform(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     m = Correlation.corr(v, "_v", "pearson").first()[0].toArray()  # d x d, bounded by the feature count
     rows = []
@@ -137,13 +139,17 @@ def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
-def spearman(df: DataFrame, cols: list[str], key: str) -> DataFrame:
+def spearman(df: DataFrame, cols: list[str], key: str, salts: int = 16) -> DataFrame:
     """I16: Pearson correlation of mid-ranks; ranks come from the scalable
-    running sums per feature, joined back by (feature, value)."""
+    running sums per feature, joined back by (feature, value). A value that half
+    of all rows share is dealt over ``salts`` tasks: each rank stands once per
+    salt and a row takes the salt of its key."""
     # values are compared at 9 decimals so float noise does not split ties
     long = df.select(key, *[F.round(F.col(c).cast("double"), 9).alias(c) for c in cols]).unpivot([key], cols, "feature", "value")
     ranks = mid_ranks(long, ["feature"], "value", "rank")
-    r = long.join(ranks, ["feature", "value"])
+    ranks = ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    long = long.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    r = long.join(ranks, ["feature", "value", "_salt"])
     wide = r.groupBy(key).pivot("feature", cols).agg(F.first("rank"))
     return pairwise_corr(wide, cols)
 
@@ -181,10 +187,6 @@ def era_shift_quantile_view(df: DataFrame, era: str, cols: list[str], q: float =
                                                F.col("q_2").alias("q3"), "n")
 
 
-MAX_KDE_POINTS = 100_000   # distinct points evaluated exactly; beyond this, binned KDE
-KDE_SNAP_BINS = 4096       # lattice used when binning (1-D); 512 x 512 in 2-D
-
-
 def _snap(col, lo, hi, bins):
     """Centre of the lattice cell holding ``col`` (bins equal cells on [lo, hi])."""
     w = (hi - lo) / bins
@@ -192,39 +194,66 @@ def _snap(col, lo, hi, bins):
     return F.when(w == 0, col).otherwise(lo + (i + 0.5) * w)
 
 
+def _grid_sums(points: DataFrame, keys: list[str], args: list[str], cells: int, kernel, step: int = 256) -> DataFrame:
+    """(keys, i, s): sum over rows of ``kernel(args) -> rows x cells`` per key and cell.
+
+    Each task adds its rows up in one array per key and emits that array, so
+    what is shuffled is keys x cells per task and never rows x cells."""
+    fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+
+    def add(it):
+        held = {}
+        for pdf in it:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False):
+                total = held.setdefault(key, np.zeros(cells))
+                cols = [part[c].to_numpy(float) for c in args]
+                for at in range(0, len(part), step):
+                    total += kernel(*(c[at:at + step, None] for c in cols)).sum(axis=0)
+        for key, total in held.items():
+            yield pd.DataFrame({**{k: [v] * cells for k, v in zip(keys, key)}, "i": np.arange(cells), "s": total})
+
+    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", i int, s double"
+    part = points.select(*keys, *args).mapInPandas(add, schema)
+    return part.groupBy(*keys, "i").agg(F.sum("s").alias("s"))
+
+
 def kde_curve(long: DataFrame, groups, points: int = 100, feature: str = "feature", value: str = "value",
-              max_points: int = MAX_KDE_POINTS) -> DataFrame:
+              bins: int | None = None) -> DataFrame:
     """Gaussian KDE per (groups, feature) on an even grid over the
     feature's range, normalised per group (Scott factor n^(-1/5) times the
-    sample sigma). Rows are first reduced to distinct values with counts, so
-    the grid work is points x distinct values, not points x rows."""
+    sample sigma). Rows are first reduced to distinct values with counts; with
+    ``bins`` values first snap to so many cells of the feature's range (an
+    approximation the caller asks for), else the result is exact."""
     groups = list(groups)
-    d = long.groupBy(*groups, feature, value).agg(F.count(F.lit(1)).alias("_c"))
-    if d.count() > max_points:  # one scalar: switch to binned KDE beyond the bound
+    src = long
+    if bins:
         r = long.groupBy(feature).agg(F.min(value).alias("_l"), F.max(value).alias("_u"))
-        snapped = long.join(F.broadcast(r), feature).withColumn(
-            value, _snap(F.col(value), F.col("_l"), F.col("_u"), KDE_SNAP_BINS)).drop("_l", "_u")
-        d = snapped.groupBy(*groups, feature, value).agg(F.count(F.lit(1)).alias("_c"))
+        src = long.join(F.broadcast(r), feature).withColumn(  # one row per feature
+            value, _snap(F.col(value), F.col("_l"), F.col("_u"), bins)).drop("_l", "_u")
+    d = src.groupBy(*groups, feature, value).agg(F.count(F.lit(1)).alias("_c"))
     st = long.groupBy(*groups, feature).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"))
     st = st.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)).where(F.col("_h") > 0)
     rg = long.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    x = d.join(F.broadcast(st), [*groups, feature]).join(F.broadcast(rg), feature)  # small sides
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    g = F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / (points - 1)
-    k = F.col("_c") * F.exp(-0.5 * F.pow((g - F.col(value)) / F.col("_h"), 2))
-    out = x.groupBy(*groups, feature, "i", "_n", "_h", "_lo", "_hi").agg(F.sum(k).alias("_s"))
+    x = d.join(F.broadcast(st), [*groups, feature]).join(F.broadcast(rg), feature)  # a row per group and feature
+    at = np.arange(points) / (points - 1)
+
+    def kernel(v, c, h, lo, hi):
+        return c * np.exp(-0.5 * ((lo + at * (hi - lo) - v) / h) ** 2)
+
+    sums = _grid_sums(x, [*groups, feature], [value, "_c", "_h", "_lo", "_hi"], points, kernel)
+    out = sums.join(F.broadcast(st), [*groups, feature]).join(F.broadcast(rg), feature)
     return out.select(*groups, feature, "i", (F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / (points - 1)).alias("x"),
-                      (F.col("_s") / (F.col("_n") * F.col("_h") * (2 * 3.141592653589793) ** 0.5)).alias("density"))
+                      (F.col("s") / (F.col("_n") * F.col("_h") * (2 * 3.141592653589793) ** 0.5)).alias("density"))
 
 
 def bhattacharyya_overlap(df: DataFrame, era: str, a: str, b: str, xcol: str, ycol: str, grid: int = 100,
-                          max_points: int = MAX_KDE_POINTS, snap: int = 512) -> DataFrame:
+                          bins: int | None = None) -> DataFrame:
     """Overlap sum_g sqrt(p(g) q(g)) of the two eras' 2-D Gaussian KDEs
     (Scott factor n^(-1/6), sample covariance) on a grid x grid lattice over
     the pooled range padded by 1, each density normalised over the grid.
     Both columns are first z-scored on the pooled rows (population sigma).
-    Rows are reduced to distinct points with counts; the lattice is generated
-    per distinct point, so the work is grid^2 x distinct points."""
+    Rows are reduced to distinct points with counts (with ``bins``, of a
+    bins x bins lattice); each task adds its points up on the grid."""
     from pagelab.operators.scale import zscore_apply, zscore_fit
     x = df.where(F.col(era).isin(a, b)).select(era, F.col(xcol).cast("double").alias("x"), F.col(ycol).cast("double").alias("y"))
     x = zscore_apply(x, zscore_fit(x, ["x", "y"]), ["x", "y"])
@@ -235,21 +264,23 @@ def bhattacharyya_overlap(df: DataFrame, era: str, a: str, b: str, xcol: str, yc
     det = F.col("sx") * F.col("sy") - F.col("sxy") * F.col("sxy")
     st = st.select(era, (F.col("sy") / det).alias("ixx"), (F.col("sx") / det).alias("iyy"), (-F.col("sxy") / det).alias("ixy"))
     rg = x.agg((F.min("x") - 1).alias("x0"), (F.max("x") + 1).alias("x1"), (F.min("y") - 1).alias("y0"), (F.max("y") + 1).alias("y1"))
-    pts = x.groupBy(era, "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    if pts.count() > max_points:  # one scalar: binned KDE beyond the bound (snap x snap lattice)
-        xs = x.join(F.broadcast(rg), how="inner")  # one-row side
-        xs = xs.select(era, _snap(F.col("x"), F.col("x0") + 1, F.col("x1") - 1, snap).alias("x"),
-                       _snap(F.col("y"), F.col("y0") + 1, F.col("y1") - 1, snap).alias("y"))
-        pts = xs.groupBy(era, "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    pts = x
+    if bins:
+        pts = x.join(F.broadcast(rg), how="inner")  # one-row side
+        pts = pts.select(era, _snap(F.col("x"), F.col("x0") + 1, F.col("x1") - 1, bins).alias("x"),
+                         _snap(F.col("y"), F.col("y0") + 1, F.col("y1") - 1, bins).alias("y"))
+    pts = pts.groupBy(era, "x", "y").agg(F.count(F.lit(1)).alias("c"))
     j = pts.join(F.broadcast(st), era).join(F.broadcast(rg), how="inner")  # two-row and one-row sides
-    j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("k"))
-    gx = F.col("x0") + F.floor(F.col("k") / grid) * (F.col("x1") - F.col("x0")) / (grid - 1)
-    gy = F.col("y0") + (F.col("k") % grid) * (F.col("y1") - F.col("y0")) / (grid - 1)
-    dx, dy = gx - F.col("x"), gy - F.col("y")
-    q = dx * dx * F.col("ixx") + 2 * dx * dy * F.col("ixy") + dy * dy * F.col("iyy")
-    z = j.groupBy(era, "k").agg(F.sum(F.col("c") * F.exp(-0.5 * q)).alias("z"))
-    tot = z.groupBy(era).agg(F.sum("z").alias("_t"))
-    p = z.join(F.broadcast(tot), era).select(era, "k", (F.col("z") / F.col("_t")).alias("p"))
+    gi, gj = np.divmod(np.arange(grid * grid), grid)
+
+    def kernel(px, py, c, ixx, iyy, ixy, x0, x1, y0, y1):
+        dx = x0 + gi * (x1 - x0) / (grid - 1) - px
+        dy = y0 + gj * (y1 - y0) / (grid - 1) - py
+        return c * np.exp(-0.5 * (dx * dx * ixx + 2 * dx * dy * ixy + dy * dy * iyy))
+
+    z = _grid_sums(j, [era], ["x", "y", "c", "ixx", "iyy", "ixy", "x0", "x1", "y0", "y1"], grid * grid, kernel, step=64)
+    tot = z.groupBy(era).agg(F.sum("s").alias("_t"))
+    p = z.join(F.broadcast(tot), era).select(era, F.col("i").alias("k"), (F.col("s") / F.col("_t")).alias("p"))
     pa = p.where(F.col(era) == a).select("k", F.col("p").alias("pa"))
     pb = p.where(F.col(era) == b).select("k", F.col("p").alias("pb"))
     return pa.join(pb, "k").agg(F.sum(F.sqrt(F.col("pa") * F.col("pb"))).alias("bhattacharyya"))

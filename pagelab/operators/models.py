@@ -215,49 +215,45 @@ class KernelSVM:
 
 
 # ------------------------------------------------------------------ k-NN
-MAX_KNN_TRAIN = 50_000
-
-
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "embedding", label: str = "label",
-                 train_key: str = "vec_id", key: str = "vec_id", max_train: int = MAX_KNN_TRAIN) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean), majority vote (ties to the
-    smaller label) and the vote share of class 1.
-
-    The training side is checked against ``max_train`` rows and shipped to
-    the executors as one broadcast array; each test batch is scored with
-    vectorised numpy in ``mapInPandas`` (no join, no pair table)."""
-    n = train.count()
-    if n > max_train:
-        raise ValueError(f"k-NN training side has {n} rows > {max_train}; sample or block it first")
-    rows = train.select(train_key, label, vec).collect()  # bounded by max_train
-    spark = train.sparkSession
-    X = np.array([np.asarray(r[vec], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
-    y = np.array([int(r[label]) for r in rows])
-    ids = np.array([int(r[train_key]) for r in rows])
-    bc = spark.sparkContext.broadcast((X, y, ids))
-    kk = min(k, n)
-
-    def score(it):
-        import pandas as pd
-        Xt, yt, it_ids = bc.value
-        order0 = np.lexsort((it_ids,))  # tie order: training id
-        Xt, yt = Xt[order0], yt[order0]
-        x2 = (Xt * Xt).sum(axis=1)
-        for pdf in it:
-            if not len(pdf):
-                continue
-            Q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            preds, shares = [], []
-            for s0 in range(0, len(Q), 256):  # bounded memory: 256 x n_train distances
-                q = Q[s0:s0 + 256]
-                d = (q * q).sum(axis=1)[:, None] + x2[None, :] - 2.0 * (q @ Xt.T)
-                nn = np.argsort(d, axis=1, kind="stable")[:, :kk]
-                votes = yt[nn]
-                preds += [int(np.bincount(v).argmax()) for v in votes]
-                shares += list((votes == 1).mean(axis=1))
-            yield pd.DataFrame({key: pdf[key].values, "prediction": preds, "share_1": shares})
-
-    return test.select(key, vec).mapInPandas(score, f"{key} long, prediction int, share_1 double")
+                 train_key: str = "vec_id", key: str = "vec_id", block_rows: int = 4_096) -> DataFrame:
+    """Exact k nearest neighbours (Euclidean; ties by training key), majority
+    vote (ties to the smaller label) and the vote share of class 1.
+
+    Both sides are dealt into blocks of about ``block_rows`` rows; each pair of
+    blocks meets in one task, which sends on the k nearest of the block for each
+    test row; these are merged per test row. No side is ever whole in one place."""
+    n_train = max(1, math.ceil(train.count() / block_rows))
+    n_test = max(1, math.ceil(test.count() / block_rows))
+    t = train.select(F.col(train_key).cast("long").alias("_id"), F.col(label).cast("int").alias("_y"), F.col(vec).alias("_v"))
+    q = test.select(F.col(key).cast("long").alias("_id"), F.col(vec).alias("_v"))
+
+    def dealt(df, mine, n_mine, other, n_other):
+        df = df.withColumn(mine, F.pmod(F.xxhash64("_id"), F.lit(n_mine)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def nearest(tp, qp):
+        if not len(tp) or not len(qp):
+            return pd.DataFrame({"_id": [], "d": [], "t": [], "y": []})
+        tp = tp.sort_values("_id", kind="stable")
+        x = np.stack(tp["_v"]).astype(float)
+        rows = []
+        for i, v in zip(qp["_id"], qp["_v"]):
+            d = ((x - np.asarray(v, float)) ** 2).sum(axis=1)
+            near = np.argsort(d, kind="stable")[:k]
+            rows.append(pd.DataFrame({"_id": i, "d": d[near], "t": tp["_id"].to_numpy()[near], "y": tp["_y"].to_numpy()[near]}))
+        return pd.concat(rows)
+
+    met = (dealt(t, "_tb", n_train, "_qb", n_test).groupBy("_tb", "_qb")
+           .cogroup(dealt(q, "_qb", n_test, "_tb", n_train).groupBy("_tb", "_qb"))
+           .applyInPandas(nearest, "_id long, d double, t long, y int"))
+    # at most k rows per test row and training block
+    best = met.groupBy("_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "t", "y"))), 1, k).alias("_n"))
+    votes = F.transform("_n", lambda s: s["y"])
+    counts = F.transform(F.array_distinct(votes), lambda v: F.struct(
+        (-F.size(F.filter(votes, lambda w: w == v))).alias("c"), v.alias("y")))
+    return best.select(F.col("_id").alias(key), F.array_min(counts)["y"].alias("prediction"),
+                       (F.size(F.filter(votes, lambda v: v == 1)) / F.size("_n")).alias("share_1"))
 
 
 # ------------------------------------------------------------------ persistence

@@ -27,8 +27,8 @@ def hash_uniform(key, seed: int = 42):
 
 
 def exact_rank(df: DataFrame, order: str, groups: list[str] | None = None, out: str = "_rank",
-               n_ranges: int = 256, uniform01: bool = False) -> DataFrame:
-    """1-based rank of each row by ``order`` (unique within a group) inside
+               n_ranges: int = 256, uniform01: bool = False, tie: str | None = None) -> DataFrame:
+    """1-based rank of each row by ``order``, then ``tie`` (unique within a group), inside
     ``groups``; scalable: no window spans a whole group."""
     groups = list(groups or [])
     if uniform01:
@@ -45,7 +45,7 @@ def exact_rank(df: DataFrame, order: str, groups: list[str] | None = None, out:
     offsets = counts.select(*groups, "_rng", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     # offsets has (groups x ranges) rows: bounded by n_ranges per group
     x = x.join(F.broadcast(offsets), [*groups, "_rng"], "inner")
-    wr = Window.partitionBy(*groups, "_rng").orderBy(order)
+    wr = Window.partitionBy(*groups, "_rng").orderBy(order, *([tie] if tie else []))
     return x.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_ord", "_rng", "_off")
 
 
@@ -70,13 +70,13 @@ def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "page_id") -> DataFrame:
     """min(n, rows) seeded rows (top-n by hash: a per-partition top-k)."""
-    return df.withColumn("_u", hash_uniform(key, seed)).orderBy("_u").limit(n).drop("_u")
+    return df.withColumn("_u", hash_uniform(key, seed)).orderBy("_u", key).limit(n).drop("_u")
 
 
 def balanced_sample(df: DataFrame, n: int, label: str = "label", seed: int = 42,
                     key: str = "page_id") -> DataFrame:
     """N seeded rows per class (fewer if the class is smaller), shuffled."""
-    x = exact_rank(df.withColumn("_u", hash_uniform(key, seed)), "_u", [label], uniform01=True)
+    x = exact_rank(df.withColumn("_u", hash_uniform(key, seed)), "_u", [label], uniform01=True, tie=key)
     return x.where(F.col("_rank") <= n).drop("_rank").orderBy(hash_uniform(key, seed + 1)).drop("_u")
 
 
@@ -95,7 +95,7 @@ def stratified_split(df: DataFrame, test_frac: float | None = 0.2, train_size: i
     """Per class, the first round(test_frac * n_c) rows by hash are
     ``test`` (or, with ``train_size``, the class's proportional share of
     ``train_size`` rows is ``train``); the rest is the other side."""
-    x = exact_rank(df.withColumn("_u", hash_uniform(key, seed)), "_u", [label], uniform01=True)
+    x = exact_rank(df.withColumn("_u", hash_uniform(key, seed)), "_u", [label], uniform01=True, tie=key)
     cnt = class_counts(df, label)
     if train_size is not None:
         total = df.count()
@@ -112,7 +112,7 @@ def stratified_kfold(df: DataFrame, k: int = 5, label: str = "label", seed: int
                      key: str = "page_id", out: str = "fold") -> DataFrame:
     """fold = (rank inside class by hash - 1) mod k; classes are split
     evenly (fold sizes within a class differ by at most one)."""
-    x = exact_rank(df.withColumn("_u", hash_uniform(key, seed)), "_u", [label], uniform01=True)
+    x = exact_rank(df.withColumn("_u", hash_uniform(key, seed)), "_u", [label], uniform01=True, tie=key)
     return x.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_u", "_rank")
 
 

@@ -12,6 +12,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Tasks that read a text-heavy table in a local session (see sources.pages.table).
+SCAN_PARTITIONS = "spark.pagelab.scanPartitions"
+
 LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -20,6 +23,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # pages are large strings: keep Arrow batches small for pandas UDFs
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    SCAN_PARTITIONS: "8",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -43,12 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the cluster to a shared file system and is
-    used as is. Only when it is unset (local tests) do we pick a scratch
-    folder of our own.
+    used as is. Only in local mode (one machine) is a scratch folder picked
+    when it is unset; elsewhere an unset folder is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pagelab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

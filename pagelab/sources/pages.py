@@ -13,6 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelab.session import SCAN_PARTITIONS
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -26,28 +28,17 @@ CLASS_ALIASES = ["category", "Category", "Label", "label", "Class"]
 TEXT_TABLES = {"pages", "documents", "conversations"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given parquet tables; text-heavy tables are spread over at
-    least one task per core (see :func:`spread`)."""
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """One of the given parquet tables.
+
+    A scan has one task per file split, and a file of one row group cannot be
+    split. ``partitions``, or for text-heavy tables the session setting
+    ``spark.pagelab.scanPartitions``, deals the rows to so many tasks; where
+    neither is set (clusters) the scan stays as it is. The size of the data
+    plays no part."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work at least one task per core.
-
-    A scan yields one task per file split; a small file written as a single
-    row group yields ONE task, and the regex / DOM work of every page would
-    run on one core. When the scan has fewer partitions than the default
-    parallelism, rows are redistributed round-robin; on large inputs (many
-    splits) this is a no-op and adds no shuffle.
-    """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD view, e.g. a remote session): leave the scan as is
-        return df
-    return df.repartition(par) if n < par else df
+    n = partitions or (int(spark.conf.get(SCAN_PARTITIONS, "0")) if name in TEXT_TABLES else 0)
+    return df.repartition(n) if n else df
 
 
 def _first(df: DataFrame, names) -> str | None:

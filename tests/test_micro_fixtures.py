@@ -91,6 +91,80 @@ def test_implied_p_close(spark):
     assert dom.xpath_sequence(df).first().xpath_seq == "<body> <body/p> <body/p> <body/div>"
 
 
+@pytest.mark.parametrize("html, repaired, plain", [
+    ("<ul><li>a<li>b<li>c</ul>", "<li> <li> <li>", "<li> <li/li> <li/li/li>"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "<tr> <tr/td> <tr/td> <tr> <tr/td>",
+     "<tr> <tr/td> <tr/td/td> <tr/td/td/tr> <tr/td/td/tr/td>"),
+    ("<ul><li>a<ul><li>x<li>y</ul><li>b</ul>", "<li> <li/ul> <li/ul/li> <li/ul/li> <li>",
+     "<li> <li/ul> <li/ul/li> <li/ul/li/li> <li/li>"),
+    ("<select><option>1<option>2</select>", "<option> <option>", "<option> <option/option>"),
+    ("<dl><dt>a<dd>b<dt>c</dl>", "<dt> <dd> <dt>", "<dt> <dt/dd> <dt/dd/dt>"),
+    ("<div><p>a<b>b<p>c</div>", "<p> <p/b> <p>", "<p> <p/b> <p/b/p>"),
+    ("<table><tr><td><p>a<table><tr><td>b</table><p>c</table>",
+     "<tr> <tr/td> <tr/td/p> <tr/td/table> <tr/td/table/tr> <tr/td/table/tr/td> <tr/td/p>",
+     "<tr> <tr/td> <tr/td/p> <tr/td/p/table> <tr/td/p/table/tr> <tr/td/p/table/tr/td> <tr/td/p/p>"),
+    ("<my-card><x-foo></x-foo></my-card>", "<x-foo>", "<x-foo>"),
+    ('<div><a title="x>y"><b></b></a></div>', "<a> <a/b>", "<a> <a/b>"),
+    ("<div><a href=http://z.c/>hi<b></b></a></div>", "<a> <a/b>", "<a> <a/b>"),
+    ("<div><x-y/><br/><i a='1'/><u></u></div>", "<x-y> <br> <i> <u>", "<x-y> <br> <i> <u>"),
+])
+def test_implied_end_tags_in_both_modes(spark, html, repaired, plain):
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert dom.xpath_sequence(df).first().xpath_seq == repaired
+    assert dom.xpath_sequence(df, mode="plain").first().xpath_seq == plain
+
+
+def test_many_tags_keep_their_order(spark):
+    df = spark.createDataFrame([(1, "<div>" + "<p>a" * 700 + "</div>")], "page_id long, html string")
+    r = dom.xpath_sequence(df).first()
+    assert r.n_paths == 700 and set(r.xpath_seq.split(" ")) == {"<p>"}
+    assert dom.xpath_sequence(df, mode="plain").first().xpath_seq.split(" ")[299].count("p") == 300
+
+
+def test_visible_text_decodes_references(spark):
+    df = spark.createDataFrame([("<p>caf&eacute; a&nbsp;b &#233;c&#xA0;d &amp e</p>",)], "html string")
+    assert df.select(H.visible_text("html")).first()[0] == "caf a b c d amp e"
+    text = df.select(F.lit(1).alias("page_id"), F.lit("<b>&eacute;&nbsp;</b>").alias("html"))
+    assert dom.advanced_html_features(text).first().text_to_code_ratio == pytest.approx(1 / 21)
+
+
+def test_knn_in_blocks_is_exact(spark):
+    import numpy as np
+    from pagelab.operators import models
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(i, [float(v) for v in a], int(b)) for i, (a, b) in enumerate(zip(x, y))],
+                               "vec_id long, embedding array<double>, label int")
+    train, test = df.where("vec_id < 250"), df.where("vec_id >= 250")
+    for rows in (10_000, 60):
+        got = {r.vec_id: (r.prediction, r.share_1) for r in models.knn_classify(train, test, 5, block_rows=rows).collect()}
+        assert len(got) == 50
+        for i in range(250, 300):
+            d = ((x[:250] - x[i]) ** 2).sum(axis=1)
+            near = y[:250][np.argsort(d, kind="stable")[:5]]
+            assert got[i] == (int(np.bincount(near).argmax()), pytest.approx((near == 1).mean()))
+
+
+def test_checkpoint_folder_is_required_off_local_mode(monkeypatch):
+    from pagelab import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_idf(spark):
     df = spark.createDataFrame([(1, ["x"]), (2, ["y"]), (3, ["y"])], "page_id long, g array<string>")
     v = {r.term: r.idf for r in T.tfidf_fit(df, "page_id", "g", 10).collect()}
@@ -148,7 +222,7 @@ def test_exact_rank_matches_sort(spark):
 
 def test_keep_first(spark):
     df = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a"), ("v", 3, "c")], "url string, page_id int, html string")
-    r = {x.url: x.html for x in clean.keep_first(df, "url", ["page_id"]).collect()}
+    r = {x.url: x.html for x in clean.keep_first(df, "url", "page_id").collect()}
     assert r == {"u": "a", "v": "c"}
 
 
