@@ -31,13 +31,16 @@ unknown and scores by the uniform rest; repeated rows count as often as they occ
 
 from __future__ import annotations
 
+import functools
 import glob
 import math
 import mmap
 import os
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 from urllib.parse import urlparse
 
 import numpy as np
@@ -50,6 +53,7 @@ from pyspark.sql import functions as F
 from pagelab.llm.common import shared_path, small_batches
 
 SEED = 0
+BATCH_BYTES = 2 << 20  # text looked up at a time
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIP = "bucket int, payload binary"
 
@@ -63,8 +67,7 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return (raw.lower().split() if raw else []) + [b""]  # the empty word is the end mark
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
+word_hash = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
 # -- files: one per bucket, a header of eight 64-bit numbers and raw arrays ------
@@ -103,6 +106,8 @@ def _open(path: str, types: list[str]) -> dict[int, list[np.ndarray]]:
     """bucket -> mapped arrays."""
     out = {}
     for name in glob.glob(f"{glob.escape(_local(path))}/part-*"):
+        if not os.path.getsize(name):
+            continue  # of a partition without rows
         with open(name, "rb") as f:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         out[int(re.match(r"part-(\d+)", os.path.basename(name))[1])] = _unpack(data, types)
@@ -126,6 +131,12 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], (np.add.reduceat(counts, first) if len(first) else counts[:0])
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(first, append=len(keys))
+
+
 def _squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and counts in few bytes: gaps and counts as variable-length numbers."""
     gaps = np.diff(keys, prepend=np.uint64(0))
@@ -212,7 +223,7 @@ class Model:
             self._maps[key] = {
                 "w": _open(self.words, ["<u8", "<i8"]),
                 "b": _open(self.bigrams, ["<u8", "<u4", "<i8", "<u4", "<u4", "<u4"]) if self.bigrams else {},
-                "c": _open(self.continuations, ["<u4"]) if self.continuations else {}, "ids": {}}
+                "c": _open(self.continuations, ["<u4"]) if self.continuations else {}}
         return self._maps[key]
 
     # ids ------------------------------------------------------------------------
@@ -230,18 +241,12 @@ class Model:
                 counts[at[ok]] = n[i[ok]]
         return ids, counts
 
-    def ids_of(self, words: list[bytes], hold: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-        """(id, count) of each word; the last ``hold`` distinct words stay known."""
-        seen = self.maps()["ids"]
-        new = [w for w in dict.fromkeys(words) if w not in seen]
-        if len(seen) + len(new) > hold:
-            seen.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            ids, counts = self.lookup(np.fromiter(map(word_hash, new), np.uint64, len(new)))
-            seen.update(zip(new, zip(ids.tolist(), counts.tolist())))
-        pairs = np.array([seen[w] for w in words], np.int64)
-        return pairs[:, 0], pairs[:, 1]
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(id, count) of each word; each distinct word is looked up once."""
+        place: dict[bytes, int] = defaultdict(count().__next__)  # numbers words as they come
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        ids, counts = self.lookup(np.fromiter(map(word_hash, place), np.uint64, len(place)))
+        return ids[at], counts[at]
 
     # probabilities ----------------------------------------------------------------
     def unigram(self, ids: np.ndarray) -> np.ndarray:
@@ -292,7 +297,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[list[list[bytes]]]:
-    for b in small_batches(batches, column):
+    for b in small_batches(batches, column, BATCH_BYTES):
         yield [words_of(x.as_buffer().to_pybytes() if x.is_valid else None) for x in b.column(column)]
 
 
@@ -317,14 +322,13 @@ def train(docs: DataFrame, *, tokens_per_bucket: int = 4_000_000, words_per_buck
         return _emit([p[0] for p in parts], [_squeeze(k, c) for _, k, c in parts])
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: Counter = Counter()
         for texts in _texts(batches):
             for ws in texts:
-                for w in ws:
-                    held[w] = held.get(w, 0) + 1
+                held.update(ws)
             if len(held) > flush_words:
                 yield ship({word_hash(w): c for w, c in held.items()})
-                held = {}
+                held = Counter()
         if held:
             yield ship({word_hash(w): c for w, c in held.items()})
 
@@ -369,10 +373,10 @@ def train(docs: DataFrame, *, tokens_per_bucket: int = 4_000_000, words_per_buck
             held.append((left.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
             size += len(ids)
             if size > 4 * flush_words:
-                yield by_range(*_summed(np.concatenate(held), np.ones(size, np.int64)), 32)
+                yield by_range(*_counted(np.concatenate(held)), 32)
                 held, size = [], 0
         if size:
-            yield by_range(*_summed(np.concatenate(held), np.ones(size, np.int64)), 32)
+            yield by_range(*_counted(np.concatenate(held)), 32)
 
     def merge_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = _gathered(batches)
@@ -405,7 +409,7 @@ def train(docs: DataFrame, *, tokens_per_bucket: int = 4_000_000, words_per_buck
             for p in b.column(0).to_pylist():
                 if p in model.maps()["b"]:
                     right = model.maps()["b"][p][0] & _LOW
-                    yield by_range(*np.unique(right, return_counts=True), 0)
+                    yield by_range(*_counted(right), 0)
 
     def merge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = _gathered(batches)
@@ -447,14 +451,16 @@ def score_texts(model: Model, texts: list[list[bytes]]) -> dict[str, np.ndarray]
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` columns but the text, with n_tokens, n_known, train_tokens, base_score,
-    score (log10 probability of the whole text) and perplexity."""
-    names = [c for c in docs.columns if c != "text"]
+    score (log10 probability of the whole text) and perplexity; columns of those
+    names are replaced."""
+    made = ("text", "n_tokens", "n_known", "base_score", "score", "train_tokens", "perplexity")
+    names = [c for c in docs.columns if c not in made]
     src = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("binary").alias("text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "text")
-    out = f"{kept}, n_tokens bigint, n_known bigint, base_score double, score double"
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields if f.name in names)
+    out = f"{kept}n_tokens bigint, n_known bigint, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", BATCH_BYTES):
             texts = [words_of(x.as_buffer().to_pybytes() if x.is_valid else None) for x in b.column("text")]
             got = score_texts(model, texts)
             cols = [b.column(c) for c in names] + [pa.array(v) for v in got.values()]
