@@ -38,13 +38,15 @@ PRIMES = [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549
 
 
 def sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, h): words of the text and the permuting hash."""
+    """(doc_id, source, size, h, h2): words of the text, the permuting hash, and a
+    second one that names the row together with it."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(SPACE_WORD)), F.lit(0)).cast("bigint")
-    return docs.select("doc_id", "source", words.alias("size"), _hash(seed).alias("h"))
+    return docs.select("doc_id", "source", words.alias("size"), _hash(seed).alias("h"), _hash(seed + 9).alias("h2"))
 
 
 def _hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit("|"), F.col("source"), F.lit("|"), F.col("text"))
+    # nulls leave a hash as it is, so each column stands with its null flag
+    return F.xxhash64(F.lit(seed), *[x for c in ("doc_id", "source", "text") for x in (F.col(c).isNull(), F.col(c))])
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
@@ -141,7 +143,7 @@ def _count_upto(ends: Column, pos: Column) -> Column:
 def plan(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
          max_epochs: int = 2, block_words: int = 8192, shards: int = 16, seed: int = 7,
          rows_per_range: int = 20_000, max_broadcast: int = 100_000) -> DataFrame:
-    """(doc_id, source, size, h, source_size, target, copies): for each row the
+    """(doc_id, source, size, h, h2, source_size, target, copies): for each row the
     passes that take it, as an array of (epoch, shard)."""
     thin = checkpointed(sizes(docs, seed))
     n = thin.count()
@@ -175,7 +177,7 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float
     small = n_sources << bits <= max_broadcast
     off = F.broadcast(off) if small else off
     placed = within.join(off, F.col("source").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")))
-    placed = placed.select("doc_id", "source", "size", "h",
+    placed = placed.select("doc_id", "source", "size", "h", "h2",
                            (F.col("offset") + F.col("run") - F.col("size")).alias("before"))
     rows = placed.join(side(per.withColumnRenamed("source", "s3")), F.col("source").eqNullSafe(F.col("s3")))
     block = F.floor(F.col("before") / F.lit(block_words))
@@ -192,7 +194,7 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float
         taken = whole | ((F.lit(e) == F.col("full")) & in_part)
         # a last block may begin past the words of an all-empty tail: it stays inside the pass
         copies.append(F.when(taken, F.struct(F.lit(e).alias("epoch"), F.least(shard, F.lit(shards - 1)).alias("shard"))))
-    return rows.select("doc_id", "source", "size", "h", "source_size", "target",
+    return rows.select("doc_id", "source", "size", "h", "h2", "source_size", "target",
                        F.filter(F.array(*copies), lambda c: c.isNotNull()).alias("copies"))
 
 
@@ -200,15 +202,15 @@ def mix(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
     """The mixed rows: ``docs`` columns with shard, order_key, epoch; a document
     appears once for each pass that takes it. Texts move once, in one join."""
     names = docs.columns
-    h, ident, h2, copies, at, one = (fresh_name(names, x) for x in (
-        "_mix_hash", "_take_id", "_take_hash", "_copies", "_copy_no", "_copy"))
+    h, h2, ka, kb, copies, at, one = (fresh_name(names, x) for x in (
+        "_mix_a", "_mix_b", "_take_a", "_take_b", "_copies", "_copy_no", "_copy"))
     take = (plan(docs, seed=seed, **options).where(F.size("copies") > 0)
-            .groupBy("doc_id", "h").agg(F.flatten(F.collect_list("copies")).alias(copies))
-            .select(F.col("doc_id").alias(ident), F.col("h").alias(h2), copies))
-    met = docs.withColumn(h, _hash(seed)).join(
-        take, F.col("`doc_id`").eqNullSafe(F.col(ident)) & (F.col(h) == F.col(h2)))
+            .groupBy("h", "h2").agg(F.flatten(F.collect_list("copies")).alias(copies))
+            .select(F.col("h").alias(ka), F.col("h2").alias(kb), copies))
+    met = docs.withColumns({h: _hash(seed), h2: _hash(seed + 9)}).join(
+        take, (F.col(h) == F.col(ka)) & (F.col(h2) == F.col(kb)))
     # repeated rows share one list of copies: one row, then as many as the list says
-    out = (met.dropDuplicates(["doc_id", h])
+    out = (met.dropDuplicates([h, h2])
            .select(*[F.col(f"`{c}`") for c in names], h, F.posexplode(copies).alias(at, one)))
     extra = {"shard": F.col(f"{one}.shard"), "epoch": F.col(f"{one}.epoch"),
              "order_key": F.xxhash64(F.lit(seed + 2), h, at)}

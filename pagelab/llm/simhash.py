@@ -199,21 +199,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row of each class: the smallest doc_id (then the smallest text hash and
-    fingerprint), with the columns ``docs`` came with. Order: null ids come last.
+    """One row of each class: the smallest doc_id (then the smallest text hash),
+    with the columns ``docs`` came with. Order: null ids come last.
 
     Only ids, hashes and fingerprints take part in the search; the texts move
-    once, in the join that keeps the chosen rows."""
+    once, in the join that keeps the chosen rows by a 128-bit hash of id and text."""
     names = docs.columns
-    tkey = F.xxhash64(F.col("text"), F.lit(SEED))
-    thin = docs.select(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"),
-                                tkey.alias("t")).alias("who"),
-                       fingerprint_column(F.col("text"), width).alias("fp"))
-    thin = checkpointed(thin)
-    found = classes(thin, "who", max_bits)
-    t, one, two = (fresh_name(names, x) for x in ("_text_key", "_keep_id", "_keep_text"))
-    keep = found.select(F.col("component.id").alias(one), F.col("component.t").alias(two)).distinct()
-    left = docs.withColumn(t, tkey)
-    out = left.join(keep, F.col("`doc_id`").eqNullSafe(F.col(one)) & (F.col(t) == F.col(two)), "left_semi")
+    no, ident, text = F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")
+    one, two = (F.xxhash64(F.lit(seed), no, ident, text.isNull(), text) for seed in (1, 2))
+    thin = checkpointed(docs.select(F.struct(no.alias("no"), ident.alias("id"), one.alias("a"), two.alias("b")).alias("who"),
+                                    fingerprint_column(text, width).alias("fp")))
+    a, b, ka, kb = (fresh_name(names, x) for x in ("_hash_a", "_hash_b", "_keep_a", "_keep_b"))
+    keep = classes(thin, "who", max_bits).select(F.col("component.a").alias(ka), F.col("component.b").alias(kb)).distinct()
+    left = docs.withColumns({a: one, b: two})
+    out = left.join(keep, (F.col(a) == F.col(ka)) & (F.col(b) == F.col(kb)), "left_semi")
     # repeated rows meet in the join's partitions already: one of each stays
-    return out.dropDuplicates(["doc_id", t]).select(*[F.col(f"`{c}`") for c in names])
+    return out.dropDuplicates([a, b]).select(*[F.col(f"`{c}`") for c in names])
