@@ -14,23 +14,28 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
+                                       LogisticRegressionModel, MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelab.operators.sample import stratified_kfold
 
 # ---------------------------------------------------------------------------
-# Fixed hyper-parameters of the reference configurations
+# Fixed hyper-parameters of the reference configurations. (Spark has no "least
+# rows to split a node"; 5 of them are met as nearly by 1 row per leaf as by 2.)
 # ---------------------------------------------------------------------------
 RF_STRUCTURAL = dict(numTrees=200, maxDepth=20, minInstancesPerNode=1)
 RF_URL = dict(numTrees=100, maxDepth=15, minInstancesPerNode=1)
 GBT_STRUCTURAL = dict(maxIter=200, maxDepth=5, stepSize=0.1)
+GBT_XGB = dict(maxIter=200, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8")
 GBT_REGULARISED = dict(maxIter=250, maxDepth=8, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8")
 GBT_META = dict(maxIter=300, maxDepth=6, stepSize=0.05)
+GBT_URL_EXPERT = dict(maxIter=200, maxDepth=6, stepSize=0.1)
+GBT_HTML_EXPERT = dict(maxIter=200, maxDepth=8, stepSize=0.1)
+FEW_SHOT = dict(sizes=(10, 20, 50, 100, 200), seeds=5, trees=50, neighbours=5, old_rows=3000)
 MLP_LAYERS = [128, 64, 32]
 URL_EXPERT_COLS = 10
 # ---------------------------------------------------------------------------
@@ -45,22 +50,28 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def prepend(df: DataFrame, scalar: str, vector: str = "features", out: str = "features") -> DataFrame:
+    """``out`` = [scalar, *vector], of any vector width."""
+    return df.withColumn(out, array_to_vector(F.concat(F.array(F.col(scalar)), vector_to_array(F.col(vector)))))
+
+
 # ------------------------------------------------------------------ registry
 # execution settings only (no effect on the model definition): cache node ids
 # for deep trees and let each pass split more nodes
 TREE_EXEC = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
+BOOST_EXEC = dict(maxMemoryInMB=1024, checkpointInterval=10)  # shallow trees: no node ids to keep
 
 
 def _rf(**kw):
-    return RandomForestClassifier(seed=42, **{**TREE_EXEC, **RF_STRUCTURAL, **kw})
+    return RandomForestClassifier(**{"seed": 42, **TREE_EXEC, **RF_STRUCTURAL, **kw})
 
 
 def _gbt(**kw):
-    return GBTClassifier(seed=42, **{**TREE_EXEC, **GBT_STRUCTURAL, **kw})
+    return GBTClassifier(**{"seed": 42, **BOOST_EXEC, **GBT_STRUCTURAL, **kw})
 
 
 def _gbt_reg(**kw):
-    return GBTClassifier(seed=42, **{**TREE_EXEC, **GBT_REGULARISED, **kw})
+    return GBTClassifier(**{"seed": 42, **BOOST_EXEC, **GBT_REGULARISED, **kw})
 
 
 def _lr(**kw):
@@ -75,17 +86,20 @@ MODEL_REGISTRY = {
     "structural_rf": _rf,
     "url_rf": lambda **kw: _rf(**{**RF_URL, **kw}),
     "structural_gb": _gbt,
-    "structural_xgb": _gbt_reg,          # second-order booster re-aimed as regularised GBT
+    "structural_xgb": lambda **kw: _gbt_reg(**{**GBT_XGB, **kw}),  # second-order booster re-aimed as subsampled GBT
     "boosted_trees": _gbt_reg,           # the same class under a second name
     "logistic_regression": _lr,
     "structural_dnn": _mlp,
+    "structural_stacking": lambda n_features=163, **kw: FusionStack(n_features, "late", **kw),
+    "mid_fusion_xgb": lambda n_features=163, **kw: FusionStack(n_features, "mid", **kw),
+    "hybrid_svm_knn": lambda n_features=48, **kw: SvmKnn(n_features, **kw),
 }
 
 
 def create_model(name: str, **params):
     """M2: estimator by name; unknown names raise ValueError."""
     if name not in MODEL_REGISTRY:
-        raise ValueError(f"Unknown model: {name}. Available: {sorted(MODEL_REGISTRY)}")
+        raise ValueError(f"no estimator is registered as {name!r}; names: {', '.join(sorted(MODEL_REGISTRY))}")
     return MODEL_REGISTRY[name](**params)
 
 
@@ -103,6 +117,20 @@ def _slice(df, idx, out):
     return VectorSlicer(inputCol="features", outputCol=out, indices=list(idx)).transform(df)
 
 
+def _context():
+    return SparkSession.getActiveSession()
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    import uuid
+
+    from pagelab.session import scratch_path
+    path = scratch_path(df.sparkSession, f"ml_{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class FusionStack:
     """G4 (late fusion: meta = LR on [p_url, p_html]) and G5 (mid fusion:
     meta = GBT on [p_url, p_html] + raw features)."""
@@ -110,7 +138,8 @@ class FusionStack:
     def __init__(self, n_features: int, mode: str = "late", folds: int = 5, expert=None, meta=None,
                  key: str = "page_id", label: str = "label"):
         self.n, self.mode, self.folds, self.key, self.label = n_features, mode, folds, key, label
-        self.expert = expert or (lambda: _gbt())
+        # URL expert, HTML expert
+        self.expert = (expert, expert) if expert else (lambda: _gbt(**GBT_URL_EXPERT), lambda: _gbt(**GBT_HTML_EXPERT))
         self.meta = meta or (lambda: _lr() if mode == "late" else GBTClassifier(seed=42, **GBT_META))
 
     def _experts_fit(self, df):
@@ -118,9 +147,9 @@ class FusionStack:
         from concurrent.futures import ThreadPoolExecutor
         u = _slice(df, range(URL_EXPERT_COLS), "f_url")
         h = _slice(df, range(URL_EXPERT_COLS, self.n), "f_html")
-        eu = self.expert().setFeaturesCol("f_url").setLabelCol(self.label).setProbabilityCol("p_u") \
+        eu = self.expert[0]().setFeaturesCol("f_url").setLabelCol(self.label).setProbabilityCol("p_u") \
             .setPredictionCol("y_u").setRawPredictionCol("r_u")
-        eh = self.expert().setFeaturesCol("f_html").setLabelCol(self.label).setProbabilityCol("p_h") \
+        eh = self.expert[1]().setFeaturesCol("f_html").setLabelCol(self.label).setProbabilityCol("p_h") \
             .setPredictionCol("y_h").setRawPredictionCol("r_h")
         with ThreadPoolExecutor(max_workers=2) as ex:
             fu, fh = ex.submit(eu.fit, u), ex.submit(eh.fit, h)
@@ -146,8 +175,8 @@ class FusionStack:
         The folds are independent fits, submitted as concurrent Spark jobs
         from a small thread pool (``parallelism`` folds at a time)."""
         from concurrent.futures import ThreadPoolExecutor
-        # fold assignment is reused by every fold's filters: materialise it once
-        f = stratified_kfold(df, self.folds, self.label, key=self.key).persist()
+        # fold assignment is reused by every fold's filters: written once
+        f = _written(stratified_kfold(df, self.folds, self.label, key=self.key))
 
         def one(k):
             mu, mh = self._experts_fit(f.where(F.col("fold") != k))
@@ -157,14 +186,40 @@ class FusionStack:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out
+        return _written(out)
+
+    def _meta(self):
+        return self.meta().setFeaturesCol("meta_features").setLabelCol(self.label)
 
     def fit(self, df: DataFrame) -> "FusionStack":
-        oof = self.out_of_fold(df).persist()
-        self.meta_model = self.meta().setFeaturesCol("meta_features").setLabelCol(self.label).fit(self._meta_input(oof))
+        self.meta_model = self._meta().fit(self._meta_input(self.out_of_fold(df)))
         self.experts = self._experts_fit(df)
         return self
 
+    def out_of_fold_stack(self, df: DataFrame) -> DataFrame:
+        """Out-of-fold expert probabilities and, from meta models that did not
+        see the row either, the stack's own probability ``p_stack``."""
+        oof = self.out_of_fold(df)
+        parts = None
+        for k in range(self.folds):
+            m = self._meta().fit(self._meta_input(oof.where(F.col("fold") != k)))
+            part = m.transform(self._meta_input(oof.where(F.col("fold") == k)))
+            part = part.select(self.key, self.label, "fold", "p_url", "p_html", prob1().alias("p_stack"))
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+
+    def save(self, path: str) -> None:
+        """Write the fitted experts and the meta model below ``path``."""
+        for name, m in zip(("url", "html", "meta"), (*self.experts, self.meta_model)):
+            m.write().overwrite().save(f"{path}/{name}")
+
+    def load(self, path: str) -> "FusionStack":
+        """Read what ``save`` wrote into this (equally configured) stack."""
+        from pyspark.ml.util import DefaultParamsReader
+        url, html, meta = (DefaultParamsReader.loadParamsInstance(f"{path}/{n}", _context()) for n in ("url", "html", "meta"))
+        self.experts, self.meta_model = (url, html), meta
+        return self
+
     def transform(self, df: DataFrame) -> DataFrame:
         x = self._experts_apply(df, *self.experts)
         return self.meta_model.transform(self._meta_input(x))
@@ -193,26 +248,88 @@ def random_fourier(df: DataFrame, n_in: int, n_out: int = 100, gamma: float | No
     return df.withColumn(out, array_to_vector(project(vector_to_array(F.col(col)))))
 
 
+def scale_gamma(df: DataFrame, col: str = "features") -> float:
+    """1 / (columns x variance of all entries), the kernel width that follows the data."""
+    v = vector_to_array(F.col(col))
+    add = lambda f: F.aggregate(v, F.lit(0.0), lambda a, x: a + f(x))
+    r = df.select(F.size(v).alias("d"), add(lambda x: x).alias("s"), add(lambda x: x * x).alias("q")).agg(
+        F.max("d").alias("d"), F.sum("d").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
+    if not r["n"]:
+        return 1.0
+    var = r["q"] / r["n"] - (r["s"] / r["n"]) ** 2
+    return 1.0 / (r["d"] * var) if var > 0 else 1.0
+
+
 class KernelSVM:
     """RBF SVM re-aimed as random Fourier features + LinearSVC, with a
-    sigmoid (logistic) calibration of the margin for probabilities."""
+    sigmoid (logistic) calibration of the margin for probabilities. The kernel
+    width follows the variance of the training features."""
+
+    def __init__(self, n_in: int, n_out: int = 100, C: float = 1.0, label: str = "label", gamma: float | None = None):
+        self.n_in, self.n_out, self.C, self.label, self.gamma = n_in, n_out, C, label, gamma
 
-    def __init__(self, n_in: int, n_out: int = 100, C: float = 1.0, label: str = "label"):
-        self.n_in, self.n_out, self.C, self.label = n_in, n_out, C, label
+    def _mapped(self, df):
+        return random_fourier(df, self.n_in, self.n_out, self.gamma)
+
+    @staticmethod
+    def _margin(df):
+        return df.withColumn("_m", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
 
     def fit(self, df):
-        x = random_fourier(df, self.n_in, self.n_out).persist()  # reused by the SVM and its calibration
+        if self.gamma is None:
+            self.gamma = scale_gamma(df)
+        x = self._mapped(df)
         self.svm = LinearSVC(featuresCol="rff", labelCol=self.label, regParam=1.0 / (self.C * 100), maxIter=100).fit(x)
-        s = self.svm.transform(x).withColumn("_m", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
         self.cal = LogisticRegression(featuresCol="_m", labelCol=self.label, probabilityCol="svm_probability",
-                                      predictionCol="svm_prediction", rawPredictionCol="svm_raw").fit(s)
+                                      predictionCol="svm_prediction", rawPredictionCol="svm_raw").fit(
+            self._margin(self.svm.transform(x)))
         return self
 
     def transform(self, df):
-        x = self.svm.transform(random_fourier(df, self.n_in, self.n_out))
-        x = x.withColumn("_m", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
+        x = self._margin(self.svm.transform(self._mapped(df)))
         return self.cal.transform(x.drop("prediction", "rawPrediction")).withColumn("p_svm", prob1("svm_probability"))
 
+    def save(self, path: str) -> None:
+        self.svm.write().overwrite().save(f"{path}/svm")
+        self.cal.write().overwrite().save(f"{path}/calibration")
+        _context().createDataFrame([(self.n_in, self.n_out, float(self.gamma))], "n_in int, n_out int, gamma double") \
+            .write.mode("overwrite").parquet(f"{path}/kernel")
+
+    def load(self, path: str) -> "KernelSVM":
+        self.svm, self.cal = LinearSVCModel.load(f"{path}/svm"), LogisticRegressionModel.load(f"{path}/calibration")
+        r = _context().read.parquet(f"{path}/kernel").first()
+        self.n_in, self.n_out, self.gamma = r["n_in"], r["n_out"], r["gamma"]
+        return self
+
+
+class SvmKnn:
+    """Mean of the kernel SVM's probability and the k-NN vote share. The
+    training rows of the k-NN stay a table; they are written by ``save``."""
+
+    def __init__(self, n_in: int = 48, k: int = 5, key: str = "page_id", label: str = "label"):
+        self.svm, self.k, self.key, self.label = KernelSVM(n_in, label=label), k, key, label
+
+    def fit(self, df: DataFrame) -> "SvmKnn":
+        self.svm.fit(df)
+        self.train = df.select(self.key, self.label, vector_to_array("features").alias("v"))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = self.svm.transform(df)
+        near = knn_classify(self.train, df.select(self.key, vector_to_array("features").alias("v")), self.k, "v",
+                            self.label, self.key, self.key).select(self.key, "share_1")
+        x = x.join(near, self.key).withColumn("p1", (F.col("p_svm") + F.col("share_1")) / 2)
+        return x.withColumn("prediction", (F.col("p1") > 0.5).cast("int"))
+
+    def save(self, path: str) -> None:
+        self.svm.save(f"{path}/svm")
+        self.train.write.mode("overwrite").parquet(f"{path}/train")
+
+    def load(self, path: str) -> "SvmKnn":
+        self.svm.load(f"{path}/svm")
+        self.train = _context().read.parquet(f"{path}/train")
+        return self
+
 
 # ------------------------------------------------------------------ k-NN
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "embedding", label: str = "label",

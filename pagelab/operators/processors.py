@@ -137,5 +137,5 @@ PROCESSORS = {
 
 def get_processor(name: str, config: dict | None = None):
     if name not in PROCESSORS:
-        raise ValueError(f"Unknown processor: {name}. Available: {sorted(PROCESSORS)}")
+        raise ValueError(f"no processor is registered as {name!r}; names: {', '.join(sorted(PROCESSORS))}")
     return PROCESSORS[name](config)

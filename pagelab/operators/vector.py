@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +57,12 @@ def tfidf_in_row(grams: Column, terms: list[str], idfs: list[float]) -> Column:
     return bind(bind(grams, weights), normalise)
 
 
-def base_and_grams(df: DataFrame, key: str) -> DataFrame:
-    """One narrow pass: the 28 base columns and the five term lists per page."""
-    x = df.select(key, "url", "html", F.col("html").alias("_h"))
-    b = structural_base(x, keep=(key, "_h")).withColumnRenamed("_h", "html")
-    return _grams(b, key, keep=BASE_28)
+def base_and_grams(df: DataFrame, key: str, keep=()) -> DataFrame:
+    """One narrow pass: the 28 base columns (brand discrepancy by the sequence
+    ratio) and the five term lists per page."""
+    x = df.select(key, "url", "html", F.col("html").alias("_h"), *keep)
+    b = structural_base(x, keep=(key, "_h", *keep), brand="difflib").withColumnRenamed("_h", "html")
+    return _grams(b, key, keep=[*BASE_28, *keep])
 
 
 class StructuralModel:
@@ -75,34 +75,33 @@ class StructuralModel:
             names += [prefix + t for t, _ in self.vocabs[col]]
         return names
 
-    def vector(self, g: DataFrame) -> DataFrame:
+    def vector(self, g: DataFrame, keep=()) -> DataFrame:
         """Raw 163-column array from a frame holding the 28 base columns and
         the five term lists (see :func:`_grams`)."""
         clipped = [F.least(F.col(c), F.lit(float(u))) for c, u in zip(BASE_28, self.bounds)]
         blocks = [tfidf_in_row(F.col(col), [t for t, _ in self.vocabs[col]], [i for _, i in self.vocabs[col]])
                   for col, _, _ in BLOCKS]
-        return g.select(self.key, F.concat(F.array(*clipped), *blocks).alias("raw"))
+        return g.select(self.key, *keep, F.concat(F.array(*clipped), *blocks).alias("raw"))
 
-    def raw(self, df: DataFrame) -> DataFrame:
-        return self.vector(base_and_grams(df, self.key))
+    def raw(self, df: DataFrame, keep=()) -> DataFrame:
+        return self.vector(base_and_grams(df, self.key, keep), keep)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        r = self.raw(df)
+    def transform(self, df: DataFrame, keep=()) -> DataFrame:
+        """(key, keep columns, features): the z-scored vector of every page."""
+        r = self.raw(df, keep)
         m = F.array(*[F.lit(float(x)) for x in self.mean])
         s = F.array(*[F.lit(float(x)) for x in self.sd])
         z = F.zip_with(F.zip_with("raw", m, lambda x, a: x - a), s, lambda x, d: x / d)
-        return r.select(self.key, z.alias("features"))
+        return r.select(self.key, *keep, z.alias("features"))
 
-    def save(self, path: str) -> None:
-        os.makedirs(path, exist_ok=True)
-        with open(os.path.join(path, "state.json"), "w") as f:
-            json.dump({"bounds": self.bounds, "vocabs": self.vocabs, "mean": self.mean, "sd": self.sd,
-                       "key": self.key}, f)
+    def save(self, spark, path: str) -> None:
+        """Write the state as a one-row text table (any file system Spark writes)."""
+        state = json.dumps({"bounds": self.bounds, "vocabs": self.vocabs, "mean": self.mean, "sd": self.sd, "key": self.key})
+        spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
-    def load(cls, path: str) -> "StructuralModel":
-        with open(os.path.join(path, "state.json")) as f:
-            s = json.load(f)
+    def load(cls, spark, path: str) -> "StructuralModel":
+        s = json.loads(spark.read.text(path).first()["value"])  # one row: the bounded state
         return cls(s["bounds"], {k: [tuple(x) for x in v] for k, v in s["vocabs"].items()}, s["mean"], s["sd"], s["key"])
 
 

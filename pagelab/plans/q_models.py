@@ -2,39 +2,56 @@
 (explanation). Training is randomised or iterative: rows-only checks, except
 k-NN and the false-positive set, which have SQL oracles.
 
-Library defaults follow the reference hyper-parameters (e.g. 200 boosting
-rounds). The registered check queries run boosting with ``QUICK_ROUNDS``
-rounds so the whole registry stays quick on one machine.
+All models read one table per session and data folder: the 163 structural
+columns (clipped, TF-IDF blocks, z-scored by a featuriser fitted on all pages),
+written once to the shared folder. Hyper-parameters are the reference's.
 """
 
 from __future__ import annotations
 
+import math
 import time
+import uuid
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import PCA, HashingTF, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import PCA, HashingTF
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from pagelab.operators import evaluate as EV, explain as XP, models as M, sample as SA
 from pagelab.operators.features import BASE_28, structural_base
+from pagelab.operators.vector import StructuralFeaturizer
 from pagelab.plans import catalog
 from pagelab.plans.q_eval import MODELS
 from pagelab.plans.registry import register
 from pagelab.session import scratch_path
 from pagelab.sources import pages as P
 
-QUICK_ROUNDS = 30
-STACK_ROUNDS = 10   # per expert, 12 expert fits per stack
+#: (application, data folder) -> (path of the written features, column names)
+_FEATURES: dict[tuple[str, str], tuple[str, list[str]]] = {}
+_SHAPLEY: dict[tuple[str, str], str] = {}
 
 
-def _quick_gbt(**kw):
-    return GBTClassifier(seed=42, maxIter=STACK_ROUNDS, maxDepth=5, stepSize=0.1, **kw)
+def _features(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FEATURES:
+        p = catalog.pages(spark, sf)
+        model = StructuralFeaturizer().fit(p)
+        path = scratch_path(spark, f"features_{uuid.uuid4().hex}")
+        model.transform(p, keep=("label", "era")).write.parquet(path)
+        _FEATURES[key] = (path, model.feature_names())
+    return _FEATURES[key]
 
 
 def feats(spark, sf):
-    b = structural_base(catalog.pages(spark, sf), keep=("page_id", "label", "era"))
-    return M.assemble(b, BASE_28).persist()
+    """(page_id, label, era, features): the z-scored structural vector of every page,
+    one task per 20,000 rows: learners run thousands of short jobs over it."""
+    x = spark.read.parquet(_features(spark, sf)[0])
+    return x.withColumn("features", array_to_vector("features")).coalesce(max(1, math.ceil(x.count() / 20_000)))
+
+
+def names(spark, sf) -> list[str]:
+    return _features(spark, sf)[1]
 
 
 def split(df):
@@ -65,27 +82,25 @@ def q_rf(spark, sf):
 
 @register("gradient_boosting")
 def q_gb(spark, sf):
-    """Gradient-boosted trees (depth 5, lr 0.1; quick rounds)."""
-    return fit_eval(spark, sf, "structural_gb", M.create_model("structural_gb", maxIter=QUICK_ROUNDS))
+    """Gradient-boosted trees (200 rounds, depth 5, rate 0.1)."""
+    return fit_eval(spark, sf, "structural_gb", M.create_model("structural_gb"))
 
 
 @register("boosted_trees_regularised")
 def q_gbr(spark, sf):
-    """Boosted trees with 0.8 row / feature subsampling (quick rounds)."""
-    return fit_eval(spark, sf, "structural_xgb", M.create_model("structural_xgb", maxIter=QUICK_ROUNDS))
+    """Boosted trees with 0.8 row / feature subsampling (250 rounds, depth 8, rate 0.05)."""
+    return fit_eval(spark, sf, "boosted_trees", M.create_model("boosted_trees"))
 
 
 def _stack(spark, sf, mode):
     tr, te = split(feats(spark, sf))
-    st = M.FusionStack(28, mode, expert=_quick_gbt,
-                       meta=(lambda: LogisticRegression(maxIter=100)) if mode == "late" else
-                       (lambda: GBTClassifier(seed=42, maxIter=STACK_ROUNDS, maxDepth=6, stepSize=0.05))).fit(tr)
+    st = M.FusionStack(len(names(spark, sf)), mode).fit(tr)
     return metrics_row(st.transform(te).withColumn("p1", M.prob1()), f"{mode}_fusion_stack")
 
 
 @register("late_fusion_stack")
 def q_late(spark, sf):
-    """URL expert (cols 0-9) + HTML expert (10-27), 5-fold out-of-fold
+    """URL expert (cols 0-9) + HTML expert (the rest), 5-fold out-of-fold
     probabilities -> logistic regression."""
     return _stack(spark, sf, "late")
 
@@ -96,14 +111,14 @@ def q_mid(spark, sf):
     return _stack(spark, sf, "mid")
 
 
-def _experts(tr, te):
+def _experts(tr, te, n):
     u = M._slice(tr, range(10), "fu")
-    h = M._slice(tr, range(10, 28), "fh")
-    mu = M.create_model("url_rf", numTrees=50).setFeaturesCol("fu").setLabelCol("label").fit(u)
-    mh = M.create_model("structural_rf", numTrees=50).setFeaturesCol("fh").setLabelCol("label").fit(h)
-    x = M._slice(M._slice(te, range(10), "fu"), range(10, 28), "fh")
+    h = M._slice(tr, range(10, n), "fh")
+    mu = M.create_model("url_rf").setFeaturesCol("fu").setLabelCol("label").fit(u)
+    mh = M.create_model("structural_rf").setFeaturesCol("fh").setLabelCol("label").fit(h)
+    x = M._slice(M._slice(te, range(10), "fu"), range(10, n), "fh")
     pu = mu.transform(x).select("page_id", "label", M.prob1().alias("p_url"))
-    ph = mh.transform(M._slice(te, range(10, 28), "fh")).select("page_id", M.prob1().alias("p_html"))
+    ph = mh.transform(M._slice(te, range(10, n), "fh")).select("page_id", M.prob1().alias("p_html"))
     return pu.join(ph, "page_id")
 
 
@@ -112,7 +127,7 @@ def q_soft(spark, sf):
     """Logistic regression over the URL and HTML expert probabilities,
     trained on the held-out split; coefficients reported."""
     tr, te = split(feats(spark, sf))
-    j = M.assemble(_experts(tr, te), ["p_url", "p_html"], "pp")
+    j = M.assemble(_experts(tr, te, len(names(spark, sf))), ["p_url", "p_html"], "pp")
     lr = LogisticRegression(featuresCol="pp", labelCol="label").fit(j)
     c = lr.coefficients.toArray().tolist()
     return spark.createDataFrame([("p_url", float(c[0])), ("p_html", float(c[1])), ("intercept", float(lr.intercept))],
@@ -121,23 +136,22 @@ def q_soft(spark, sf):
 
 @register("kernel_svm")
 def q_svm(spark, sf):
-    """RBF SVM (random Fourier features + LinearSVC + calibration)."""
+    """RBF SVM (random Fourier features + LinearSVC + calibration) on the
+    z-scored vector, kernel width by its variance."""
     tr, te = split(feats(spark, sf))
-    m = M.KernelSVM(28).fit(tr)
+    m = M.KernelSVM(len(names(spark, sf))).fit(tr)
     out = m.transform(te).withColumn("p1", F.col("p_svm")).withColumn("prediction", F.col("svm_prediction"))
     return metrics_row(out, "kernel_svm")
 
 
 @register("soft_vote_svm_knn")
 def q_vote(spark, sf):
-    """Mean of the SVM probability and the 5-NN class-1 vote share."""
-    tr, te = split(feats(spark, sf))
-    svm = M.KernelSVM(28).fit(tr).transform(te).select("page_id", "label", "p_svm")
-    knn = M.knn_classify(tr.select("page_id", "label", vector_to_array("features").alias("v")),
-                         te.select("page_id", vector_to_array("features").alias("v")), 5, "v", "label",
-                         "page_id", "page_id").select("page_id", "share_1")
-    j = svm.join(knn, "page_id").withColumn("p1", (F.col("p_svm") + F.col("share_1")) / 2)
-    return metrics_row(j.withColumn("prediction", (F.col("p1") > 0.5).cast("int")), "hybrid_svm_knn")
+    """Mean of the SVM probability and the 5-NN class-1 vote share, on the 48
+    manual URL columns."""
+    from pagelab.functions import url as U
+    p = catalog.pages(spark, sf).select("page_id", "label", array_to_vector(U.manual_vector("url", 48)).alias("features"))
+    tr, te = split(p)
+    return metrics_row(M.create_model("hybrid_svm_knn").fit(tr).transform(te), "hybrid_svm_knn")
 
 
 _KNN_TRAIN = "tr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 20)"
@@ -162,33 +176,38 @@ def q_knn(spark, sf):
 
 @register("dense_network")
 def q_mlp(spark, sf):
-    """128-64-32 perceptron on min-max scaled base features."""
+    """128-64-32 perceptron on the min-max scaled structural vector."""
     from pyspark.ml.feature import MinMaxScaler
     tr, te = split(feats(spark, sf))
     sc = MinMaxScaler(inputCol="features", outputCol="scaled").fit(tr)
-    m = M.create_model("structural_dnn").setFeaturesCol("scaled").setLabelCol("label").fit(sc.transform(tr))
+    m = M.create_model("structural_dnn", n_features=len(names(spark, sf))).setFeaturesCol("scaled").setLabelCol("label").fit(sc.transform(tr))
     return metrics_row(m.transform(sc.transform(te)).withColumn("p1", M.prob1()), "structural_dnn")
 
 
 @register("meta_logreg")
 def q_meta(spark, sf):
-    """Logistic regression on [base probability, features] (transfer)."""
-    tr, te = split(feats(spark, sf))
-    base = M.create_model("structural_rf", numTrees=50).setLabelCol("label").fit(tr)
+    """Logistic regression on [base probability, features]: the base model is
+    fitted on the old era, the transfer model on a part of the new one."""
+    x = feats(spark, sf)
+    tr, te = split(x.where("era = 'new'"))
+    base = M.create_model("structural_rf").setLabelCol("label").fit(x.where("era = 'old'"))
+
     def add(df):
         x = base.transform(df).withColumn("pb", M.prob1()).drop("prediction", "probability", "rawPrediction")
-        return M.assemble(x.withColumnRenamed("features", "f0"), ["pb", "f0"])
+        return M.prepend(x, "pb")
     lr = LogisticRegression(labelCol="label", maxIter=100).fit(add(tr))
     return metrics_row(lr.transform(add(te)).withColumn("p1", M.prob1()), "meta_logreg")
 
 
 @register("sequence_baseline")
 def q_seq(spark, sf):
-    """Hashed URL sub-word and character-id counts -> logistic regression."""
+    """Hashed URL sub-words, character ids and hybrid HTML tokens -> logistic regression."""
     from pagelab.operators import text as T
     p = catalog.pages(spark, sf)
-    x = p.select("page_id", "label", F.concat(T.url_subword_tokens("url"),
-                                              F.transform(T.url_char_ids("url"), lambda i: F.concat(F.lit("c"), i.cast("string")))).alias("toks"))
+    x = p.select("page_id", "label", F.concat(
+        T.url_subword_tokens("url"),
+        F.transform(T.url_char_ids("url"), lambda i: F.concat(F.lit("c"), i.cast("string"))),
+        F.transform(T.hybrid_tokens("html"), lambda t: F.concat(F.lit("h"), t))).alias("toks"))
     x = HashingTF(inputCol="toks", outputCol="features", numFeatures=1 << 12).transform(x)
     tr, te = split(x)
     m = LogisticRegression(labelCol="label", maxIter=100).fit(tr)
@@ -199,7 +218,7 @@ def q_seq(spark, sf):
 def q_persist(spark, sf):
     """Save a fitted pipeline to the shared folder, load it, score."""
     b = structural_base(catalog.pages(spark, sf), keep=("page_id", "label"))
-    pm = M.fit_pipeline(b, BASE_28, M.create_model("structural_rf", numTrees=20).setLabelCol("label"))
+    pm = M.fit_pipeline(b, BASE_28, M.create_model("structural_rf").setLabelCol("label"))
     path = scratch_path(spark, f"model_rf_{int(time.time() * 1000)}")
     M.save_pipeline(pm, path)
     return M.load_pipeline(path).transform(b).select("page_id", F.col("prediction").cast("int").alias("prediction"),
@@ -208,28 +227,33 @@ def q_persist(spark, sf):
 
 @register("cv_metrics")
 def q_cv(spark, sf):
-    """5-fold metrics; numeric metrics averaged, confusion from fold 1."""
+    """5-fold metrics; numeric metrics averaged, confusion cells of fold 1."""
     from concurrent.futures import ThreadPoolExecutor
-    f = SA.stratified_kfold(feats(spark, sf), 5).persist()
+    f = M._written(SA.stratified_kfold(feats(spark, sf), 5))
 
     def fold(k):  # independent fits, submitted as concurrent Spark jobs
-        m = M.create_model("structural_rf", numTrees=50).setLabelCol("label").fit(f.where(F.col("fold") != k))
-        return metrics_row(m.transform(f.where(F.col("fold") == k)).withColumn("p1", M.prob1()), "structural_rf") \
-            .withColumn("fold", F.lit(k))
+        m = M.create_model("structural_rf").setLabelCol("label").fit(f.where(F.col("fold") != k))
+        p = m.transform(f.where(F.col("fold") == k)).withColumn("p1", M.prob1())
+        p = p.select("label", F.col("prediction").cast("int").alias("prediction"), "p1")
+        c = EV.metrics_from_counts(EV.confusion_counts(p)).join(EV.roc_auc(p, score="p1"), how="inner")  # one-row sides
+        return c.withColumn("fold", F.lit(k))
     with ThreadPoolExecutor(max_workers=5) as ex:
         parts = list(ex.map(fold, range(5)))
     rows = parts[0]
     for r in parts[1:]:
         rows = rows.unionByName(r)
-    return rows.groupBy("model").agg(*[F.avg(c).alias(c) for c in ["accuracy", "f1_weighted", "roc_auc"]],
-                                     F.count(F.lit(1)).alias("folds"))
+    averaged = ["accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "roc_auc"]
+    return rows.groupBy(F.lit("structural_rf").alias("model")).agg(
+        *[F.avg(c).alias(c) for c in averaged],
+        *[F.max(F.when(F.col("fold") == 0, F.col(c))).cast("long").alias(f"fold1_{c}") for c in ("tn", "fp", "fn", "tp")],
+        F.count(F.lit(1)).alias("folds"))
 
 
 @register("out_of_fold_predict")
 def q_oof(spark, sf):
-    """Out-of-fold expert probabilities for every row (5 folds)."""
-    st = M.FusionStack(28, "late", expert=lambda: M.create_model("structural_rf", numTrees=30))
-    return st.out_of_fold(feats(spark, sf)).select("page_id", "label", "fold", "p_url", "p_html")
+    """Out-of-fold probabilities of both experts and of the stack, for every row."""
+    st = M.FusionStack(len(names(spark, sf)), "late", expert=lambda: M.create_model("structural_rf"))
+    return st.out_of_fold_stack(feats(spark, sf)).select("page_id", "label", "fold", "p_url", "p_html", "p_stack")
 
 
 @register("leaderboard")
@@ -247,15 +271,34 @@ def q_lb(spark, sf):
 
 @register("ood_leaderboard")
 def q_ood(spark, sf):
-    """Models fitted on the old era, applied to the new era."""
-    x = feats(spark, sf)
-    tr, te = x.where("era = 'old'"), x.where("era = 'new'")
+    """Processors and models fitted on the old era, saved, loaded and applied
+    to the new era; a model that fails has a row with its error and no figures."""
+    p = catalog.pages(spark, sf)
+    old, new = p.where("era = 'old'"), p.where("era = 'new'")
+    root = scratch_path(spark, f"ood_{uuid.uuid4().hex}")
+    StructuralFeaturizer().fit(old).save(spark, f"{root}/processor")
+    from pagelab.operators.vector import StructuralModel
+    proc = StructuralModel.load(spark, f"{root}/processor")
+    n = len(proc.feature_names())
+
+    def table(df):
+        x = proc.transform(df, keep=("label",))
+        return M._written(x).withColumn("features", array_to_vector("features"))
+    tr, te = table(old), table(new)
     out = None
-    for name, est in [("structural_rf", M.create_model("structural_rf", numTrees=50)),
-                      ("logistic_regression", M.create_model("logistic_regression")),
-                      ("structural_gb", M.create_model("structural_gb", maxIter=QUICK_ROUNDS))]:
-        m = est.setLabelCol("label").fit(tr)
-        r = metrics_row(m.transform(te).withColumn("p1", M.prob1()), name)
+    for name in ("structural_rf", "structural_gb", "structural_xgb", "logistic_regression", "structural_stacking", "mid_fusion_xgb"):
+        try:
+            if name in ("structural_stacking", "mid_fusion_xgb"):
+                M.create_model(name, n_features=n).fit(tr).save(f"{root}/{name}")
+                model = M.create_model(name, n_features=n).load(f"{root}/{name}")
+            else:
+                from pyspark.ml.util import DefaultParamsReader
+                M.create_model(name).setLabelCol("label").fit(tr).write().overwrite().save(f"{root}/{name}")
+                model = DefaultParamsReader.loadParamsInstance(f"{root}/{name}", spark)
+            r = metrics_row(model.transform(te).withColumn("p1", M.prob1()), name).withColumn("error", F.lit(None).cast("string"))
+        except Exception as e:  # noqa: BLE001  told in the result; the other models go on
+            r = spark.createDataFrame([(name, *[None] * 5, type(e).__name__)], "model string, accuracy double, f1_weighted double, "
+                                      "precision_weighted double, recall_weighted double, roc_auc double, error string")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -266,7 +309,7 @@ def q_cross(spark, sf):
     x = feats(spark, sf)
     out = None
     for a in ("old", "new"):
-        m = M.create_model("structural_rf", numTrees=50).setLabelCol("label").fit(x.where(F.col("era") == a))
+        m = M.create_model("structural_rf").setLabelCol("label").fit(x.where(F.col("era") == a))
         for b in ("old", "new"):
             r = metrics_row(m.transform(x.where(F.col("era") == b)).withColumn("p1", M.prob1()), "structural_rf") \
                 .select(F.lit(a).alias("train_era"), F.lit(b).alias("test_era"), "accuracy", "f1_weighted", "roc_auc")
@@ -274,43 +317,61 @@ def q_cross(spark, sf):
     return out
 
 
+def _accuracy(pred):
+    return pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()["a"]
+
+
 def _curve(spark, sf, mixed: bool):
-    """Accuracy per (N, seed) training set; the independent fits run as
-    concurrent Spark jobs from a small thread pool."""
+    """Accuracy per (N, seed, method); the independent fits run as concurrent
+    Spark jobs from a small thread pool. A size that leaves no test row is left out."""
     from concurrent.futures import ThreadPoolExecutor
-    x = feats(spark, sf)
-    new = x.where("era = 'new'")
-    old = x.where("era = 'old'")
-
-    def run(n_seed):
-        n, seed = n_seed
-        tr = SA.balanced_sample(new, n // 2, seed=seed)
+    x, n_in, par = feats(spark, sf), len(names(spark, sf)), M.FEW_SHOT
+    old, new = x.where("era = 'old'"), x.where("era = 'new'")
+    base = M.create_model("structural_rf").setLabelCol("label").fit(old)
+    scored = base.transform(new).withColumn("pb", M.prob1()).drop("prediction", "probability", "rawPrediction")
+    meta = M._written(M.prepend(scored.withColumnRenamed("features", "raw"), "pb", "raw"))
+    n_new = meta.count()
+    tasks = max(1, math.ceil(n_new / 20_000))
+    meta = meta.coalesce(tasks)
+
+    def run(task):
+        n, seed = task
+        s = M._written(SA.stratified_split(meta, train_size=n, seed=seed)).coalesce(tasks)
+        tr, te = s.where("split = 'train'"), s.where("split = 'test'")
+        raw = lambda df: df.drop("features").withColumnRenamed("raw", "features")
+        forest = M.create_model("structural_rf", numTrees=par["trees"], maxDepth=20, seed=seed)
+        got = {}
         if mixed:
-            tr = tr.unionByName(SA.sample_n(old, 60, seed))
-        te = new.join(tr.select("page_id"), "page_id", "left_anti")
-        try:
-            m = M.create_model("structural_rf", numTrees=30).setLabelCol("label").fit(tr)
-            acc = metrics_row(m.transform(te).withColumn("p1", M.prob1()), "rf").first()["accuracy"]
-        except Exception:  # noqa: BLE001  failed runs are skipped by the mean
-            acc = None
-        return (n, seed, "rf_mixed" if mixed else "rf_scratch", acc)
-
-    grid = [(n, seed) for n in (10, 20, 50) for seed in (1, 2)]
-    with ThreadPoolExecutor(max_workers=3) as ex:
-        rows = list(ex.map(run, grid))
+            more = SA.sample_n(old, par["old_rows"], seed).select("page_id", "label", "features")
+            both = raw(tr).select("page_id", "label", "features").unionByName(more)
+            return [(n, seed, "rf_mixed", _accuracy(forest.setLabelCol("label").fit(both).transform(raw(te))))]
+        got["rf_scratch"] = _accuracy(forest.setLabelCol("label").fit(raw(tr)).transform(raw(te)))
+        got["meta_lr"] = _accuracy(LogisticRegression(labelCol="label", maxIter=1000).fit(tr).transform(te))
+        svm = M.KernelSVM(n_in + 1).fit(tr).transform(te)
+        got["meta_svm"] = _accuracy(svm.select("label", F.col("svm_prediction").alias("prediction")))
+        v = lambda df: raw(df).select("page_id", "label", vector_to_array("features").alias("v"))
+        near = M.knn_classify(v(tr), v(te), min(par["neighbours"], n), "v", "label", "page_id", "page_id")
+        got["knn"] = _accuracy(near.join(te.select("page_id", "label"), "page_id"))
+        return [(n, seed, k, a) for k, a in got.items()]
+
+    grid = [(n, seed) for n in par["sizes"] if n < n_new for seed in range(3 if mixed else par["seeds"])]
+    with ThreadPoolExecutor(max_workers=4) as ex:
+        rows = [r for part in ex.map(run, grid) for r in part]
     long = spark.createDataFrame(rows, "n_samples int, seed int, method string, accuracy double")
-    return long.groupBy("n_samples").pivot("method").agg(F.avg("accuracy"))
+    methods = ["rf_mixed"] if mixed else ["knn", "meta_lr", "meta_svm", "rf_scratch"]
+    return long.groupBy("n_samples").pivot("method", methods).agg(F.avg("accuracy"))
 
 
 @register("few_shot_curve")
 def q_fewshot(spark, sf):
-    """Accuracy vs N new-era training rows (mean over seeds, pivoted)."""
+    """Accuracy vs N new-era training rows, five seeds and four methods: a
+    forest from scratch, and logistic regression, SVM and k-NN on top of the old era."""
     return _curve(spark, sf, False)
 
 
 @register("mixed_retrain_curve")
 def q_mixed_curve(spark, sf):
-    """As H18 with old rows added to every training set."""
+    """A forest on N new rows and up to 3,000 old ones, three seeds."""
     return _curve(spark, sf, True)
 
 
@@ -318,7 +379,7 @@ def q_mixed_curve(spark, sf):
 def q_tp(spark, sf):
     """Milliseconds per scored row (timed noop write of the scoring job)."""
     x = feats(spark, sf)
-    m = M.create_model("structural_rf", numTrees=50).setLabelCol("label").fit(x)
+    m = M.create_model("structural_rf").setLabelCol("label").fit(x)
     n = x.count()
     t0 = time.time()
     m.transform(x).write.format("noop").mode("overwrite").save()
@@ -328,15 +389,16 @@ def q_tp(spark, sf):
 
 @register("param_search")
 def q_ps(spark, sf):
-    """3-fold cross-validated accuracy over a small grid, best kept."""
+    """3-fold cross-validated accuracy over a grid of trees and depth; the best trial is marked."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     rf = M.create_model("structural_rf").setLabelCol("label")
-    grid = ParamGridBuilder().addGrid(rf.numTrees, [20, 50]).addGrid(rf.maxDepth, [5, 10]).build()
+    grid = ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [10, 20]).build()
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, numFolds=3, seed=42, parallelism=4,
                         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")).fit(feats(spark, sf))
-    rows = [(int(pm[rf.numTrees]), int(pm[rf.maxDepth]), float(a)) for pm, a in zip(grid, cv.avgMetrics)]
-    return spark.createDataFrame(rows, "num_trees int, max_depth int, cv_accuracy double")
+    best = max(range(len(grid)), key=lambda i: (cv.avgMetrics[i], -i))
+    rows = [(int(pm[rf.numTrees]), int(pm[rf.maxDepth]), float(a), i == best) for i, (pm, a) in enumerate(zip(grid, cv.avgMetrics))]
+    return spark.createDataFrame(rows, "num_trees int, max_depth int, cv_accuracy double, best boolean")
 
 
 @register("pca")
@@ -353,73 +415,80 @@ def q_pca(spark, sf):
 @register("select_by_importance")
 def q_sel(spark, sf):
     """features whose booster importance is at least the median."""
-    x = feats(spark, sf)
-    m = M.create_model("structural_gb", maxIter=QUICK_ROUNDS).setLabelCol("label").fit(x)
-    imp = list(m.featureImportances.toArray())
-    med = sorted(imp)[len(imp) // 2] if len(imp) % 2 else sum(sorted(imp)[len(imp) // 2 - 1:len(imp) // 2 + 1]) / 2
-    keep = [i for i, v in enumerate(imp) if v >= med]
-    s = VectorSlicer(inputCol="features", outputCol="selected", indices=keep).transform(x)
-    return s.select("page_id", F.size(vector_to_array("selected")).alias("n_selected"))
+    m = M.create_model("structural_gb").setLabelCol("label").fit(feats(spark, sf))
+    imp = [float(v) for v in m.featureImportances.toArray()]
+    order = sorted(imp)
+    med = (order[(len(imp) - 1) // 2] + order[len(imp) // 2]) / 2
+    rows = [(i, n, v, v >= med) for i, (n, v) in enumerate(zip(names(spark, sf), imp))]
+    return spark.createDataFrame(rows, "idx int, feature string, importance double, selected boolean")
 
 
 # ======================================================================= J
 def _rf_model(spark, sf):
     x = feats(spark, sf)
-    return x, M.create_model("structural_rf", numTrees=50).setLabelCol("label").fit(x)
+    return x, M.create_model("structural_rf").setLabelCol("label").fit(x)
 
 
 @register("feature_importance")
 def q_imp(spark, sf):
     """Ranked importances of a random forest."""
     _, m = _rf_model(spark, sf)
-    return XP.feature_importance(spark, m, BASE_28)
+    return XP.feature_importance(spark, m, names(spark, sf))
 
 
-def _shap(spark, sf, n_rows=None):
-    x, m = _rf_model(spark, sf)
-    return x, m, XP.shapley_sampling(x, m, BASE_28, key="page_id", n_perm=8, n_background=5)
+def _shap(spark, sf):
+    """J2 of all pages, written once per session: ranking and dependence read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SHAPLEY:
+        x, m = _rf_model(spark, sf)
+        path = scratch_path(spark, f"shapley_{uuid.uuid4().hex}")
+        XP.shapley_sampling(x, m, names(spark, sf), key="page_id", n_perm=8, n_background=5).write.parquet(path)
+        _SHAPLEY[key] = path
+    return spark.read.parquet(_SHAPLEY[key])
 
 
 @register("shapley_sampling")
 def q_shap(spark, sf):
     """Monte-Carlo permutation Shapley values per row and feature."""
-    return _shap(spark, sf)[2]
+    return _shap(spark, sf)
 
 
 @register("shap_global_ranking")
 def q_shap_rank(spark, sf):
     """Mean |contribution| per feature and era, top 15."""
-    x, m, s = _shap(spark, sf)
-    return XP.global_ranking(s.join(x.select("page_id", "era"), "page_id"), ["era"], 15)
+    return XP.global_ranking(_shap(spark, sf).join(feats(spark, sf).select("page_id", "era"), "page_id"), ["era"], 15)
 
 
 @register("shap_dependence")
 def q_shap_dep(spark, sf):
     """Value vs contribution of the top-ranked feature."""
-    x, m, s = _shap(spark, sf)
+    s = _shap(spark, sf)
     top = XP.global_ranking(s, [], 1).first()["feature"]  # one name
-    vals = SA.blind_features(x, []).select("page_id", F.col(top).alias("value"))
+    vals = feats(spark, sf).select("page_id", vector_to_array("features")[names(spark, sf).index(top)].alias("value"))
     return s.where(F.col("feature") == top).join(vals, "page_id").select("page_id", "feature", "value", "contribution")
 
 
 @register("shap_local")
 def q_shap_local(spark, sf):
-    """Contributions of the first row predicted positive, with the base value."""
-    x, m, s = _shap(spark, sf)
-    pos = m.transform(x).where("prediction = 1").agg(F.min("page_id").alias("page_id"))
-    return s.join(pos, "page_id").select("page_id", "feature", "contribution", "base_value")
+    """Contributions of the first row predicted positive, with the base value;
+    no other row is explained."""
+    x, m = _rf_model(spark, sf)
+    first = m.transform(x).where("prediction = 1").agg(F.min("page_id").alias("_first"))  # one row
+    row = x.join(F.broadcast(first), F.col("page_id") == F.col("_first"), "left_semi")
+    return XP.shapley_sampling(row, m, names(spark, sf), key="page_id", n_perm=8, n_background=5, background=x) \
+        .select("page_id", "feature", "contribution", "base_value")
 
 
 @register("expert_attribution")
 def q_expert_attr(spark, sf):
-    """Shapley ranking of the stack's meta inputs (p_url, p_html)."""
-    x = feats(spark, sf)
-    st = M.FusionStack(28, "late", expert=lambda: M.create_model("structural_rf", numTrees=30))
-    oof = st.out_of_fold(x).drop("features")
-    meta_in = M.assemble(oof, ["p_url", "p_html"])
-    lr = LogisticRegression(labelCol="label").fit(meta_in)
-    s = XP.shapley_sampling(meta_in, lr, ["p_url", "p_html"], key="page_id", n_perm=8, n_background=5)
-    return XP.global_ranking(s, [], 2)
+    """Shapley ranking of the mid-fusion meta model's inputs: both expert
+    probabilities and the structural columns."""
+    x, cols = feats(spark, sf), names(spark, sf)
+    st = M.create_model("mid_fusion_xgb", n_features=len(cols))
+    inputs = st._meta_input(st.out_of_fold(x)).select("page_id", "label", F.col("meta_features").alias("features"))
+    meta = M.GBTClassifier(seed=42, **M.GBT_META).setLabelCol("label").fit(inputs)
+    s = XP.shapley_sampling(inputs, meta, ["p_url", "p_html", *cols], key="page_id", n_perm=8, n_background=5)
+    return XP.global_ranking(s, [], 15)
 
 
 @register("false_positive_set", sql=f"""WITH {MODELS}
@@ -433,7 +502,7 @@ def q_fp(spark, sf):
 
 @register("domain_shift_overlap")
 def q_shift_overlap(spark, sf):
-    """I5 (full form): pooled z-scoring of the 28 base columns, PCA to two
+    """I5 (full form): pooled z-scoring of the structural vector, PCA to two
     components, then the 2-D KDE overlap of the eras on those components."""
     from pyspark.ml.feature import StandardScaler
     from pagelab.operators import drift as DR

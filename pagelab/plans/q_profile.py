@@ -109,8 +109,9 @@ def q_vec163(spark, sf):
     p = catalog.pages(spark, sf)
     model = StructuralFeaturizer().fit(p.where("era = 'old'"))
     out = model.transform(p)
-    return out.select("page_id", F.size("features").alias("dim"),
-                      F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("feature_sum"))
+    names = F.array(*[F.lit(n) for n in model.feature_names()])
+    pairs = F.arrays_zip(names.alias("name"), F.col("features").alias("value"))
+    return out.select("page_id", F.posexplode(pairs).alias("idx", "p")).select("page_id", "idx", "p.name", "p.value")
 
 
 @register("feature_names")
