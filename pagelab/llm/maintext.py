@@ -124,9 +124,11 @@ def learn_counts(page: str) -> Counter:
 def learn(pages: DataFrame, max_fit_pages: int = 2_000, smoothing: float = 0.5) -> dict[str, float]:
     """'landmark tag' -> weight, from at most ``max_fit_pages`` labelled pages
     (those with <article> or <main>; the smallest hashes of page_id and url)."""
-    chosen = (pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-              .select("page_id", "url", "html")
-              .orderBy(F.xxhash64("page_id", "url"), "page_id").limit(max_fit_pages).select("html"))
+    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select(
+        F.xxhash64("page_id", "url").alias("_h"), "html")
+    # hashes alone are ranked; the pages of the chosen ones (at most max_fit_pages) follow
+    first = marked.select("_h").orderBy("_h").limit(max_fit_pages).distinct()
+    chosen = marked.join(F.broadcast(first), "_h", "left_semi").select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -138,7 +140,7 @@ def learn(pages: DataFrame, max_fit_pages: int = 2_000, smoothing: float = 0.5)
             [pa.array([f"{k[0]} {k[1]}" for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()),
              pa.array([total[k] for k in keys], pa.int64())], names=["tag", "inside", "n"])
 
-    found = (chosen.repartition(8).mapInArrow(count, "tag string, inside boolean, n bigint")
+    found = (chosen.mapInArrow(count, "tag string, inside boolean, n bigint")
              .groupBy("tag").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"),
                                  F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o"))
              .collect())  # one row per kind of tag seen on the labelled pages
