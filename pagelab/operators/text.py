@@ -1,8 +1,7 @@
 """E: n-grams, TF-IDF fit/transform, vocabularies and padded id sequences.
 
-Term statistics come from ``groupBy(key, term)`` over exploded terms: rows of
-one page sit in one map partition, so partial aggregation reduces them to
-distinct (page, term) pairs before the shuffle. A fitted vocabulary is bounded
+Terms of a page are counted inside its row; term statistics are one shuffle by
+term of counts already summed per task. A fitted vocabulary is bounded
 by ``max_features`` (or ``vocab_size``), which is what makes broadcasting it
 safe.
 
@@ -14,6 +13,9 @@ by term), indexed in alphabetical order.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +63,38 @@ def char_wb_ngrams(text, lo: int = 1, hi: int = 4) -> Column:
     return F.flatten(F.transform(words, per_word))
 
 
+def counted(terms) -> Column:
+    """array<struct<term, tf>> of a term array, by ascending term: the array is
+    sorted and cut where the term changes, inside the row."""
+    from pagelab.functions.url import bind
+    t = F.col(terms) if isinstance(terms, str) else terms
+
+    def runs(g):
+        starts = F.filter(F.sequence(F.lit(1), F.size(g)),
+                          lambda i: (i == 1) | (F.element_at(g, i) != F.element_at(g, F.greatest(i - 1, F.lit(1)))))
+        return bind(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.element_at(g, i).alias("term"),
+            (F.coalesce(F.get(at, k + 1), F.size(g) + 1) - i).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return bind(F.array_sort(F.coalesce(t, F.array().cast("array<string>"))),
+                lambda g: F.when(F.size(g) > 0, runs(g)).otherwise(none))
+
+
 def term_counts(docs: DataFrame, key: str, terms: str, groups=()) -> DataFrame:
-    """(groups, key, term, tf) for the non-empty documents."""
-    x = docs.select(*groups, key, F.explode(terms).alias("term"))
-    return x.groupBy(*groups, key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(groups, key, term, tf) for the non-empty documents (one row per document):
+    counts are taken inside the row, nothing is shuffled."""
+    x = docs.select(*groups, key, F.explode(counted(terms)).alias("c"))
+    return x.select(*groups, key, "c.term", "c.tf")
 
 
-def tfidf_fit(docs: DataFrame, key: str, terms: str, max_features: int, groups=(), tf: DataFrame | None = None,
+def tfidf_fit(docs: DataFrame, key: str, terms: str, max_features: int, groups=(),
               limits: dict | None = None) -> DataFrame:
     """Vocabulary (groups, term, idx, df, total, idf), one per group;
     ``limits`` maps a value of the single group column to its own size."""
     groups = list(groups)
-    tf = tf if tf is not None else term_counts(docs, key, terms, groups)
-    stats = tf.groupBy(*groups, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    # one shuffle, by term, of counts summed per task
+    stats = term_counts(docs, key, terms, groups).groupBy(*groups, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     n_docs = docs.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     top = top_k_per_group(stats, groups, [F.desc("total"), F.col("term")], max_features, "term", out="_r")
     if limits:
@@ -89,35 +110,59 @@ def tfidf_fit(docs: DataFrame, key: str, terms: str, max_features: int, groups=(
                       (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_transform(docs: DataFrame, key: str, terms: str, vocab: DataFrame, groups=(), tf: DataFrame | None = None) -> DataFrame:
+def tfidf_transform(docs: DataFrame, key: str, terms: str, vocab: DataFrame, groups=()) -> DataFrame:
     """Long TF-IDF (groups, key, term, idx, weight), L2-normalised per
-    document; terms outside the vocabulary are ignored."""
+    document; terms outside the vocabulary are ignored. The vocabulary (bounded
+    by max_features) is a broadcast dictionary; a document's terms meet it, and
+    its norm is taken, inside one Arrow batch: no shuffle."""
     groups = list(groups)
-    tf = tf if tf is not None else term_counts(docs, key, terms, groups)
-    v = F.broadcast(vocab.select(*groups, "term", "idx", "idf"))  # bounded by max_features
-    x = tf.join(v, [*groups, "term"], "inner").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = x.groupBy(*groups, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return x.join(norm, [*groups, key]).select(*groups, key, "term", "idx",
-                                               (F.col("w") / F.col("_norm")).alias("weight"))
+    table: dict[tuple, dict] = {}
+    for r in vocab.select(*groups, "term", "idx", "idf").collect():  # at most max_features rows per group
+        table.setdefault(tuple(r[g] for g in groups), {})[r["term"]] = (int(r["idx"]), float(r["idf"]))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    src = docs.select(*groups, key, counted(terms).alias("_c"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
+
+    def weigh(batches):
+        names = [*groups, key]
+        for pdf in batches:
+            cols = {c: [] for c in (*names, "term", "idx", "weight")}
+            for row in pdf.itertuples(index=False):
+                *head, terms_of = row
+                known = shared.value.get(tuple(head[:-1]), {})
+                hits = [(c["term"], *known[c["term"]], c["tf"]) for c in terms_of if c["term"] in known]
+                norm = math.sqrt(sum((tf * idf) ** 2 for _, _, idf, tf in hits))
+                for term, idx, idf, tf in hits:
+                    for c, v in zip(names, head):
+                        cols[c].append(v)
+                    cols["term"].append(term)
+                    cols["idx"].append(idx)
+                    cols["weight"].append(tf * idf / norm)
+            yield pd.DataFrame(cols)
+
+    return src.mapInPandas(weigh, ", ".join([*fields, "term string", "idx int", "weight double"]))
 
 
 def tfidf_fit_transform(docs: DataFrame, key: str, terms: str, max_features: int, groups=()):
-    """E2 + E3 on the same documents: the term counts are computed once and
-    kept (spilling to disk) for both passes. Returns (vocabulary, weights)."""
-    tf = term_counts(docs, key, terms, groups).persist()
-    vocab = tfidf_fit(docs, key, terms, max_features, groups, tf=tf)
-    return vocab, tfidf_transform(docs, key, terms, vocab, groups, tf=tf)
-
-
-def tfidf_dense(docs: DataFrame, key: str, long: DataFrame, size: int, groups=(), out: str = "vec") -> DataFrame:
-    """Dense array<double>(size) per document (zeros for empty documents)."""
-    groups = list(groups)
-    per = long.groupBy(*groups, key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_m"))
-    base = docs.select(*groups, key)
-    j = base.join(per, [*groups, key], "left")
-    arr = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return j.select(*groups, key, arr.alias(out))
+    """E2 + E3 on the same documents. Returns (vocabulary, weights)."""
+    vocab = tfidf_fit(docs, key, terms, max_features, groups)
+    return vocab, tfidf_transform(docs, key, terms, vocab, groups)
+
+
+def tfidf_scaled_norms(long: DataFrame, docs: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """(key, dim, sq_norm): width and squared length of each document's z-scored
+    (population sigma) TF-IDF vector, without the dense vector: a document's own
+    terms add their difference to the sum that an empty document has."""
+    n = docs.count()
+    st = long.groupBy("idx").agg((F.sum("weight") / n).alias("mu"), (F.sum(F.col("weight") * F.col("weight")) / n).alias("sq"))
+    var = F.col("sq") - F.col("mu") * F.col("mu")
+    st = st.select("idx", "mu", F.when(var > 1e-18, F.sqrt(var)).otherwise(F.lit(1.0)).alias("sd"))
+    empty = st.agg(F.sum(F.pow(F.col("mu") / F.col("sd"), 2)).alias("z0")).first()["z0"] or 0.0  # one number
+    x = long.join(F.broadcast(st), "idx")  # at most max_features rows
+    gain = F.pow((F.col("weight") - F.col("mu")) / F.col("sd"), 2) - F.pow(F.col("mu") / F.col("sd"), 2)
+    own = x.groupBy(key).agg(F.sum(gain).alias("_g"))
+    return docs.select(key).join(own, key, "left").select(
+        key, F.lit(vocab.count()).alias("dim"), (F.lit(float(empty)) + F.coalesce("_g", F.lit(0.0))).alias("sq_norm"))
 
 
 def tag_tokens(html: str = "html") -> Column:
@@ -143,15 +188,18 @@ def ids_from_vocab(docs: DataFrame, key: str, terms: str, vocab: DataFrame, leng
                    unknown: int = 1, out: str = "ids") -> DataFrame:
     """First ``length`` terms -> ids (unknown id for others), zero padded.
 
-    Positions are exploded, ids joined from the broadcast vocabulary (bounded
-    by its size parameter), and the page is re-assembled in order."""
-    x = docs.select(key, F.posexplode(F.slice(F.col(terms), 1, length)).alias("pos", "term"))
-    x = x.join(F.broadcast(vocab.select("term", "id")), "term", "left")
-    per = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("_s"))
-    ids = F.transform("_s", lambda s: s["id"])
-    padded = F.concat(ids, F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size(ids), F.lit(0))))
-    j = docs.select(key).join(per, key, "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<pos:int,id:int>>")))
-    return j.select(key, padded.alias(out))
+    The vocabulary (bounded by its size parameter) is a broadcast dictionary that
+    Arrow batches of documents look their terms up in: no join, no shuffle."""
+    table = {r["term"]: int(r["id"]) for r in vocab.select("term", "id").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<int>")
+    def ids(parts: pd.Series) -> pd.Series:
+        known = shared.value
+        rows = [[known.get(t, unknown) for t in (() if x is None else x)] for x in parts]
+        return pd.Series([r + [0] * (length - len(r)) for r in rows])
+
+    return docs.select(key, ids(F.slice(F.coalesce(F.col(terms), F.array().cast("array<string>")), 1, length)).alias(out))
 
 
 def url_char_ids(url, length: int = 180) -> Column:

@@ -45,7 +45,7 @@ voc AS (SELECT {gsel}term, row_number() OVER ({part}ORDER BY term) - 1 AS idx, d
 SELECT {gsel}term, idx::BIGINT AS idx, df::BIGINT AS df, total::BIGINT AS total, round(idf, 6) AS idf FROM voc"""
     return base + f""",
 w AS (SELECT {'tf.' + groups + ', ' if groups else ''}tf.page_id, tf.term, voc.idx, tf.tf * voc.idf AS w FROM tf JOIN voc USING ({gby}term))
-SELECT {gsel}page_id, term, idx::BIGINT AS idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY {gby}page_id)), 6) AS weight FROM w"""
+SELECT {gsel}page_id, term, idx::BIGINT AS idx, {'round' if out == 'weights' else ''}(w / sqrt(sum(w * w) OVER (PARTITION BY {gby}page_id)){', 6' if out == 'weights' else ''}) AS weight FROM w"""
 
 
 def _pages(spark, sf):
@@ -87,12 +87,6 @@ def q_tag_tfidf(spark, sf):
     return w.select("page_id", "term", "idx", "weight")
 
 
-def _xpath_grams(spark, sf):
-    x = dom.xpath_sequence(P.table(spark, sf, "pages"))
-    return x.select("page_id", T.word_ngrams(F.split("xpath_seq", " ").alias("t"), 2, 3).alias("g")) \
-        .select("page_id", F.filter("g", lambda s: s != "").alias("g"))
-
-
 @register("xpath_tfidf_25", sql=tfidf_sql(f"{EV}, docs AS (SELECT page_id, {ngrams_sql(XP, 2, 3)} AS g FROM evs)", 25))
 def q_xpath_tfidf(spark, sf):
     """E5: XPath-sequence 2/3-gram TF-IDF, 25 terms."""
@@ -146,25 +140,20 @@ def q_charwb(spark, sf):
     return T.tfidf_fit(d, "page_id", "g", 5000)
 
 
-@register("char_wb_tfidf_scaled")
+@register("char_wb_tfidf_scaled", sql=f"""WITH w AS ({tfidf_sql(_CHARWB, 5000, out="exact")}),
+n AS (SELECT count(*) AS n FROM pages),
+s AS (SELECT idx, sum(weight) / any_value(n.n) AS mu,
+        greatest(sum(weight * weight) / any_value(n.n) - (sum(weight) / any_value(n.n)) ** 2, 0) AS var FROM w, n GROUP BY idx),
+t AS (SELECT idx, mu, CASE WHEN var > 1e-18 THEN sqrt(var) ELSE 1 END AS sd FROM s),
+g AS (SELECT p.page_id, t.idx, (coalesce(w.weight, 0) - mu) / sd AS z FROM pages p CROSS JOIN t
+      LEFT JOIN w ON w.page_id = p.page_id AND w.idx = t.idx)
+SELECT page_id, count(*) AS dim, round(sum(z * z), 6) AS sq_norm FROM g GROUP BY page_id""")
 def q_charwb_scaled(spark, sf):
-    """char_wb TF-IDF, densified and z-scored (population sigma)."""
-    from pagelab.operators.scale import zscore_apply, zscore_fit
+    """char_wb TF-IDF z-scored by column (population sigma): width and squared length per page."""
     p = P.table(spark, sf, "pages")
     d = p.select("page_id", T.char_wb_ngrams(H.title_link_list_text("url", "html")).alias("g"))
     v = T.tfidf_fit(d, "page_id", "g", 5000)
-    dense = T.tfidf_dense(d, "page_id", T.tfidf_transform(d, "page_id", "g", v), 5000)
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.feature import StandardScaler
-    vec = dense.select("page_id", array_to_vector("vec").alias("v"))
-    # StandardScaler uses the sample sigma; rescale by sqrt((n-1)/n) for population sigma
-    n = vec.count()
-    sc = StandardScaler(inputCol="v", outputCol="z", withMean=True, withStd=True).fit(vec)
-    from pyspark.ml.functions import vector_to_array
-    import math
-    f = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-    out = sc.transform(vec).select("page_id", F.transform(vector_to_array("z"), lambda x: x / F.lit(f)).alias("z"))
-    return out.select("page_id", F.size("z").alias("dim"), F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
+    return T.tfidf_scaled_norms(T.tfidf_transform(d, "page_id", "g", v), d, v, "page_id")
 
 
 HYB = "regexp_extract_all(lower(coalesce(html, '')), '[\\p{L}\\p{N}_'']+|[^\\p{L}\\p{N}_\\s]')"
