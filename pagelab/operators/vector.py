@@ -13,6 +13,8 @@ from __future__ import annotations
 import json
 import math
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,9 +129,12 @@ class StructuralFeaturizer:
         model = StructuralModel(bounds, vocabs, key=k)
         raw = model.vector(g)
         n = len(model.feature_names())
-        st = raw.agg(*[F.avg(F.col("raw")[i]).alias(f"m{i}") for i in range(n)],
-                     *[F.stddev_pop(F.col("raw")[i]).alias(f"s{i}") for i in range(n)]).first()
-        model.mean = [float(st[f"m{i}"] or 0.0) for i in range(n)]
-        model.sd = [float(st[f"s{i}"]) if st[f"s{i}"] and not math.isclose(st[f"s{i}"], 0.0) else 1.0 for i in range(n)]
+        # one pass for all columns; Summarizer's variance is the sample's
+        st = (raw.select(array_to_vector("raw").alias("v"))
+              .agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first()["s"])
+        pages_n = int(st["count"])
+        model.mean = [float(x) for x in st["mean"]] if pages_n else [0.0] * n
+        sd = [math.sqrt(max(0.0, float(x)) * (pages_n - 1) / pages_n) for x in st["variance"]] if pages_n else [0.0] * n
+        model.sd = [1.0 if math.isclose(x, 0.0, abs_tol=1e-12) else x for x in sd]
         g.unpersist()
         return model
