@@ -346,7 +346,9 @@ def _curve(spark, sf, mixed: bool):
             both = raw(tr).select("page_id", "label", "features").unionByName(more)
             return [(n, seed, "rf_mixed", _accuracy(forest.setLabelCol("label").fit(both).transform(raw(te))))]
         got["rf_scratch"] = _accuracy(forest.setLabelCol("label").fit(raw(tr)).transform(raw(te)))
-        got["meta_lr"] = _accuracy(LogisticRegression(labelCol="label", maxIter=1000).fit(tr).transform(te))
+        # an L2 weight of 1 over n rows is the inverse strength C = 1 of the reference's regression
+        lr = LogisticRegression(labelCol="label", maxIter=1000, regParam=1.0 / n, standardization=False)
+        got["meta_lr"] = _accuracy(lr.fit(tr).transform(te))
         svm = M.KernelSVM(n_in + 1).fit(tr).transform(te)
         got["meta_svm"] = _accuracy(svm.select("label", F.col("svm_prediction").alias("prediction")))
         v = lambda df: raw(df).select("page_id", "label", vector_to_array("features").alias("v"))
