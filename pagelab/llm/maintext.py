@@ -8,9 +8,16 @@ its name and the nearest landmark around it, is its log odds of standing
 outside, so paragraph marks inside an article cost next to nothing and the
 marks of menus and footers cost much.
 
+Class, id and role names that hold a word for something beside the article
+(``SURE_MARK``, ``LIKELY_MARK``) have a weight by tag and name: the log odds of
+standing outside the article on the labelled pages, with a prior that is strong
+where the whole name says so and none where it is one word among others
+('entry-header', 'related-work'). Inside an <article> only whole names count;
+the page, headings and what holds an article are never beside it.
+
 Inside the region, words of landmarks that are not article text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) are left out;
-they carry no score either. Scripts, styles, comments and the head are no words.
+headers, footers, sidebars, notices, adverts, forms, comments) and of marks
+with a weight of ``LEFT_OUT`` or below are left out; they carry no score either. Scripts, styles, comments and the head are no words.
 
 Text rules: character references are decoded, white space inside a block is
 one space, ends are trimmed, blocks are joined by one newline in page order.
@@ -22,6 +29,7 @@ labelled page the weights fall back to ``PRIOR``; equal regions: the first wins.
 
 from __future__ import annotations
 
+import functools
 import html as htmllib
 import math
 import re
@@ -35,6 +43,7 @@ from pyspark.sql import functions as F
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|iframe|noembed|noframes|svg|math|title|textarea)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*>""", re.S | re.I)
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"""\s(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -43,12 +52,33 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "q s samp small span strike strong sub sup time tt u var wbr".split())
 LANDMARK = frozenset("article main section nav aside header footer form head body dialog menu".split())
 ASIDE = frozenset("nav aside footer form head dialog menu button select option noscript object audio video".split())
-#: Words of class, id and role that name something beside the article.
-ASIDE_MARK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|replies|respond|disqus|"
-    r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|overlay|toolbar|"
-    r"pagination|pager|complementary|contentinfo|dialog|form)(?:$|[\s_-]|\d)", re.I)
+#: Words of class, id and role that name something beside the article wherever it stands.
+SURE_MARK = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|"
+    r"comments?|commentlist|replies|respond|disqus|share|sharing|related|recommended|newsletter|subscribe|signup|popup|"
+    r"modal|pagination|pager|complementary|contentinfo")
+#: Words that do so on many pages and name parts of the article on others.
+LIKELY_MARK = re.compile(
+    r"banner|notices?|alert|side|header|masthead|social|login|search|overlay|toolbar|dialog|form")
+#: Words that may stand beside a mark in a name that says no more than the mark.
+PLAIN = frozenset("site global top bottom main primary secondary wrap wrapper container inner outer bar box".split())
+PLAIN_MORE = PLAIN | frozenset(
+    "page area section block widget widgets list item items links link button buttons btn icon icons body content text "
+    "title module panel unit slot group holder posts articles stories news author meta reply thread".split())
+#: The article's own names, which leave a sure mark sure ('post-comments'), but for its footer.
+HOST = frozenset("post article entry".split())
+HEAD_MARK = frozenset(["header", "masthead"])
+COMMENT_MARK = frozenset("comment comments commentlist replies respond disqus".split())
+#: Never beside the article by their marks: the whole page and headings.
+UNMARKED = frozenset("html body h1 h2 h3 h4 h5 h6 hgroup article main".split())
+#: Names of a state of the layout, not of what stands in the element.
+_STATE = frozenset("has no with without is not".split())
+#: Openings beside the article that a mark is taken to have been seen with, against one inside.
+MARK_PRIOR = {"sure": 20.0, "likely": 5.0, "part": 1.0}
+MARK = "@"  # stands for the landmark in the keys of marks
+LEFT_OUT = -1.0  # weight of a mark from which its words no longer score
+
+
 #: Weights of tags outside any learned landmark.
 PRIOR = {"p": -0.01, "h1": -0.01, "h2": -0.01, "h3": -0.01, "h4": -0.01, "h5": -0.01, "h6": -0.01, "br": -0.01,
          "blockquote": -0.01, "pre": -0.01, "article": -0.01, "main": -0.01, "ul": -1.0, "ol": -1.0, "li": -1.0,
@@ -61,17 +91,50 @@ def _marks(tag: str) -> str:
     return " ".join("".join(m) for m in _MARKS.findall(tag))
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+@functools.lru_cache(1 << 16)
+def _strength(mark: str) -> str | None:
+    """How surely a name means something beside the article: 'sure' and 'likely' if the
+    whole name says so, 'part' if it has such a word among others, None if it has none."""
+    parts = [x for x in re.split(r"[-_\d]+", mark) if x]
+    sure = [x for x in parts if SURE_MARK.fullmatch(x)]
+    likely = [x for x in parts if LIKELY_MARK.fullmatch(x)]
+    if not (sure or likely) or parts[0] in _STATE:
+        return None
+    other = set(parts) - set(sure) - set(likely)
+    if not sure:
+        return "likely" if other <= PLAIN else "part"
+    return "sure" if other <= (PLAIN_MORE if "footer" in sure else PLAIN_MORE | HOST) else "part"
+
+
+def mark_weight(mark: str, outside: int = 0, inside: int = 0) -> float:
+    """Weight of a name seen so often outside and inside of articles."""
+    return -max(0.0, math.log((outside + MARK_PRIOR[_strength(mark)]) / (inside + 1.0)))
+
+
+def _beside(name: str, mark: str, inside: bool, weights: dict[str, float]) -> bool:
+    """Whether an element of this name is beside the article by its weight. What an
+    author puts into an article is part of it unless its whole name says otherwise."""
+    strength = _strength(mark)
+    if strength is None or (inside and (strength == "part" or HEAD_MARK & set(re.split(r"[-_\d]+", mark)))):
+        return False
+    w = weights.get(f"{MARK} {name} {mark}")
+    return (mark_weight(mark) if w is None else w) <= LEFT_OUT
+
+
+def tokens(page: str, weights: dict[str, float] | None = None,
+           seen: Counter | None = None) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(kind, value, landmark, aside, inside) of each token: kind 'w' for text
     between tags, else the tag's name; value is the text, or '/' for an end tag.
     ``landmark`` names the nearest landmark, ``aside`` tells that the token lies
-    in something beside the article, ``inside`` that it lies in <article> or <main>."""
-    # frames: (name, landmark, aside, inside)
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    in something beside the article, ``inside`` that it lies in <article> or <main>.
+    ``seen`` counts (``MARK``, tag and name, part of the article) of the marked elements."""
+    weights = weights or {}
+    # frames: (name, landmark, aside, inside, comment, keys of its marks in seen)
+    stack: list[tuple[str, str, bool, bool, bool, list]] = [("", "", False, False, False, [])]
     at = 0
     for m in _TAG.finditer(page):
         if m.start() > at:
-            yield ("w", page[at:m.start()], *stack[-1][1:])
+            yield ("w", page[at:m.start()], *stack[-1][1:4])
         at = m.end()
         tag = m.group()
         name = _NAME.match(tag)
@@ -83,20 +146,40 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         if tag[1] == "/":
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    yield (name, "/", *stack[i][1:])
+                    yield (name, "/", *stack[i][1:4])
                     del stack[i:]
                     break
             else:
-                yield (name, "/", *stack[-1][1:])
+                yield (name, "/", *stack[-1][1:4])
             continue
-        if name == "body" or name in ("article", "main"):
-            # an article ends whatever was left open beside it
+        if name == "body" or (name in ("article", "main") and not stack[-1][3] and not stack[-1][4]):
+            # an article ends whatever was left open beside it, but those of comments and teasers do not
+            if seen is not None and name != "body":
+                for frame in stack:  # what holds an article is a wrapper and not beside it
+                    for key in frame[5]:
+                        seen[key] -= 1
+                        seen[(*key[:2], True)] += 1
+                    frame[5].clear()
             while len(stack) > 1 and stack[-1][2]:
                 stack.pop()
-        _, landmark, aside, inside = stack[-1]
-        marks = _marks(tag)
-        if name in ASIDE or (name not in INLINE and marks and ASIDE_MARK.search(marks)):
-            aside, landmark = True, f"{name}.{marks.split()[0].lower()}" if marks else name
+        _, landmark, aside, inside, comment, _ = stack[-1]
+        marks = _marks(tag).lower().split()
+        # an article within another, or within comments, may be beside it
+        named = [] if name in INLINE or (name in UNMARKED and not (name == "article" and (inside or comment))) else [
+            _DIGITS.sub("0", x) for x in marks]
+        found = [x for x in named if _beside(name, x, inside, weights)]
+        keys = []
+        if seen is not None and not aside:
+            for x in named:
+                if _strength(x):
+                    # a name that is sure says so inside an article too
+                    keys.append((MARK, f"{name} {x}", inside and _strength(x) != "sure"))
+            for key in keys:
+                seen[key] += 1
+            keys = [k for k in keys if not k[2]]
+        if name in ASIDE or found:
+            aside, landmark = True, f"{name}.{marks[0]}" if marks else name
+            comment = comment or any(COMMENT_MARK & set(re.split(r"[-_\d]+", x)) for x in found)
         elif name == "header" and not inside:
             aside, landmark = True, name
         elif name in LANDMARK:
@@ -106,23 +189,26 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         if name in VOID or tag.endswith("/>"):
             yield (name, "", landmark, aside, inside)
         else:
-            stack.append((name, landmark, aside, inside))
+            stack.append((name, landmark, aside, inside, comment, keys))
             yield (name, "", landmark, aside, inside)
     if at < len(page):
-        yield ("w", page[at:], *stack[-1][1:])
+        yield ("w", page[at:], *stack[-1][1:4])
 
 
 def learn_counts(page: str) -> Counter:
-    """(landmark, tag, inside the article) -> tags, of one labelled page."""
+    """(landmark, tag, inside the article) -> tags, and the same of (``MARK``, tag and name,
+    part of the article), of one labelled page."""
     out: Counter = Counter()
-    for kind, _, landmark, aside, inside in tokens(page):
+    seen: Counter = Counter()
+    for kind, _, landmark, aside, inside in tokens(page, seen=seen):
         if kind != "w":
             out[landmark, kind, inside and not aside] += 1
+    out.update({k: n for k, n in seen.items() if n})
     return out
 
 
 def learn(pages: DataFrame, max_fit_pages: int = 2_000, smoothing: float = 0.5) -> dict[str, float]:
-    """'landmark tag' -> weight, from at most ``max_fit_pages`` labelled pages
+    """'landmark tag' and 'MARK tag name' -> weight, from at most ``max_fit_pages`` labelled pages
     (those with <article> or <main>; the smallest hashes of page_id and url)."""
     marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select(
         F.xxhash64("page_id", "url").alias("_h"), "html")
@@ -144,14 +230,15 @@ def learn(pages: DataFrame, max_fit_pages: int = 2_000, smoothing: float = 0.5)
              .groupBy("tag").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"),
                                  F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o"))
              .collect())  # one row per kind of tag seen on the labelled pages
-    return {r["tag"]: -0.01 - max(0.0, math.log((r["o"] + smoothing) / (r["i"] + smoothing))) for r in found}
+    return {r["tag"]: mark_weight(r["tag"].rsplit(" ", 1)[1], r["o"], r["i"]) if r["tag"].startswith(f"{MARK} ")
+            else -0.01 - max(0.0, math.log((r["o"] + smoothing) / (r["i"] + smoothing))) for r in found}
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    rows = list(tokens(page))
+    rows = list(tokens(page, weights))
     # linear scan: best sum of a contiguous region, in positions of tokens
     best, begin, end = 0.0, 0, 0
     run, start = 0.0, 0

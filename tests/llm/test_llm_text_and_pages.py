@@ -338,6 +338,29 @@ def test_main_text_of_fixtures(spark):
     assert maintext.learn(frame.limit(0)) == {}
 
 
+def test_names_of_article_parts_are_not_dropped(spark):
+    parts = ('<div class="entry-header"><h1>Title</h1></div><div class="article-header">Lead</div><h2 id="side-effects">Side effects</h2>'
+             '<section id="related-work"><p>Others did it.</p></section><div class="social-history"><p>Past.</p></div>'
+             '<div id="form-and-function"><p>Shape.</p></div><div class="no-sidebar post"><p>Rest of it.</p></div>')
+    want = "Title\nLead\nSide effects\nOthers did it.\nPast.\nShape.\nRest of it."
+    wide = '<body class="has-sidebar"><div class="with-sidebar">{}</div></body>'
+    labelled = ["<body>" + NAV + f'<div class="sidebar-layout"><article>{parts}</article></div><div class="foo-footer-x">Foot words</div>'] * 30
+    weights = maintext.learn(spark.createDataFrame([(i, "u", p) for i, p in enumerate(labelled)], PAGES))
+    for w in (weights, {}):
+        assert maintext.main_text(f"<body>{NAV}<article>{parts}</article></body>", w) == want
+        assert maintext.main_text(wide.format("<p>Some words in a page.</p>"), w) == "Some words in a page."
+        assert maintext.main_text(wide.format(f"<article>{parts}</article>"), w) == want
+        # comments and teasers do not end what they stand in
+        said = '<section id="comments"><article class="c1"><p>A reader says a lot of words here.</p></article></section>'
+        assert maintext.main_text(f"<article><p>Text of it.</p>{said}</article>", w) == "Text of it."
+        assert maintext.main_text(f"<article><p>Text of it.</p></article>{said}", w) == "Text of it."
+        teaser = "<aside><article><p>Another story, to be read elsewhere.</p></article></aside>"
+        assert maintext.main_text(f"<main><p>Text of it.</p>{teaser}<p>End.</p></main>", w) == "Text of it.\nEnd."
+    assert weights["@ div foo-footer-x"] < maintext.LEFT_OUT < weights["@ div sidebar-layout"] == 0
+    plain = '<body><div class="sidebar-layout"><p>Words of the page.</p><div class="foo-footer-x">Foot words and many more</div></div>'
+    assert maintext.main_text(plain, weights) == "Words of the page."
+
+
 def test_main_text_of_the_given_pages(spark, sf001):
     import html
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op9_main_text"](spark, sf001).collect()}
