@@ -17,13 +17,15 @@ the page, headings and what holds an article are never beside it.
 
 Inside the region, words of landmarks that are not article text (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) and of marks
-with a weight of ``LEFT_OUT`` or below are left out; they carry no score either. Scripts, styles, comments and the head are no words.
+with a weight of ``LEFT_OUT`` or below are left out; they carry no score either.
+Scripts, styles, comments and the head are no words. The text of drawings and formulas (svg, math) is text; their tags carry no weight.
 
 Text rules: character references are decoded, white space inside a block is
 one space, ends are trimmed, blocks are joined by one newline in page order.
 
 Defined cases: null or empty html, or none but boilerplate, gives the empty
-text; cut-off tags and unclosed elements are taken as far as they go; with no
+text; cut-off tags and unclosed elements are taken as far as they go, but of raw
+elements other than scripts and styles without an end tag only the tag is left out; with no
 labelled page the weights fall back to ``PRIOR``; equal regions: the first wins.
 """
 
@@ -41,15 +43,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|iframe|noembed|noframes|svg|math|title|textarea)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|iframe|noembed|noframes|title|textarea)(?=[\s/>])"
     r"""|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*>""", re.S | re.I)
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"""\s(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
+#: The end tag of each element whose content is no markup, and the end of a tag.
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+            for x in "script style template iframe noembed noframes title textarea".split()}
+_TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>|[^>]*(?:>|\Z)""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
                    "q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Drawings and formulas: ordinary elements, whose tags do not part the text around them or inside.
+GRAPHIC = frozenset("svg math".split())
+#: Pieces of text within these that stand apart from each other.
+GRAPHIC_APART = frozenset("text mtd annotation annotation-xml foreignobject desc".split())
+#: Tags that end an svg or math left open, as HTML does.
+BREAKOUT = frozenset("article aside b blockquote body br center code dd div dl dt em embed footer h1 h2 h3 h4 h5 h6 head "
+                     "header hr i img li main menu nav ol p pre ruby s section small span strong strike sub sup table tt "
+                     "u ul var".split())
 LANDMARK = frozenset("article main section nav aside header footer form head body dialog menu".split())
 ASIDE = frozenset("nav aside footer form head dialog menu button select option noscript object audio video".split())
 #: Words of class, id and role that name something beside the article wherever it stands.
@@ -132,15 +146,26 @@ def tokens(page: str, weights: dict[str, float] | None = None,
     # frames: (name, landmark, aside, inside, comment, keys of its marks in seen)
     stack: list[tuple[str, str, bool, bool, bool, list]] = [("", "", False, False, False, [])]
     at = 0
-    for m in _TAG.finditer(page):
+    unended: set[str] = set()  # raw elements without an end tag in the rest of the page
+    while m := _TAG.search(page, at):
         if m.start() > at:
             yield ("w", page[at:m.start()], *stack[-1][1:4])
         at = m.end()
+        if m.group("raw"):
+            name = m.group("raw").lower()
+            yield (name, "", stack[-1][1], True, stack[-1][3])
+            end = None if name in unended else _RAW_END[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:  # only the tag itself is left out
+                unended.add(name)
+                at = _TAG_END.match(page, at).end()
+            continue
         tag = m.group()
         name = _NAME.match(tag)
-        if m.group("raw") or name is None:
-            if name is not None:
-                yield (name.group(1).lower(), "", stack[-1][1], True, stack[-1][3])
+        if name is None:
             continue
         name = name.group(1).lower()
         if tag[1] == "/":
@@ -152,6 +177,9 @@ def tokens(page: str, weights: dict[str, float] | None = None,
             else:
                 yield (name, "/", *stack[-1][1:4])
             continue
+        if stack[-1][1] in GRAPHIC and name in BREAKOUT and not any(x[0] == "foreignobject" for x in stack):
+            while stack[-1][1] in GRAPHIC:
+                stack.pop()
         if name == "body" or (name in ("article", "main") and not stack[-1][3] and not stack[-1][4]):
             # an article ends whatever was left open beside it, but those of comments and teasers do not
             if seen is not None and name != "body":
@@ -165,7 +193,7 @@ def tokens(page: str, weights: dict[str, float] | None = None,
         _, landmark, aside, inside, comment, _ = stack[-1]
         marks = _marks(tag).lower().split()
         # an article within another, or within comments, may be beside it
-        named = [] if name in INLINE or (name in UNMARKED and not (name == "article" and (inside or comment))) else [
+        named = [] if name in INLINE or name in GRAPHIC or landmark in GRAPHIC or (name in UNMARKED and not (name == "article" and (inside or comment))) else [
             _DIGITS.sub("0", x) for x in marks]
         found = [x for x in named if _beside(name, x, inside, weights)]
         keys = []
@@ -182,7 +210,7 @@ def tokens(page: str, weights: dict[str, float] | None = None,
             comment = comment or any(COMMENT_MARK & set(re.split(r"[-_\d]+", x)) for x in found)
         elif name == "header" and not inside:
             aside, landmark = True, name
-        elif name in LANDMARK:
+        elif name in LANDMARK or name in GRAPHIC:
             landmark = name
         if name in ("article", "main") and not aside:
             inside = True
@@ -245,7 +273,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for i, (kind, value, landmark, aside, inside) in enumerate(rows):
         if kind == "w":
             run += 0 if aside else len(value.split())
-        elif not (aside and inside):  # what is left out of a marked article does not part it
+        elif not (aside and inside) and landmark not in GRAPHIC:  # what is left out of a marked article does not part it
             w = weights.get(f"{landmark} {kind}")
             run += (IN_ARTICLE if inside else PRIOR.get(kind, OTHER)) if w is None else w
         if run <= 0:
@@ -261,10 +289,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(text)
         parts.clear()
 
-    for kind, value, _, aside, _ in rows[begin:end]:
+    for kind, value, landmark, aside, _ in rows[begin:end]:
         if kind == "w":
             if not aside:
                 parts.append(value)
+        elif landmark in GRAPHIC:
+            if kind in GRAPHIC_APART:
+                parts.append(" ")
         elif kind not in INLINE:
             close()
         elif kind == "br":

@@ -361,6 +361,21 @@ def test_names_of_article_parts_are_not_dropped(spark):
     assert maintext.main_text(plain, weights) == "Words of the page."
 
 
+def test_icons_and_formulas_do_not_swallow_the_page():
+    fill = "and some more words of text"
+    for icon in ('<svg-icon name="x"></svg-icon>', "<math-formula></math-formula>", "<style-guide></style-guide>", '<svg width="1"/>',
+                 '<svg class="nav-icon"><title>Icon</title><path d="M0 0"/></svg>', "<svg><g>", "<template>", "<iframe src='x>y'>",
+                 "<textarea rows=2>", "<title>", "<script-x></script-x>"):
+        assert maintext.main_text(f"<body>{NAV}<article><p>one</p>{icon}<p>two</p></article></body>", {}) == "one\ntwo", icon
+        assert maintext.main_text(f"<body><p>one {fill}</p>{icon}<p>two {fill}</p></body>", {}) == f"one {fill}\ntwo {fill}", icon
+    formula = "<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> holds.</p>"
+    chart = "<svg><style>a{}</style><text>North</text><text>South</text></svg>"
+    assert maintext.main_text(f"<article>{formula}{chart}<p>End</p></article>", {}) == "So E=mc2 holds.\nNorth South\nEnd"
+    assert maintext.main_text("<p>one</p><style>p{}</style><script>x<p>no</p>", {}) == "one"
+    many = "<article><p>one</p>" + "<title>" * 20_000 + "<p>two</p></article>"  # the end is looked for once
+    assert maintext.main_text(many, {}).endswith("two")
+
+
 def test_main_text_of_the_given_pages(spark, sf001):
     import html
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op9_main_text"](spark, sf001).collect()}
