@@ -1,11 +1,16 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
 Texts and templates are normalised to lower-case words of letters and digits.
-A span of whole lines matches a template when 2 |A n B| / (|A| + |B|) over the
-multisets of word bigrams reaches ``threshold``. Size bounds prune: with
-threshold t a span needs between t/(2-t) |B| and (2-t)/t |B| bigrams, and must
-share t/(2-t) |B| of them, so a template is looked at only in documents whose
-own bigrams can reach that, and only in spans of fitting size.
+A span of words matches a template when 2 |A n B| / (|A| + |B|) over the
+multisets of word bigrams reaches ``threshold``. With ``spans='words'`` they begin
+and end at any word that starts or ends a bigram of the template (cutting other
+words off only raises the coefficient), with ``spans='lines'`` at line breaks. Of
+all matching spans of all templates, the best are taken first, and spans that
+share words with a taken one give way. A licence is told by its best span taken.
+
+Size bounds prune: with threshold t a span needs between t/(2-t) |B| and (2-t)/t
+|B| bigrams, and must share t/(2-t) |B| of them, so a template is looked at only
+in documents whose own bigrams can reach that, and only in spans of fitting size.
 
 Defined cases: null, empty and one-word texts match nothing; templates of under
 two words are refused; of spans with equal coefficients the earliest, then the
@@ -16,9 +21,12 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,8 +113,10 @@ def words(text: str) -> list[str]:
 class Scanner:
     """Templates with an index from bigram to the templates that hold it."""
 
-    def __init__(self, templates: dict[str, list[str]], threshold: float = 0.8):
-        self.threshold = threshold
+    def __init__(self, templates: dict[str, list[str]], threshold: float = 0.8, spans: str = "lines"):
+        if spans not in ("lines", "words"):
+            raise ValueError(f"spans is 'lines' or 'words', not {spans!r}")
+        self.threshold, self.spans = threshold, spans
         self.items: list[tuple[str, Counter, int, int, int]] = []  # name, bigrams, size, least, most
         self.index: dict[tuple[str, str], list[int]] = {}
         share = threshold / (2 - threshold)
@@ -123,7 +133,7 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, first line, last line; from 1) of the best span of
-        each licence that reaches the threshold, by name; on shared lines the best alone."""
+        each licence that reaches the threshold, by name; on shared words the best alone."""
         if not text:
             return []
         flat: list[str] = []
@@ -138,34 +148,68 @@ class Scanner:
         if not hits:
             return []
         held = Counter(g for _, g in hits)
-        best: dict[str, tuple[float, int, int]] = {}
         shared: Counter = Counter()
         for g, n in held.items():
             for t in index[g]:
                 shared[t] += min(n, self.items[t][1][g])
+        # all matching spans, in arrays: coefficient, template, first word, word after the last
+        found = array("d"), array("q"), array("q"), array("q")
         for t, most_shared in shared.items():
-            name, grams, size, least, most = self.items[t]
-            if most_shared < least:
+            grams, least = self.items[t][1], self.items[t][3]
+            if most_shared >= least:
+                at = [(p, g) for p, g in hits if g in grams]
+                if self.spans == "words":
+                    self._words(t, at, found)
+                else:
+                    self._lines(t, len(flat), lines, at, found)
+        if not found[0]:
+            return []
+        dice, of, begin, end = (np.frombuffer(x, x.typecode) for x in found)
+        rank = {name: i for i, name in enumerate(sorted({x[0] for x in self.items}))}
+        name_rank = np.array([rank[x[0]] for x in self.items])[of]
+        used = bytearray(len(flat))
+        firsts = [a for _, a, _ in lines]
+        best: dict[str, tuple[float, int, int]] = {}
+        for k in np.lexsort((end - begin, begin, name_rank, -dice)).tolist():
+            a, b = int(begin[k]), int(end[k])
+            if used.find(1, a, b) < 0:  # a weaker match on the same words gives way
+                used[a:b] = b"\x01" * (b - a)
+                best.setdefault(self.items[of[k]][0], (
+                    float(dice[k]), lines[bisect_right(firsts, a) - 1][0], lines[bisect_right(firsts, b - 1) - 1][0]))
+        return sorted((name, *x) for name, x in best.items())
+
+    def _words(self, t: int, at: list, found: tuple[array, ...]) -> None:
+        """Add the matching spans of words of template ``t``, given the places of its bigrams."""
+        _, grams, size, least, most = self.items[t]
+        for i, (first, _) in enumerate(at):
+            # the least-th bigram from here on must stand within the longest span
+            if i + least > len(at) or at[i + least - 1][0] - first >= most:
                 continue
-            found = self._span(t, flat, lines, [p for p, g in hits if g in grams])
-            if found and (name not in best or found[0] > best[name][0] + 1e-12):
-                best[name] = found
-        kept: list[tuple[str, float, int, int]] = []
-        for name, (d, a, b) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
-            if all(b < y or z < a for _, _, y, z in kept):  # a weaker match on the same lines gives way
-                kept.append((name, d, a, b))
-        return sorted(kept)
-
-    def _span(self, t: int, flat, lines, at: list[int]) -> tuple[float, int, int] | None:
-        """The best span of lines for template ``t``, given the places of its bigrams."""
+            own: dict = {}
+            both = 0
+            for k in range(i, len(at)):
+                p, g = at[k]
+                n = p - first + 1
+                if n > most:
+                    break
+                c = own[g] = own.get(g, 0) + 1
+                if c <= grams[g]:
+                    both += 1
+                d = 2 * both / (n + size)
+                if d >= self.threshold:
+                    for column, x in zip(found, (d, t, first, p + 2)):
+                        column.append(x)
+
+    def _lines(self, t: int, n_words: int, lines, at: list, found: tuple[array, ...]) -> None:
+        """Add the matching spans of whole lines of template ``t``, given the places of its bigrams."""
         _, grams, size, least, most = self.items[t]
-        before = [0] * (len(flat) + 1)
-        for p in at:
+        before = [0] * (n_words + 1)
+        for p, _ in at:
             before[p + 1] = 1
         for i in range(1, len(before)):
             before[i] += before[i - 1]
         touched = [k for k, (_, a, b) in enumerate(lines) if before[b] > before[max(a - 1, 0)]]
-        best: tuple[float, int, int] | None = None
+        places = [p for p, _ in at]
         for x, i in enumerate(touched):
             a = lines[i][1]
             for j in touched[x:]:
@@ -173,20 +217,17 @@ class Scanner:
                 n = b - a - 1  # bigrams of the span
                 if n > most:
                     break
-                if n < least:
-                    continue
-                top = 2 * (before[b - 1] - before[a]) / (n + size)
-                if top < self.threshold or (best and top <= best[0]):
+                if n < least or 2 * (before[b - 1] - before[a]) / (n + size) < self.threshold:
                     continue
-                own = Counter(zip(flat[a:b], flat[a + 1:b]))
-                dice = 2 * sum(min(c, grams[g]) for g, c in own.items() if g in grams) / (n + size)
-                if dice >= self.threshold and (best is None or dice > best[0] + 1e-12):
-                    best = (dice, lines[i][0], lines[j][0])
-        return best
+                own = Counter(g for _, g in at[bisect_left(places, a):bisect_left(places, b - 1)])
+                d = 2 * sum(min(c, grams[g]) for g, c in own.items()) / (n + size)
+                if d >= self.threshold:
+                    for column, value in zip(found, (d, t, a, b)):
+                        column.append(value)
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = 0.8,
-         max_templates: int = 10_000) -> DataFrame:
+         max_templates: int = 10_000, spans: str = "lines") -> DataFrame:
     """``docs`` columns but the text, with ``licenses``: array of (license, dice,
     first_line, last_line), ordered by licence. The templates (at most
     ``max_templates`` texts) travel with the tasks. A column named licenses is replaced."""
@@ -201,7 +242,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     keys = ("license", "dice", "first_line", "last_line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, threshold)
+        scanner = Scanner(templates, threshold, spans)
         for b in small_batches(batches, "text"):
             found = [[dict(zip(keys, m)) for m in scanner.scan(x.as_py())] for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, out_type)],

@@ -193,6 +193,50 @@ def test_licences_against_brute_force(spark):
         licenses.Scanner({"x": ["one"]})
 
 
+def brute_words(text, threshold=0.8):
+    """(licence, first word, word after the last) of all spans of words, best first."""
+    w = licenses.words(text)
+    every = []
+    for name, templates in licenses.TEMPLATES.items():
+        for v in map(licenses.words, templates):
+            q = Counter(zip(v, v[1:]))
+            for a in range(len(w)):
+                for b in range(a + 2, min(len(w), a + 2 * len(v)) + 1):
+                    p = Counter(zip(w[a:b], w[a + 1:b]))
+                    d = 2 * sum((p & q).values()) / (b - a + len(v) - 2)
+                    if d >= threshold:
+                        every.append((-d, name, a, b))
+    taken = []
+    for d, name, a, b in sorted(every, key=lambda x: (*x[:3], x[3] - x[2])):
+        if all(b <= y or z <= a for _, y, z in taken):
+            taken.append((name, a, b))
+    return taken
+
+
+def test_licences_beside_others_and_inside_lines():
+    scan = licenses.Scanner(licenses.TEMPLATES, spans="words").scan
+    lines = licenses.Scanner(licenses.TEMPLATES).scan
+    two = ("This work is licensed under the GNU General Public License, version 3.\n\na\nb\n"
+           "Work is licensed under the GNU General Public License, version 2 or later.")
+    for found, dice in ((lines(two), 20 / 23), (scan(two), 20 / 21)):
+        assert [(n, a, b) for n, _, a, b in found] == [("GPL-2.0", 5, 5), ("GPL-3.0", 1, 1)]
+        assert [d for _, d, _, _ in found] == pytest.approx([dice, 1.0])
+    inside = ("first\nCopyright 2020 Foo Bar Inc and many others who wrote it. Licensed under the MIT License. All of the "
+              "rest was taken from elsewhere, and is\nreleased into the public\ndomain under CC0 1.0 by somebody else there.")
+    assert scan(inside) == [("CC0-1.0", 1.0, 3, 4), ("MIT", 1.0, 2, 2)]
+    assert [x[0] for x in lines(inside)] == ["CC0-1.0"]
+    apache = " ".join(licenses.TEMPLATES["Apache-2.0"][1].split())
+    assert [(n, a, b) for n, _, a, b in scan(f"x\n{apache} Released under the MIT License.")] == [("Apache-2.0", 2, 2), ("MIT", 2, 2)]
+    rng = random.Random(4)
+    short = [t for ts in licenses.TEMPLATES.values() for t in ts if len(t) < 110]
+    for _ in range(12):
+        text = " ".join(" ".join(x for x in rng.choice(short).split() if rng.random() < 0.95) + rng.choice(["", " word and more", "\n"])
+                        for _ in range(4))
+        assert {x[0] for x in scan(text)} == {x[0] for x in brute_words(text)}
+    many = "\n".join(licenses.TEMPLATES["MIT"][3:] * 200)
+    assert [(n, d) for n, d, _, _ in scan(many)] == [("MIT", 1.0)]
+
+
 # -- language model --------------------------------------------------------------------
 def brute_model(texts):
     big, seen = Counter(), Counter()
