@@ -91,7 +91,7 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, records_per_file:
         (F.col("_d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top"))).alias("revisit"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "payload"):
+        for b in small_batches(small_batches(batches, "payload"), "url"):
             out = [member(record(i, u, p, t, r))[:-1] for i, u, p, t, r in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
@@ -105,7 +105,7 @@ class Damaged(Exception):
 
 
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
-_MAX_HEAD = 1 << 16
+_HEAD_END = re.compile(rb"\r\n\r\n|\r\nWARC/\d+\.\d+\r\n")
 _STEP = 1 << 16
 
 
@@ -114,9 +114,11 @@ def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     m = _VERSION.match(data, at)
     if m is None:
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + _MAX_HEAD)
-    if stop < 0:
+    # headers have no bound, but the next record's version line
+    found = _HEAD_END.search(data, m.end() - 2)
+    if found is None or found.end() != found.start() + 4:
         raise Damaged("headers do not end")
+    stop = found.start()
     head: dict[str, str] = {}
     for line in data[m.end():stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")

@@ -113,6 +113,21 @@ def test_warc_of_an_empty_table(spark):
     assert warc.read(spark, path).count() == 0
 
 
+def test_warc_of_very_long_urls(spark):
+    rows = [(1, "http://a.org/" + "x" * 1_000_000, "<p>a"), (2, "http://a.org/" + "\u20ac" * 8_000, "<p>b"), (3, "http://a.org/", "<p>c")]
+    path = shared_path(spark, "test-warc")
+    warc.write(spark.createDataFrame(rows, PAGES), path)
+    found = warc.read(spark, path)
+    assert warc.gaps(found).count() == 0
+    got = {r["page_id"]: r["target_uri"] for r in
+           warc.records(found).withColumn("page_id", warc.page_number("record_id")).collect()}
+    assert got == {1: rows[0][1], 2: "http://a.org/" + "%E2%82%AC" * 8_000, 3: rows[2][1]}
+    # headers that are cut end at the next record of a plain archive
+    whole = warc.record(4, "http://a.org/" + "x" * 100_000, b"d", None, False)
+    got = list(warc.salvage(whole[:70_000] + b"\r\n" + whole))
+    assert [x[:3] for x in got] == [("gap", 0, 70_002), ("record", 70_002, 70_002 + len(whole))]
+
+
 def test_salvage_recovers_what_is_whole():
     recs = [warc.record(i, f"http://x/{i}", (f"<p>{i}" * (i + 1)).encode(), None, False) for i in range(8)]
     members = [warc.member(r) for r in recs]
