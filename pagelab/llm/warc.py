@@ -10,7 +10,13 @@ writer's line separator.
 Reader: archives are read as binary files. A record must pass its checks: gzip
 CRC and size, version line, headers, block length, end mark, and SHA-1 digests
 where given. After a failed check the reader looks for the next valid member or
-version line, goes on from there, and reports the bytes between as a gap.
+version line, goes on from there, and reports the bytes between as a gap. The
+content of a member is salvaged alike, record by record; records and gaps of a
+member carry the byte range of the member, and the reason of a gap tells its place
+in the content. Of a member that is cut or fails its own checks, the records that
+came out whole are kept (with a block digest that agrees) and a gap tells what
+failed. If such a member is not cut and holds one record with nothing else amiss,
+the damage may be in that record's headers, and it is a gap.
 
 Defined cases: null html is an empty payload; a null page_id is smaller than
 any other; rows that share the largest page_id of a payload are all responses;
@@ -140,50 +146,104 @@ def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     return end + 4, head, block
 
 
-def _inflate(data: bytes, at: int) -> tuple[int, bytes]:
-    """(end, content) of the gzip member at ``at``; CRC and size are checked."""
+def _inflate(data: bytes, at: int) -> tuple[int, bytes, str | None]:
+    """(end, content, failure) of the gzip member at ``at``; CRC and size are checked.
+    After a failure the content is what came out before it."""
     z = zlib.decompressobj(31)
     out, pos, view = [], at, memoryview(data)
-    try:
-        while not z.eof:
-            if pos >= len(data):
-                raise Damaged("gzip member is cut")
-            part = view[pos:pos + _STEP]
+    while not z.eof:
+        if pos >= len(data):
+            return pos, b"".join(out), "gzip member is cut"
+        part = view[pos:pos + _STEP]
+        before = z.copy()
+        try:
             out.append(z.decompress(part))
-            pos += len(part)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    return pos - len(z.unused_data), b"".join(out)
+        except zlib.error:
+            for k in range(len(part)):  # once more, up to the byte that fails
+                try:
+                    out.append(before.decompress(part[k:k + 1]))
+                except zlib.error as e:
+                    return pos + k, b"".join(out), f"gzip: {e}"
+        pos += len(part)
+    return pos - len(z.unused_data), b"".join(out), None
+
+
+def _spans(content: bytes, strict: bool) -> tuple[list[int], list[tuple[int, int, str]]]:
+    """Where the valid records of a member's content begin, and the (begin, end, reason)
+    of the bytes between. ``strict``: a record needs a block digest."""
+    begins, holes = [], []
+    at, n = 0, len(content)
+    hole: tuple[int, str] | None = None
+    while at < n:
+        try:
+            end, head, _ = _plain(content, at)
+            if strict and not head.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damaged("no block digest in a damaged member")
+        except Damaged as e:
+            hole = hole or (at, str(e))
+            at = content.find(b"WARC/", at + 1)
+            at = n if at < 0 else at
+            continue
+        if hole:
+            holes.append((hole[0], at, hole[1]))
+            hole = None
+        begins.append(at)
+        at = end
+    if hole:
+        holes.append((hole[0], n, hole[1]))
+    return begins, holes
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, bytes]]:
     """('record', begin, end, headers, block) and ('gap', begin, end, reason, b'') in order."""
     at, n = 0, len(data)
     gap: tuple[int, str] | None = None
+    #: what came out of the damaged member that the gap begins with, and where it failed
+    held: tuple[bytes, list[int], int] = b"", [], 0
+
+    def close(end: int):
+        nonlocal gap, held
+        for k in held[1]:
+            yield "record", gap[0], end, *_plain(held[0], k)[1:]
+        if gap:
+            yield "gap", gap[0], end, gap[1], b""
+        gap, held = None, (b"", [], 0)
+
     while at < n:
-        try:
-            if data.startswith(b"\x1f\x8b\x08", at):
-                end, content = _inflate(data, at)
-                got, pos = [], 0
-                while pos < len(content):
-                    pos, head, block = _plain(content, pos)
-                    got.append((head, block))
+        if data.startswith(b"\x1f\x8b\x08", at):
+            end, content, failure = _inflate(data, at)
+            begins, holes = _spans(content, failure is not None)
+            places = "; ".join(f"{why} (bytes {a} to {b} of the content)" for a, b, why in holes)
+            if failure is None and (begins or not content):
+                yield from close(at)
+                for k in begins:
+                    yield "record", at, end, *_plain(content, k)[1:]
+                if holes:
+                    yield "gap", at, end, places, b""
+                at = end
+                continue
+            if failure is None:  # whole, but nothing in it is a record
+                gap, at = gap or (at, holes[0][2]), end
+                continue
+            if begins and (len(begins) > 1 or holes or "cut" in failure):
+                yield from close(at)
+                gap, held = (at, "; ".join(filter(None, (failure, places)))), (content, begins, end)
             else:
+                gap = gap or (at, failure)
+        else:
+            try:
                 end, head, block = _plain(data, at)
-                got = [(head, block)]
-        except Damaged as e:
-            gap = gap or (at, str(e))
-            nexts = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/", at + 1)) if x >= 0]
-            at = min(nexts, default=n)
-            continue
-        if gap:
-            yield "gap", gap[0], at, gap[1], b""
-            gap = None
-        for head, block in got:
-            yield "record", at, end, head, block
-        at = end
-    if gap:
-        yield "gap", gap[0], n, gap[1], b""
+                # a member may hold its records uncompressed: those are told already
+                if at >= held[2] or all(_plain(held[0], k)[2] != block for k in held[1]):
+                    yield from close(at)
+                    yield "record", at, end, head, block
+                    at = end
+                    continue
+            except Damaged as e:
+                gap = gap or (at, str(e))
+        nexts = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/", at + 1)) if x >= 0]
+        at = min(nexts, default=n)
+    yield from close(n)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length:\s*(\d+)", re.I)

@@ -158,6 +158,42 @@ def test_salvage_recovers_what_is_whole():
                 assert any(kind == "gap" for kind, *_ in got)
 
 
+def test_salvage_inside_a_member():
+    rng = random.Random(2)
+    recs = [warc.record(i, f"http://x/{i}", rng.randbytes(3_000 * (i + 1)), None, False) for i in range(8)]
+    names = lambda found: [h["warc-record-id"] for kind, _, _, h, _ in found if kind == "record"]
+    urn = lambda *ids: [f"<urn:x-page:{i}>" for i in ids]
+    flat = b"".join(recs)
+    bad = bytearray(flat)
+    bad[len(b"".join(recs[:3])) + 1_000] ^= 1  # the block of record 3
+    for level in (0, 6):  # uncompressed records in a member are told once
+        # a whole member with a broken record
+        for data in (warc.member(bytes(bad), level), warc.member(b"junk" + flat.replace(recs[3], b""), level)):
+            got = list(warc.salvage(data + warc.member(recs[0])))
+            assert names(got) == urn(0, 1, 2, 4, 5, 6, 7, 0)
+            gaps = [x for x in got if x[0] == "gap"]
+            assert len(gaps) == 1 and gaps[0][1] == 0 and "of the content" in gaps[0][3]
+        # one member that is cut, or whose content or check sum is damaged
+        whole = warc.member(flat, level)
+        cut = whole[:len(whole) * 3 // 4]
+        got = list(warc.salvage(cut))
+        assert names(got) == urn(0, 1, 2, 3, 4, 5) and got[-1][:3] == ("gap", 0, len(cut)) and "cut" in got[-1][3]
+        wrong = gzip.compress(flat, level)
+        wrong = wrong[:-8] + bytes([wrong[-8] ^ 1]) + wrong[-7:]
+        got = list(warc.salvage(wrong + warc.member(recs[0])))
+        assert names(got) == urn(*range(8), 0) and [x[:3] for x in got if x[0] == "gap"] == [("gap", 0, len(wrong))]
+        # damage in the middle: all that came before it
+        hit = bytearray(whole)
+        for k in range(20):
+            hit[len(whole) // 2 + k] ^= 0x55
+        got = list(warc.salvage(bytes(hit) + warc.member(recs[7])))
+        assert names(got)[:5] == urn(0, 1, 2, 3, 4) and names(got)[-1:] == urn(7) and any(x[0] == "gap" for x in got)
+        assert len(set(names(got)[:-1])) == len(names(got)) - 1
+    # the headers of a single record in a damaged member are in doubt
+    one = gzip.compress(recs[1])
+    assert [x[0] for x in warc.salvage(one[:-8] + bytes(8))] == ["gap"]
+
+
 # -- licences ------------------------------------------------------------------------
 def brute_dice(a, b):
     x, y = licenses.words(a), licenses.words(b)
