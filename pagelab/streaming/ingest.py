@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pagelab.functions.html import CONTROL_CHARS_RE, strip_ws
 
 
-def page_stream(spark: SparkSession, folder: str, schema, name_glob: str = "*.parquet", max_files: int = 1) -> DataFrame:
-    """Files arriving in ``folder`` (matching ``name_glob``) as a stream."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", name_glob).parquet(folder))
+def page_stream(spark: SparkSession, folder: str, schema, name_glob: str = "*.parquet",
+                max_files: int | None = 1) -> DataFrame:
+    """Files arriving in ``folder`` (matching ``name_glob``) as a stream, at most
+    ``max_files`` a micro-batch; None takes all that have arrived."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name_glob)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(folder)
 
 
 def ingest_dedup(stream: DataFrame, known: DataFrame, url: str = "url", html: str = "html",

@@ -27,6 +27,22 @@ def test_streaming_equals_batch(spark, sf001):
     assert sorted(r.page_id for r in q.collect()) == sorted(r.page_id for r in b.collect())
 
 
+def test_arrivals_of_many_files_keep_every_page(spark, tmp_path):
+    """L1: an arrival of several files is one micro-batch, and no page is late for it."""
+    import os
+    from glob import glob
+    from pyspark.sql import functions as F
+    from pagelab.session import scratch_path
+    pages = spark.range(1, 8001, 1, 4).select(
+        F.col("id").alias("page_id"), F.format_string("http://x.org/%d", "id").alias("url"), F.repeat(F.lit("word "), 30).alias("html"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    written = lambda: set(glob(os.path.join(scratch_path(spark, "arrivals_*").removeprefix("file:"), "*.parquet")))
+    before = written()
+    q = E.queries()["stream_ingest_dedup"](spark, str(tmp_path))
+    assert sorted(r.page_id for r in q.collect()) == list(range(1, 8001))
+    assert len(written() - before) > 3  # no arrival goes through one task
+
+
 def test_shapley_additivity(spark, sf001):
     """Contributions of a row sum to f(x) - mean background score."""
     from pyspark.sql import functions as F
