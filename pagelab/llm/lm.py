@@ -20,7 +20,8 @@ never seen leaves p1.
 
 Files are raw little-endian arrays written by Spark into the shared folder
 (any file system); workers map them in place where that folder is a mounted
-one, else from the copy that Spark fetches for each executor. No array passes
+one, else from the copy that Spark fetches for each executor; a worker that does
+not see all of what training wrote raises. No array passes
 through the driver; it learns sizes and counts of counts only. Model size and
 traffic grow with the corpus, nothing is pruned or sampled.
 
@@ -47,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelab.llm.common import shared_path, small_batches
@@ -56,6 +57,8 @@ SEED = 0
 BATCH_BYTES = 2 << 20  # text looked up at a time
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIP = "bucket int, payload binary"
+#: Arrays of a bucket of words, bigrams and continuations; totals come first.
+_ARRAYS = {"w": ["<i8", "<u8", "<i8"], "b": ["<i8", "<u8", "<u4", "<i8", "<u4", "<u4", "<u4"], "c": ["<i8", "<u4"]}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,21 +105,57 @@ def _share(spark: SparkSession, path: str) -> str:
     return path
 
 
-def _open(path: str, types: list[str]) -> dict[int, list[np.ndarray]]:
-    """bucket -> mapped arrays."""
+def _bucket(name: str) -> int:
+    return int(re.match(r"part-(\d+)", os.path.basename(name))[1])
+
+
+def _sizes(spark: SparkSession, path: str) -> dict[int, int]:
+    """bucket -> bytes of its file, as the shared folder lists them; no content is read."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # one row a bucket
+    return {_bucket(r["path"]): r["length"] for r in rows if r["length"]}
+
+
+def _open(path: str, types: list[str], sizes: dict[int, int]) -> dict[int, list[np.ndarray]]:
+    """bucket -> mapped arrays, the bucket's totals first. A worker that does not see
+    every file that training wrote, whole, raises."""
+    here = {_bucket(n): n for n in glob.glob(f"{glob.escape(_local(path))}/part-*")}
     out = {}
-    for name in glob.glob(f"{glob.escape(_local(path))}/part-*"):
-        if not os.path.getsize(name):
-            continue  # of a partition without rows
-        with open(name, "rb") as f:
+    for bucket, size in sizes.items():
+        if bucket not in here or os.path.getsize(here[bucket]) != size:
+            raise FileNotFoundError(f"{path}: this worker sees the model in part (bucket {bucket})")
+        with open(here[bucket], "rb") as f:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        out[int(re.match(r"part-(\d+)", os.path.basename(name))[1])] = _unpack(data, types)
+        out[bucket] = _unpack(data, types)
     return out
 
 
-def _dealt(rows: DataFrame, buckets: int, merge, more: str = "") -> DataFrame:
+def _totals(model: "Model", level: str) -> dict[int, list[int]]:
+    """bucket -> the totals at the head of its file (one small row a bucket)."""
+    spark, buckets = SparkSession.active(), sorted(model.files[level])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int64()), pa.array([model.maps()[level][k][0].tolist() for k in at], pa.list_(pa.int64()))],
+                names=["bucket", "totals"])
+
+    rows = spark.createDataFrame([(k,) for k in buckets], "bucket long").repartition(max(1, len(buckets) // 16))
+    return {r["bucket"]: r["totals"] for r in rows.mapInArrow(heads, "bucket long, totals array<bigint>").collect()}
+
+
+def _dealt(rows: DataFrame, buckets: int, merge) -> DataFrame:
     """Send shipped rows to the partition of their bucket and merge each there."""
-    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(merge, f"payload binary{more}")
+    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(merge, "payload binary")
+
+
+def _payload(*arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([_pack(*arrays)], pa.binary())], names=["payload"])
+
+
+def _of_counts(n: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3, 4, and any."""
+    return np.array([*((n == k).sum() for k in (1, 2, 3, 4)), len(n)], "<i8")
 
 
 def _emit(buckets: list[int], payloads: list[bytes]) -> pa.RecordBatch:
@@ -207,6 +246,7 @@ class Model:
     d1: tuple[float, float, float]
     n_bigrams: int  # distinct ones: the sum of all continuation counts
     rest1: float  # mass that the unigram level leaves to the uniform one
+    files: dict = field(default_factory=dict)  # level -> bucket -> bytes
     _maps: dict = field(default_factory=dict, repr=False)
 
     def width(self) -> int:
@@ -221,9 +261,8 @@ class Model:
         if key not in self._maps:
             self._maps.clear()
             self._maps[key] = {
-                "w": _open(self.words, ["<u8", "<i8"]),
-                "b": _open(self.bigrams, ["<u8", "<u4", "<i8", "<u4", "<u4", "<u4"]) if self.bigrams else {},
-                "c": _open(self.continuations, ["<u4"]) if self.continuations else {}}
+                level: _open(path, _ARRAYS[level], self.files[level])
+                for level, path in (("w", self.words), ("b", self.bigrams), ("c", self.continuations)) if path}
         return self._maps[key]
 
     # ids ------------------------------------------------------------------------
@@ -232,8 +271,8 @@ class Model:
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         part = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         for p in np.unique(part):
-            if p in self.maps()["w"]:
-                known, n = self.maps()["w"][p]
+            if p in self.maps().get("w", ()):
+                _, known, n = self.maps()["w"][p]
                 at = np.flatnonzero(part == p)
                 i = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
                 ok = known[i] == hashes[at]
@@ -254,8 +293,8 @@ class Model:
         width = self.width()
         for p in np.unique(ids[ids >= 0] // width):
             at = np.flatnonzero(ids // width == p)
-            if p in self.maps()["c"]:
-                a[at] = self.maps()["c"][p][0][ids[at] - p * width]
+            if p in self.maps().get("c", ()):
+                a[at] = self.maps()["c"][p][1][ids[at] - p * width]
         total = max(1, self.n_bigrams)
         return _less(a, self.d1) / total + self.rest1 / (self.n_types + 1)
 
@@ -265,9 +304,9 @@ class Model:
         width = self.width()
         part = np.where(left >= 0, left // width, -1)
         for p in np.unique(part):
-            if p < 0 or p not in self.maps()["b"]:
+            if p < 0 or p not in self.maps().get("b", ()):
                 continue
-            keys, counts, total, n1, n2, n3 = self.maps()["b"][p]
+            _, keys, counts, total, n1, n2, n3 = self.maps()["b"][p]
             at = np.flatnonzero(part == p)
             u = left[at] - p * width
             t = total[u]
@@ -335,26 +374,21 @@ def train(docs: DataFrame, *, tokens_per_bucket: int = 4_000_000, words_per_buck
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = _gathered(batches)
         if len(keys):
-            top = int(keys[0]) >> (64 - bits) if bits else 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_pack(keys, n)], pa.binary()), pa.array([top], pa.int32()), pa.array([len(keys)], pa.int64()),
-                 pa.array([int(n.sum())], pa.int64())], names=["payload", "bucket", "types", "tokens"])
+            yield _payload(np.array([len(keys), n.sum()], "<i8"), keys, n)
 
-    seen = Observation()
     words = shared_path(spark, "lm-words")
-    _store(_dealt(raw.mapInArrow(count_words, _SHIP), 1 << bits, merge_words, ", bucket int, types bigint, tokens bigint")
-           .observe(seen, F.sum("tokens").alias("tokens"),
-                    F.collect_list(F.struct("bucket", "types")).alias("sizes")), words)
-    sizes = {r["bucket"]: r["types"] for r in seen.get["sizes"] or []}
-    starts, n_types = [], 0
+    _store(_dealt(raw.mapInArrow(count_words, _SHIP), 1 << bits, merge_words), words)
+    model = Model(_share(spark, words), "", "", bits, [], 0, 0, 1, (0, 0, 0), (0, 0, 0), 0, 1.0,
+                  {"w": _sizes(spark, words)})
+    totals = _totals(model, "w")
     for b in range(1 << bits):
-        starts.append(n_types)
-        n_types += sizes.get(b, 0)
-    n_tokens = seen.get["tokens"] or 0
+        model.starts.append(model.n_types)
+        model.n_types += totals.get(b, (0, 0))[0]
+        model.n_tokens += totals.get(b, (0, 0))[1]
+    n_types = model.n_types
     if n_types + 1 >= 1 << 32:
         raise ValueError("word ids take 32 bits: over four billion distinct words")
-    model = Model(_share(spark, words), "", "", bits, starts, n_tokens, n_types,
-                  max(1, math.ceil(n_tokens / tokens_per_bucket)), (0, 0, 0), (0, 0, 0), 0, 1.0)
+    model.ranges = max(1, math.ceil(model.n_tokens / tokens_per_bucket))
     width, ranges = model.width(), model.ranges
 
     def by_range(keys, n, shift):
@@ -387,20 +421,17 @@ def train(docs: DataFrame, *, tokens_per_bucket: int = 4_000_000, words_per_buck
         left -= b * width
         per = [np.bincount(left, n, width).astype("<i8")] + [
             np.bincount(left[on], minlength=width).astype("<u4") for on in (n == 1, n == 2, n >= 3)]
-        ofs = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_pack(keys, np.minimum(n, 0xFFFFFFFF).astype("<u4"), *per)], pa.binary())]
-            + [pa.array([x], pa.int64()) for x in (*ofs, len(keys))], names=["payload", "n1", "n2", "n3", "n4", "n"])
+        yield _payload(_of_counts(n), keys, np.minimum(n, 0xFFFFFFFF).astype("<u4"), *per)
 
-    def observed(path: str, rows: DataFrame) -> dict:
-        got = Observation()
-        _store(rows.observe(got, *[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "n")]), path)
-        return {k: v or 0 for k, v in got.get.items()}
+    def summed(level: str, path: str) -> dict[str, int]:
+        model.files[level] = _sizes(spark, path)
+        rows = [*_totals(model, level).values(), [0] * 5]
+        return dict(zip(("n1", "n2", "n3", "n4", "n"), map(sum, zip(*rows))))
 
-    more = ", n1 bigint, n2 bigint, n3 bigint, n4 bigint, n bigint"
     bigrams = shared_path(spark, "lm-bigrams")
-    of2 = observed(bigrams, _dealt(raw.mapInArrow(count_bigrams, _SHIP), ranges, merge_bigrams, more))
+    _store(_dealt(raw.mapInArrow(count_bigrams, _SHIP), ranges, merge_bigrams), bigrams)
     model.bigrams = _share(spark, bigrams)
+    of2 = summed("b", bigrams)
     model.d2 = discounts(*[of2[f"n{k}"] for k in (1, 2, 3, 4)])
     model.n_bigrams = of2["n"]
 
@@ -408,7 +439,7 @@ def train(docs: DataFrame, *, tokens_per_bucket: int = 4_000_000, words_per_buck
         for b in batches:
             for p in b.column(0).to_pylist():
                 if p in model.maps()["b"]:
-                    right = model.maps()["b"][p][0] & _LOW
+                    right = model.maps()["b"][p][1] & _LOW
                     yield by_range(*_counted(right), 0)
 
     def merge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,15 +449,13 @@ def train(docs: DataFrame, *, tokens_per_bucket: int = 4_000_000, words_per_buck
         at = keys.astype(np.int64)
         full = np.zeros(width, "<u4")
         full[at - int(at[0]) // width * width] = n
-        ofs = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        yield pa.RecordBatch.from_arrays([pa.array([_pack(full)], pa.binary())]
-                                         + [pa.array([x], pa.int64()) for x in (*ofs, len(keys))],
-                                         names=["payload", "n1", "n2", "n3", "n4", "n"])
+        yield _payload(_of_counts(n), full)
 
     continuations = shared_path(spark, "lm-continuations")
     buckets = spark.range(0, ranges, 1, ranges)
-    of1 = observed(continuations, _dealt(buckets.mapInArrow(count_contexts, _SHIP), ranges, merge_contexts, more))
+    _store(_dealt(buckets.mapInArrow(count_contexts, _SHIP), ranges, merge_contexts), continuations)
     model.continuations = _share(spark, continuations)
+    of1 = summed("c", continuations)
     model.d1 = discounts(*[of1[f"n{k}"] for k in (1, 2, 3, 4)])
     d, total = model.d1, max(1, model.n_bigrams)
     three = of1["n"] - of1["n1"] - of1["n2"]

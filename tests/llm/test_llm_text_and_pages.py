@@ -354,6 +354,29 @@ def test_language_model_of_nothing(spark):
     assert lm.score(docs.limit(0), model).count() == 0
 
 
+def test_models_can_be_fitted_after_the_language_model(spark):
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lm_texts())], DOCS)
+    assert lm.score(docs, lm.train(docs)).count() == docs.count()
+    rows = spark.createDataFrame([(float(i % 2), Vectors.dense(i % 2, i)) for i in range(40)], ["label", "features"])
+    for kind in (LogisticRegression(maxIter=3), RandomForestClassifier(numTrees=3, maxDepth=2, seed=1)):
+        assert kind.fit(rows).transform(rows).where("label = prediction").count() == 40
+
+
+def test_a_model_seen_in_part_is_an_error(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lm_texts())], DOCS)
+    model = lm.train(docs, tokens_per_bucket=1_000)
+    assert len(model.files["b"]) > 1
+    hidden = min(model.files["b"])
+    model.files["b"][hidden] += 8  # what a half-copied file looks like
+    with pytest.raises(Exception, match="sees the model in part"):
+        lm.score(docs, model).collect()
+    model.files["b"] = {99: 8}  # a file that is not there
+    with pytest.raises(Exception, match="sees the model in part"):
+        lm.score(docs, model).collect()
+
+
 def test_held_out_texts_score_above_the_base(spark, sf001):
     out = queries.QUERIES["op5_lm_score"](spark, sf001)
     r = out.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
