@@ -67,3 +67,10 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str,
                 yield b.slice(at, rows)
         elif b.num_rows:
             yield b
+
+
+def small_arrays(values: pa.Array, limit: int = 8 << 20) -> Iterator[pa.Array]:
+    """Consecutive slices of ``values`` of about ``limit`` bytes, in even numbers of rows."""
+    rows = max(1, int(len(values) * limit / max(limit, values.nbytes)))
+    for at in range(0, len(values), rows):
+        yield values.slice(at, rows)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelab.llm import decontaminate, licenses, lm, maintext, mix, quality, simhash, tokencount, urls, warc
-from pagelab.llm.common import shared_path, table
+from pagelab.functions.url import bind
+from pagelab.llm import (bpe, decontaminate, licenses, lm, maintext, mix, periodic, quality, resample, simhash,
+                         tokencount, urls, warc)
+from pagelab.llm.common import SPACE_WORD, shared_path, table, word_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -169,3 +172,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(docs, rules)
     return out.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in quality.COUNTS[:5]],
                       "base_failed", "kept", "rule")
+
+
+def planted(doc_id, text):
+    """The contract's texts: one document in ten repeats, from a word on, the words before its end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def looped(w):
+        n = F.size(w)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        loop = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+        times = F.ceil((n - a) / p).cast("int")
+        return F.slice(F.concat(F.slice(w, F.lit(1), a.cast("int")), F.flatten(F.array_repeat(loop, times))), F.lit(1), n)
+
+    words = bind(word_array(text, SPACE_WORD), lambda w: F.when(F.size(w) > 0, looped(w)).otherwise(w))
+    return F.when(h % 10 == 0, F.array_join(words, " ")).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of 24 words and three periods in every document, and the text without their repeats."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    out = periodic.with_runs(docs, min_words=24, min_periods=3).withColumn("best", periodic.strongest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn to resemble the benchmark's word pairs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gain = resample.learn(docs, table(spark, sf_dir, "benchmark"), max_words=2, buckets=10_000)
+    out = resample.draw(resample.weigh(docs, gain, max_words=2).drop("text"), share=Fraction(25, 100), min_words=20, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def bpe_ranks():
+    """The registered query's ranks: a byte-level vocabulary of a public tokenizer."""
+    import public_tokenizers
+    path = os.environ.get("PAGELAB_BPE_RANKS", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.load(path, public_tokenizers.PATTERN)
+
+
+@query("op13_bpe_round_trip")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to token ids and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = bpe.Tokenizer(docs, bpe_ranks())
+    out = tokenizer.with_bytes(tokenizer.with_ids(docs).drop("text"))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
