@@ -105,9 +105,9 @@ class PairTable:
 
 
 class Encoder:
-    """Encodes and decodes under one file of ranks; at most ``hold`` pieces stay known."""
+    """Encodes under one file of ranks; about ``hold`` pieces stay known."""
 
-    def __init__(self, ranks: Ranks, hold: int = 500_000):
+    def __init__(self, ranks: Ranks, hold: int = 250_000):
         self.cut = regex.compile(ranks.pattern).findall
         self.ids = {token: i for i, token in ranks.tokens.items()}
         missing = [b for b in range(256) if bytes([b]) not in self.ids]
@@ -118,7 +118,6 @@ class Encoder:
                  for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
         self.pairs = PairTable(*np.array(known or np.zeros((0, 3)), np.int64).reshape(-1, 3).T)
         self.pair_rank = {(a, b): i for a, b, i in known}
-        self.tokens = ranks.tokens
         self.hold = hold
         self._forget()
 
@@ -232,14 +231,15 @@ class Encoder:
         per = np.diff(ends[np.concatenate(([0], np.cumsum(lengths)))])
         return self.flat[_spread(self.start[piece], size)], per
 
-    def decode(self, ids: np.ndarray, per: np.ndarray) -> list[bytes]:
-        """Bytes of each stretch of ids; an id that is no token raises ValueError."""
-        try:
-            tokens = list(map(self.tokens.__getitem__, ids.tolist()))
-        except KeyError as e:
-            raise ValueError(f"{e.args[0]} is no token") from None
-        ends = np.cumsum(per)
-        return [b"".join(tokens[a:b]) for a, b in zip((ends - per).tolist(), ends.tolist())]
+
+def decode(tokens: dict[int, bytes], ids: np.ndarray, per: np.ndarray) -> list[bytes]:
+    """Bytes of each stretch of ids; an id that is no token raises ValueError."""
+    try:
+        found = list(map(tokens.__getitem__, ids.tolist()))
+    except KeyError as e:
+        raise ValueError(f"{e.args[0]} is no token") from None
+    ends = np.cumsum(per)
+    return [b"".join(found[a:b]) for a, b in zip((ends - per).tolist(), ends.tolist())]
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -282,15 +282,18 @@ class Tokenizer:
 
     def with_bytes(self, docs: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """``docs`` with the bytes that the ids stand for."""
-        get = self._encoder
+        shared = self.shared
 
         @F.arrow_udf("binary")
         def bytes_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            tokens = shared.value.tokens
             for part in parts:
-                per = np.diff(part.offsets.to_numpy())
-                null = part.is_null().to_numpy(zero_copy_only=False)
-                flat = part.flatten().to_numpy(zero_copy_only=False)
-                got = get().decode(flat, np.where(null, 0, per))
-                yield pa.array(got, pa.binary(), mask=null)
+                made = []
+                for piece in small_arrays(part, TEXT_BYTES):
+                    null = piece.is_null().to_numpy(zero_copy_only=False)
+                    per = np.where(null, 0, np.diff(piece.offsets.to_numpy()))
+                    got = decode(tokens, piece.flatten().to_numpy(zero_copy_only=False), per)
+                    made.append(pa.array(got, pa.binary(), mask=null))
+                yield pa.concat_arrays(made) if made else pa.array([], pa.binary())
 
         return docs.withColumn(out, bytes_of(F.col(f"`{ids}`")))
