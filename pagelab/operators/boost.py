@@ -7,6 +7,8 @@ gradients and hessians of the logistic loss per (feature, bin); the sums are red
 per group of features, where the best split of each node is found, and only these
 splits reach the driver. So a level costs one pass whatever the number of models:
 the folds and experts of a stack, or the trials of a search, are fitted together.
+A table that is one block (``block_rows`` rows) needs no sums of others: there the
+models are dealt out among tasks, which grow them by the same steps, in one job.
 
     gain = (GL^2/(HL + l) + GR^2/(HR + l) - G^2/(H + l)) / 2 - gamma,  leaf = -rate G/(H + l)
 
@@ -165,7 +167,7 @@ def _mixed(key: np.ndarray, salt: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def _tree_columns(spec: Spec, model: int, round_: int) -> np.ndarray:
+def _tree_columns(spec: Spec, round_: int) -> np.ndarray:
     s, cols = spec.settings, np.array(spec.columns)
     if s.column_share >= 1:
         return cols
@@ -262,6 +264,7 @@ def stored_blocks(df: DataFrame, cuts: list[np.ndarray], path: str, label: str,
     kind = np.uint16 if wide else np.uint8
     x = df.select(vector_to_array(F.col(features)), F.col(label).cast("double"),
                   (F.col(fold) if fold else F.lit(-1)).cast("int"), F.xxhash64(F.col(key)))
+    x = x.coalesce(max(1, math.ceil(x.count() / block_rows)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -292,7 +295,7 @@ def _unpack(row, width: int, kind) -> tuple:
 
 
 def fit_many(df: DataFrame, specs: list[Spec], label: str = "label", features: str = "features", key: str = "page_id",
-             fold: str | None = None, bins: int = 256) -> list[Boosted]:
+             fold: str | None = None, bins: int = 256, block_rows: int = BLOCK_ROWS) -> list[Boosted]:
     """All models of ``specs`` on ``df``, level by level in common passes."""
     from pagelab.session import scratch_path
     spark, run = df.sparkSession, uuid.uuid4().hex
@@ -304,49 +307,72 @@ def fit_many(df: DataFrame, specs: list[Spec], label: str = "label", features: s
     cuts = cut_points(df, width, features, bins)
     n_bins = np.array([len(c) + 1 for c in cuts])
     kind = np.uint16 if n_bins.max() > 256 else np.uint8
-    table = stored_blocks(df, cuts, scratch_path(spark, f"boost_{run}"), label, features, key, fold)
+    table = stored_blocks(df, cuts, scratch_path(spark, f"boost_{run}"), label, features, key, fold, block_rows)
     blocks = table.rdd.map(lambda row: _unpack(row, width, kind)).persist(StorageLevel.MEMORY_AND_DISK)
     counts = np.array(blocks.map(lambda b: [f(b, s) for s in specs for f in (_rows_of, _ones_of)]).reduce(
         lambda a, b: [x + y for x, y in zip(a, b)])).reshape(-1, 2)
     prior = np.clip(counts[:, 1] / np.maximum(counts[:, 0], 1), 1e-6, 1 - 1e-6)
     base = np.array([0.0 if s.settings.second_order else math.log(q / (1 - q)) for s, q in zip(specs, prior)])
-    grown: list[list[Tree]] = [[] for _ in specs]
-    done: list = []  # broadcasts of ten rounds each, then the newest rounds
-    parts = max(1, min(sc.defaultParallelism, blocks.getNumPartitions()))
     try:
-        for round_ in range(max(s.settings.rounds for s in specs)):
-            live = [m for m, s in enumerate(specs) if round_ < s.settings.rounds]
-            trees, open_ = {m: Tree() for m in live}, {m: {0: None} for m in live}
-            columns = {m: _tree_columns(specs[m], m, round_) for m in live}
-            for level in range(max(specs[m].settings.depth for m in live) + 1):
-                ask = [m for m in live if open_[m] and level < max(1, specs[m].settings.depth)]
-                found = _pass(blocks, run, specs, base, done, trees, open_, ask, round_, n_bins, columns, parts) if ask else {}
-                for m in live:
-                    s, fresh = specs[m].settings, {}
-                    for i, sums in open_[m].items():
-                        best = found.get((m, i))
-                        sums = best[4] if best and sums is None else sums
-                        if best and best[0] > 1e-12 and level < s.depth:
-                            lo, hi = trees[m].split(i, best[1], best[2], best[0])
-                            fresh[lo], fresh[hi] = best[3], [t - a for t, a in zip(sums, best[3])]
-                        elif sums is not None:
-                            trees[m].value[i] = -s.rate * sums[0] / (sums[1] + s.reg_lambda) if sums[1] + s.reg_lambda > 0 else 0.0
-                    open_[m] = fresh
-                if not any(open_.values()):
-                    break
-            for m in live:
-                grown[m].append(trees[m])
-            done.append([[(m, trees[m].packed()) for m in live]])
-            if len(done) >= 10 and all(isinstance(d, list) for d in done[-10:]):
-                done[-10:] = [sc.broadcast([r for d in done[-10:] for r in d])]
+        if blocks.count() == 1:
+            def alone(pair):
+                m, block = pair
+
+                def sums(done, growing, round_, groups, best):
+                    return [(k, best(k, h)) for k, h in _histograms(block, f"{run}/{m}", [specs[m]], base[m:m + 1], done, growing,
+                                                                    round_, n_bins, groups)]
+                return m, _grow([specs[m]], n_bins, sums, lambda rounds: rounds)[0]
+            n = len(specs)
+            dealt = blocks.flatMap(lambda b: [(m, b) for m in range(n)]).partitionBy(n, lambda m: m)
+            grown = [trees for _, trees in sorted(dealt.map(alone).collect(), key=lambda t: t[0])]
+        else:
+            parts = max(1, min(sc.defaultParallelism, blocks.getNumPartitions()))
+
+            def sums(done, growing, round_, groups, best):
+                each = blocks.flatMap(lambda b: _histograms(b, run, specs, base, done, growing, round_, n_bins, groups))
+                return each.reduceByKey(np.add, parts).map(lambda kv: (kv[0], best(*kv))).collect()
+            grown = _grow(specs, n_bins, sums, sc.broadcast)
     finally:
         blocks.unpersist()
-        for part in done:
-            if hasattr(part, "value"):
-                part.unpersist()
     return [_forest(t, cuts, b, width) for t, b in zip(grown, base)]
 
 
+def _grow(specs: list[Spec], n_bins: np.ndarray, sums, share) -> list[list[Tree]]:
+    """The trees of all models, round by round and level by level. ``sums`` runs a pass over the
+    rows, ``share`` hands the trees of ten finished rounds to whoever runs it."""
+    grown: list[list[Tree]] = [[] for _ in specs]
+    done: list = []  # ten rounds shared at a time, then the newest ones
+    for round_ in range(max(s.settings.rounds for s in specs)):
+        live = [m for m, s in enumerate(specs) if round_ < s.settings.rounds]
+        trees, open_ = {m: Tree() for m in live}, {m: {0: None} for m in live}
+        columns = {m: _tree_columns(specs[m], round_) for m in live}
+        for level in range(max(specs[m].settings.depth for m in live) + 1):
+            ask = [m for m in live if open_[m] and level < max(1, specs[m].settings.depth)]
+            found = _splits(sums, specs, done, trees, open_, ask, round_, n_bins, columns) if ask else {}
+            for m in live:
+                s, fresh = specs[m].settings, {}
+                for i, total in open_[m].items():
+                    best = found.get((m, i))
+                    total = best[4] if best and total is None else total
+                    if best and best[0] > 1e-12 and level < s.depth:
+                        lo, hi = trees[m].split(i, best[1], best[2], best[0])
+                        fresh[lo], fresh[hi] = best[3], [t - a for t, a in zip(total, best[3])]
+                    elif total is not None and total[1] + s.reg_lambda > 0:
+                        trees[m].value[i] = -s.rate * total[0] / (total[1] + s.reg_lambda)
+                open_[m] = fresh
+            if not any(open_.values()):
+                break
+        for m in live:
+            grown[m].append(trees[m])
+        done.append([[(m, trees[m].packed()) for m in live]])
+        if len(done) >= 10 and all(isinstance(d, list) and len(d) == 1 for d in done[-10:]):
+            done[-10:] = [share([r for d in done[-10:] for r in d])]
+    for part in done:
+        if hasattr(part, "value"):
+            part.unpersist()
+    return grown
+
+
 def _rows_of(block, spec: Spec) -> float:
     return float(len(block[2]) if spec.without_fold is None else (block[3] != spec.without_fold).sum())
 
@@ -355,7 +381,7 @@ def _ones_of(block, spec: Spec) -> float:
     return float(block[2].sum() if spec.without_fold is None else block[2][block[3] != spec.without_fold].sum())
 
 
-def _pass(blocks, run, specs, base, done, trees, open_, ask, round_, n_bins, columns, parts) -> dict:
+def _splits(sums, specs, done, trees, open_, ask, round_, n_bins, columns) -> dict:
     """(model, node) -> its best split. Open nodes are dealt into passes of at most ``CELLS`` histogram cells."""
     found: dict = {}
     todo = []
@@ -375,11 +401,12 @@ def _pass(blocks, run, specs, base, done, trees, open_, ask, round_, n_bins, col
             groups[m] = np.split(columns[m], np.flatnonzero(np.diff(part)) + 1)
         chosen = {(m, int(g[0])): g for m in groups for g in groups[m]}
         settings = {m: specs[m].settings for m in groups}
-        sums = blocks.flatMap(lambda b: _histograms(b, run, specs, base, done, growing, round_, n_bins, groups)) \
-            .reduceByKey(np.add, parts)
-        best = sums.map(lambda kv: (kv[0], _best_splits(chosen[kv[0]], n_bins, settings[kv[0][0]], kv[1]))).collect()
+
+        def best(k, hist):
+            return _best_splits(chosen[k], n_bins, settings[k[0]], hist)
+
         at = {m: nodes for m, nodes, _ in now}
-        for (m, _), splits in sorted(best, key=lambda kv: kv[0]):
+        for (m, _), splits in sorted(sums(done, growing, round_, groups, best), key=lambda kv: kv[0]):
             for node, split in zip(at[m], splits):
                 old = found.get((m, node))
                 if old is None or math.isinf(old[0]) or split[0] > old[0] + 1e-12 * abs(old[0]):

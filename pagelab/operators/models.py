@@ -2,9 +2,10 @@
 name -> estimator registry (M1/M2).
 
 Models train with Spark ML (tree aggregation is distributed; the driver only
-holds the fitted trees). Stacks are built from DataFrame pieces: a fold column
-(class-balanced, hash-seeded), out-of-fold expert probabilities unioned per
-fold, a meta learner on top, experts refitted on all rows.
+holds the fitted trees); boosted trees are this package's (``boost``). Stacks are
+built from DataFrame pieces: a fold column (class-balanced, hash-seeded), out-of-fold
+expert probabilities, a meta learner on top, experts refitted on all rows. The experts
+of all folds are fitted in common passes over the rows.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
+from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelab.operators.boost import Boosted, HistBooster, HistBoosterModel, Settings, Spec, fit_many
+from pagelab.operators.forest import _matrix
 from pagelab.operators.sample import stratified_kfold
 
 # ---------------------------------------------------------------------------
@@ -29,12 +32,12 @@ from pagelab.operators.sample import stratified_kfold
 # ---------------------------------------------------------------------------
 RF_STRUCTURAL = dict(numTrees=200, maxDepth=20, minInstancesPerNode=1)
 RF_URL = dict(numTrees=100, maxDepth=15, minInstancesPerNode=1)
-GBT_STRUCTURAL = dict(maxIter=200, maxDepth=5, stepSize=0.1)
-GBT_XGB = dict(maxIter=200, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8")
-GBT_REGULARISED = dict(maxIter=250, maxDepth=8, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8")
-GBT_META = dict(maxIter=300, maxDepth=6, stepSize=0.05)
-GBT_URL_EXPERT = dict(maxIter=200, maxDepth=6, stepSize=0.1)
-GBT_HTML_EXPERT = dict(maxIter=200, maxDepth=8, stepSize=0.1)
+GB_STRUCTURAL = dict(rounds=200, depth=5, rate=0.1, second_order=False, reg_lambda=0.0)
+XGB_STRUCTURAL = dict(rounds=200, depth=5, rate=0.1)
+XGB_REGULARISED = dict(rounds=250, depth=8, rate=0.05, row_share=0.8, column_share=0.8)
+XGB_META = dict(rounds=300, depth=6, rate=0.05)
+XGB_URL_EXPERT = dict(rounds=200, depth=6, rate=0.1)
+XGB_HTML_EXPERT = dict(rounds=200, depth=8, rate=0.1)
 FEW_SHOT = dict(sizes=(10, 20, 50, 100, 200), seeds=5, trees=50, neighbours=5, old_rows=3000)
 MLP_LAYERS = [128, 64, 32]
 URL_EXPERT_COLS = 10
@@ -59,19 +62,14 @@ def prepend(df: DataFrame, scalar: str, vector: str = "features", out: str = "fe
 # execution settings only (no effect on the model definition): cache node ids
 # for deep trees and let each pass split more nodes
 TREE_EXEC = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
-BOOST_EXEC = dict(maxMemoryInMB=1024, checkpointInterval=10)  # shallow trees: no node ids to keep
 
 
 def _rf(**kw):
     return RandomForestClassifier(**{"seed": 42, **TREE_EXEC, **RF_STRUCTURAL, **kw})
 
 
-def _gbt(**kw):
-    return GBTClassifier(**{"seed": 42, **BOOST_EXEC, **GBT_STRUCTURAL, **kw})
-
-
-def _gbt_reg(**kw):
-    return GBTClassifier(**{"seed": 42, **BOOST_EXEC, **GBT_REGULARISED, **kw})
+def _booster(**fixed):
+    return lambda **kw: HistBooster(**{**fixed, **kw})
 
 
 def _lr(**kw):
@@ -85,9 +83,9 @@ def _mlp(n_features: int = 28, **kw):
 MODEL_REGISTRY = {
     "structural_rf": _rf,
     "url_rf": lambda **kw: _rf(**{**RF_URL, **kw}),
-    "structural_gb": _gbt,
-    "structural_xgb": lambda **kw: _gbt_reg(**{**GBT_XGB, **kw}),  # second-order booster re-aimed as subsampled GBT
-    "boosted_trees": _gbt_reg,           # the same class under a second name
+    "structural_gb": _booster(**GB_STRUCTURAL),
+    "structural_xgb": _booster(**XGB_STRUCTURAL),
+    "boosted_trees": _booster(**XGB_REGULARISED),  # the same class under a second name
     "logistic_regression": _lr,
     "structural_dnn": _mlp,
     "structural_stacking": lambda n_features=163, **kw: FusionStack(n_features, "late", **kw),
@@ -131,69 +129,99 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _probabilities(df: DataFrame, experts: dict[int, tuple[Boosted, ...]], fold: str | None = None) -> DataFrame:
+    """``df`` with the array ``_p`` of P(class 1) by each expert: those of the row's own fold,
+    or of key -1 where ``fold`` is not given. One Arrow pass whatever the number of experts."""
+    shared = df.sparkSession.sparkContext.broadcast({k: [b.forest for b in e] for k, e in experts.items()})
+    width = next(iter(experts.values()))[0].width
+
+    @F.pandas_udf("array<double>")
+    def of(v: pd.Series, k: pd.Series) -> pd.Series:
+        x, k = _matrix(v, width), k.to_numpy()
+        out = [None] * len(x)
+        for one in np.unique(k):
+            at = np.flatnonzero(k == one)
+            margin = np.stack([f.score(x[at]) for f in shared.value[int(one)]], axis=1)
+            for i, p in zip(at.tolist(), 1 / (1 + np.exp(-margin))):
+                out[i] = p
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn("_p", of(vector_to_array("features"), F.col(fold) if fold else F.lit(-1)))
+
+
 class FusionStack:
     """G4 (late fusion: meta = LR on [p_url, p_html]) and G5 (mid fusion:
-    meta = GBT on [p_url, p_html] + raw features)."""
+    meta = boosted trees on [p_url, p_html] + raw features). The experts are boosted
+    trees; ``expert`` puts any other estimator in their place."""
 
     def __init__(self, n_features: int, mode: str = "late", folds: int = 5, expert=None, meta=None,
-                 key: str = "page_id", label: str = "label"):
+                 key: str = "page_id", label: str = "label", url: dict | None = None, html: dict | None = None):
         self.n, self.mode, self.folds, self.key, self.label = n_features, mode, folds, key, label
-        # URL expert, HTML expert
-        self.expert = (expert, expert) if expert else (lambda: _gbt(**GBT_URL_EXPERT), lambda: _gbt(**GBT_HTML_EXPERT))
-        self.meta = meta or (lambda: _lr() if mode == "late" else GBTClassifier(seed=42, **GBT_META))
-
-    def _experts_fit(self, df):
-        """URL and HTML experts, fitted as two concurrent Spark jobs."""
+        self.expert, self.url, self.html = expert, url or XGB_URL_EXPERT, html or XGB_HTML_EXPERT
+        self.meta = meta or (lambda: _lr() if mode == "late" else HistBooster(key=key, **XGB_META))
+
+    # experts -----------------------------------------------------------------
+    def _boosted(self, df: DataFrame, folds) -> dict[int, tuple[Boosted, Boosted]]:
+        """URL and HTML expert of each of ``folds`` (without its rows; -1: of all rows), fitted together."""
+        specs = [Spec(Settings(**s), cols, None if k < 0 else k) for k in folds
+                 for s, cols in ((self.url, tuple(range(URL_EXPERT_COLS))), (self.html, tuple(range(URL_EXPERT_COLS, self.n))))]
+        got = fit_many(df, specs, self.label, "features", self.key, fold="fold" if "fold" in df.columns else None)
+        return {k: (got[2 * i], got[2 * i + 1]) for i, k in enumerate(folds)}
+
+    def _other(self, df: DataFrame):
+        """URL and HTML experts of any kind, fitted as two concurrent Spark jobs."""
         from concurrent.futures import ThreadPoolExecutor
-        u = _slice(df, range(URL_EXPERT_COLS), "f_url")
-        h = _slice(df, range(URL_EXPERT_COLS, self.n), "f_html")
-        eu = self.expert[0]().setFeaturesCol("f_url").setLabelCol(self.label).setProbabilityCol("p_u") \
-            .setPredictionCol("y_u").setRawPredictionCol("r_u")
-        eh = self.expert[1]().setFeaturesCol("f_html").setLabelCol(self.label).setProbabilityCol("p_h") \
-            .setPredictionCol("y_h").setRawPredictionCol("r_h")
+        made = []
+        for cols, out, p in ((range(URL_EXPERT_COLS), "f_url", "p_u"), (range(URL_EXPERT_COLS, self.n), "f_html", "p_h")):
+            e = self.expert().setFeaturesCol(out).setLabelCol(self.label).setProbabilityCol(p)
+            made.append((e.setPredictionCol(f"y_{p}").setRawPredictionCol(f"r_{p}"), _slice(df, cols, out)))
         with ThreadPoolExecutor(max_workers=2) as ex:
-            fu, fh = ex.submit(eu.fit, u), ex.submit(eh.fit, h)
-            return fu.result(), fh.result()
+            return tuple(ex.map(lambda t: t[0].fit(t[1]), made))
 
-    def _experts_apply(self, df, mu, mh):
+    def _apply(self, df: DataFrame, experts) -> DataFrame:
+        if self.expert is None:
+            x = _probabilities(df, {-1: experts})
+            return x.select(*df.columns, F.col("_p")[0].alias("p_url"), F.col("_p")[1].alias("p_html"))
         x = _slice(_slice(df, range(URL_EXPERT_COLS), "f_url"), range(URL_EXPERT_COLS, self.n), "f_html")
-        x = mh.transform(mu.transform(x))
+        x = experts[1].transform(experts[0].transform(x))
         return x.select(*df.columns, prob1("p_u").alias("p_url"), prob1("p_h").alias("p_html"))
 
     def _meta_input(self, df):
-        cols = ["p_url", "p_html"]
-        x = assemble(df, cols, "_pp")
+        x = assemble(df, ["p_url", "p_html"], "_pp")
         if self.mode == "mid":
-            x = VectorAssembler(inputCols=["_pp", "features"], outputCol="meta_features").transform(x)
-        else:
-            x = x.withColumnRenamed("_pp", "meta_features")
-        return x
-
-    def out_of_fold(self, df: DataFrame, parallelism: int | None = None) -> DataFrame:
-        """Expert probabilities for every row from models that did not see it.
-
-        The folds are independent fits, submitted as concurrent Spark jobs
-        from a small thread pool (``parallelism`` folds at a time)."""
+            return VectorAssembler(inputCols=["_pp", "features"], outputCol="meta_features").transform(x)
+        return x.withColumnRenamed("_pp", "meta_features")
+
+    def _crossed(self, df: DataFrame, final: bool) -> tuple[DataFrame, tuple | None]:
+        """Out-of-fold probabilities of every row and, with ``final``, the experts of all rows."""
+        f = _written(stratified_kfold(df, self.folds, self.label, key=self.key))  # read by every pass
+        folds = list(range(self.folds))
+        if self.expert is None:
+            experts = self._boosted(f, [*folds, -1] if final else folds)
+            x = _probabilities(f, experts, "fold")
+            oof = x.select(*f.columns, F.col("_p")[0].alias("p_url"), F.col("_p")[1].alias("p_html"))
+            return _written(oof), experts.get(-1)
         from concurrent.futures import ThreadPoolExecutor
-        # fold assignment is reused by every fold's filters: written once
-        f = _written(stratified_kfold(df, self.folds, self.label, key=self.key))
 
         def one(k):
-            mu, mh = self._experts_fit(f.where(F.col("fold") != k))
-            return self._experts_apply(f.where(F.col("fold") == k), mu, mh)
-        with ThreadPoolExecutor(max_workers=parallelism or self.folds) as ex:
-            parts = list(ex.map(one, range(self.folds)))
+            return self._apply(f.where(F.col("fold") == k), self._other(f.where(F.col("fold") != k)))
+        with ThreadPoolExecutor(max_workers=self.folds) as ex:  # independent fits
+            parts = list(ex.map(one, folds))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return _written(out)
+        return _written(out), self._other(df) if final else None
+
+    def out_of_fold(self, df: DataFrame) -> DataFrame:
+        """Expert probabilities for every row from models that did not see it."""
+        return self._crossed(df, False)[0]
 
     def _meta(self):
         return self.meta().setFeaturesCol("meta_features").setLabelCol(self.label)
 
     def fit(self, df: DataFrame) -> "FusionStack":
-        self.meta_model = self._meta().fit(self._meta_input(self.out_of_fold(df)))
-        self.experts = self._experts_fit(df)
+        oof, self.experts = self._crossed(df, True)
+        self.meta_model = self._meta().fit(self._meta_input(oof))
         return self
 
     def out_of_fold_stack(self, df: DataFrame) -> DataFrame:
@@ -211,18 +239,23 @@ class FusionStack:
     def save(self, path: str) -> None:
         """Write the fitted experts and the meta model below ``path``."""
         for name, m in zip(("url", "html", "meta"), (*self.experts, self.meta_model)):
-            m.write().overwrite().save(f"{path}/{name}")
+            m = HistBoosterModel(m, {"features": "features"}) if isinstance(m, Boosted) else m
+            if isinstance(m, HistBoosterModel):
+                m.save(_context(), f"{path}/{name}")
+            else:
+                m.write().overwrite().save(f"{path}/{name}")
 
     def load(self, path: str) -> "FusionStack":
         """Read what ``save`` wrote into this (equally configured) stack."""
         from pyspark.ml.util import DefaultParamsReader
-        url, html, meta = (DefaultParamsReader.loadParamsInstance(f"{path}/{n}", _context()) for n in ("url", "html", "meta"))
-        self.experts, self.meta_model = (url, html), meta
+        read = lambda n: DefaultParamsReader.loadParamsInstance(f"{path}/{n}", _context())
+        boosted = lambda n: HistBoosterModel.load(_context(), f"{path}/{n}")
+        self.experts = (read("url"), read("html")) if self.expert else (boosted("url").boosted, boosted("html").boosted)
+        self.meta_model = boosted("meta") if self.mode == "mid" else read("meta")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        x = self._experts_apply(df, *self.experts)
-        return self.meta_model.transform(self._meta_input(x))
+        return self.meta_model.transform(self._meta_input(self._apply(df, self.experts)))
 
 
 # ------------------------------------------------------------------ kernel SVM

@@ -62,7 +62,7 @@ def brute_boost(x, y, s, on, n):
 def test_splits_equal_brute_force(spark, settings):
     df, x, y = table(spark)
     s = B.Settings(**settings)
-    full, held = B.fit_many(df, [B.Spec(s, tuple(range(8))), B.Spec(s, tuple(range(8)), without_fold=2)], fold="fold")
+    full, held = B.fit_many(df, [B.Spec(s, tuple(range(8))), B.Spec(s, tuple(range(8)), without_fold=2)], fold="fold", block_rows=150)
     on = np.arange(500) % 5 != 2
     assert full.forest.score(x) == pytest.approx(brute_boost(x, y, s, np.ones(500, bool), s.rounds), abs=1e-9)
     assert held.forest.score(x) == pytest.approx(brute_boost(x, y, s, on, s.rounds), abs=1e-9)
@@ -72,9 +72,11 @@ def test_models_fitted_together_equal_models_fitted_alone(spark, monkeypatch):
     df, x, _ = table(spark, seed=3)
     specs = [B.Spec(B.Settings(rounds=6, depth=4), tuple(range(3))), B.Spec(B.Settings(rounds=12, depth=2, row_share=0.7), tuple(range(2, 8))),
              B.Spec(B.Settings(rounds=7, depth=3, column_share=0.5), tuple(range(8)))]
-    together = [m.forest.score(x) for m in B.fit_many(df, specs)]
+    together = [m.forest.score(x) for m in B.fit_many(df, specs, block_rows=100)]
+    for m, t in zip(B.fit_many(df, specs), together):  # one block: models grow apart
+        assert m.forest.score(x) == pytest.approx(t, abs=1e-9)
     monkeypatch.setattr(B, "CELLS", 64)  # a pass for every node or so
-    alone = [B.fit_many(df.repartition(2), [s])[0].forest.score(x) for s in specs]
+    alone = [B.fit_many(df.repartition(2), [s], block_rows=250)[0].forest.score(x) for s in specs]
     for a, b in zip(together, alone):
         assert a == pytest.approx(b, abs=1e-9)
 
