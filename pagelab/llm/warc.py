@@ -5,7 +5,9 @@ be cut at any record. Of the records with equal payloads the one with the
 largest page_id is a response, the others are revisits of it. Files are written
 by Spark's own text writer (committed per task, on any file system Spark can
 write): a member goes out as raw bytes, and its last byte, a zero, is the
-writer's line separator.
+writer's line separator. A file holds at most ``max_file_bytes`` of them (and the
+record that passes it): records are written in classes of size, each with its own
+number of records a file, since the writer closes files by rows.
 
 Reader: archives are read as binary files. A record must pass its checks: gzip
 CRC and size, version line, headers, block length, end mark, and SHA-1 digests
@@ -77,8 +79,18 @@ def member(data: bytes, level: int = 6) -> bytes:
     return out if out[-1] == 0 else out + gz(b"")
 
 
+_CLASS = 1 << 18  # bytes of the smallest class; each next one is four times as wide
+_OVER = 2_000  # bytes of a record beside its payload and URL, and what a member may add
+
+
+def _size_class(payload: F.Column, url: F.Column) -> F.Column:
+    """Class k holds records of up to _CLASS * 4**k bytes before compression."""
+    size = F.octet_length(payload) + F.coalesce(3 * F.octet_length(url), F.lit(0)) + _OVER
+    return F.greatest(F.ceil(F.log(4.0, size * 1.001 / _CLASS)), F.lit(0)).cast("int")
+
+
 def write(pages: DataFrame, path: str, *, min_bytes: int = 0, records_per_file: int = 5_000,
-          max_broadcast: int = 500_000) -> None:
+          max_broadcast: int = 500_000, max_file_bytes: int = 1 << 30) -> None:
     """Write a record per row of ``pages`` (page_id, url, html) to archives below ``path``.
 
     Payloads of under ``min_bytes`` bytes are never revisits. Payload digests that
@@ -101,8 +113,12 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, records_per_file:
             out = [member(record(i, u, p, t, r))[:-1] for i, u, p, t, r in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    (met.mapInArrow(pack, "value binary").select(F.col("value").cast("string"))
-     .write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path))
+    kind = _size_class(F.col("payload"), F.col("url"))
+    found = rows.select(kind.alias("_k")).distinct().collect()  # a few classes: sizes grow fourfold
+    for k in sorted(r["_k"] for r in found) or [0]:
+        most = max(1, min(records_per_file, max_file_bytes // (_CLASS * 4 ** k)))
+        (met.where(kind == k).mapInArrow(pack, "value binary").select(F.col("value").cast("string"))
+         .write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", most).text(path))
 
 
 # -- salvage reader ------------------------------------------------------------
