@@ -12,6 +12,11 @@ Size bounds prune: with threshold t a span needs between t/(2-t) |B| and (2-t)/t
 |B| bigrams, and must share t/(2-t) |B| of them, so a template is looked at only
 in documents whose own bigrams can reach that, and only in spans of fitting size.
 
+With ``tell_apart`` a span is refused where the words that tell licences from their
+neighbours differ from the template's: the numbers of a version and the words of
+``TELLING``. So a Lesser or Affero licence is not told as the plain one, nor a version
+as another one, also where there is no template for it.
+
 Defined cases: null, empty and one-word texts match nothing; templates of under
 two words are refused; of spans with equal coefficients the earliest, then the
 shortest wins; repeated rows are scanned each; extra columns pass through.
@@ -81,10 +86,49 @@ version.""",
                      "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.",
                      "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.",
+                  "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
+    "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0.",
+                     "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights "
                 "to this work.", "Released into the public domain under CC0 1.0."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
                 "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1.", "Licensed under the Apache Software License, Version 1.1."],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version.""",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any
+later version.""",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version.""",
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License.",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.""",
+    ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
@@ -103,9 +147,23 @@ restrictions:"""],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+# Words that tell a licence from its neighbours, and those that a version's number follows.
+TELLING = frozenset("lesser library affero noncommercial nc sharealike sa noderivatives noderivs nd".split())
+_VERSIONED = TELLING | frozenset("version v license licenses licence attribution by cc0 bsd mpl gpl lgpl agpl apache".split())
+
 _WORD = re.compile(r"[^\W_]+")
 
 
+def telling(w: list[str]) -> frozenset[str]:
+    """The telling words of a stretch, and the numbers of the versions that it names."""
+    out, number = set(), False
+    for before, x in zip(["", *w], w):
+        number = x.isdigit() and (number or before in _VERSIONED)
+        if number or x in TELLING:
+            out.add(x)
+    return frozenset(out)
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -113,10 +171,12 @@ def words(text: str) -> list[str]:
 class Scanner:
     """Templates with an index from bigram to the templates that hold it."""
 
-    def __init__(self, templates: dict[str, list[str]], threshold: float = 0.8, spans: str = "lines"):
+    def __init__(self, templates: dict[str, list[str]], threshold: float = 0.8, spans: str = "lines",
+                 tell_apart: bool = False):
         if spans not in ("lines", "words"):
             raise ValueError(f"spans is 'lines' or 'words', not {spans!r}")
         self.threshold, self.spans = threshold, spans
+        self.told: list[frozenset] | None = [] if tell_apart else None  # of each template
         self.items: list[tuple[str, Counter, int, int, int]] = []  # name, bigrams, size, least, most
         self.index: dict[tuple[str, str], list[int]] = {}
         share = threshold / (2 - threshold)
@@ -127,6 +187,8 @@ class Scanner:
                     raise ValueError(f"template of {name} has under two words")
                 grams = Counter(zip(w, w[1:]))
                 size = len(w) - 1
+                if self.told is not None:
+                    self.told.append(telling(w))
                 for g in grams:
                     self.index.setdefault(g, []).append(len(self.items))
                 self.items.append((name, grams, size, math.ceil(share * size - 1e-9), math.floor(size / share + 1e-9)))
@@ -172,6 +234,8 @@ class Scanner:
         best: dict[str, tuple[float, int, int]] = {}
         for k in np.lexsort((end - begin, begin, name_rank, -dice)).tolist():
             a, b = int(begin[k]), int(end[k])
+            if self.told is not None and telling(flat[a:b]) != self.told[of[k]]:
+                continue
             if used.find(1, a, b) < 0:  # a weaker match on the same words gives way
                 used[a:b] = b"\x01" * (b - a)
                 best.setdefault(self.items[of[k]][0], (
@@ -227,7 +291,7 @@ class Scanner:
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = 0.8,
-         max_templates: int = 10_000, spans: str = "lines") -> DataFrame:
+         max_templates: int = 10_000, spans: str = "lines", tell_apart: bool = False) -> DataFrame:
     """``docs`` columns but the text, with ``licenses``: array of (license, dice,
     first_line, last_line), ordered by licence. The templates (at most
     ``max_templates`` texts) travel with the tasks. A column named licenses is replaced."""
@@ -242,7 +306,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     keys = ("license", "dice", "first_line", "last_line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, threshold, spans)
+        scanner = Scanner(templates, threshold, spans, tell_apart)
         for b in small_batches(batches, "text"):
             found = [[dict(zip(keys, m)) for m in scanner.scan(x.as_py())] for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, out_type)],

@@ -87,7 +87,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence templates that a span of words of each document matches."""
-    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, spans="words")
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, spans="words",
+                        tell_apart=True)
     names = F.transform("licenses", lambda m: m["license"])
     return out.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"),
                       F.array_join(names, ",").alias("license_ids"),
