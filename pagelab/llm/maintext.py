@@ -18,6 +18,8 @@ the page, headings and what holds an article are never beside it.
 Inside the region, words of landmarks that are not article text (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) and of marks
 with a weight of ``LEFT_OUT`` or below are left out; they carry no score either.
+A form is one of them where its fields outweigh its words (``FIELD_WORDS`` each); a
+form that wraps a page or an article is a plain element.
 Scripts, styles, comments and the head are no words. The text of drawings and formulas (svg, math) is text; their tags carry no weight.
 
 Text rules: character references are decoded, white space inside a block is
@@ -65,7 +67,13 @@ BREAKOUT = frozenset("article aside b blockquote body br center code dd div dl d
                      "header hr i img li main menu nav ol p pre ruby s section small span strong strike sub sup table tt "
                      "u ul var".split())
 LANDMARK = frozenset("article main section nav aside header footer form head body dialog menu".split())
-ASIDE = frozenset("nav aside footer form head dialog menu button select option noscript object audio video".split())
+#: Words in a form that a visible field weighs up, and what such fields and a form's own words look like.
+FIELD_WORDS = 25
+_FIELD = re.compile(r"""<(?:select|textarea)(?=[\s/>])|<input(?=[\s/>])(?![^>]*\btype\s*=\s*["']?hidden)""", re.I)
+_FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
+_FORM_OWN = re.compile(r"<(label|button|select|legend|script|style|textarea)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)", re.S | re.I)
+_ARTICLE_PART = re.compile(r"<(?:article|main|h1)(?=[\s/>])", re.I)
+ASIDE = frozenset("nav aside footer head dialog menu button select option noscript object audio video".split())
 #: Words of class, id and role that name something beside the article wherever it stands.
 SURE_MARK = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|"
@@ -135,6 +143,16 @@ def _beside(name: str, mark: str, inside: bool, weights: dict[str, float]) -> bo
     return (mark_weight(mark) if w is None else w) <= LEFT_OUT
 
 
+def _is_wrapper(page: str, at: int) -> bool:
+    """Whether the form whose content begins at ``at`` holds more words than its fields weigh up."""
+    end = _FORM_END.search(page, at)
+    inside = page[at:end.start() if end else len(page)]
+    fields = len(_FIELD.findall(inside))
+    if not fields or _ARTICLE_PART.search(inside):
+        return True
+    return len(_TAG.sub(" ", _FORM_OWN.sub(" ", inside)).split()) > FIELD_WORDS * fields
+
+
 def tokens(page: str, weights: dict[str, float] | None = None,
            seen: Counter | None = None) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(kind, value, landmark, aside, inside) of each token: kind 'w' for text
@@ -145,7 +163,14 @@ def tokens(page: str, weights: dict[str, float] | None = None,
     weights = weights or {}
     # frames: (name, landmark, aside, inside, comment, keys of its marks in seen)
     stack: list[tuple[str, str, bool, bool, bool, list]] = [("", "", False, False, False, [])]
-    at = 0
+    open_names: Counter = Counter()  # of the stack, so that an end tag without a start looks no further
+
+    def pop(to: int) -> None:
+        for frame in stack[to:]:
+            open_names[frame[0]] -= 1
+        del stack[to:]
+
+    at = form_end = 0
     unended: set[str] = set()  # raw elements without an end tag in the rest of the page
     while m := _TAG.search(page, at):
         if m.start() > at:
@@ -169,17 +194,18 @@ def tokens(page: str, weights: dict[str, float] | None = None,
             continue
         name = name.group(1).lower()
         if tag[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    yield (name, "/", *stack[i][1:4])
-                    del stack[i:]
-                    break
+            if open_names[name] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                yield (name, "/", *stack[i][1:4])
+                pop(i)
             else:
                 yield (name, "/", *stack[-1][1:4])
             continue
-        if stack[-1][1] in GRAPHIC and name in BREAKOUT and not any(x[0] == "foreignobject" for x in stack):
+        if stack[-1][1] in GRAPHIC and name in BREAKOUT and not open_names["foreignobject"]:
             while stack[-1][1] in GRAPHIC:
-                stack.pop()
+                pop(len(stack) - 1)
         if name == "body" or (name in ("article", "main") and not stack[-1][3] and not stack[-1][4]):
             # an article ends whatever was left open beside it, but those of comments and teasers do not
             if seen is not None and name != "body":
@@ -189,7 +215,7 @@ def tokens(page: str, weights: dict[str, float] | None = None,
                         seen[(*key[:2], True)] += 1
                     frame[5].clear()
             while len(stack) > 1 and stack[-1][2]:
-                stack.pop()
+                pop(len(stack) - 1)
         _, landmark, aside, inside, comment, _ = stack[-1]
         marks = _marks(tag).lower().split()
         # an article within another, or within comments, may be beside it
@@ -205,12 +231,17 @@ def tokens(page: str, weights: dict[str, float] | None = None,
             for key in keys:
                 seen[key] += 1
             keys = [k for k in keys if not k[2]]
-        if name in ASIDE or found:
+        form = False
+        if name == "form" and at >= form_end:  # forms do not nest: each stretch is looked at once
+            form = not _is_wrapper(page, at)
+            ended = _FORM_END.search(page, at)
+            form_end = ended.end() if ended else len(page)
+        if name in ASIDE or form or found:
             aside, landmark = True, f"{name}.{marks[0]}" if marks else name
             comment = comment or any(COMMENT_MARK & set(re.split(r"[-_\d]+", x)) for x in found)
         elif name == "header" and not inside:
             aside, landmark = True, name
-        elif name in LANDMARK or name in GRAPHIC:
+        elif (name in LANDMARK and name != "form") or name in GRAPHIC:
             landmark = name
         if name in ("article", "main") and not aside:
             inside = True
@@ -218,6 +249,7 @@ def tokens(page: str, weights: dict[str, float] | None = None,
             yield (name, "", landmark, aside, inside)
         else:
             stack.append((name, landmark, aside, inside, comment, keys))
+            open_names[name] += 1
             yield (name, "", landmark, aside, inside)
     if at < len(page):
         yield ("w", page[at:], *stack[-1][1:4])
@@ -262,24 +294,39 @@ def learn(pages: DataFrame, max_fit_pages: int = 2_000, smoothing: float = 0.5)
             else -0.01 - max(0.0, math.log((r["o"] + smoothing) / (r["i"] + smoothing))) for r in found}
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    rows = list(tokens(page, weights))
-    # linear scan: best sum of a contiguous region, in positions of tokens
-    best, begin, end = 0.0, 0, 0
-    run, start = 0.0, 0
-    for i, (kind, value, landmark, aside, inside) in enumerate(rows):
+def scores(rows: list, weights: dict[str, float]) -> list[float]:
+    """Words of each piece of text, weight of each tag; 0 for what is left out and may stand in a region."""
+    out = []
+    for kind, value, landmark, aside, inside in rows:
         if kind == "w":
-            run += 0 if aside else len(value.split())
+            out.append(0.0 if aside else float(len(value.split())))
         elif not (aside and inside) and landmark not in GRAPHIC:  # what is left out of a marked article does not part it
             w = weights.get(f"{landmark} {kind}")
-            run += (IN_ARTICLE if inside else PRIOR.get(kind, OTHER)) if w is None else w
+            out.append((IN_ARTICLE if inside else PRIOR.get(kind, OTHER)) if w is None else w)
+        else:
+            out.append(0.0)
+    return out
+
+
+def best_region(score: list[float]) -> tuple[int, int]:
+    """(begin, end) of the contiguous stretch of largest positive sum, in one scan; the first of equals."""
+    best, begin, end = 0.0, 0, 0
+    run, start = 0.0, 0
+    for i, s in enumerate(score):
+        run += s
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
             best, begin, end = run, start, i + 1
+    return begin, end
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The main text of one page."""
+    if not page:
+        return ""
+    rows = list(tokens(page, weights))
+    begin, end = best_region(scores(rows, weights))
     blocks: list[str] = []
     parts: list[str] = []
 
