@@ -6,8 +6,10 @@ pruned on the remaining third, and the rows a rule covers are taken out before
 the next rule grows. The list is emitted as one ordered Spark conditional
 expression over statistic columns, so scoring is a narrow projection.
 
-Statistics are computed from whole texts inside Arrow batches; the fit uses at
-most ``max_fit_rows`` labelled rows (those with the smallest hash of doc_id).
+Statistics are computed from whole texts inside Arrow batches. The fit reads the
+texts of at most ``max_fit_rows`` labels (the smallest hashes of doc_id) and learns
+from at most as many distinct (statistics, label) rows with their counts, so that a
+labelled document that is repeated without end weighs as often and reaches the driver once.
 
 Defined cases: a null text has no words and all statistics are 0; labels that
 are null are ignored; rows with contradicting labels all count; with no
@@ -143,9 +145,9 @@ def _covers(rule: Rule, names: list[str], x: np.ndarray) -> np.ndarray:
     return m
 
 
-def _best_condition(names, x, y, cuts):
-    """The condition of largest FOIL gain on the rows still covered."""
-    p0, n0 = y.sum(), (~y).sum()
+def _best_condition(names, x, y, w, cuts):
+    """The condition of largest FOIL gain on the rows (of weights ``w``) still covered."""
+    p0, n0 = w[y].sum(), w[~y].sum()
     base = np.log2(p0 / (p0 + n0))
     best = (0.0, None)
     for j, name in enumerate(names):
@@ -153,8 +155,8 @@ def _best_condition(names, x, y, cuts):
             continue
         at = np.searchsorted(cuts[j], x[:, j], side="left")  # v <= cut[k] iff at <= k
         k = len(cuts[j])
-        pos = np.cumsum(np.bincount(at[y], minlength=k + 1))[:k]
-        neg = np.cumsum(np.bincount(at[~y], minlength=k + 1))[:k]
+        pos = np.cumsum(np.bincount(at[y], w[y], k + 1))[:k]
+        neg = np.cumsum(np.bincount(at[~y], w[~y], k + 1))[:k]
         for op, p, n in (("<=", pos, neg), (">", p0 - pos, n0 - neg)):
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = np.where(p > 0, p * (np.log2(p / np.maximum(p + n, 1)) - base), -1.0)
@@ -164,22 +166,30 @@ def _best_condition(names, x, y, cuts):
     return best[1]
 
 
-def _worth(rule, names, x, y) -> float:
+def _worth(rule, names, x, y, w) -> float:
     m = _covers(rule, names, x)
-    p, n = (m & y).sum(), (m & ~y).sum()
+    p, n = w[m & y].sum(), w[m & ~y].sum()
     return (p - n) / (p + n) if p + n else -1.0
 
 
 def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, *, max_rules: int = 32,
               max_conditions: int = 6, cuts_per_feature: int = 200,
-              min_precision: float = 0.9, min_covered: int = 4) -> list[Rule]:
+              min_precision: float = 0.9, min_covered: int = 4, counts: np.ndarray | None = None) -> list[Rule]:
     """Ordered rules for rows where ``y`` is true; everything else is the default class.
 
     A rule must keep ``min_precision`` on the rows it covers (grow and prune
-    parts together) and cover ``min_covered`` positive rows, else learning ends."""
+    parts together) and cover ``min_covered`` positive rows, else learning ends.
+    A row stands for as many as ``counts`` says: one of three or more is divided
+    between the two parts, of fewer each is dealt to one of them."""
     rules: list[Rule] = []
-    order = np.random.default_rng(7).permutation(len(y))
-    x, y = x[order], y[order].astype(bool)
+    counts = np.ones(len(y), np.int64) if counts is None else np.asarray(counts, np.int64)
+    single = np.repeat(np.arange(len(y)), np.where(counts < 3, counts, 0))
+    single = single[np.random.default_rng(7).permutation(len(single))]
+    many = np.flatnonzero(counts >= 3)
+    row = np.concatenate((single, many, many))
+    w = np.concatenate((np.ones(len(single)), counts[many] - counts[many] // 3, counts[many] // 3)).astype(float)
+    part = np.concatenate((np.arange(len(single)) % 3 == 2, np.zeros(len(many), bool), np.ones(len(many), bool)))  # the prune part
+    x, y = x[row], y[row].astype(bool)
     cuts = []
     for j in range(x.shape[1]):
         v = np.unique(x[:, j])
@@ -188,16 +198,15 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, *, max_rules: int
             at = np.quantile(x[:, j], np.linspace(0, 1, cuts_per_feature + 2)[1:-1])
             mid = mid[np.unique(np.minimum(np.searchsorted(v, at), len(mid) - 1))]
         cuts.append(mid)
-    part = np.arange(len(y)) % 3 == 2  # the prune part
     left = np.ones(len(y), bool)
     while len(rules) < max_rules:
         grow, prune = left & ~part, left & part
-        if (y & grow).sum() < 2 or not (~y & grow).any():
+        if w[y & grow].sum() < 2 or not (~y & grow).any():
             break
         rule: Rule = ()
         m = grow.copy()
         while len(rule) < max_conditions and (~y & m).any():
-            c = _best_condition(names, x[m], y[m], cuts)
+            c = _best_condition(names, x[m], y[m], w[m], cuts)
             if c is None:
                 break
             rule += (c,)
@@ -205,10 +214,10 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, *, max_rules: int
         if not rule:
             break
         best = max(range(1, len(rule) + 1),
-                   key=lambda k: (_worth(rule[:k], names, x[prune], y[prune]), -k))
+                   key=lambda k: (_worth(rule[:k], names, x[prune], y[prune], w[prune]), -k))
         rule = rule[:best]
         m = _covers(rule, names, x) & left
-        p, n = int((m & y).sum()), int((m & ~y).sum())
+        p, n = w[m & y].sum(), w[m & ~y].sum()
         if p < min_covered or p < min_precision * (p + n):
             break
         rules.append(rule)
@@ -230,20 +239,25 @@ def rule_column(rules: list[Rule], columns: dict[str, Column]) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 12_000,
           target: str = "quality", **options) -> list[Rule]:
-    """Rules that reject ``target = 0``, from at most ``max_fit_rows`` labelled rows
-    (the smallest hashes of doc_id: a fixed pseudo-random sample). Rows that fail
-    the base limits are rejected anyway, so the list learns from the others."""
+    """Rules that reject ``target = 0``, from the documents of at most ``max_fit_rows``
+    labels (the smallest hashes of doc_id: a fixed pseudo-random sample). Rows that fail
+    the base limits are rejected anyway, so the list learns from the others. Of more than
+    ``max_fit_rows`` distinct (statistics, label) rows the smallest hashes are taken."""
     chosen = (labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
               .select("doc_id", F.col(target).alias("_y"))
               .orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "_y").limit(max_fit_rows))
-    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # not deterministic to the optimizer: no filter on statistics moves below the join, where it would read all texts
+    rows = labelled.select("_y", stats_udf.asNondeterministic()(F.col("text").cast("binary")).alias("stats"))
+    equal = (rows.where(~base_failed()).groupBy("stats", "_y").agg(F.count(F.lit(1)).alias("_n"))
+             .orderBy(F.xxhash64("stats", "_y", F.lit(10)), "stats", "_y").limit(max_fit_rows))
     cols = features("stats")
-    got = rows.where(~base_failed()).select(F.col("_y"), "doc_id", *[c.alias(k) for k, c in cols.items()]).toPandas()
+    got = equal.select("_y", "_n", *[c.alias(k) for k, c in cols.items()]).toPandas()
     if not len(got):
         return []
-    got = got.sort_values(["doc_id", "_y", *cols], kind="stable")
     names = list(cols)
-    return fit_rules(names, got[names].to_numpy(float), (got["_y"] == 0).to_numpy(), **options)
+    got = got.sort_values([*names, "_y"], kind="stable")
+    return fit_rules(names, got[names].to_numpy(float), (got["_y"] == 0).to_numpy(), counts=got["_n"].to_numpy(), **options)
 
 
 def base_failed(s: str = "stats") -> Column:

@@ -128,6 +128,20 @@ def test_warc_of_very_long_urls(spark):
     assert [x[:3] for x in got] == [("gap", 0, 70_002), ("record", 70_002, 70_002 + len(whole))]
 
 
+def test_archives_are_closed_by_bytes(spark):
+    rng = random.Random(12)
+    size = [300_000, 1_000, 5_000_000, 250_000, 1_100_000, 40_000, 900_000] * 3
+    rows = [(i, f"http://x/{i}", base64.b64encode(rng.randbytes(3 * n // 4)).decode()) for i, n in enumerate(size)] + [(90, None, None)]
+    path, most = shared_path(spark, "test-warc"), 2_000_000
+    warc.write(spark.createDataFrame(rows, PAGES).repartition(2), path, max_file_bytes=most)
+    files = spark.read.format("binaryFile").load(path).select("length", "content").collect()
+    held = [gzip.decompress(bytes(f["content"])).count(b"WARC-Record-ID") for f in files if f["length"]]
+    assert sum(held) == len(rows) and len(held) > 12
+    assert all(f["length"] <= most or n == 1 for f, n in zip([f for f in files if f["length"]], held))
+    found = warc.read(spark, path, with_payload=False)
+    assert warc.gaps(found).count() == 0 and warc.records(found).count() == len(rows)
+
+
 def test_salvage_recovers_what_is_whole():
     recs = [warc.record(i, f"http://x/{i}", (f"<p>{i}" * (i + 1)).encode(), None, False) for i in range(8)]
     members = [warc.member(r) for r in recs]
@@ -288,6 +302,29 @@ def test_licences_beside_others_and_inside_lines():
     assert [(n, d) for n, d, _, _ in scan(many)] == [("MIT", 1.0)]
 
 
+def test_neighbouring_licences_are_told_apart(spark):
+    scan = licenses.Scanner(licenses.TEMPLATES, spans="words", tell_apart=True).scan
+    names = lambda text: [x[0] for x in scan(text)]
+    for text, want in (
+            ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+            ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+            ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+            ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+            ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+            ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0"),
+            ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause")):
+        assert names(f"Some words first. {text} And some behind.") == [want], text
+    # no template for these: nothing rather than a neighbour
+    for text in ("Licensed under the Apache License, Version 3.0.", "This work is licensed under a Creative Commons Attribution 2.5 Generic License.",
+                 "Licensed under the GNU Library General Public License, version 4.", "Licensed under the BSD 4-Clause License."):
+        assert names(text) == [], text
+    for name, texts in licenses.TEMPLATES.items():  # every template is its own
+        for t in texts:
+            assert names(t) == [name]
+    docs = spark.createDataFrame([(1, "Licensed under the Apache License, Version 1.1.")], DOCS)
+    assert licenses.scan(docs, spans="words", tell_apart=True).first()["licenses"][0]["license"] == "Apache-1.1"
+
+
 # -- language model --------------------------------------------------------------------
 def brute_model(texts):
     big, seen = Counter(), Counter()
@@ -479,6 +516,43 @@ def test_names_of_article_parts_are_not_dropped(spark):
     assert maintext.main_text(plain, weights) == "Words of the page."
 
 
+def test_forms_around_a_page_and_forms_in_it():
+    body = "<h1>Title</h1><p>Words of the article, and some more.</p>"
+    state = "<input type='hidden' name='state' value='x'>"
+    assert maintext.main_text(f"<body><form id='aspnetForm'>{body}</form></body>", {}) == "Title\nWords of the article, and some more."
+    assert maintext.main_text(f"<body><form id='f' class=main>{state}{body}</form></body>", {}).endswith("and some more.")
+    signup = "<form><label>Your mail, please, for many more letters</label><input name=m><button>Go on</button> No spam</form>"
+    want = "Title\nWords of the article, and some more."
+    assert maintext.main_text(f"<body><article>{body}{signup}</article></body>", {}) == want
+    assert maintext.main_text(f"<body><form>{state}<article>{body}</article><select><option>One</select><input name=q></form>", {}) == want
+    long = " ".join(["word"] * 60)
+    assert maintext.main_text(f"<body><form><p>{long}</p><input name=q></form></body>", {}) == long
+
+
+def test_best_region_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(300):
+        score = [rng.choice([-2.0, -1.0, -0.5, 0.0, 1.0, 3.0]) for _ in range(rng.randint(0, 14))]
+        a, b = maintext.best_region(score)
+        every = [(sum(score[i:j]), -i) for i in range(len(score)) for j in range(i + 1, len(score) + 1)]
+        assert sum(score[a:b]) == max([0.0, *(x for x, _ in every)])
+    page = "<body>" + NAV + "<p>One two three</p><ul><li>x</li></ul><p>four five</p><div><div><div>far</div></div></div>"
+    rows = list(maintext.tokens(page, {}))
+    score = maintext.scores(rows, {})
+    a, b = maintext.best_region(score)
+    assert sum(score[a:b]) == max(sum(score[i:j]) for i in range(len(score)) for j in range(i, len(score) + 1))
+
+
+def test_unbalanced_tags_take_linear_time():
+    import time
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        assert maintext.main_text("<p>word</p>" + "<div>" * n + "</x>" * n + "</div>" * n, {}) == "word"
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.02)  # eight times the tags; the square would be 64 times
+
+
 def test_icons_and_formulas_do_not_swallow_the_page():
     fill = "and some more words of text"
     for icon in ('<svg-icon name="x"></svg-icon>', "<math-formula></math-formula>", "<style-guide></style-guide>", '<svg width="1"/>',
@@ -566,6 +640,31 @@ def test_quality_labels_are_met_on_other_rows():
     assert empty == []
 
 
+def test_repeated_labelled_documents_weigh_as_often_and_travel_once(spark):
+    good = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, good + f" more{i}") for i in range(40)] + [(100 + i, "!!! ### " * 3 + good) for i in range(40)] + [(100, "!!! ### " * 3 + good)] * 3_000
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1 if i < 100 else 0) for i, _ in rows[:80]], "doc_id long, quality int")
+    rules = quality.learn(docs, labels)
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, rules).collect()}
+    assert all(v == (i < 100) for i, v in kept.items())
+    x = np.array([[0.1], [0.2], [0.8], [0.9]])
+    y = np.array([False, False, True, True])
+    counts = np.array([9, 8, 7, 11])
+    many = np.repeat(np.arange(4), counts)
+    cut = [np.array([0.15, 0.5, 0.85])]
+    one = quality._best_condition(["f"], x, y, counts.astype(float), cut)
+    assert one == quality._best_condition(["f"], x[many], y[many], np.ones(len(many)), cut) == quality.Condition("f", ">", 0.5)
+
+
+def test_statistics_are_read_below_no_filter(spark):
+    docs = spark.createDataFrame([(1, "a b c")], DOCS)
+    labelled = docs.join(F.broadcast(docs.select("doc_id", F.lit(0).alias("_y"))), "doc_id")
+    rows = labelled.select("_y", quality.stats_udf.asNondeterministic()(F.col("text").cast("binary")).alias("stats"))
+    plan = rows.where(~quality.base_failed())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("stats_udf") == 1 and plan.index("stats_udf") < plan.index("Join")
+
+
 def test_pages_that_fail_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "word " * 12 + "a b c d e f g h i j k", 5), (2, "short", 6)], "doc_id long, text string, _stats int")
     out = quality.keep_good(docs, [])
