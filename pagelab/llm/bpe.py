@@ -109,7 +109,7 @@ class Encoder:
 
     def __init__(self, ranks: Ranks, hold: int = 250_000):
         self.cut = regex.compile(ranks.pattern).findall
-        self.ids = {token: i for i, token in ranks.tokens.items()}
+        self.tokens, self.ids = ranks.tokens, {token: i for i, token in ranks.tokens.items()}
         missing = [b for b in range(256) if bytes([b]) not in self.ids]
         if missing:
             raise ValueError(f"{len(missing)} single bytes are no tokens")
@@ -117,7 +117,6 @@ class Encoder:
         known = [(self.ids[t[:k]], self.ids[t[k:]], i) for t, i in self.ids.items()
                  for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
         self.pairs = PairTable(*np.array(known or np.zeros((0, 3)), np.int64).reshape(-1, 3).T)
-        self.pair_rank = {(a, b): i for a, b, i in known}
         self.hold = hold
         self._forget()
 
@@ -196,7 +195,11 @@ class Encoder:
     def _by_heap(self, piece: bytes) -> np.ndarray:
         """The same merges with a heap of (rank, place) and links to the neighbours."""
         ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        n, rank_of = len(ids), self.pair_rank.get
+        n = len(ids)
+
+        def rank_of(pair):
+            both = self.tokens[pair[0]] + self.tokens[pair[1]]
+            return self.ids.get(both)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := rank_of((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -270,13 +273,11 @@ class Tokenizer:
         @F.arrow_udf("array<int>")
         def ids_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for part in parts:
-                made = []
                 for piece in small_arrays(part, TEXT_BYTES):
                     texts = [x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else "" for x in piece]
                     ids, per = get().encode(texts)
                     ends = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
-                    made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())))
-                yield pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+                    yield pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
 
         return docs.withColumn(out, ids_of(F.col(f"`{text}`").cast("binary")))
 
@@ -288,12 +289,10 @@ class Tokenizer:
         def bytes_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokens = shared.value.tokens
             for part in parts:
-                made = []
                 for piece in small_arrays(part, TEXT_BYTES):
                     null = piece.is_null().to_numpy(zero_copy_only=False)
                     per = np.where(null, 0, np.diff(piece.offsets.to_numpy()))
                     got = decode(tokens, piece.flatten().to_numpy(zero_copy_only=False), per)
-                    made.append(pa.array(got, pa.binary(), mask=null))
-                yield pa.concat_arrays(made) if made else pa.array([], pa.binary())
+                    yield pa.array(got, pa.binary(), mask=null)
 
         return docs.withColumn(out, bytes_of(F.col(f"`{ids}`")))
