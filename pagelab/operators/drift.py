@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelab.operators.stats import exact_quantiles, grouped_cumsum, mid_ranks
+from pagelab.operators.stats import exact_quantiles, grouped_cumsum
 
 
 def class_averages(df: DataFrame, cols: list[str], label: str = "label") -> DataFrame:
@@ -139,19 +139,19 @@ def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
-def spearman(df: DataFrame, cols: list[str], key: str, salts: int = 16) -> DataFrame:
-    """I16: Pearson correlation of mid-ranks; ranks come from the scalable
-    running sums per feature, joined back by (feature, value). A value that half
-    of all rows share is dealt over ``salts`` tasks: each rank stands once per
-    salt and a row takes the salt of its key."""
-    # values are compared at 9 decimals so float noise does not split ties
-    long = df.select(key, *[F.round(F.col(c).cast("double"), 9).alias(c) for c in cols]).unpivot([key], cols, "feature", "value")
-    ranks = mid_ranks(long, ["feature"], "value", "rank")
-    ranks = ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    long = long.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    r = long.join(ranks, ["feature", "value", "_salt"])
-    wide = r.groupBy(key).pivot("feature", cols).agg(F.first("rank"))
-    return pairwise_corr(wide, cols)
+def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
+    """I16: Pearson correlation of mid-ranks (name_a > name_b); NULL when a column is
+    constant. Ranks are looked up in a stored dictionary of distinct values; rows add up
+    to one matrix a task and are not shuffled."""
+    import math
+    from pagelab.operators.ranks import build, rank_products
+    m = rank_products(df, build(df, cols))
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols[:i]):
+            x = math.sqrt(m[i, i] * m[j, j])
+            rows.append((max(a, b), min(a, b), float(m[i, j] / x) if x > 0 else None))
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
 def radar_profile(df: DataFrame, cols: list[str], groups_map: dict, label: str = "label") -> DataFrame:

@@ -10,6 +10,10 @@ Equal keys always land in the same range, so ties are handled exactly.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,37 +62,137 @@ def top_k_per_group(df: DataFrame, groups, order, k: int, key: str, salts: int =
     return cand.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)
 
 
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles ``x`` (NaN above all, -0 equal to 0)."""
+    x = np.where(np.isnan(x), np.nan, x + 0.0)
+    return _flip(x.view(np.int64))
+
+
+def from_ordered_bits(keys: np.ndarray) -> np.ndarray:
+    return _flip(np.asarray(keys, np.int64)).view(np.float64)
+
+
+def _flip(bits: np.ndarray) -> np.ndarray:
+    return bits ^ ((bits >> np.int64(63)) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+RADIX = 16  # bits that a scan tells apart
+
+
+def _local_groups(pdf: pd.DataFrame, groups: list[str]):
+    """(group as a tuple, None for null; row numbers) of a batch."""
+    code = np.zeros(len(pdf), np.int64)
+    for g in groups:
+        c, u = pd.factorize(pdf[g], use_na_sentinel=False)
+        code = code * len(u) + c
+        _, code = np.unique(code, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1)) if len(code) else []
+    for rows in np.split(order, first[1:]) if len(code) else []:
+        head = pdf.iloc[rows[0]]
+        yield tuple(None if pd.isna(head[g]) else head[g] for g in groups), rows
+
+
+def _bucket_counts(df: DataFrame, groups: list[str], value: str, shift: int, wanted: dict | None) -> DataFrame:
+    """(groups, _up, _p, _n, _lo, _hi): rows of each bucket of keys with equal bits from ``shift`` on,
+    inside the buckets ``_up`` (one scan back) that ``wanted`` names; summed per task."""
+    up_shift = min(63, shift + RADIX)
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            keys = ordered_bits(pdf[value].to_numpy(np.float64))
+            for group, rows in _local_groups(pdf, groups):
+                k = keys[rows]
+                if wanted is not None:
+                    k = k[np.isin(k >> up_shift, wanted.get(group, ()))]
+                if len(k):
+                    held.setdefault(group, []).append(_compact(np.sort(k), None, shift))
+                    if len(held[group]) >= 64:
+                        held[group] = [_merged(held[group], shift)]
+        for group, parts in held.items():
+            lo, hi, n = _merged(parts, shift)
+            yield pd.DataFrame({**{g: [v] * len(n) for g, v in zip(groups, group)}, "_up": lo >> up_shift if wanted is not None else 0,
+                                "_p": lo >> shift, "_n": n, "_lo": lo, "_hi": hi})
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    shape = "".join(f"`{g}` {types[g]}, " for g in groups) + "_up long, _p long, _n long, _lo long, _hi long"
+    part = df.select(*groups, F.col(value).cast("double").alias(value)).mapInPandas(run, shape)
+    return part.groupBy(*groups, "_up", "_p").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+
+def _compact(keys: np.ndarray, counts: np.ndarray | None, shift: int, hi: np.ndarray | None = None):
+    """Least key, greatest key and number of rows of each bucket of sorted ``keys``."""
+    first = np.flatnonzero(np.diff(keys >> shift, prepend=(keys[0] >> shift) - 1))
+    last = np.append(first[1:], len(keys)) - 1
+    n = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
+    return keys[first], (keys[last] if hi is None else np.maximum.reduceat(hi, first)), n
+
+
+def _merged(parts: list, shift: int):
+    lo, hi, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(lo, kind="stable")
+    return _compact(lo[order], n[order], shift, hi[order])
+
+
 def exact_quantiles(df: DataFrame, groups, value: str, probs, out_prefix: str = "q_") -> DataFrame:
-    """Exact quantiles with linear interpolation (numpy's default) per group,
-    without holding a group's values in one task.
-
-    Rows are reduced to (group, value, count); running counts come from
-    :func:`grouped_cumsum`; the order statistics at positions floor/ceil of
-    p * (n - 1) are located with an equi-join on the group plus a range
-    condition against a small target table (groups x probabilities x 2).
-    Returns one row per group with a column per probability."""
-    groups = list(groups)
-    c = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")).persist()
-    s = grouped_cumsum(c, groups, value, ["_c"])
-    n = c.groupBy(*groups).agg(F.sum("_c").alias("_n"))
-    targets = None
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        t = n.select(*groups, F.lit(i).alias("_pi"), pos.alias("_pos"),
-                     F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
-        targets = t if targets is None else targets.unionByName(t)
-    tg = targets.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_pi", "_pos", F.explode(F.array(
-        F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_idx")),
-        F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_idx")))).alias("_t")).select(
-        *[f"_g_{g}" for g in groups], "_pi", "_pos", "_t._side", "_t._idx")
-    cond = [F.col(f"_g_{g}") == F.col(g) for g in groups] + \
-        [(F.col("cum__c") - F.col("_c") <= F.col("_idx")), (F.col("_idx") < F.col("cum__c"))]
-    cond = cond[0] if len(cond) == 1 else __import__("functools").reduce(lambda a, b: a & b, cond)
-    # target table: groups x probabilities x 2 rows (small, broadcast)
-    hit = s.join(F.broadcast(tg), cond, "inner").select(*groups, "_pi", "_pos", "_side", F.col(value).alias("_v"))
-    per = hit.groupBy(*groups, "_pi", "_pos").agg(F.min(F.when(F.col("_side") == 0, F.col("_v"))).alias("_a"),
-                                                  F.min(F.when(F.col("_side") == 1, F.col("_v"))).alias("_b"))
-    q = F.col("_a") + (F.col("_pos") - F.floor("_pos")) * (F.col("_b") - F.col("_a"))
-    per = per.select(*groups, "_pi", q.alias("_q"))
-    aggs = [F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(f"{out_prefix}{i}") for i in range(len(probs))]
-    return per.groupBy(*groups).agg(*aggs) if groups else per.agg(*aggs)
+    """Exact quantiles with linear interpolation (numpy's default) per group, by radix selection.
+
+    Values become order-preserving 64-bit keys. A scan counts, for all groups at once, the
+    rows per leading ``RADIX`` bits; the buckets that hold the wanted order statistics are
+    counted by their next bits in the next scan, until a bucket holds one value (four scans
+    at most, one or two for most columns). Only bucket counts are shuffled, never values; the
+    driver sees two rows for each (group, probability), so groups are classes and features,
+    not keys. ``df`` is read once a scan: callers persist what is dear to compute.
+    Nulls are left out; groups without values have no row."""
+    groups, probs = list(groups), [float(p) for p in probs]
+    spark = df.sparkSession
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = df.where(F.col(value).isNotNull())
+    found: dict = {}  # (group, probability's number, side) -> value
+    place: dict = {}  # (group, number) -> position between the two order statistics
+    wanted, left = None, {}  # group -> buckets to open; (group, number, side) -> (bucket, rank in it)
+    for shift in range(64 - RADIX, -1, -RADIX):
+        b = _bucket_counts(rows, groups, value, shift, wanted)
+        w = Window.partitionBy(*groups, "_up")
+        b = b.withColumn("_cum", F.sum("_n").over(w.orderBy("_p")))  # at most 2 ** RADIX buckets
+        if wanted is None:
+            b = b.withColumn("_all", F.sum("_n").over(w))
+            asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("_all") - 1)).alias("at")) for i, p in enumerate(probs)]))
+            b = b.select("*", asked.alias("_a")).select("*", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor("_a.at").alias("idx")),
+                                                                               F.struct(F.lit(1).alias("side"), F.ceil("_a.at").alias("idx")))).alias("_t"))
+            b = b.select(*groups, "_p", "_n", "_lo", "_hi", "_cum", F.col("_a.i").alias("_i"), F.col("_a.at").alias("_at"),
+                         F.col("_t.side").alias("_side"), F.col("_t.idx").cast("long").alias("_idx"))
+        else:
+            asked = [(*g, i, side, up, idx) for (g, i, side), (up, idx) in left.items()]
+            names = [f"_g{k}" for k in range(len(groups))]
+            shape = "".join(f"{n} {types[g]}, " for n, g in zip(names, groups)) + "_i int, _side int, _w long, _idx long"
+            on = F.col("_up") == F.col("_w")
+            for n, g in zip(names, groups):
+                on = on & F.col(g).eqNullSafe(F.col(n))
+            b = b.join(F.broadcast(spark.createDataFrame(asked, shape)), on).withColumn("_at", F.lit(0.0))  # two rows a (group, probability)
+        hit = b.where((F.col("_cum") - F.col("_n") <= F.col("_idx")) & (F.col("_idx") < F.col("_cum"))).collect()
+        first, wanted, left = wanted is None, {}, {}
+        for r in hit:
+            g = tuple(r[x] for x in groups)
+            if first:
+                place[g, r["_i"]] = r["_at"]
+            if r["_lo"] == r["_hi"]:
+                found[g, r["_i"], r["_side"]] = float(from_ordered_bits(np.array([r["_lo"]]))[0])
+            else:
+                left[g, r["_i"], r["_side"]] = (r["_p"], r["_idx"] - (r["_cum"] - r["_n"]))
+                wanted.setdefault(g, set()).add(r["_p"])
+        wanted = {g: np.array(sorted(v), np.int64) for g, v in wanted.items()}
+        if not left:
+            break
+    out = []
+    for g in dict.fromkeys(g for g, _ in place):
+        q = []
+        for i in range(len(probs)):
+            a, b, at = found[g, i, 0], found[g, i, 1], place[g, i]
+            q.append(a + (at - math.floor(at)) * (b - a) if a != b else a)
+        out.append((*g, *q))
+    shape = "".join(f"`{g}` {types[g]}, " for g in groups) + ", ".join(f"{out_prefix}{i} double" for i in range(len(probs)))
+    if not out and not groups:
+        out = [(None,) * len(probs)]
+    return spark.createDataFrame(out, shape)

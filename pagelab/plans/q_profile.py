@@ -278,7 +278,7 @@ SELECT a AS feature_a, b AS feature_b, {r6('c')} AS corr FROM (
   {' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) * stddev_pop({b}) = 0 THEN NULL ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END AS c FROM rk" for a, b in _SP_PAIRS)})""")
 def q_spearman(spark, sf):
     """I16: Spearman rank correlation (mid-ranks) of the first 26 base features."""
-    return DR.spearman(base(spark, sf), _SP, "page_id")
+    return DR.spearman(base(spark, sf), _SP)
 
 
 @register("radar_profile", sql=f"""WITH {BASE},
