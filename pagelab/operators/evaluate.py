@@ -102,20 +102,35 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "prob", groups=(
                     _safe_div(F.col("cum_neg"), F.col("_n")).alias("fpr"))
 
 
+def _cell(score, thresholds: list[float], strict: bool):
+    """How many of the ascending ``thresholds`` a score passes: a binary search of comparisons."""
+    def search(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        passed = score > thresholds[mid] if strict else score >= thresholds[mid]
+        return F.when(passed, search(mid + 1, hi)).otherwise(search(lo, mid))
+    return search(0, len(thresholds))
+
+
 def threshold_sweep(df: DataFrame, thresholds, label: str = "label", score: str = "prob",
                     strict: bool = True, groups=()) -> DataFrame:
-    """Counts (tp, fp, fn, tn) at every threshold from one aggregate."""
-    y, s = F.col(label), F.col(score)
-    aggs = []
-    for i, t in enumerate(thresholds):
-        hit = (s > t) if strict else (s >= t)
-        aggs += [F.sum((hit & (y == 1)).cast("long")).alias(f"tp{i}"), F.sum((hit & (y == 0)).cast("long")).alias(f"fp{i}")]
-    a = df.groupBy(*groups).agg(F.sum((y == 1).cast("long")).alias("_p"), F.sum((y == 0).cast("long")).alias("_n"), *aggs)
-    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"))
-                     for i, t in enumerate(thresholds)])
-    x = a.select(*groups, "_p", "_n", F.explode(rows).alias("r"))
-    return x.select(*groups, "r.threshold", "r.tp", "r.fp", (F.col("_p") - F.col("r.tp")).alias("fn"),
-                    (F.col("_n") - F.col("r.fp")).alias("tn"))
+    """Counts (tp, fp, fn, tn) at every threshold from a histogram: one pass counts rows per
+    class and cell between thresholds; a threshold's counts are sums of the cells above it.
+    A row costs a binary search, whatever the number of thresholds."""
+    groups, ts = list(groups), sorted({float(t) for t in thresholds})
+    y = F.col(label)
+    cells = df.groupBy(*groups, _cell(F.col(score), ts, strict).alias("_c")).agg(
+        F.sum((y == 1).cast("long")).alias("p"), F.sum((y == 0).cast("long")).alias("n"))
+    # at most one cell more than thresholds per group
+    per = cells.groupBy(*groups).agg(F.collect_list(F.struct("_c", "p", "n")).alias("_h"))
+    add = lambda least, side: F.aggregate(
+        F.filter("_h", lambda h: h["_c"] >= least), F.lit(0).cast("long"), lambda a, h: a + F.coalesce(h[side], F.lit(0)))
+    at = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(ts.index(float(t)) + 1).alias("least")) for t in thresholds]))
+    x = per.select(*groups, "_h", at.alias("_t"))
+    x = x.select(*groups, "_t.threshold", add(F.col("_t.least"), "p").alias("tp"), add(F.col("_t.least"), "n").alias("fp"),
+                 add(F.lit(0), "p").alias("_p"), add(F.lit(0), "n").alias("_n"))
+    return x.select(*groups, "threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn"))
 
 
 def sweep_accuracy(df: DataFrame, label="label", score="prob", thresholds=ACCURACY_SWEEP) -> DataFrame:

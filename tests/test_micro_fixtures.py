@@ -202,6 +202,23 @@ def test_threshold_strictness(spark):
     assert (r.s, r.n) == (0, 1)
 
 
+def test_sweeps_by_cells_equal_direct_counts(spark):
+    import random
+    from pagelab.operators import evaluate as EV
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([0, 1, 1, None]), rng.choice([rng.random(), rng.choice([0.0, 0.5, 1.0]), None])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "g string, label int, prob double")
+    for strict in (True, False):
+        for ts in ([0.5], [0.9, 0.1, 0.5, 0.25], [i / 49 for i in range(50)]):
+            got = {(r["g"], r["threshold"]): (r["tp"], r["fp"], r["fn"], r["tn"]) for r in
+                   EV.threshold_sweep(df, ts, strict=strict, groups=["g"]).collect()}
+            for g in "ab":
+                for t in ts:
+                    hit = lambda p: p is not None and (p > t if strict else p >= t)  # noqa: E731,B023
+                    n = lambda y, h: sum(1 for a, b, p in rows if a == g and b == y and hit(p) == h)  # noqa: E731,B023
+                    assert got[g, t] == (n(1, True), n(0, True), n(1, False), n(0, False))
+
+
 def test_folds_balanced(spark):
     df = spark.range(0, 103).withColumn("label", (F.col("id") % 3 == 0).cast("int")).withColumnRenamed("id", "page_id")
     f = sample.stratified_kfold(df, 5)
