@@ -144,7 +144,6 @@ def with_runs(docs: DataFrame, text: str = "text", min_words: int = 24, min_peri
     @F.arrow_udf(_MADE)
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            made = []
             for piece in small_arrays(part):
                 texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in piece]
                 words, runs = find_runs(texts, min_words, min_periods)
@@ -153,10 +152,9 @@ def with_runs(docs: DataFrame, text: str = "text", min_words: int = 24, min_peri
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
                     [pa.array(flat[:, k]) for k in range(3)], names=["start", "length", "period"]))
                 left = pa.array([collapse(w, r) for w, r in zip(words, runs)], pa.binary())
-                made.append(pa.StructArray.from_arrays(
+                yield pa.StructArray.from_arrays(
                     [pa.array([len(w) for w in words], pa.int64()), lists, left.cast(pa.string(), safe=False)],
-                    names=["n_words", "runs", "collapsed"]))
-            yield pa.concat_arrays(made)
+                    names=["n_words", "runs", "collapsed"])
 
     got = docs.withColumn("__periodic", of(F.col(f"`{text}`").cast("binary")))
     return got.withColumns({c: F.col(f"__periodic.{c}") for c in ("n_words", "runs", "collapsed")}).drop("__periodic")
