@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from pagelab.operators.boost import Boosted, HistBooster, HistBoosterModel, Settings, Spec, fit_many
 from pagelab.operators.forest import _matrix
+from pagelab.operators.neighbours import nearest
 from pagelab.operators.sample import stratified_kfold
 
 # ---------------------------------------------------------------------------
@@ -366,37 +367,17 @@ class SvmKnn:
 
 # ------------------------------------------------------------------ k-NN
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "embedding", label: str = "label",
-                 train_key: str = "vec_id", key: str = "vec_id", block_rows: int = 4_096) -> DataFrame:
+                 train_key: str = "vec_id", key: str = "vec_id", block_rows: int = 4_096,
+                 n_pivots: int = 64) -> DataFrame:
     """Exact k nearest neighbours (Euclidean; ties by training key), majority
     vote (ties to the smaller label) and the vote share of class 1.
 
-    Both sides are dealt into blocks of about ``block_rows`` rows; each pair of
-    blocks meets in one task, which sends on the k nearest of the block for each
-    test row; these are merged per test row. No side is ever whole in one place."""
-    n_train = max(1, math.ceil(train.count() / block_rows))
-    n_test = max(1, math.ceil(test.count() / block_rows))
+    Both sides are cut into blocks around pivots; pairs of blocks that the triangle
+    inequality rules out never meet (``neighbours``). The nearest of the blocks that a
+    test row met are merged."""
     t = train.select(F.col(train_key).cast("long").alias("_id"), F.col(label).cast("int").alias("_y"), F.col(vec).alias("_v"))
     q = test.select(F.col(key).cast("long").alias("_id"), F.col(vec).alias("_v"))
-
-    def dealt(df, mine, n_mine, other, n_other):
-        df = df.withColumn(mine, F.pmod(F.xxhash64("_id"), F.lit(n_mine)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    def nearest(tp, qp):
-        if not len(tp) or not len(qp):
-            return pd.DataFrame({"_id": [], "d": [], "t": [], "y": []})
-        tp = tp.sort_values("_id", kind="stable")
-        x = np.stack(tp["_v"]).astype(float)
-        rows = []
-        for i, v in zip(qp["_id"], qp["_v"]):
-            d = ((x - np.asarray(v, float)) ** 2).sum(axis=1)
-            near = np.argsort(d, kind="stable")[:k]
-            rows.append(pd.DataFrame({"_id": i, "d": d[near], "t": tp["_id"].to_numpy()[near], "y": tp["_y"].to_numpy()[near]}))
-        return pd.concat(rows)
-
-    met = (dealt(t, "_tb", n_train, "_qb", n_test).groupBy("_tb", "_qb")
-           .cogroup(dealt(q, "_qb", n_test, "_tb", n_train).groupBy("_tb", "_qb"))
-           .applyInPandas(nearest, "_id long, d double, t long, y int"))
+    met = nearest(t, q, k, block_rows, n_pivots)
     # at most k rows per test row and training block
     best = met.groupBy("_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "t", "y"))), 1, k).alias("_n"))
     votes = F.transform("_n", lambda s: s["y"])
