@@ -151,7 +151,6 @@ def weigh(docs: DataFrame, gain: list[int], text: str = "text", max_words: int =
     @F.arrow_udf("struct<n_words:bigint,n_features:bigint,weight:bigint>")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            made = []
             for texts in _raw(part):
                 bucket, at, n_words = features(texts, max_words, buckets)
                 n = np.bincount(at, minlength=len(texts))
@@ -160,10 +159,9 @@ def weigh(docs: DataFrame, gain: list[int], text: str = "text", max_words: int =
                 first = np.flatnonzero(np.diff(at[order], prepend=-1))
                 if len(first):
                     total[at[order][first]] = np.add.reduceat(shared.value[bucket[order]], first)
-                made.append(pa.StructArray.from_arrays(
+                yield pa.StructArray.from_arrays(
                     [pa.array(n_words), pa.array(n), pa.array(total // np.maximum(n, 1))],
-                    names=["n_words", "n_features", "weight"]))
-            yield pa.concat_arrays(made)
+                    names=["n_words", "n_features", "weight"])
 
     got = docs.withColumn("__weighed", of(F.col(f"`{text}`").cast("binary")))
     return got.withColumns({c: F.col(f"__weighed.{c}") for c in ("n_words", "n_features", "weight")}).drop("__weighed")
