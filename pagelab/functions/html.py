@@ -131,6 +131,16 @@ def one_char_entities(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SPACE_ENTITY_RE, " "), ENTITY_RE, "*")
 
 
+def decoded_letters(text) -> Column:
+    """Lower-case text in which numeric references to ASCII letters are these letters."""
+    def decode(t: Column) -> Column:
+        for low in range(97, 123):
+            t = F.regexp_replace(t, f"&#0*(?:{low - 32}|{low});|&#x0*(?:{low - 32:x}|{low:x});", chr(low))
+        return t
+    t = _c(text)
+    return F.when(t.contains("&#"), decode(t)).otherwise(t)
+
+
 def visible_text(html, limit: int | None = 2000) -> Column:
     """Lower-cased visible text: script/style removed, tags replaced by a
     space, character references decoded, only ASCII letters and whitespace kept,
@@ -138,7 +148,8 @@ def visible_text(html, limit: int | None = 2000) -> Column:
     hl = F.lower(_c(html))
     t = F.regexp_replace(hl, r"(?s)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, TAG_RE, " ")
-    # a decoded reference is a space or a character that is no ASCII letter
+    t = decoded_letters(t)
+    # any other reference is a space or a character that is no ASCII letter
     t = F.regexp_replace(F.regexp_replace(t, SPACE_ENTITY_RE, " "), ENTITY_RE, "")
     t = F.regexp_replace(t, r"[^a-zA-Z\t\n\x0B\f\r ]", "")
     t = strip_ws(F.regexp_replace(t, f"{WS}+", " "))

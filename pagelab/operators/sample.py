@@ -1,7 +1,8 @@
 """Seeded samples, splits, folds and training windows.
 
-Randomness is a hash of the row key and a seed (``xxhash64``), so every
-sample is reproducible and recomputes identically when a task is retried.
+Randomness is a hash of the row key and a seed (the first 52 bits of MD5 of
+"key:seed"), so every sample is reproducible, by any engine, and recomputes
+identically when a task is retried.
 
 Exact ranks inside a class never sort a class in one task. ``exact_rank``
 cuts the order key into many ranges (uniform ranges for hash keys, quantile
@@ -22,8 +23,8 @@ HASH_BITS = 52
 def hash_uniform(key, seed: int = 42):
     """Deterministic uniform number in [0, 1) from a key and a seed."""
     k = F.col(key) if isinstance(key, str) else key
-    h = F.xxhash64(k, F.lit(int(seed)))
-    return (F.shiftrightunsigned(h, 64 - HASH_BITS).cast("double") / float(2 ** HASH_BITS))
+    h = F.md5(F.concat(F.coalesce(k.cast("string"), F.lit("")), F.lit(f":{int(seed)}")).cast("binary"))
+    return F.conv(F.substring(h, 1, HASH_BITS // 4), 16, 10).cast("double") / float(2 ** HASH_BITS)
 
 
 def exact_rank(df: DataFrame, order: str, groups: list[str] | None = None, out: str = "_rank",

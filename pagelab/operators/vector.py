@@ -59,17 +59,17 @@ def tfidf_in_row(grams: Column, terms: list[str], idfs: list[float]) -> Column:
     return bind(bind(grams, weights), normalise)
 
 
-def base_and_grams(df: DataFrame, key: str, keep=()) -> DataFrame:
+def base_and_grams(df: DataFrame, key: str, keep=(), brand: str = "difflib") -> DataFrame:
     """One narrow pass: the 28 base columns (brand discrepancy by the sequence
-    ratio) and the five term lists per page."""
+    ratio, or as ``structural_base`` names it) and the five term lists per page."""
     x = df.select(key, "url", "html", F.col("html").alias("_h"), *keep)
-    b = structural_base(x, keep=(key, "_h", *keep), brand="difflib").withColumnRenamed("_h", "html")
+    b = structural_base(x, keep=(key, "_h", *keep), brand=brand).withColumnRenamed("_h", "html")
     return _grams(b, key, keep=[*BASE_28, *keep])
 
 
 class StructuralModel:
-    def __init__(self, bounds, vocabs, mean=None, sd=None, key="page_id"):
-        self.bounds, self.vocabs, self.mean, self.sd, self.key = bounds, vocabs, mean, sd, key
+    def __init__(self, bounds, vocabs, mean=None, sd=None, key="page_id", brand="difflib"):
+        self.bounds, self.vocabs, self.mean, self.sd, self.key, self.brand = bounds, vocabs, mean, sd, key, brand
 
     def feature_names(self) -> list[str]:
         names = list(BASE_28)
@@ -86,7 +86,7 @@ class StructuralModel:
         return g.select(self.key, *keep, F.concat(F.array(*clipped), *blocks).alias("raw"))
 
     def raw(self, df: DataFrame, keep=()) -> DataFrame:
-        return self.vector(base_and_grams(df, self.key, keep), keep)
+        return self.vector(base_and_grams(df, self.key, keep, self.brand), keep)
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
         """(key, keep columns, features): the z-scored vector of every page."""
@@ -98,24 +98,25 @@ class StructuralModel:
 
     def save(self, spark, path: str) -> None:
         """Write the state as a one-row text table (any file system Spark writes)."""
-        state = json.dumps({"bounds": self.bounds, "vocabs": self.vocabs, "mean": self.mean, "sd": self.sd, "key": self.key})
+        state = json.dumps({"bounds": self.bounds, "vocabs": self.vocabs, "mean": self.mean, "sd": self.sd, "key": self.key,
+                            "brand": self.brand})
         spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark, path: str) -> "StructuralModel":
         s = json.loads(spark.read.text(path).first()["value"])  # one row: the bounded state
-        return cls(s["bounds"], {k: [tuple(x) for x in v] for k, v in s["vocabs"].items()}, s["mean"], s["sd"], s["key"])
+        return cls(s["bounds"], {k: [tuple(x) for x in v] for k, v in s["vocabs"].items()}, s["mean"], s["sd"], s["key"], s["brand"])
 
 
 class StructuralFeaturizer:
     """fit(pages) -> StructuralModel; pages need ``key``, ``url``, ``html``."""
 
-    def __init__(self, key: str = "page_id", clip_q: float = 0.99):
-        self.key, self.clip_q = key, clip_q
+    def __init__(self, key: str = "page_id", clip_q: float = 0.99, brand: str = "difflib"):
+        self.key, self.clip_q, self.brand = key, clip_q, brand
 
     def fit(self, pages: DataFrame) -> StructuralModel:
         k = self.key
-        g = base_and_grams(pages, k).persist()  # the one heavy pass, read by every step below
+        g = base_and_grams(pages, k, brand=self.brand).persist()  # the one heavy pass, read by every step below
         ub = SC.clip_fit(g, BASE_28, self.clip_q).first()  # one row of 28 bounds
         bounds = [float(ub[f"{c}__ub"]) for c in BASE_28]
         # the five vocabularies in ONE grouped job (block = group)
@@ -126,7 +127,7 @@ class StructuralFeaturizer:
         vocabs = {col: [(r["term"], float(r["idf"])) for r in sorted((r for r in v if r["block"] == col),
                                                                       key=lambda r: r["idx"])]
                   for col, _, _ in BLOCKS}
-        model = StructuralModel(bounds, vocabs, key=k)
+        model = StructuralModel(bounds, vocabs, key=k, brand=self.brand)
         raw = model.vector(g)
         n = len(model.feature_names())
         # one pass for all columns; Summarizer's variance is the sample's

@@ -22,7 +22,7 @@ from pagelab.operators import evaluate as EV, explain as XP, forest as FO, model
 from pagelab.operators.features import BASE_28, structural_base
 from pagelab.operators.vector import StructuralFeaturizer
 from pagelab.plans import catalog
-from pagelab.plans.q_eval import MODELS
+from pagelab.plans.q_eval import MODELS, _counts_sql
 from pagelab.plans.registry import register
 from pagelab.session import scratch_path
 from pagelab.sources import pages as P
@@ -256,7 +256,14 @@ def q_oof(spark, sf):
     return st.out_of_fold_stack(feats(spark, sf)).select("page_id", "label", "fold", "p_url", "p_html", "p_stack")
 
 
-@register("leaderboard")
+_F1 = ("((CASE WHEN p1 + r1 = 0 THEN 0 ELSE 2 * p1 * r1 / (p1 + r1) END) * (tp + fn)"
+       " + (CASE WHEN p0 + r0 = 0 THEN 0 ELSE 2 * p0 * r0 / (p0 + r0) END) * (tn + fp)) / n")
+
+
+@register("leaderboard", sql=f"""WITH {MODELS}, {_counts_sql('mp', 'model')}
+SELECT model, round((tp + tn) / n, 6) AS accuracy, round({_F1}, 6) AS f1_weighted,
+  round((p1 * (tp + fn) + p0 * (tn + fp)) / n, 6) AS precision_weighted,
+  round((r1 * (tp + fn) + r0 * (tn + fp)) / n, 6) AS recall_weighted FROM k""")
 def q_lb(spark, sf):
     """Per-model result JSON written to the shared folder, read back
     into one table with the model name from the directory."""

@@ -291,13 +291,23 @@ def q_class_dist(spark, sf):
     return clean.class_distribution(dirty_pages(spark, sf))
 
 
-@register("sample_n")
+def _u(seed: int) -> str:
+    """The sampling hash of a page: hex digits in the order of the numbers they write."""
+    return f"substr(md5(CAST(page_id AS VARCHAR) || ':{seed}'), 1, 13)"
+
+
+@register("sample_n", sql=f"""WITH {PAGES_L}
+SELECT page_id, url, label::BIGINT AS label FROM pages_l ORDER BY {_u(42)}, page_id LIMIT 100""")
 def q_sample_n(spark, sf):
     """100 seeded rows."""
     return sample.sample_n(_pages(spark, sf).select("page_id", "url", "label"), 100)
 
 
-@register("balanced_sample")
+_RANKED = f"row_number() OVER (PARTITION BY label ORDER BY {_u(42)}, page_id) AS rk, count(*) OVER (PARTITION BY label) AS n_class"
+
+
+@register("balanced_sample", sql=f"""WITH {PAGES_L}
+SELECT page_id, url, label::BIGINT AS label FROM (SELECT *, {_RANKED} FROM pages_l) WHERE rk <= 40""")
 def q_balanced(spark, sf):
     """40 seeded rows per surrogate class."""
     return sample.balanced_sample(_pages(spark, sf).select("page_id", "url", "label"), 40)
@@ -310,13 +320,16 @@ def q_head(spark, sf):
     return sample.head_per_class(_pages(spark, sf).select("page_id", "url", "label"), 1, 30)
 
 
-@register("stratified_split")
+@register("stratified_split", sql=f"""WITH {PAGES_L}
+SELECT page_id, label::BIGINT AS label, CASE WHEN rk <= round(n_class * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT *, {_RANKED} FROM pages_l)""")
 def q_split(spark, sf):
     """Per-class 80/20 split."""
     return sample.stratified_split(_pages(spark, sf).select("page_id", "label"), 0.2)
 
 
-@register("stratified_kfold")
+@register("stratified_kfold", sql=f"""WITH {PAGES_L}
+SELECT page_id, label::BIGINT AS label, (rk - 1) % 5 AS fold FROM (SELECT *, {_RANKED} FROM pages_l)""")
 def q_kfold(spark, sf):
     """5 class-balanced folds."""
     return sample.stratified_kfold(_pages(spark, sf).select("page_id", "label"), 5)
@@ -339,11 +352,18 @@ def q_rolling(spark, sf):
     return sample.rolling_mix(p.where("era='old'").drop("era"), p.where("era='new'").drop("era"), 40, 10)
 
 
-@register("mixed_retrain_set")
+#: Old and new rows that a mixed retraining set draws.
+MIXED = (3_000, 50)
+
+
+@register("mixed_retrain_set", sql=f"""WITH {PAGES_L},
+r AS (SELECT *, row_number() OVER (PARTITION BY era ORDER BY {_u(42)}, page_id) AS rk FROM pages_l)
+SELECT page_id, label::BIGINT AS label, CASE WHEN era = 'new' AND rk > {MIXED[1]} THEN 'test' ELSE 'train' END AS split
+FROM r WHERE era = 'new' OR rk <= {MIXED[0]}""")
 def q_mixed(spark, sf):
-    """60 old + 20 new rows for training, remaining new rows for test."""
+    """3,000 old + 50 new rows for training, remaining new rows for test."""
     p = _pages(spark, sf).select("page_id", "label", "era")
-    return sample.mixed_retrain_set(p.where("era='old'").drop("era"), p.where("era='new'").drop("era"), 60, 20)
+    return sample.mixed_retrain_set(p.where("era='old'").drop("era"), p.where("era='new'").drop("era"), *MIXED)
 
 
 _BASE_SQL_URL = {k: (v, "d") for k, v in S.structural_url().items()}
@@ -468,7 +488,7 @@ def q_empty_modes(spark, sf):
 
 
 @register("visible_text", sql=f"""SELECT page_id, substr({S.strip_ws(
-    "regexp_replace(regexp_replace(" + S.no_refs("regexp_replace(regexp_replace(lower(html), '(?s)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')") + ", '[^a-zA-Z\\t\\n\\x0B\\f\\r ]', '', 'g'), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')")}, 1, 2000) AS visible_text
+    "regexp_replace(regexp_replace(" + S.no_refs(S.letters("regexp_replace(regexp_replace(lower(html), '(?s)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')")) + ", '[^a-zA-Z\\t\\n\\x0B\\f\\r ]', '', 'g'), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')")}, 1, 2000) AS visible_text
 FROM pages""")
 def q_visible(spark, sf):
     """Cleaned visible text, first 2000 characters."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelab.operators import drift as DR, scale as SC
 from pagelab.operators.features import BASE_28, structural_base
 from pagelab.plans import catalog
+from pagelab.plans import q_text as QT
 from pagelab.plans import sqlfrag as S
 from pagelab.plans.q_pages import PAGES_L
 from pagelab.plans.registry import register
@@ -101,20 +102,70 @@ def q_topvar(spark, sf):
     return DR.top_variance(SC.melt(base(spark, sf), ["page_id"], BASE_28), 15)
 
 
+#: The five term lists of each page, by block: number, name, number of terms.
+_BLOCKS = [(1, "tag_tfidf_", 50), (2, "xpath_tfidf_", 25), (3, "z1_tfidf_", 20), (4, "z2_tfidf_", 20), (5, "z3_tfidf_", 20)]
+
+
+def _terms_sql(fitted: str) -> str:
+    """CTEs docs(blk, page_id, era, g), tf and voc(blk, term, idx, name, idf) of the vocabularies of
+    the pages that meet ``fitted``; ``evs`` stands before."""
+    third = "greatest(len(t) // 3, 1)"
+    name = " ".join(f"WHEN {k} THEN '{p}'" for k, p, _ in _BLOCKS)
+    most = " ".join(f"WHEN {k} THEN {n}" for k, _, n in _BLOCKS)
+    return f"""tagged AS (SELECT page_id, era, {QT.TAGS} AS t FROM evs),
+zones AS (SELECT page_id, era, t, {third} AS c FROM tagged),
+docs AS (
+  SELECT 1 AS blk, page_id, era, {QT.ngrams_sql('t', 2, 3)} AS g FROM tagged
+  UNION ALL SELECT 2, page_id, era, {QT.ngrams_sql('x', 2, 3)} FROM (SELECT page_id, era, {QT.XP} AS x FROM evs)
+  UNION ALL SELECT blk, page_id, era, {QT.ngrams_sql('z', 1, 2)} FROM (
+    SELECT 3 AS blk, page_id, era, list_slice(t, 1, c) AS z FROM zones
+    UNION ALL SELECT 4, page_id, era, list_slice(t, c + 1, 2 * c) FROM zones
+    UNION ALL SELECT 5, page_id, era, list_slice(t, 2 * c + 1, len(t)) FROM zones)),
+tf AS (SELECT blk, page_id, era, term, count(*) AS tf FROM (SELECT blk, page_id, era, unnest(g) AS term FROM docs) GROUP BY ALL),
+top AS (SELECT blk, term, count(*) AS df FROM tf WHERE {fitted} GROUP BY blk, term
+  QUALIFY row_number() OVER (PARTITION BY blk ORDER BY sum(tf) DESC, term) <= CASE blk {most} END),
+voc AS (SELECT blk, term, 27 + row_number() OVER (ORDER BY blk, term) AS idx,
+    CASE blk {name} END || term AS name, ln((1 + (SELECT count(*) FROM evs WHERE {fitted})) / (1 + df)) + 1 AS idf FROM top)"""
+
+
+_VECTOR_SQL = f"""WITH {BASE}, {_terms_sql("era = 'old'")},
+lg AS (SELECT page_id, era, feature AS name, value FROM f UNPIVOT (value FOR feature IN ({', '.join(BASE_28)}))),
+ub AS (SELECT name, quantile_cont(value, 0.99) AS ub FROM lg WHERE era = 'old' GROUP BY name),
+w AS (SELECT tf.page_id, voc.idx, tf.tf * voc.idf / sqrt(sum(tf.tf * voc.idf * tf.tf * voc.idf) OVER (PARTITION BY tf.blk, tf.page_id)) AS w
+  FROM tf JOIN voc USING (blk, term)),
+v AS (SELECT page_id, era, list_position({BASE_28!r}, name) - 1 AS idx, name, least(value, ub) AS value FROM lg JOIN ub USING (name)
+  UNION ALL SELECT f.page_id, f.era, voc.idx, voc.name, coalesce(w.w, 0) FROM f CROSS JOIN voc
+  LEFT JOIN w ON w.page_id = f.page_id AND w.idx = voc.idx),
+st AS (SELECT idx, avg(value) AS mu, stddev_pop(value) AS sd FROM v WHERE era = 'old' GROUP BY idx)
+SELECT page_id, idx::BIGINT AS idx, name, round((value - mu) / CASE WHEN sd < 1e-12 THEN 1 ELSE sd END, 6) AS value FROM v JOIN st USING (idx)"""
+
+
 @register("structural_vector_163")
 def q_vec163(spark, sf):
     """28 clipped + 50 tag + 25 XPath + 3x20 zone TF-IDF, z-scored, fitted
     on the old era and applied to every page."""
+    return _vector(spark, sf, "difflib")
+
+
+@register("structural_vector_163_lev", sql=_VECTOR_SQL)
+def q_vec163_lev(spark, sf):
+    """F3 with the edit-distance form of the brand discrepancy, which SQL can express."""
+    return _vector(spark, sf, "lev")
+
+
+def _vector(spark, sf, brand):
     from pagelab.operators.vector import StructuralFeaturizer
     p = catalog.pages(spark, sf)
-    model = StructuralFeaturizer().fit(p.where("era = 'old'"))
+    model = StructuralFeaturizer(brand=brand).fit(p.where("era = 'old'"))
     out = model.transform(p)
     names = F.array(*[F.lit(n) for n in model.feature_names()])
     pairs = F.arrays_zip(names.alias("name"), F.col("features").alias("value"))
     return out.select("page_id", F.posexplode(pairs).alias("idx", "p")).select("page_id", "idx", "p.name", "p.value")
 
 
-@register("feature_names")
+@register("feature_names", sql=f"""WITH {PAGES_L}, evs AS ({S.events_cte('pages_l')}), {_terms_sql("TRUE")}
+SELECT (i - 1)::BIGINT AS idx, n[i] AS name FROM (SELECT {BASE_28!r} AS n), range(1, 29) AS r(i)
+UNION ALL SELECT idx::BIGINT, name FROM voc""")
 def q_names(spark, sf):
     """ordered feature names of the fitted structural vector."""
     from pagelab.operators.vector import StructuralFeaturizer

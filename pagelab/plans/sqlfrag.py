@@ -206,6 +206,13 @@ def one_char(x):
     return f"regexp_replace(regexp_replace({x}, {SPACE_REF}, ' ', 'g'), {ANY_REF}, '*', 'g')"
 
 
+def letters(x):
+    """Numeric references to ASCII letters as these letters, in lower-case text."""
+    for low in range(97, 123):
+        x = f"regexp_replace({x}, '&#0*({low - 32}|{low});|&#x0*({low - 32:x}|{low:x});', '{chr(low)}', 'g')"
+    return x
+
+
 def no_refs(x):
     return f"regexp_replace(regexp_replace({x}, {SPACE_REF}, ' ', 'g'), {ANY_REF}, '', 'g')"
 

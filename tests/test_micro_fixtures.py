@@ -124,6 +124,8 @@ def test_many_tags_keep_their_order(spark):
 def test_visible_text_decodes_references(spark):
     df = spark.createDataFrame([("<p>caf&eacute; a&nbsp;b &#233;c&#xA0;d &amp e</p>",)], "html string")
     assert df.select(H.visible_text("html")).first()[0] == "caf a b c d amp e"
+    df = spark.createDataFrame([("<p>th&#101; &#x45;&#110;D &#0065;&#x6a; &amp;#101; &#200; &#1010;</p>",)], "html string")
+    assert df.select(H.visible_text("html")).first()[0] == "the end aj"
     text = df.select(F.lit(1).alias("page_id"), F.lit("<b>&eacute;&nbsp;</b>").alias("html"))
     assert dom.advanced_html_features(text).first().text_to_code_ratio == pytest.approx(1 / 21)
 
