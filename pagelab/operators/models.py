@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression,
-                                       LogisticRegressionModel, MultilayerPerceptronClassifier, RandomForestClassifier)
+                                       LogisticRegressionModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pagelab.operators.boost import Boosted, HistBooster, HistBoosterModel, Settings, Spec, fit_many
 from pagelab.operators.forest import _matrix
 from pagelab.operators.neighbours import nearest
+from pagelab.operators.network import Layer, ReluNetwork
 from pagelab.operators.sample import stratified_kfold
 
 # ---------------------------------------------------------------------------
@@ -40,7 +41,8 @@ XGB_META = dict(rounds=300, depth=6, rate=0.05)
 XGB_URL_EXPERT = dict(rounds=200, depth=6, rate=0.1)
 XGB_HTML_EXPERT = dict(rounds=200, depth=8, rate=0.1)
 FEW_SHOT = dict(sizes=(10, 20, 50, 100, 200), seeds=5, trees=50, neighbours=5, old_rows=3000)
-MLP_LAYERS = [128, 64, 32]
+DNN_STRUCTURAL = dict(layers=[Layer(128, True, 0.3), Layer(64, True, 0.3), Layer(32)], epochs=15, batch=128, rate=0.001)
+DNN_FEW_SHOT = dict(layers=[Layer(64, False, 0.2), Layer(32, False, 0.2), Layer(16)], epochs=3, batch=256, rate=0.001)
 URL_EXPERT_COLS = 10
 # ---------------------------------------------------------------------------
 
@@ -77,10 +79,6 @@ def _lr(**kw):
     return LogisticRegression(**{"maxIter": 100, **kw})
 
 
-def _mlp(n_features: int = 28, **kw):
-    return MultilayerPerceptronClassifier(layers=[n_features, *MLP_LAYERS, 2], seed=42, maxIter=kw.pop("maxIter", 200), **kw)
-
-
 MODEL_REGISTRY = {
     "structural_rf": _rf,
     "url_rf": lambda **kw: _rf(**{**RF_URL, **kw}),
@@ -88,7 +86,8 @@ MODEL_REGISTRY = {
     "structural_xgb": _booster(**XGB_STRUCTURAL),
     "boosted_trees": _booster(**XGB_REGULARISED),  # the same class under a second name
     "logistic_regression": _lr,
-    "structural_dnn": _mlp,
+    "structural_dnn": lambda **kw: ReluNetwork(**{**DNN_STRUCTURAL, **kw}),
+    "few_shot_dnn": lambda **kw: ReluNetwork(**{**DNN_FEW_SHOT, **kw}),
     "structural_stacking": lambda n_features=163, **kw: FusionStack(n_features, "late", **kw),
     "mid_fusion_xgb": lambda n_features=163, **kw: FusionStack(n_features, "mid", **kw),
     "hybrid_svm_knn": lambda n_features=48, **kw: SvmKnn(n_features, **kw),

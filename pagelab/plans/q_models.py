@@ -176,12 +176,16 @@ def q_knn(spark, sf):
 
 @register("dense_network")
 def q_mlp(spark, sf):
-    """128-64-32 perceptron on the min-max scaled structural vector."""
-    from pyspark.ml.feature import MinMaxScaler
-    tr, te = split(feats(spark, sf))
-    sc = MinMaxScaler(inputCol="features", outputCol="scaled").fit(tr)
-    m = M.create_model("structural_dnn", n_features=len(names(spark, sf))).setFeaturesCol("scaled").setLabelCol("label").fit(sc.transform(tr))
-    return metrics_row(m.transform(sc.transform(te)).withColumn("p1", M.prob1()), "structural_dnn")
+    """ReLU network 128-64-32 with batch normalisation and dropout on the structural vector."""
+    return fit_eval(spark, sf, "structural_dnn", M.create_model("structural_dnn"))
+
+
+@register("dense_network_64_32_16")
+def q_mlp_small(spark, sf):
+    """The few-shot base network 64-32-16, trained on the old era and tested on the new."""
+    x = feats(spark, sf)
+    m = M.create_model("few_shot_dnn").setLabelCol("label").fit(x.where("era = 'old'"))
+    return metrics_row(m.transform(x.where("era = 'new'")).withColumn("p1", M.prob1()), "few_shot_dnn")
 
 
 @register("meta_logreg")
