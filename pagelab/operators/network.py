@@ -201,10 +201,12 @@ class ReluNetwork:
             m = np.array([r["x"] for r in mine], np.float32).reshape(-1, width)
             done = train(net, m, np.array([r["y"] for r in mine]), *options, context.partitionId(), workers, context.allGather)
             if context.partitionId() == 0:
-                yield done.weights, done.moments
+                yield 0, (done.weights, done.moments)
 
-        # as many partitions as asked for: a plain hash partitioning, which is not coalesced
-        weights, moments = x.repartition(workers, "k").rdd.barrier().mapPartitions(run).collect()[0]
+        # as many partitions as asked for: a plain hash partitioning, which is not coalesced. A barrier
+        # stage can run again only if it feeds a shuffle, so the one result takes one.
+        trained = x.repartition(workers, "k").rdd.barrier().mapPartitions(run).partitionBy(1)
+        weights, moments = trained.values().collect()[0]
         net.weights, net.moments = weights, moments
         return ReluNetworkModel(net, self.features)
 
