@@ -10,13 +10,13 @@ of all folds are fitted in common passes over the rows.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -259,26 +259,47 @@ class FusionStack:
 
 
 # ------------------------------------------------------------------ kernel SVM
-def random_fourier(df: DataFrame, n_in: int, n_out: int = 100, gamma: float | None = None, seed: int = 42,
-                   col: str = "features", out: str = "rff") -> DataFrame:
-    """RBF kernel features (Rahimi & Recht 2007): sqrt(2/D) cos(W x + b),
-    W ~ N(0, 2 gamma), b ~ U(0, 2 pi). The projection is one numpy matrix
-    product per Arrow batch (pandas UDF); W and b (n_out x n_in) are fixed by
-    the seed and travel with the function."""
-    from pyspark.sql import types as T
-    g = gamma if gamma is not None else 1.0 / n_in
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2 * g), size=(n_out, n_in))
-    b = rng.uniform(0, 2 * math.pi, size=n_out)
-    scale = math.sqrt(2.0 / n_out)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(v: pd.Series) -> pd.Series:
-        X = np.stack([np.asarray(a, dtype=np.float64) for a in v]) if len(v) else np.zeros((0, n_in))
-        Z = scale * np.cos(X @ W.T + b)
-        return pd.Series(list(Z))
-
-    return df.withColumn(out, array_to_vector(project(vector_to_array(F.col(col)))))
+def landmarks(df: DataFrame, n: int, col: str = "features", seed: int = 42) -> np.ndarray:
+    """At most ``n`` rows that stand for all: the rows themselves where there are no more, else
+    k-means centres (k-means++ in a few passes)."""
+    rows = df.select(vector_to_array(F.col(col)).alias("v")).limit(n + 1).collect()  # n is a parameter
+    if len(rows) > n:
+        return np.array([c.tolist() for c in KMeans(k=n, seed=seed, featuresCol=col, maxIter=10).fit(df.select(col)).clusterCenters()])
+    return np.unique(np.array([r["v"] for r in rows], float).reshape(len(rows), -1), axis=0)
+
+
+def _rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    d = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)
+    return np.exp(-gamma * np.maximum(d, 0.0))
+
+
+class Nystroem:
+    """RBF kernel features from landmark rows L: K(x, L) K(L, L)^(-1/2), whose inner products
+    approximate the kernel and equal it between landmarks (Williams & Seeger 2001)."""
+
+    def __init__(self, points: np.ndarray, gamma: float):
+        self.points, self.gamma = points, gamma
+        value, vector = np.linalg.eigh(_rbf(points, points, gamma))
+        kept = value > 1e-10 * max(1.0, float(value.max(initial=0.0)))
+        self.map = vector[:, kept] / np.sqrt(value[kept])
+
+    def features(self, x: np.ndarray) -> np.ndarray:
+        return _rbf(x, self.points, self.gamma) @ self.map
+
+    def transform(self, df: DataFrame, col: str = "features", out: str = "kernel") -> DataFrame:
+        shared, width = df.sparkSession.sparkContext.broadcast(self), self.points.shape[1]
+
+        @F.pandas_udf("array<double>")
+        def project(v: pd.Series) -> pd.Series:
+            return pd.Series(list(shared.value.features(_matrix(v, width))))
+        return df.withColumn(out, array_to_vector(project(vector_to_array(F.col(col)))))
+
+    def error(self, df: DataFrame, col: str = "features", key: str = "page_id", rows: int = 200) -> float:
+        """Mean absolute error of the kernel between ``rows`` rows (the smallest hashes of the key)."""
+        got = df.select(vector_to_array(F.col(col)).alias("v"), F.xxhash64(key).alias("h")).orderBy("h").limit(rows).collect()
+        x = np.array([r["v"] for r in got], float)
+        z = self.features(x)
+        return float(np.abs(z @ z.T - _rbf(x, x, self.gamma)).mean())
 
 
 def scale_gamma(df: DataFrame, col: str = "features") -> float:
@@ -294,15 +315,15 @@ def scale_gamma(df: DataFrame, col: str = "features") -> float:
 
 
 class KernelSVM:
-    """RBF SVM re-aimed as random Fourier features + LinearSVC, with a
-    sigmoid (logistic) calibration of the margin for probabilities. The kernel
-    width follows the variance of the training features."""
+    """RBF SVM as Nystroem kernel features of at most ``n_out`` landmarks and a linear SVM
+    with loss weight C, with a sigmoid (logistic) calibration of the margin for probabilities.
+    The kernel width follows the variance of the training features."""
 
     def __init__(self, n_in: int, n_out: int = 100, C: float = 1.0, label: str = "label", gamma: float | None = None):
         self.n_in, self.n_out, self.C, self.label, self.gamma = n_in, n_out, C, label, gamma
 
     def _mapped(self, df):
-        return random_fourier(df, self.n_in, self.n_out, self.gamma)
+        return self.map.transform(df)
 
     @staticmethod
     def _margin(df):
@@ -311,8 +332,10 @@ class KernelSVM:
     def fit(self, df):
         if self.gamma is None:
             self.gamma = scale_gamma(df)
-        x = self._mapped(df)
-        self.svm = LinearSVC(featuresCol="rff", labelCol=self.label, regParam=1.0 / (self.C * 100), maxIter=100).fit(x)
+        self.map = Nystroem(landmarks(df, self.n_out), self.gamma)
+        x = _written(self._mapped(df).select(self.label, "kernel"))  # read by every step of both fits
+        self.svm = LinearSVC(featuresCol="kernel", labelCol=self.label, regParam=1.0 / (self.C * max(1, x.count())),
+                             maxIter=100, standardization=False).fit(x)
         self.cal = LogisticRegression(featuresCol="_m", labelCol=self.label, probabilityCol="svm_probability",
                                       predictionCol="svm_prediction", rawPredictionCol="svm_raw").fit(
             self._margin(self.svm.transform(x)))
@@ -325,13 +348,15 @@ class KernelSVM:
     def save(self, path: str) -> None:
         self.svm.write().overwrite().save(f"{path}/svm")
         self.cal.write().overwrite().save(f"{path}/calibration")
-        _context().createDataFrame([(self.n_in, self.n_out, float(self.gamma))], "n_in int, n_out int, gamma double") \
+        _context().createDataFrame([(self.n_in, self.n_out, float(self.gamma), self.map.points.tolist())],
+                                   "n_in int, n_out int, gamma double, points array<array<double>>") \
             .write.mode("overwrite").parquet(f"{path}/kernel")
 
     def load(self, path: str) -> "KernelSVM":
         self.svm, self.cal = LinearSVCModel.load(f"{path}/svm"), LogisticRegressionModel.load(f"{path}/calibration")
         r = _context().read.parquet(f"{path}/kernel").first()
         self.n_in, self.n_out, self.gamma = r["n_in"], r["n_out"], r["gamma"]
+        self.map = Nystroem(np.array(r["points"], float), self.gamma)
         return self
 
 
