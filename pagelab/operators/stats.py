@@ -93,11 +93,9 @@ def _local_groups(pdf: pd.DataFrame, groups: list[str]):
         yield tuple(None if pd.isna(head[g]) else head[g] for g in groups), rows
 
 
-def _bucket_counts(df: DataFrame, groups: list[str], value: str, shift: int, wanted: dict | None) -> DataFrame:
+def _bucket_counts(df: DataFrame, groups: list[str], value: str, shift: int, wanted: dict | None, up_shift: int = 63) -> DataFrame:
     """(groups, _up, _p, _n, _lo, _hi): rows of each bucket of keys with equal bits from ``shift`` on,
-    inside the buckets ``_up`` (one scan back) that ``wanted`` names; summed per task."""
-    up_shift = min(63, shift + RADIX)
-
+    inside the buckets ``_up`` (bits from ``up_shift`` on, one scan back) that ``wanted`` names; summed per task."""
     def run(batches):
         held: dict = {}
         for pdf in batches:
@@ -140,8 +138,9 @@ def exact_quantiles(df: DataFrame, groups, value: str, probs, out_prefix: str =
 
     Values become order-preserving 64-bit keys. A scan counts, for all groups at once, the
     rows per leading ``RADIX`` bits; the buckets that hold the wanted order statistics are
-    counted by their next bits in the next scan, until a bucket holds one value (four scans
-    at most, one or two for most columns). Only bucket counts are shuffled, never values; the
+    counted by their next bits in the next scan, until a bucket holds one value; where the
+    opened buckets hold at most 2 ** RADIX rows each, the next scan counts whole keys (four scans
+    at most, two for most columns). Only bucket counts are shuffled, never values; the
     driver sees two rows for each (group, probability), so groups are classes and features,
     not keys. ``df`` is read once a scan: callers persist what is dear to compute.
     Nulls are left out; groups without values have no row."""
@@ -152,8 +151,9 @@ def exact_quantiles(df: DataFrame, groups, value: str, probs, out_prefix: str =
     found: dict = {}  # (group, probability's number, side) -> value
     place: dict = {}  # (group, number) -> position between the two order statistics
     wanted, left = None, {}  # group -> buckets to open; (group, number, side) -> (bucket, rank in it)
-    for shift in range(64 - RADIX, -1, -RADIX):
-        b = _bucket_counts(rows, groups, value, shift, wanted)
+    shift, up_shift = 64 - RADIX, 63
+    while True:
+        b = _bucket_counts(rows, groups, value, shift, wanted, up_shift)
         w = Window.partitionBy(*groups, "_up")
         b = b.withColumn("_cum", F.sum("_n").over(w.orderBy("_p")))  # at most 2 ** RADIX buckets
         if wanted is None:
@@ -172,7 +172,7 @@ def exact_quantiles(df: DataFrame, groups, value: str, probs, out_prefix: str =
                 on = on & F.col(g).eqNullSafe(F.col(n))
             b = b.join(F.broadcast(spark.createDataFrame(asked, shape)), on).withColumn("_at", F.lit(0.0))  # two rows a (group, probability)
         hit = b.where((F.col("_cum") - F.col("_n") <= F.col("_idx")) & (F.col("_idx") < F.col("_cum"))).collect()
-        first, wanted, left = wanted is None, {}, {}
+        first, wanted, left, most = wanted is None, {}, {}, 0
         for r in hit:
             g = tuple(r[x] for x in groups)
             if first:
@@ -182,9 +182,11 @@ def exact_quantiles(df: DataFrame, groups, value: str, probs, out_prefix: str =
             else:
                 left[g, r["_i"], r["_side"]] = (r["_p"], r["_idx"] - (r["_cum"] - r["_n"]))
                 wanted.setdefault(g, set()).add(r["_p"])
+                most = max(most, r["_n"])
         wanted = {g: np.array(sorted(v), np.int64) for g, v in wanted.items()}
         if not left:
             break
+        shift, up_shift = (0 if most <= 1 << RADIX else shift - RADIX), shift
     out = []
     for g in dict.fromkeys(g for g, _ in place):
         q = []
