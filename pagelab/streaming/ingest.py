@@ -8,8 +8,10 @@ overwrites its own output (idempotent per batch id) after a failure.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelab.functions.html import CONTROL_CHARS_RE, strip_ws
 
@@ -35,6 +37,49 @@ def ingest_dedup(stream: DataFrame, known: DataFrame, url: str = "url", html: st
     return s.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([url])
 
 
+def first_arrivals(stream: DataFrame, key: str = "url", event_time: str = "ts", order: tuple = (),
+                   ttl: str = "2 hours", watermark: str = "1 hour") -> DataFrame:
+    """L1 with keyed state: a key's first arrival is let through and its event time is
+    kept in the state store until the watermark has passed that time plus ``ttl``; until
+    then all further arrivals of the key are dropped, across micro-batches and restarts.
+    Afterwards the key is new again (a page is crawled anew). Rows later than the
+    watermark are dropped, so a replay does not come back when its state has gone.
+
+    Defined results: of one micro-batch's rows of a key the smallest (event time,
+    ``order`` columns) wins, nulls of ``order`` last; a null key is a key like any other; rows
+    without an event time are dropped; the state is one time a key. A key that holds much
+    of a micro-batch is reduced to one row an Arrow batch before the shuffle."""
+    ranks, width = [event_time, *order], pd.Timedelta(ttl).value // 1_000_000
+    if width <= 0:
+        raise ValueError("ttl must be positive")
+
+    def firsts(batches):
+        for pdf in batches:
+            yield pdf.sort_values(ranks, kind="stable").drop_duplicates(key)
+
+    def judge(_, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for pdf in batches:  # a running minimum: the key's rows are never held together
+            best = pdf if best is None else pd.concat([best, pdf])
+            best = best.sort_values(ranks, kind="stable").head(1)
+        if best is None or state.exists:
+            if state.exists:  # a timer does not outlive a call
+                state.setTimeoutTimestamp(max(state.get[0], state.getCurrentWatermarkMs() + 1))
+            return
+        until = best[event_time].iloc[0].value // 1_000_000 + width
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield best
+
+    s = stream.where(F.col(event_time).isNotNull())
+    s = s.mapInPandas(firsts, s.schema).withWatermark(event_time, watermark)
+    return s.groupBy(key).applyInPandasWithState(judge, stream.schema, "until long", "append",
+                                                 GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_table(stream: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Drain the stream (availableNow) into ``out_path``; each micro-batch is
     written under its own batch id, so a retried batch replaces itself."""
