@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelab.functions import dom as DF, html as H
-from pagelab.operators import dom, text as T
+from pagelab.operators import dom, heavy as HV, text as T
 from pagelab.plans import catalog
 from pagelab.plans import sqlfrag as S
 from pagelab.plans.q_pages import PAGES_L
@@ -73,6 +73,12 @@ def q_tfidf_fit(spark, sf):
     return T.tfidf_fit(_word_docs(spark, sf), "page_id", "g", 100)
 
 
+@register("tfidf_fit_summaries", sql=tfidf_sql(f"docs AS (SELECT page_id, {WORDS} AS g FROM pages)", 100, out="vocab"))
+def q_tfidf_fit_summaries(spark, sf):
+    """E2 by frequent-items summaries and an exact recount: the vocabulary of ``tfidf_fit``."""
+    return HV.tfidf_vocabulary(_word_docs(spark, sf), "g", 100)
+
+
 @register("tfidf_transform", sql=tfidf_sql(f"docs AS (SELECT page_id, {WORDS} AS g FROM pages)", 100))
 def q_tfidf_tr(spark, sf):
     """L2-normalised TF-IDF weights of page words (long form)."""
@@ -176,6 +182,13 @@ def q_html_vocab(spark, sf):
     return T.frequency_vocab(d, "t", 50000)
 
 
+@register("html_vocab_summaries", sql=f"WITH {_VOCAB_SQL} SELECT term, id::BIGINT AS id, cnt::BIGINT AS cnt FROM v WHERE id < 1000")
+def q_html_vocab_summaries(spark, sf):
+    """E9 by frequent-items summaries and an exact recount (size 1000: ids 2..999)."""
+    d = P.table(spark, sf, "pages").select(T.hybrid_tokens("html").alias("t"))
+    return HV.id_vocabulary(d, "t", 1000)
+
+
 @register("html_token_ids", sql=f"""WITH {_VOCAB_SQL},
 x AS (SELECT page_id, i, t[i] AS term FROM (SELECT page_id, {HYB}[1:2000] AS t FROM pages), range(1, len(t) + 1) AS r(i)),
 y AS (SELECT page_id, list(coalesce(v.id, 1) ORDER BY i) AS ids FROM x LEFT JOIN (SELECT * FROM v WHERE id < 50000) v USING (term) GROUP BY page_id)
