@@ -466,7 +466,19 @@ def q_brand(spark, sf):
     return p.select("page_id", H.brand_discrepancy_lev("html", H.page_domain("url")).alias("brand_discrepancy"))
 
 
-@register("brand_discrepancy_seqmatch")
+_BRAND_RATIO = f"WITH RECURSIVE {S.brand_ratio_ctes()} SELECT page_id, {D('bd')} AS brand_discrepancy FROM brand"
+
+
+@register("brand_discrepancy_ratio", sql=_BRAND_RATIO)
+def q_brand_ratio(spark, sf):
+    """C11 by definition: sequence-matcher ratio as a column expression, no Python workers."""
+    from pagelab.functions.sequence import brand_discrepancy
+    p = P.table(spark, sf, "pages")
+    return p.select("page_id", brand_discrepancy(H.brand_title_norm("html"),
+                                                 H.brand_domain_norm(H.page_domain("url"))).alias("brand_discrepancy"))
+
+
+@register("brand_discrepancy_seqmatch", sql=_BRAND_RATIO)
 def q_brand_sm(spark, sf):
     """C11: sequence-matcher form (vectorised pandas UDF)."""
     from pagelab.functions.udfs import brand_discrepancy_difflib
