@@ -18,7 +18,7 @@ from pyspark.ml.feature import PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from pagelab.operators import evaluate as EV, explain as XP, forest as FO, models as M, sample as SA
+from pagelab.operators import evaluate as EV, explain as XP, forest as FO, models as M, sample as SA, search as SR
 from pagelab.operators.features import BASE_28, structural_base
 from pagelab.operators.vector import StructuralFeaturizer
 from pagelab.plans import catalog
@@ -417,6 +417,19 @@ def q_ps(spark, sf):
     return spark.createDataFrame(rows, "num_trees int, max_depth int, cv_accuracy double, best boolean")
 
 
+@register("param_search_halving")
+def q_halving(spark, sf):
+    """Successive halving over the space of the boosted trees, nine trials, all folds
+    and trials of a rung fitted together."""
+    return SR.successive_halving(feats(spark, sf), "boosted_trees")
+
+
+@register("param_search_network")
+def q_halving_network(spark, sf):
+    """Successive halving over the space of the dense network, nine trials."""
+    return SR.successive_halving(feats(spark, sf), "dense_network")
+
+
 @register("pca")
 def q_pca(spark, sf):
     """PCA to 2 components of the jointly z-scored eras."""
