@@ -16,10 +16,18 @@ def class_averages(df: DataFrame, cols: list[str], label: str = "label") -> Data
     return long.groupBy(label, "feature").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def drop_top_quantile(long: DataFrame, q: float = 0.99, feature: str = "feature", value: str = "value") -> DataFrame:
-    """per feature keep values at or below the q-quantile."""
+def drop_top_quantile(long: DataFrame, q: float = 0.99, feature: str = "feature", value: str = "value",
+                      factor: float = 1.0, null_out: bool = False) -> DataFrame:
+    """per feature keep values at or below ``factor`` times the q-quantile; with a factor, a
+    feature whose quantile is not positive stays whole. ``null_out`` keeps the rows and makes
+    the values above null."""
     qs = exact_quantiles(long, [feature], value, [q]).withColumnRenamed("q_0", "_q")  # one row per feature
-    return long.join(F.broadcast(qs), feature).where(F.col(value) <= F.col("_q")).drop("_q")
+    x = long.join(F.broadcast(qs), feature)
+    keep = F.col(value) <= F.col("_q") * factor
+    if factor != 1.0:
+        keep = (F.col("_q") <= 0) | keep
+    x = x.withColumn(value, F.when(keep, F.col(value))) if null_out else x.where(keep)
+    return x.drop("_q")
 
 
 def top_variance(long: DataFrame, k: int = 15, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -108,16 +116,26 @@ def boxplot_stats(long: DataFrame, groups, feature: str = "feature", value: str
         F.sum(((v < lo) | (v > hi)).cast("long")).alias("outliers")).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def histogram(long: DataFrame, groups, bins: int = 20, feature: str = "feature", value: str = "value") -> DataFrame:
+def value_counts(long: DataFrame, groups, q: float = 0.99, feature: str = "feature", value: str = "value") -> DataFrame:
+    """I13 of discrete features: rows of each (groups, feature, value) up to the feature's q-quantile."""
+    return drop_top_quantile(long, q, feature, value).groupBy(*groups, feature, value).agg(F.count(F.lit(1)).alias("count"))
+
+
+def histogram(long: DataFrame, groups, bins: int = 20, feature: str = "feature", value: str = "value",
+              density: bool = False) -> DataFrame:
     """Equal-width bins over each feature's range (last bin closed;
-    a constant feature gets the range value +- 0.5)."""
+    a constant feature gets the range value +- 0.5); ``density`` adds each group's own density."""
     r = long.groupBy(feature).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
     same = F.col("_mx") == F.col("_mn")
     r = r.select(feature, F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                  F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
     x = long.join(F.broadcast(r), feature)  # one row per feature
     b = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-    return x.groupBy(*groups, feature, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    if not density:
+        return x.groupBy(*groups, feature, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    c = x.groupBy(*groups, feature, b.alias("bin"), ((F.col("_hi") - F.col("_lo")) / bins).alias("_w")).agg(F.count(F.lit(1)).alias("count"))
+    rows = F.sum("count").over(Window.partitionBy(*groups, feature))  # at most ``bins`` rows each
+    return c.withColumn("density", F.col("count") / (rows * F.col("_w"))).drop("_w")
 
 
 def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:

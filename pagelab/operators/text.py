@@ -28,6 +28,13 @@ from pagelab.operators.stats import top_k_per_group
 URL_KEYWORD_STOP = ["http", "https", "www", "com", "net", "org", "html", "php"]
 # words dropped from the word-frequency tables (custom part of the stop list)
 WORD_FREQ_STOP = ["http", "https", "www", "com", "org", "net", "html", "php", "login", "index", "htm"]
+# general English words left out of word clouds, those of three letters or more without an apostrophe
+ENGLISH_STOP = """about above after again against all also and any are because been before being below between both but
+can cannot com could did does doing down during each else ever few for from further get had has have having hence her
+here hers herself him himself his how however http into its itself just like more most myself nor not off once only
+other otherwise ought our ours ourselves out over own same shall she since should some such than that the their theirs
+them themselves then there therefore these they this those through too under until very was were what when where which
+while who whom why with would www you your yours yourself yourselves""".split()
 # characters spaced out before sub-word splitting of URLs
 SUBWORD_SPLIT_CHARS = r"([./\-_?=&])"
 # ASCII punctuation removed by the sub-word standardisation
@@ -271,9 +278,9 @@ def url_words(url) -> Column:
     return F.transform(F.regexp_extract_all(u, F.lit("[a-zA-Z]{3,}"), 0), lambda w: F.lower(w))
 
 
-def word_frequencies(docs: DataFrame, words: str, groups, k: int = 150) -> DataFrame:
-    """Top-k words per group minus stop words, weight = count / top count."""
-    x = docs.select(*groups, F.filter(words, lambda w: ~w.isin(WORD_FREQ_STOP)).alias("_w"))
+def word_frequencies(docs: DataFrame, words: str, groups, k: int = 150, stop=tuple(WORD_FREQ_STOP)) -> DataFrame:
+    """Top-k words per group minus ``stop`` words, weight = count / top count."""
+    x = docs.select(*groups, F.filter(words, lambda w: ~w.isin(list(stop))).alias("_w"))
     t = top_terms(x, "_w", k, groups)
     mx = t.groupBy(*groups).agg(F.max("count").alias("_mx"))
     return t.join(F.broadcast(mx), list(groups)).select(*groups, F.col("term").alias("word"), "count", "rank",

@@ -433,12 +433,21 @@ def q_halving_network(spark, sf):
 @register("pca")
 def q_pca(spark, sf):
     """PCA to 2 components of the jointly z-scored eras."""
+    a = vector_to_array("pc")
+    return _projected(spark, sf, 2).select("page_id", "era", "label", a[0].alias("pc1"), a[1].alias("pc2"))
+
+
+def _projected(spark, sf, k: int):
     from pyspark.ml.feature import StandardScaler
     x = feats(spark, sf)
     z = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(x).transform(x)
-    p = PCA(k=2, inputCol="z", outputCol="pc").fit(z).transform(z)
-    a = vector_to_array("pc")
-    return p.select("page_id", "era", "label", a[0].alias("pc1"), a[1].alias("pc2"))
+    return PCA(k=k, inputCol="z", outputCol="pc").fit(z).transform(z)
+
+
+@register("pca_50")
+def q_pca50(spark, sf):
+    """PCA to 50 components of the jointly z-scored eras."""
+    return _projected(spark, sf, 50).select("page_id", "era", "label", vector_to_array("pc").alias("pc"))
 
 
 @register("select_by_importance")

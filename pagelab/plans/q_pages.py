@@ -466,7 +466,7 @@ def q_brand(spark, sf):
     return p.select("page_id", H.brand_discrepancy_lev("html", H.page_domain("url")).alias("brand_discrepancy"))
 
 
-_BRAND_RATIO = f"WITH RECURSIVE {S.brand_ratio_ctes()} SELECT page_id, {D('bd')} AS brand_discrepancy FROM brand"
+_BRAND_RATIO = f"WITH RECURSIVE {S.brand_ratio_ctes()} SELECT page_id, {D('bd')} AS brand_discrepancy FROM sm_brand"
 
 
 @register("brand_discrepancy_ratio", sql=_BRAND_RATIO)

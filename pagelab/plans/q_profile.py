@@ -22,6 +22,8 @@ LONG = f"""{BASE}, lg AS (SELECT page_id, label, era, feature, value FROM f
 
 FLAGS = ["is_https", "url_has_login", "url_hyphen_domain", "html_password_input_count",
          "css_hidden_count", "foreign_form_action", "iframe_count"]
+# count features (fixed values)
+DISCRETE = ["iframe_count", "css_hidden_count", "html_password_input_count", "url_num_subdomains", "url_path_depth"]
 RADAR = {
     "DOM Complexity": ["dom_depth", "html_num_tags", "tag_diversity"],
     "Lexical Suspicion": ["url_length", "url_entropy", "url_num_special_chars"],
@@ -93,6 +95,26 @@ def q_drop_q(spark, sf):
     return DR.drop_top_quantile(long, 0.99).select("page_id", "feature", "value")
 
 
+@register("drop_top_quantile_scaled", sql=f"""WITH {LONG},
+q AS (SELECT feature, quantile_cont(value, 0.95) AS q95 FROM lg GROUP BY feature)
+SELECT page_id, feature, factor, {r6('value')} AS value FROM lg JOIN q USING (feature), (VALUES (1.5::DOUBLE), (2.0::DOUBLE)) AS x(factor)
+WHERE q95 <= 0 OR value <= q95 * factor""")
+def q_drop_q_scaled(spark, sf):
+    """values up to 1.5 and 2 times the 0.95 quantile; features without a positive quantile stay whole."""
+    long = SC.melt(base(spark, sf), ["page_id"], BASE_28)
+    cut = [DR.drop_top_quantile(long, 0.95, factor=x).select("page_id", "feature", F.lit(x).alias("factor"), "value") for x in (1.5, 2.0)]
+    return cut[0].unionByName(cut[1])
+
+
+@register("null_top_quantile", sql=f"""WITH {LONG},
+q AS (SELECT feature, quantile_cont(value, 0.99) AS q99 FROM lg GROUP BY feature)
+SELECT page_id, feature, CASE WHEN value <= q99 THEN {r6('value')} END AS value FROM lg JOIN q USING (feature)""")
+def q_null_q(spark, sf):
+    """values above the 0.99 quantile become null, rows stay."""
+    long = SC.melt(base(spark, sf), ["page_id"], BASE_28)
+    return DR.drop_top_quantile(long, 0.99, null_out=True).select("page_id", "feature", "value")
+
+
 @register("select_top_variance", sql=f"""WITH {LONG}
 SELECT feature, {r6('v')} AS variance, rank::BIGINT AS rank FROM (
   SELECT feature, var_samp(value) AS v, row_number() OVER (ORDER BY round(var_samp(value), 9) DESC, feature) AS rank
@@ -140,7 +162,12 @@ st AS (SELECT idx, avg(value) AS mu, stddev_pop(value) AS sd FROM v WHERE era =
 SELECT page_id, idx::BIGINT AS idx, name, round((value - mu) / CASE WHEN sd < 1e-12 THEN 1 ELSE sd END, 6) AS value FROM v JOIN st USING (idx)"""
 
 
-@register("structural_vector_163")
+# the same with the sequence ratio in the place of the edit distance
+_VECTOR_RATIO_SQL = f"WITH RECURSIVE {S.brand_ratio_ctes()}, " + _VECTOR_SQL.removeprefix("WITH ").replace(
+    S.brand_lev(), "(SELECT bd FROM sm_brand WHERE sm_brand.page_id = evs.page_id)")
+
+
+@register("structural_vector_163", sql=_VECTOR_RATIO_SQL)
 def q_vec163(spark, sf):
     """28 clipped + 50 tag + 25 XPath + 3x20 zone TF-IDF, z-scored, fitted
     on the old era and applied to every page."""
@@ -302,6 +329,27 @@ def q_hist(spark, sf):
     return DR.histogram(SC.melt(base(spark, sf), ["label"], BASE_28), ["label"], 20)
 
 
+@register("histogram_density", sql=f"""WITH {LONG},
+r AS (SELECT feature, CASE WHEN max(value) = min(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+  CASE WHEN max(value) = min(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM lg GROUP BY feature),
+b AS (SELECT label, feature, lo, hi, least(floor((value - lo) / (hi - lo) * 30), 29) AS bin FROM lg JOIN r USING (feature)),
+c AS (SELECT label, feature, bin, (hi - lo) / 30 AS width, count(*) AS count FROM b GROUP BY ALL)
+SELECT label::BIGINT AS label, feature, bin::BIGINT AS bin, count::BIGINT AS count,
+  {r6('count / (sum(count) OVER (PARTITION BY label, feature) * width)')} AS density FROM c""")
+def q_hist_density(spark, sf):
+    """30 bins per feature with each class's own density."""
+    return DR.histogram(SC.melt(base(spark, sf), ["label"], BASE_28), ["label"], 30, density=True)
+
+
+@register("value_counts_p99", sql=f"""WITH {LONG},
+q AS (SELECT feature, quantile_cont(value, 0.99) AS q99 FROM lg GROUP BY feature)
+SELECT label::BIGINT AS label, feature, {r6('value')} AS value, count(*)::BIGINT AS count
+FROM lg JOIN q USING (feature) WHERE value <= q99 AND feature IN ({S.qlist(DISCRETE)}) GROUP BY label, feature, value""")
+def q_counts_p99(spark, sf):
+    """Counts of each value of the count features by class, up to the feature's 0.99 quantile."""
+    return DR.value_counts(SC.melt(base(spark, sf), ["label"], DISCRETE), ["label"], 0.99)
+
+
 @register("pearson_corr", sql=f"""WITH {LONG},
 lv AS (SELECT page_id, feature, value FROM lg UNION ALL SELECT page_id, 'label', label FROM f),
 tv AS (SELECT feature FROM (SELECT feature, row_number() OVER (ORDER BY round(var_samp(value), 9) DESC, feature) AS r FROM lg GROUP BY feature) WHERE r <= 15

@@ -255,10 +255,10 @@ def q_url_kw(spark, sf):
     return T.top_terms(p, "t", 15).select("term", "count", "rank")
 
 
-def _wf_sql(src: str) -> str:
+def _wf_sql(src: str, stop=tuple(T.WORD_FREQ_STOP)) -> str:
     return f"""WITH {PAGES_L},
 c AS (SELECT era, label, w AS word, count(*) AS count FROM (
-  SELECT era, label, unnest(list_filter({src}, lambda x: x NOT IN ({S.qlist(T.WORD_FREQ_STOP)}))) AS w FROM pages_l)
+  SELECT era, label, unnest(list_filter({src}, lambda x: x NOT IN ({S.qlist(stop)}))) AS w FROM pages_l)
   GROUP BY era, label, w),
 r AS (SELECT *, row_number() OVER (PARTITION BY era, label ORDER BY count DESC, word) AS rank FROM c)
 SELECT era, label::BIGINT AS label, word, count::BIGINT AS count, rank::BIGINT AS rank,
@@ -277,3 +277,13 @@ def q_wf_url(spark, sf):
     """Top 150 URL words per era and class."""
     p = _pages(spark, sf).select("era", "label", T.url_words("url").alias("w"))
     return T.word_frequencies(p, "w", ["era", "label"])
+
+
+_CLOUD_STOP = (*T.ENGLISH_STOP, *T.WORD_FREQ_STOP)
+
+
+@register("word_cloud_text", sql=_wf_sql(WORDS, _CLOUD_STOP))
+def q_cloud_text(spark, sf):
+    """As ``word_frequencies_text``, without general English words as well."""
+    p = _pages(spark, sf).select("era", "label", T.page_words("html").alias("w"))
+    return T.word_frequencies(p, "w", ["era", "label"], stop=_CLOUD_STOP)

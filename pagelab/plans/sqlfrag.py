@@ -183,29 +183,29 @@ def brand_lev(u="url", h="html"):
 
 
 def brand_ratio_ctes() -> str:
-    """CTEs up to brand(page_id, bd): the brand discrepancy by matching blocks (domains
-    under 200 characters, where no character is popular). ``run`` holds the length of the common
-    run from (i, j) on; ``w`` cuts each range at its longest block, the first of several."""
+    """CTEs up to sm_brand(page_id, bd): the brand discrepancy by matching blocks (domains
+    under 200 characters, where no character is popular). ``sm_run`` holds the length of the common
+    run from (i, j) on; ``sm_range`` cuts each range at its longest block, the first of several."""
     t = f"lower({title('html')})"
     for x in TITLE_STOP_WORDS:
         t = f"replace({t}, {q(x)}, '')"
-    return f"""p AS MATERIALIZED (SELECT page_id, regexp_replace({t}, '[^a-z0-9]', '', 'g') AS t,
+    return f"""sm_text AS MATERIALIZED (SELECT page_id, regexp_replace({t}, '[^a-z0-9]', '', 'g') AS t,
     regexp_replace({netloc(with_http('url'))}, '[^a-z0-9]', '', 'g') AS d FROM pages),
-eq AS (SELECT page_id, i, j FROM p, range(1, length(t) + 1) AS a(i), range(1, length(d) + 1) AS b(j)
+sm_eq AS (SELECT page_id, i, j FROM sm_text, range(1, length(t) + 1) AS a(i), range(1, length(d) + 1) AS b(j)
   WHERE substr(t, i, 1) = substr(d, j, 1)),
-isl AS (SELECT *, i - row_number() OVER (PARTITION BY page_id, i - j ORDER BY i) AS isle FROM eq),
-run AS MATERIALIZED (SELECT page_id, i, j, count(*) OVER (PARTITION BY page_id, i - j, isle ORDER BY i DESC) AS n FROM isl),
-w(page_id, alo, ahi, blo, bhi, got) AS (
-  SELECT page_id, 1::BIGINT, length(t) + 1, 1::BIGINT, length(d) + 1, 0::BIGINT FROM p
+sm_isle AS (SELECT *, i - row_number() OVER (PARTITION BY page_id, i - j ORDER BY i) AS isle FROM sm_eq),
+sm_run AS MATERIALIZED (SELECT page_id, i, j, count(*) OVER (PARTITION BY page_id, i - j, isle ORDER BY i DESC) AS n FROM sm_isle),
+sm_range(page_id, alo, ahi, blo, bhi, got) AS (
+  SELECT page_id, 1::BIGINT, length(t) + 1, 1::BIGINT, length(d) + 1, 0::BIGINT FROM sm_text
   UNION ALL
   SELECT page_id, CASE WHEN side = 0 THEN alo ELSE i + k END, CASE WHEN side = 0 THEN i ELSE ahi END,
     CASE WHEN side = 0 THEN blo ELSE j + k END, CASE WHEN side = 0 THEN j ELSE bhi END, CASE WHEN side = 0 THEN k ELSE 0 END
   FROM (SELECT *, row_number() OVER (PARTITION BY page_id, alo, blo ORDER BY k DESC, i, j) AS best FROM (
-    SELECT w.page_id, alo, ahi, blo, bhi, i, j, least(n, ahi - i, bhi - j) AS k FROM w JOIN run
-      ON w.page_id = run.page_id AND i >= alo AND i < ahi AND j >= blo AND j < bhi)), (VALUES (0), (1)) AS sides(side)
+    SELECT r.page_id, alo, ahi, blo, bhi, i, j, least(n, ahi - i, bhi - j) AS k FROM sm_range r JOIN sm_run
+      ON r.page_id = sm_run.page_id AND i >= alo AND i < ahi AND j >= blo AND j < bhi)), (VALUES (0), (1)) AS sides(side)
   WHERE best = 1),
-brand AS (SELECT page_id, CASE WHEN t = '' OR (length(t) > 3 AND contains(d, t)) THEN 0.0
-  ELSE 1 - 2.0 * m / (length(t) + length(d)) END AS bd FROM p JOIN (SELECT page_id, sum(got) AS m FROM w GROUP BY page_id) USING (page_id))"""
+sm_brand AS (SELECT page_id, CASE WHEN t = '' OR (length(t) > 3 AND contains(d, t)) THEN 0.0
+  ELSE 1 - 2.0 * m / (length(t) + length(d)) END AS bd FROM sm_text JOIN (SELECT page_id, sum(got) AS m FROM sm_range GROUP BY page_id) USING (page_id))"""
 
 
 def title_link_list() -> str:
