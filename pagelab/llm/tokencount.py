@@ -8,7 +8,9 @@ first wins; a character that is no piece of its own is an unknown of the lowest
 score less ten; unknowns in a row are one token, or a token per UTF-8 byte
 where the vocabulary has byte pieces. Spaces become U+2581, a text that does not
 begin with one gets one, and pieces stay within words (runs that begin at that
-mark), so each distinct word is solved once per worker.
+mark), so each distinct word is solved once per worker. ``cut=False`` is the rule of
+tokenizers that do not cut at marks: pieces with a mark further in match as well (runs
+of spaces), and the dynamic programming runs over the whole text in one go.
 
 The vocabulary (a SentencePiece file, or a tokenizers JSON of kind Unigram) is
 a path parameter; the file of pieces and scores is read, never trained or
@@ -63,9 +65,10 @@ def load(path: str, max_pieces: int = 2_000_000) -> Vocabulary:
 
 
 class Counter:
-    """Counts of words under one vocabulary; at most ``hold`` words stay known."""
+    """Counts of words under one vocabulary; at most ``hold`` words stay known. Without ``cut`` a
+    text is one word, and none stays known."""
 
-    def __init__(self, vocabulary: Vocabulary, hold: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, hold: int = 500_000, cut: bool = True):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces:
             self.automaton.add_word(piece, (len(piece), score))
@@ -73,7 +76,7 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
         self.bytes = vocabulary.byte_fallback
-        self.hold, self.known = hold, {}
+        self.hold, self.known, self.cut = hold, {}, cut
 
     def word(self, word: str) -> int:
         """Number of tokens on the best path through ``word``."""
@@ -103,6 +106,8 @@ class Counter:
         """Number of tokens of a whole text."""
         if not text:
             return 0
+        if not self.cut:
+            return self.word(marked(text))
         parts = words(text)
         known = self.known
         new = [w for w in set(parts) if w not in known]
@@ -114,18 +119,24 @@ class Counter:
         return sum(map(known.__getitem__, parts))
 
 
+def marked(text: str) -> str:
+    """The text with marks for spaces, and one at its beginning."""
+    text = text.replace(" ", MARK)
+    return text if text.startswith(MARK) else MARK + text
+
+
 def words(text: str) -> list[str]:
     """The text cut before every mark, each part with its mark."""
-    text = text.replace(" ", MARK)
-    return [MARK + w for w in (text[1:] if text.startswith(MARK) else text).split(MARK)]
+    return [MARK + w for w in marked(text)[1:].split(MARK)]
 
 
 _COUNTERS: dict[str, Counter] = {}  # of this worker, so that words stay known between tasks
 
 
-def with_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """``docs`` with the number of tokens of each whole text. The vocabulary is
-    broadcast; its size is bounded where it is loaded."""
+def with_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "n_tokens",
+                cut: bool = True) -> DataFrame:
+    """``docs`` with the number of tokens of each whole text; ``cut`` as above. The
+    vocabulary is broadcast; its size is bounded where it is loaded."""
     shared, key = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     @F.arrow_udf("bigint")
@@ -133,7 +144,7 @@ def with_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out
         counter = _COUNTERS.get(key)
         if counter is None:
             _COUNTERS.clear()  # one vocabulary at a time
-            counter = _COUNTERS[key] = Counter(shared.value)
+            counter = _COUNTERS[key] = Counter(shared.value, cut=cut)
         for part in parts:
             yield pa.array([counter.text(x.as_py()) for x in part], pa.int64())
 

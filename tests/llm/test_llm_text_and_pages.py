@@ -23,12 +23,12 @@ PAGES = "page_id long, url string, html string"
 
 
 # -- token counts --------------------------------------------------------------
-def library(vocabulary):
+def library(vocabulary, cut=True):
     rows = [("<unk>", 0.0), *vocabulary.pieces]
     if vocabulary.byte_fallback:
         rows += [(f"<0x{b:02X}>", 0.0) for b in range(256)]
     t = Tokenizer(models.Unigram(rows, 0, byte_fallback=vocabulary.byte_fallback))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=cut)
     return t
 
 
@@ -55,6 +55,26 @@ def test_token_counts_with_the_registered_vocabulary(spark, sf001):
     assert tokencount.with_counts(docs.limit(0), v).count() == 0
 
 
+def test_token_counts_without_the_cut_at_marks(spark, sf001):
+    rng = random.Random(6)
+    for n in range(60):
+        pieces = {"".join(rng.choice("ab▁▁c") for _ in range(rng.randint(1, 4))): float(-rng.randint(0, 4)) for _ in range(12)}
+        v = tokencount.Vocabulary(tuple(pieces.items()), bool(n % 2))
+        mine, theirs = tokencount.Counter(v, cut=False), library(v, cut=False)
+        for _ in range(25):
+            x = "".join(rng.choice("abcdé  語") for _ in range(rng.randint(0, 14)))
+            assert mine.text(x) == len(theirs.encode(x).ids), (pieces, x)
+    v = tokencount.load(queries.vocabulary_path())
+    texts = [r["text"] for r in spark.read.parquet(f"{sf001}/documents.parquet").select("text").limit(20).collect()]
+    texts += [None, "", " ", "x        y", "    indented", "a\n  b   c ", "▁▁a", " " * 3000 + "z" + " " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, cut = ({r["doc_id"]: r["n_tokens"] for r in tokencount.with_counts(docs, v, cut=c).collect()} for c in (False, True))
+    theirs = library(v, cut=False)
+    assert got == {i: len(theirs.encode(t).ids) if t else 0 for i, t in enumerate(texts)}
+    at = texts.index("x        y")
+    assert got[at] < cut[at]  # runs of spaces are pieces only where texts are not cut
+
+
 def test_vocabulary_files(tmp_path):
     p = tmp_path / "v.json"
     p.write_text(json.dumps({"model": {"type": "Unigram", "unk_id": 0, "byte_fallback": True,
