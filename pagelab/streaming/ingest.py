@@ -61,13 +61,15 @@ def first_arrivals(stream: DataFrame, key: str = "url", event_time: str = "ts",
         if state.hasTimedOut:
             state.remove()
             return
+        if state.exists:  # known: its rows need no look; a timer does not outlive a call
+            state.setTimeoutTimestamp(max(state.get[0], state.getCurrentWatermarkMs() + 1))
+            return
         best = None
         for pdf in batches:  # a running minimum: the key's rows are never held together
             best = pdf if best is None else pd.concat([best, pdf])
-            best = best.sort_values(ranks, kind="stable").head(1)
-        if best is None or state.exists:
-            if state.exists:  # a timer does not outlive a call
-                state.setTimeoutTimestamp(max(state.get[0], state.getCurrentWatermarkMs() + 1))
+            if len(best) > 1:
+                best = best.sort_values(ranks, kind="stable").head(1)
+        if best is None:
             return
         until = best[event_time].iloc[0].value // 1_000_000 + width
         state.update((until,))
