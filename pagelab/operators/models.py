@@ -1,8 +1,8 @@
 """G: classifiers on Spark ML, stacking, kernel SVM, k-NN, and the
 name -> estimator registry (M1/M2).
 
-Models train with Spark ML (tree aggregation is distributed; the driver only
-holds the fitted trees); boosted trees are this package's (``boost``). Stacks are
+Models train with Spark ML; forests and boosted trees are this package's (``bagged``,
+``boost``; the driver only holds the fitted trees). Stacks are
 built from DataFrame pieces: a fold column (class-balanced, hash-seeded), out-of-fold
 expert probabilities, a meta learner on top, experts refitted on all rows. The experts
 of all folds are fitted in common passes over the rows.
@@ -14,14 +14,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression,
-                                       LogisticRegressionModel, RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelab.operators.bagged import BaggedForest
 from pagelab.operators.boost import Boosted, HistBooster, HistBoosterModel, Settings, Spec, fit_many
 from pagelab.operators.forest import _matrix
 from pagelab.operators.neighbours import nearest
@@ -29,7 +29,7 @@ from pagelab.operators.network import Layer, ReluNetwork
 from pagelab.operators.sample import stratified_kfold
 
 # ---------------------------------------------------------------------------
-# Fixed hyper-parameters of the reference configurations. (Spark has no "least
+# Fixed hyper-parameters of the reference configurations. (Forests have no "least
 # rows to split a node"; 5 of them are met as nearly by 1 row per leaf as by 2.)
 # ---------------------------------------------------------------------------
 RF_STRUCTURAL = dict(numTrees=200, maxDepth=20, minInstancesPerNode=1)
@@ -62,13 +62,8 @@ def prepend(df: DataFrame, scalar: str, vector: str = "features", out: str = "fe
 
 
 # ------------------------------------------------------------------ registry
-# execution settings only (no effect on the model definition): cache node ids
-# for deep trees and let each pass split more nodes
-TREE_EXEC = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
-
-
 def _rf(**kw):
-    return RandomForestClassifier(**{"seed": 42, **TREE_EXEC, **RF_STRUCTURAL, **kw})
+    return BaggedForest(**{"seed": 42, **RF_STRUCTURAL, **kw})
 
 
 def _booster(**fixed):

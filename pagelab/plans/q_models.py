@@ -474,10 +474,6 @@ def q_imp(spark, sf):
     return XP.feature_importance(spark, m, names(spark, sf))
 
 
-def _forest(spark, model):
-    return FO.of_spark(spark, model, scratch_path(spark, f"forest_{uuid.uuid4().hex}"))
-
-
 def _spread(x, rows: int = 64):
     """Explaining a row costs far more than moving it: one task per ``rows`` rows."""
     return x.repartition(max(1, math.ceil(x.count() / rows)))
@@ -489,7 +485,7 @@ def _shap(spark, sf):
     if key not in _SHAPLEY:
         x, m = _rf_model(spark, sf)
         path = scratch_path(spark, f"shapley_{uuid.uuid4().hex}")
-        FO.tree_shapley(_spread(x), _forest(spark, m), names(spark, sf), XP.background_points(x)).write.parquet(path)
+        FO.tree_shapley(_spread(x), m.forest, names(spark, sf), XP.background_points(x)).write.parquet(path)
         _SHAPLEY[key] = path
     return spark.read.parquet(_SHAPLEY[key])
 
@@ -523,7 +519,7 @@ def q_shap_local(spark, sf):
     x, m = _rf_model(spark, sf)
     first = m.transform(x).where("prediction = 1").agg(F.min("page_id").alias("_first"))  # one row
     row = x.join(F.broadcast(first), F.col("page_id") == F.col("_first"), "left_semi")
-    return FO.tree_shapley(row, _forest(spark, m), names(spark, sf), XP.background_points(x)) \
+    return FO.tree_shapley(row, m.forest, names(spark, sf), XP.background_points(x)) \
         .select("page_id", "feature", "contribution", "base_value")
 
 
