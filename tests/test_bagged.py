@@ -30,7 +30,8 @@ def test_forest_of_regions(spark, table, region_rows, monkeypatch):
     monkeypatch.setattr(BG, "BLOCK_ROWS", 200)
     df, x, y = table
     m = M.create_model("structural_rf", numTrees=8, maxDepth=12, regionRows=region_rows).fit(df.where("page_id < 1000"))
-    p = np.array([_share(df, m)[i] for i in range(1500)])
+    share = _share(df, m)
+    p = np.array([share[i] for i in range(1500)])
     assert np.mean((p[1000:] > 0.5) == y[1000:]) > 0.75 and np.mean((p[:1000] > 0.5) == y[:1000]) > 0.9
     assert set(np.argsort(m.featureImportances.toArray())[-3:]) == {0, 1, 2}
     f = m.forest
