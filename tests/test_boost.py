@@ -170,3 +170,26 @@ def test_tree_shapley_rows(spark, monkeypatch):
     assert FO.tree_shapley(df, f, names, back, only=["c2"]).count() == 60
     monkeypatch.setattr(FO, "CELLS", 64)
     assert f.leaves().shapley(x, x[:3]) == pytest.approx(whole, abs=1e-12)
+
+
+@pytest.mark.parametrize("region_rows", [1, 60, 100_000])
+def test_nodes_grown_by_one_task_equal_nodes_grown_by_passes(spark, region_rows):
+    df, x, _ = table(spark, seed=4)
+    specs = [B.Spec(B.Settings(rounds=5, depth=5), tuple(range(8)), without_fold=1),
+             B.Spec(B.Settings(rounds=4, depth=4, row_share=0.8, column_share=0.6), tuple(range(1, 8))),
+             B.Spec(B.Settings(rounds=3, depth=3, second_order=False, reg_lambda=0.0), tuple(range(8)))]
+    one = B.fit_many(df, specs, fold="fold")  # one block
+    for a, b in zip(one, B.fit_many(df, specs, fold="fold", block_rows=100, region_rows=region_rows)):
+        assert b.forest.score(x) == pytest.approx(a.forest.score(x), abs=1e-9)
+        assert b.forest.importance(b.gain, 8) == pytest.approx(a.forest.importance(a.gain, 8), abs=1e-9)
+
+
+def test_a_round_of_small_nodes_takes_two_jobs_whatever_the_depth(spark):
+    df, _, _ = table(spark, seed=6)
+    sc, jobs = spark.sparkContext, {}
+    for depth in (2, 7):
+        sc.setJobGroup(f"boost_depth_{depth}", "")
+        B.fit_many(df, [B.Spec(B.Settings(rounds=6, depth=depth, min_hessian=0.1), tuple(range(8)))], block_rows=150)
+        jobs[depth] = len(sc.statusTracker().getJobIdsForGroup(f"boost_depth_{depth}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[7] <= jobs[2] + 2
