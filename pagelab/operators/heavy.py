@@ -30,6 +30,7 @@ from pagelab.operators.text import counted
 from pagelab.session import ensure_checkpoint_dir
 
 WIDEN = 4
+ROWS = 256  # documents whose distinct terms are Python strings at once
 
 
 class Summary:
@@ -66,7 +67,7 @@ def summaries(docs: DataFrame, terms: str, size: int, groups=()) -> DataFrame:
 
     def summed(batches):
         held: dict[tuple, Summary] = {}
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             lists = b.column(len(groups))
             flat, row = lists.flatten(), pc.list_parent_indices(lists)
             each = pa.table([*(b.column(i).take(row) for i in range(len(groups))), flat.field(0), flat.field(1)],

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ while who whom why with would www you your yours yourself yourselves""".split()
 SUBWORD_SPLIT_CHARS = r"([./\-_?=&])"
 # ASCII punctuation removed by the sub-word standardisation
 ASCII_PUNCT_RE = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+_ID_ROWS = 256  # rows whose terms are looked up at once
 HYBRID_TOKEN_RE = r"[\p{L}\p{N}_']+|[^\p{L}\p{N}_\s]"
 # ---------------------------------------------------------------------------
 
@@ -120,34 +122,47 @@ def tfidf_fit(docs: DataFrame, key: str, terms: str, max_features: int, groups=(
 def tfidf_transform(docs: DataFrame, key: str, terms: str, vocab: DataFrame, groups=()) -> DataFrame:
     """Long TF-IDF (groups, key, term, idx, weight), L2-normalised per
     document; terms outside the vocabulary are ignored. The vocabulary (bounded
-    by max_features) is a broadcast dictionary; a document's terms meet it, and
-    its norm is taken, inside one Arrow batch: no shuffle."""
+    by max_features) is a broadcast dictionary. Terms reach it one row each, in the
+    order of their documents, so a batch is bounded by its rows whatever the pages' size, and only
+    the hits of one document are held: no shuffle."""
     groups = list(groups)
     table: dict[tuple, dict] = {}
     for r in vocab.select(*groups, "term", "idx", "idf").collect():  # at most max_features rows per group
         table.setdefault(tuple(r[g] for g in groups), {})[r["term"]] = (int(r["idx"]), float(r["idf"]))
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    src = docs.select(*groups, key, counted(terms).alias("_c"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
+    src = docs.select(*groups, key, F.posexplode(counted(terms)).alias("_at", "_c"))
+    heads = src.schema.fields[:-2]
+    src = src.select(*[f.name for f in heads], "_at", "_c.term", "_c.tf")  # a document starts at 0
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in heads), "term string", "idx int", "weight double"])
+    n = len(heads)
 
     def weigh(batches):
-        names = [*groups, key]
-        for pdf in batches:
-            cols = {c: [] for c in (*names, "term", "idx", "weight")}
-            for row in pdf.itertuples(index=False):
-                *head, terms_of = row
-                known = shared.value.get(tuple(head[:-1]), {})
-                hits = [(c["term"], *known[c["term"]], c["tf"]) for c in terms_of if c["term"] in known]
-                norm = math.sqrt(sum((tf * idf) ** 2 for _, _, idf, tf in hits))
-                for term, idx, idf, tf in hits:
-                    for c, v in zip(names, head):
-                        cols[c].append(v)
-                    cols["term"].append(term)
-                    cols["idx"].append(idx)
-                    cols["weight"].append(tf * idf / norm)
-            yield pd.DataFrame(cols)
-
-    return src.mapInPandas(weigh, ", ".join([*fields, "term string", "idx int", "weight double"]))
+        head, held = None, []
+        for b in batches:
+            rows, kinds = [], [b.schema.field(i).type for i in range(n)]
+            for *of, at, term, tf in zip(*(c.to_pylist() for c in b.columns)):
+                if at == 0:
+                    rows += done(head, held)
+                    head, held, known = of, [], shared.value.get(tuple(of[:-1]), {})
+                elif not held:
+                    known = shared.value.get(tuple(of[:-1]), {})
+                if term in known:
+                    held.append((term, *known[term], tf))
+            yield made(rows, kinds)
+        if held:
+            yield made(done(head, held), kinds)
+
+    def done(head, held):
+        norm = math.sqrt(sum((tf * idf) ** 2 for _, _, idf, tf in held))
+        return [(*head, term, idx, tf * idf / norm) for term, idx, idf, tf in held]
+
+    def made(rows, kinds):
+        kinds = [*kinds, pa.string(), pa.int32(), pa.float64()]
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
+                                          names=[*(f.name for f in heads), "term", "idx", "weight"])
+
+    return src.mapInArrow(weigh, out)
 
 
 def tfidf_fit_transform(docs: DataFrame, key: str, terms: str, max_features: int, groups=()):
@@ -196,17 +211,26 @@ def ids_from_vocab(docs: DataFrame, key: str, terms: str, vocab: DataFrame, leng
     """First ``length`` terms -> ids (unknown id for others), zero padded.
 
     The vocabulary (bounded by its size parameter) is a broadcast dictionary that
-    Arrow batches of documents look their terms up in: no join, no shuffle."""
+    Arrow batches of documents look their terms up in, a bounded number of
+    rows at a time: no join, no shuffle."""
     table = {r["term"]: int(r["id"]) for r in vocab.select("term", "id").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("array<int>")
-    def ids(parts: pd.Series) -> pd.Series:
-        known = shared.value
-        rows = [[known.get(t, unknown) for t in (() if x is None else x)] for x in parts]
-        return pd.Series([r + [0] * (length - len(r)) for r in rows])
+    src = docs.select(key, F.slice(F.coalesce(F.col(terms), F.array().cast("array<string>")), 1, length).alias(out))
 
-    return docs.select(key, ids(F.slice(F.coalesce(F.col(terms), F.array().cast("array<string>")), 1, length)).alias(out))
+    def ids(batches):
+        known = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ID_ROWS):  # terms are Python strings for so many rows at a time
+                part = batch.slice(at, _ID_ROWS)
+                rows = part.column(1)
+                found = np.array([known.get(t, unknown) for t in rows.flatten().to_pylist()], np.int32)
+                wide = np.zeros((len(rows), length), np.int32)
+                wide[np.arange(length) < np.diff(rows.offsets.to_numpy())[:, None]] = found
+                made = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * length, wide.ravel())
+                yield pa.RecordBatch.from_arrays([part.column(0), made], names=[key, out])
+
+    return src.mapInArrow(ids, f"`{key}` {src.schema.fields[0].dataType.simpleString()}, `{out}` array<int>")
 
 
 def url_char_ids(url, length: int = 180) -> Column:
