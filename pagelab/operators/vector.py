@@ -49,14 +49,15 @@ def tfidf_in_row(grams: Column, terms: list[str], idfs: list[float]) -> Column:
     tv = F.array(*[F.lit(t) for t in terms])
     iv = F.array(*[F.lit(float(i)) for i in idfs])
 
-    def weights(gr):
-        tf = F.transform(tv, lambda t: F.size(F.filter(gr, lambda g: g == t)).cast("double"))
+    def weights(known):
+        tf = F.transform(tv, lambda t: F.size(F.filter(known, lambda g: g == t)).cast("double"))
         return F.zip_with(tf, iv, lambda a, b: a * b)
 
     def normalise(w):
         norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * x))
         return F.transform(w, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-    return bind(bind(grams, weights), normalise)
+    # one hashed look-up a gram leaves those of the vocabulary, which are then counted term by term
+    return bind(bind(F.filter(grams, lambda g: g.isin(terms)), weights), normalise)
 
 
 def base_and_grams(df: DataFrame, key: str, keep=(), brand: str = "difflib") -> DataFrame:

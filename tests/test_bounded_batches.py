@@ -47,3 +47,14 @@ def test_summaries_of_slices_are_exact(docs, monkeypatch):
     monkeypatch.setattr(HV, "ROWS", 3)
     got = {r["term"]: (r["total"], r["df"]) for r in HV.frequent_terms(docs, "t", 2, size=2).collect()}
     assert got == {"a": (7, 4), "b": (5, 5)}
+
+
+def test_grams_are_looked_up_by_hash_before_they_are_counted(spark):
+    from pagelab.operators.vector import tfidf_in_row
+    terms = [f"t{i:02d}" for i in range(20)]
+    df = spark.createDataFrame([(1, ["t01", "zz", "t00", "t01", None]), (2, []), (3, ["zz"])], "k int, g array<string>")
+    out = df.select("k", tfidf_in_row(df.g, terms, [2.0] * 20).alias("w"))
+    got = {r["k"]: r["w"] for r in out.collect()}
+    assert got[1] == pytest.approx([1 / math.sqrt(5), 2 / math.sqrt(5)] + [0.0] * 18)
+    assert got[2] == got[3] == [0.0] * 20
+    assert "INSET" in out._jdf.queryExecution().optimizedPlan().toString()
