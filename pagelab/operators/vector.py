@@ -23,18 +23,20 @@ from pagelab.operators import scale as SC, text as T
 from pagelab.operators.features import BASE_28, structural_base
 
 
-def _grams(df: DataFrame, key: str, keep=()) -> DataFrame:
-    """Term lists of the five TF-IDF blocks per page (plus ``keep`` columns)."""
+def _tokens(df: DataFrame, key: str, keep=()) -> DataFrame:
+    """Tag list ``_t`` and XPath list ``_x`` per page (plus ``keep`` columns), of which the term lists are made."""
     keep = list(keep)
     x = DF.with_events(df.select(key, "html", *keep), "html", "_ev").withColumn("_paths", F.expr(DF.xpath_sql("_ev")))
-    tags = DF.tag_sequence("html")
-    x = x.withColumn("_t", tags)
+    return x.select(key, *keep, DF.tag_sequence("html").alias("_t"), F.expr(DF.xpath_below_root_sql("_paths")).alias("_x"))
+
+
+def _grams(tokens: DataFrame, key: str, keep=()) -> DataFrame:
+    """Term lists of the five TF-IDF blocks per page (plus ``keep`` columns) from :func:`_tokens`."""
     z1, z2, z3 = DF.spatial_zones("_t")
-    return x.select(key, *keep,
-                    T.word_ngrams("_t", 2, 3).alias("g_tag"),
-                    T.word_ngrams(F.expr(DF.xpath_below_root_sql("_paths")), 2, 3).alias("g_xpath"),
-                    T.word_ngrams(z1, 1, 2).alias("g_z1"), T.word_ngrams(z2, 1, 2).alias("g_z2"),
-                    T.word_ngrams(z3, 1, 2).alias("g_z3"))
+    return tokens.select(key, *keep,
+                         T.word_ngrams("_t", 2, 3).alias("g_tag"), T.word_ngrams("_x", 2, 3).alias("g_xpath"),
+                         T.word_ngrams(z1, 1, 2).alias("g_z1"), T.word_ngrams(z2, 1, 2).alias("g_z2"),
+                         T.word_ngrams(z3, 1, 2).alias("g_z3"))
 
 
 BLOCKS = [("g_tag", "tag_tfidf_", 50), ("g_xpath", "xpath_tfidf_", 25),
@@ -60,12 +62,17 @@ def tfidf_in_row(grams: Column, terms: list[str], idfs: list[float]) -> Column:
     return bind(bind(F.filter(grams, lambda g: g.isin(terms)), weights), normalise)
 
 
-def base_and_grams(df: DataFrame, key: str, keep=(), brand: str = "difflib") -> DataFrame:
+def base_and_tokens(df: DataFrame, key: str, keep=(), brand: str = "difflib") -> DataFrame:
     """One narrow pass: the 28 base columns (brand discrepancy by the sequence
-    ratio, or as ``structural_base`` names it) and the five term lists per page."""
+    ratio, or as ``structural_base`` names it) and the two token lists per page."""
     x = df.select(key, "url", "html", F.col("html").alias("_h"), *keep)
     b = structural_base(x, keep=(key, "_h", *keep), brand=brand).withColumnRenamed("_h", "html")
-    return _grams(b, key, keep=[*BASE_28, *keep])
+    return _tokens(b, key, keep=[*BASE_28, *keep])
+
+
+def base_and_grams(df: DataFrame, key: str, keep=(), brand: str = "difflib") -> DataFrame:
+    """The 28 base columns and the five term lists per page."""
+    return _grams(base_and_tokens(df, key, keep, brand), key, keep=[*BASE_28, *keep])
 
 
 class StructuralModel:
@@ -91,7 +98,10 @@ class StructuralModel:
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
         """(key, keep columns, features): the z-scored vector of every page."""
-        r = self.raw(df, keep)
+        return self.scaled(self.raw(df, keep), keep)
+
+    def scaled(self, r: DataFrame, keep=()) -> DataFrame:
+        """(key, keep columns, features) from the raw vectors."""
         m = F.array(*[F.lit(float(x)) for x in self.mean])
         s = F.array(*[F.lit(float(x)) for x in self.sd])
         z = F.zip_with(F.zip_with("raw", m, lambda x, a: x - a), s, lambda x, d: x / d)
@@ -116,20 +126,31 @@ class StructuralFeaturizer:
         self.key, self.clip_q, self.brand = key, clip_q, brand
 
     def fit(self, pages: DataFrame) -> StructuralModel:
+        return self._fitted(pages, ())[0]
+
+    def fit_transform(self, pages: DataFrame, keep=()) -> tuple[StructuralModel, DataFrame]:
+        """The fitted model and what its ``transform`` gives for the same pages, which are looked through once."""
+        model, raw = self._fitted(pages, keep)
+        return model, model.scaled(raw, keep)
+
+    def _fitted(self, pages: DataFrame, keep) -> tuple[StructuralModel, DataFrame]:
+        """The model and the raw vectors of its pages. The extraction and the vectors are tables in the
+        shared folder: every step reads the columns it needs, and no executor has to hold them."""
+        from pagelab.operators.models import _written
         k = self.key
-        g = base_and_grams(pages, k, brand=self.brand).persist()  # the one heavy pass, read by every step below
-        ub = SC.clip_fit(g, BASE_28, self.clip_q).first()  # one row of 28 bounds
+        x = _written(base_and_tokens(pages, k, keep, self.brand))  # the one heavy pass
+        ub = SC.clip_fit(x, BASE_28, self.clip_q).first()  # one row of 28 bounds
         bounds = [float(ub[f"{c}__ub"]) for c in BASE_28]
         # the five vocabularies in ONE grouped job (block = group)
         blocks = F.array(*[F.struct(F.lit(col).alias("block"), F.col(col).alias("g")) for col, _, _ in BLOCKS])
-        d = g.select(k, F.explode(blocks).alias("s")).select("s.block", k, "s.g")
+        d = _grams(x, k).select(k, F.explode(blocks).alias("s")).select("s.block", k, "s.g")
         limits = {col: size for col, _, size in BLOCKS}
         v = T.tfidf_fit(d, k, "g", max(limits.values()), groups=["block"], limits=limits).collect()  # <= 135 rows
         vocabs = {col: [(r["term"], float(r["idf"])) for r in sorted((r for r in v if r["block"] == col),
                                                                       key=lambda r: r["idx"])]
                   for col, _, _ in BLOCKS}
         model = StructuralModel(bounds, vocabs, key=k, brand=self.brand)
-        raw = model.vector(g)
+        raw = _written(model.vector(_grams(x, k, keep=[*BASE_28, *keep]), keep))
         n = len(model.feature_names())
         # one pass for all columns; Summarizer's variance is the sample's
         st = (raw.select(array_to_vector("raw").alias("v"))
@@ -138,5 +159,4 @@ class StructuralFeaturizer:
         model.mean = [float(x) for x in st["mean"]] if pages_n else [0.0] * n
         sd = [math.sqrt(max(0.0, float(x)) * (pages_n - 1) / pages_n) for x in st["variance"]] if pages_n else [0.0] * n
         model.sd = [1.0 if math.isclose(x, 0.0, abs_tol=1e-12) else x for x in sd]
-        g.unpersist()
-        return model
+        return model, raw

@@ -35,10 +35,9 @@ _SHAPLEY: dict[tuple[str, str], str] = {}
 def _features(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FEATURES:
-        p = catalog.pages(spark, sf)
-        model = StructuralFeaturizer().fit(p)
+        model, x = StructuralFeaturizer().fit_transform(catalog.pages(spark, sf), keep=("label", "era"))
         path = scratch_path(spark, f"features_{uuid.uuid4().hex}")
-        model.transform(p, keep=("label", "era")).write.parquet(path)
+        x.write.parquet(path)
         _FEATURES[key] = (path, model.feature_names())
     return _FEATURES[key]
 
