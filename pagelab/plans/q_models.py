@@ -211,8 +211,8 @@ def q_seq(spark, sf):
         T.url_subword_tokens("url"),
         F.transform(T.url_char_ids("url"), lambda i: F.concat(F.lit("c"), i.cast("string"))),
         F.transform(T.hybrid_tokens("html"), lambda t: F.concat(F.lit("h"), t))).alias("toks"))
-    x = HashingTF(inputCol="toks", outputCol="features", numFeatures=1 << 12).transform(x)
-    tr, te = split(x)
+    x = HashingTF(inputCol="toks", outputCol="features", numFeatures=1 << 12).transform(x).drop("toks")
+    tr, te = split(M._written(x))  # pages are tokenised once, whatever the passes over the split
     m = LogisticRegression(labelCol="label", maxIter=100).fit(tr)
     return metrics_row(m.transform(te).withColumn("p1", M.prob1()), "url_sequence_lr")
 

@@ -52,3 +52,8 @@ def test_fit_transform_is_fit_and_transform(spark, folder):
     rows = [sorted((r["page_id"], r["label"], r["era"], tuple(np.round(r["features"], 9) + 0.0)) for r in x.collect())
             for x in (got, again.transform(p, keep=("label", "era")))]
     assert rows[0] == rows[1] and len(rows[0]) == ROWS
+
+
+def test_tokens_of_the_sequence_model_are_made_once(spark, folder, seen):
+    assert QM.q_seq(spark, folder).count() == 1
+    assert seen.value == ROWS
