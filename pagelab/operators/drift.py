@@ -177,11 +177,9 @@ def radar_profile(df: DataFrame, cols: list[str], groups_map: dict, label: str =
     from pagelab.operators.scale import minmax_apply, minmax_fit
     s = minmax_apply(df, minmax_fit(df, cols), cols)
     m = s.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols])
-    out = None
-    for cat, fs in groups_map.items():
-        g = m.select(label, F.lit(cat).alias("category"), (sum(F.col(f) for f in fs) / len(fs)).alias("score"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    scores = F.array(*[F.struct(F.lit(cat).alias("category"), (sum(F.col(f) for f in fs) / len(fs)).alias("score"))
+                       for cat, fs in groups_map.items()])
+    return m.select(label, F.inline(scores))  # all groups from one pass
 
 
 def standardised_gap(long: DataFrame, label: str = "label", feature: str = "feature", value: str = "value") -> DataFrame:

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagelab.operators import drift as DR, scale as SC
@@ -12,6 +14,10 @@ from pagelab.plans import q_text as QT
 from pagelab.plans import sqlfrag as S
 from pagelab.plans.q_pages import PAGES_L
 from pagelab.plans.registry import register
+from pagelab.session import scratch_path
+
+#: (application, data folder) -> path of the written base columns
+_BASE: dict[tuple[str, str], str] = {}
 
 _ALL = {**S.structural_url(), **S.pattern_html(), "brand_discrepancy": S.brand_lev(), **S.tree()}
 _COLS = ",\n  ".join(f"CAST({_ALL[c]} AS DOUBLE) AS {c}" for c in BASE_28)
@@ -34,9 +40,14 @@ RADAR = {
 
 
 def base(spark, sf):
-    """The 28 base columns per page, kept in memory (spilling to disk) because
-    the profile operators read them in several branches."""
-    return structural_base(catalog.pages(spark, sf), keep=("page_id", "label", "era")).persist()
+    """The 28 base columns per page, written once per session and data folder: the profile
+    operators read them in several branches, whose tasks on other executors would extract them again."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BASE:
+        path = scratch_path(spark, f"base_{uuid.uuid4().hex}")
+        structural_base(catalog.pages(spark, sf), keep=("page_id", "label", "era")).write.parquet(path)
+        _BASE[key] = path
+    return spark.read.parquet(_BASE[key])
 
 
 def r6(x: str) -> str:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagelab.operators import drift as DR
 from pagelab.operators.vector import StructuralFeaturizer
-from pagelab.plans import catalog, q_models as QM
+from pagelab.plans import catalog, q_models as QM, q_profile as QP
 
 ROWS = 24
 
@@ -57,3 +58,26 @@ def test_fit_transform_is_fit_and_transform(spark, folder):
 def test_tokens_of_the_sequence_model_are_made_once(spark, folder, seen):
     assert QM.q_seq(spark, folder).count() == 1
     assert seen.value == ROWS
+
+
+def test_radar_reads_its_table_twice(spark):
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def look(x):
+        count.add(1)
+        return x
+    df = spark.createDataFrame([(0, 0.0, 1.0, 7.0), (0, 10.0, 3.0, 7.0), (1, 5.0, None, 7.0)], "label int, a double, b double, c double")
+    df = df.withColumn("a", look.asNondeterministic()("a"))
+    got = DR.radar_profile(df, ["a", "b", "c"], {"one": ["a"], "two": ["a", "b"], "three": ["c"]})
+    assert got.columns == ["label", "category", "score"]
+    assert sorted(map(tuple, got.collect())) == [(0, "one", 0.5), (0, "three", 0.0), (0, "two", 0.5), (1, "one", 0.5), (1, "three", 0.0), (1, "two", None)]
+    assert count.value == 6  # the bounds, and the means of all groups
+
+
+def test_base_columns_are_a_table_and_not_held_by_executors(spark, folder, seen, monkeypatch):
+    monkeypatch.setattr(QP, "_BASE", {})
+    b = QP.base(spark, folder)
+    assert not b.storageLevel.useMemory and not b.storageLevel.useDisk
+    assert QP.q_radar(spark, folder).count() == 2 * len(QP.RADAR)
+    assert b.count() == ROWS and seen.value == ROWS
