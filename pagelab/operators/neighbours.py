@@ -11,7 +11,8 @@ test ring [l, u] around pivot i, with d the pivots' distance, only if
 
 Blocks that fail this never join; those that pass meet in one task for each pair, which
 ranks by one matrix product, checks the candidates' distances exactly, and sends on the k
-nearest of the block for each test row. No side is ever whole in one place.
+nearest of the block for each test row. No side is ever whole in one place, but for a
+training side that is one block: it travels to the test rows, which stay where they are.
 """
 
 from __future__ import annotations
@@ -122,10 +123,11 @@ def nearest(train: DataFrame, test: DataFrame, k: int, block_rows: int = 4_096,
     (``_id`` long, ``_v`` array; ``_y`` int on the training side); the k least d are the answer."""
     find = lambda a, b: _nearest(a, b, k)
     shape = "_id long, d double, t long, y int"
-    n_train, n_test = train.count(), test.count()
-    if n_train <= block_rows and n_test <= block_rows:  # one block a side: there is one pair
-        one = lambda df: df.groupBy(F.lit(0).alias("_k"))
-        return one(train).cogroup(one(test)).applyInPandas(find, shape)
+    rows = train.limit(block_rows + 1).collect()  # a block
+    if len(rows) <= block_rows:  # every test row meets the one block
+        held = pd.DataFrame({c: [r[c] for r in rows] for c in ("_id", "_y", "_v")})
+        shared = train.sparkSession.sparkContext.broadcast(held)
+        return test.select("_id", "_v").mapInPandas(lambda parts: (find(shared.value, q) for q in parts), shape)
     from pagelab.operators.models import _written
     pivots = choose_pivots(train, n_pivots)
     a = _written(_blocks(_written(_assigned(train, pivots)), block_rows))

@@ -342,15 +342,15 @@ def _curve(spark, sf, mixed: bool):
     old, new = x.where("era = 'old'"), x.where("era = 'new'")
     base = M.create_model("structural_rf").setLabelCol("label").fit(old)
     scored = base.transform(new).withColumn("pb", M.prob1()).drop("prediction", "probability", "rawPrediction")
-    meta = M._written(M.prepend(scored.withColumnRenamed("features", "raw"), "pb", "raw"))
+    meta = M._written(M.prepend(scored.withColumnRenamed("features", "raw"), "pb", "raw").withColumn("_row", F.monotonically_increasing_id()))
     n_new = meta.count()
-    tasks = max(1, math.ceil(n_new / 20_000))
-    meta = meta.coalesce(tasks)
+    meta = meta.coalesce(max(1, math.ceil(n_new / 20_000)))
 
     def run(task):
         n, seed = task
-        s = M._written(SA.stratified_split(meta, train_size=n, seed=seed)).coalesce(tasks)
-        tr, te = s.where("split = 'train'"), s.where("split = 'test'")
+        s = SA.stratified_split(meta.select("_row", "page_id", "label"), train_size=n, seed=seed)
+        drawn = F.col("_row").isin([r["_row"] for r in s.where("split = 'train'").select("_row").collect()])  # about n rows
+        tr, te = M._written(meta.where(drawn).coalesce(1)), meta.where(~drawn)
         raw = lambda df: df.drop("features").withColumnRenamed("raw", "features")
         forest = M.create_model("structural_rf", numTrees=par["trees"], maxDepth=20, seed=seed)
         got = {}
@@ -370,7 +370,7 @@ def _curve(spark, sf, mixed: bool):
         return [(n, seed, k, a) for k, a in got.items()]
 
     grid = [(n, seed) for n in par["sizes"] if n < n_new for seed in range(3 if mixed else par["seeds"])]
-    with ThreadPoolExecutor(max_workers=4) as ex:
+    with ThreadPoolExecutor(max_workers=8) as ex:
         rows = [r for part in ex.map(run, grid) for r in part]
     long = spark.createDataFrame(rows, "n_samples int, seed int, method string, accuracy double")
     methods = ["rf_mixed"] if mixed else ["knn", "meta_lr", "meta_svm", "rf_scratch"]

@@ -52,3 +52,19 @@ def test_far_blocks_do_not_meet(spark):
     rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "_id long, _y int, _v array<double>")
     met, every = N.share_met(rows, rows.select("_id", "_v"), 5, block_rows=100, n_pivots=24)
     assert met < 0.3 * every
+
+
+def test_training_rows_of_one_block_travel_to_the_test_rows(spark):
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(30, 3)), rng.normal(size=(200, 3))
+    t, s = frames(spark, x, rng.integers(0, 2, 30), q)
+    t, s = (df.withColumnsRenamed({"vec_id": "_id", "label": "_y", "embedding": "_v"}) for df in (t, s))
+    met = N.nearest(t, s, 4, block_rows=40)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "hashpartitioning" not in plan
+    got = {}
+    for r in met.collect():
+        got.setdefault(r["_id"], []).append((r["d"], r["t"]))
+    assert len(got) == 200
+    for i, v in enumerate(q):
+        assert [n for _, n in sorted(got[10_000 + i])] == np.argsort(((x - v) ** 2).sum(axis=1))[:4].tolist()
