@@ -193,3 +193,41 @@ def test_a_round_of_small_nodes_takes_two_jobs_whatever_the_depth(spark):
         jobs[depth] = len(sc.statusTracker().getJobIdsForGroup(f"boost_depth_{depth}"))
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[7] <= jobs[2] + 2
+
+
+def test_tables_of_some_blocks_are_grown_without_passes(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(21_000, 3))  # more than a block
+    rows = zip(range(len(x)), (x[:, 0] + rng.normal(size=len(x)) > 0).astype(int).tolist(), map(Vectors.dense, x))
+    df = spark.createDataFrame(list(rows), ["page_id", "label", "features"]).repartition(2)
+    sc, jobs = spark.sparkContext, []
+    for rounds in (1, 4):
+        sc.setJobGroup(f"whole{rounds}", "")
+        fitted = B.fit_many(df, [B.Spec(B.Settings(rounds=rounds, depth=3), (0, 1, 2))])[0]
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"whole{rounds}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    passes = B.fit_many(df, [B.Spec(B.Settings(rounds=4, depth=3), (0, 1, 2))], task_cells=0)[0]
+    assert passes.forest.score(x).tolist() == fitted.forest.score(x).tolist()
+
+
+def test_sums_of_a_larger_child_are_the_parents_less_the_smaller_ones():
+    rng = np.random.default_rng(12)
+    bins = np.asfortranarray(rng.integers(0, 40, (3_000, 5)).astype(np.uint8))
+    label = (bins[:, 0] + rng.normal(size=3_000) * 9 > 20).astype(float)
+    g, h = B._slopes(rng.normal(size=3_000), label)
+    n_bins, own, asked = np.full(5, 40), np.arange(5), []
+
+    def counted(bins, slope, rows, *rest):
+        asked.extend(map(len, rows))
+        return sums(bins, slope, rows, *rest)
+    sums, B._held_sums = B._held_sums, counted
+    try:
+        s = B.Settings(depth=4)
+        tree, leaves = B._held_tree(bins, g, h, np.arange(3_000), s, 4, own, n_bins, own)
+        assert sum(asked) <= 3_000 * (1 + 3 / 2)  # the root, and at most half of the rows on each level below
+        cells, B.CELLS = B.CELLS, 1  # no sums are kept
+        again, _ = B._held_tree(bins, g, h, np.arange(3_000), s, 4, own, n_bins, own)
+    finally:
+        B._held_sums, B.CELLS = sums, cells
+    assert again == tree and sorted(np.concatenate([r for _, r in leaves]).tolist()) == list(range(3_000))
