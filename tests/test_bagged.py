@@ -92,6 +92,30 @@ def test_walks_give_the_leaves_values(spark, table, monkeypatch):
     assert want.sum(axis=1) == pytest.approx(f.score(x[:9]) - f.score(x[50:53]).mean(), abs=1e-12)
 
 
+@pytest.mark.parametrize("cuts", [9, 400])
+def test_walks_compare_places_of_values(cuts, monkeypatch):
+    """Values on, between and beyond the cuts, missing ones too, in one byte a value or two."""
+    rng = np.random.default_rng(6)
+    trees, depth, width = 40, 6, 4
+    n = 2 ** (depth + 1) - 1
+    node = np.arange(n)
+    inner = node < n // 2
+    one = np.where(inner, 2 * node + 1, 0)
+    feature = np.where(np.tile(inner, trees), rng.integers(0, width, n * trees), -1)
+    left = np.concatenate([np.where(inner, one + t * n, 0) for t in range(trees)])
+    f = FO.Forest(feature, rng.integers(0, cuts, n * trees).astype(float), left, left + 1, rng.normal(size=n * trees), np.arange(trees) * n)
+    x, back = rng.integers(-1, 2 * cuts + 1, (30, width)) / 2, rng.integers(0, 2 * cuts, (3, width)) / 2
+    x[0, 1], x[1, 2], x[2, 0] = np.nan, np.inf, -np.inf
+    walks = f.walks()
+    assert walks.cut.dtype == (np.uint8 if cuts < 255 else np.uint16)
+    got = walks.shapley(x, back)
+    monkeypatch.setattr(FO, "ROWS", 7)
+    assert walks.shapley(x, back) == pytest.approx(got, abs=1e-12)
+    held = [1, *range(3, 30)]  # a path's interval has no place for a missing value or -inf
+    assert got[held] == pytest.approx(f.leaves().shapley(x[held], back), abs=1e-9)
+    assert got.sum(axis=1) == pytest.approx(f.score(x) - f.score(back).mean(), abs=1e-9)
+
+
 def test_stream_score_of_a_folder_of_files(spark, tmp_path):
     """Pages in several part files are scored as pages in one file are."""
     rows = [(i, f"https://h{i % 7}.example/{'en' if i % 3 else 'de'}/{i}",
